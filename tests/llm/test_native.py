@@ -1,0 +1,220 @@
+"""Operators 1, 2, 3, 9 and 10 against brute force on small rows."""
+
+import hashlib
+import math
+import re
+from collections import Counter
+from itertools import combinations
+
+import xxhash
+from pyspark.sql import functions as F
+
+from quorumstat.llm import decontaminate, mixing, queries, secrets, simhash, winnow
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(spark, name):
+    return [r.asDict() for r in spark.read.parquet(f"{SF}/{name}.parquet").collect()]
+
+
+def brute_fp(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [words[i : i + 4] for i in range(len(words) - 3)] or [words]
+    h = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(fps, radius=4):
+    parent = {i: i for i in fps}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= radius:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in fps}
+
+
+def test_simhash_query(spark):
+    fps = {r["doc_id"]: brute_fp(r["text"]) for r in table(spark, "documents")}
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op1_simhash(spark, SF).collect()}
+    comp = brute_components(fps)
+    assert got == {i: (f"{f:016x}", comp[i]) for i, f in fps.items()}
+
+
+def test_simhash_edges(spark, docs, rows):
+    got = {r["doc_id"]: r for r in simhash.near_components(docs).collect()}
+    fps = {r[0]: brute_fp(r[1]) for r in rows}
+    assert {i: r["fp"] & (2**64 - 1) for i, r in got.items()} == fps
+    assert {i: r["component_id"] for i, r in got.items()} == brute_components(fps)
+    assert simhash.near_components(docs.limit(0)).count() == 0
+    kept = {r["doc_id"] for r in simhash.deduplicate(docs.unionByName(docs.where("doc_id = 7"))).select("doc_id").collect()}
+    assert {1, 4, 7} <= kept and not {2, 5, 6} & kept
+
+
+def test_links_of_hot_keys_in_paired_blocks(spark):
+    import random
+
+    rnd = random.Random(1)
+    centre = 0x123456789ABCDEF0
+    fps = {centre ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(400)} | {rnd.getrandbits(64) for _ in range(200)}
+    nodes = dict(enumerate(sorted(fps)))
+    df = spark.createDataFrame([((f ^ (1 << 63)) - (1 << 63), i) for i, f in nodes.items()], "fp long, node long")
+    want = brute_components(nodes)
+    for block in (20_000, 5):
+        links = [(r.a, r.b) for r in simhash.near_links(df, 4, block).collect()]
+        assert all((nodes[a] ^ nodes[b]).bit_count() <= 4 for a, b in links)
+        from quorumstat.llm.common import connected_components
+
+        comp = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert {i: comp.get(i, i) for i in nodes} == want
+
+
+def brute_grams(text, k=winnow.K, w=winnow.WINDOW):
+    u = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text or "")
+    if not u:
+        return []
+
+    def spark_hash(parts):
+        h = 42
+        for p in parts:
+            h = xxhash.xxh64_intdigest(p.encode(), h)
+        return h & 0xFFFFFFFF
+
+    g = [spark_hash(u[i : i + k]) for i in range(len(u) - k + 1)] or [spark_hash([" ".join(u)])]
+    chosen = {}
+    for i in range(max(1, len(g) - w + 1)):
+        span = range(i, min(i + w, len(g)))
+        p = min(span, key=lambda j: (g[j], -j))
+        chosen[p] = g[p]
+    return sorted(chosen.items())
+
+
+def brute_likeness(a, b):
+    x, y = {h for _, h in a}, {h for _, h in b}
+    return 1.0 if not x | y else len(x & y) / len(x | y)
+
+
+def check_winnow(got, texts):
+    ids = sorted(texts, reverse=True)
+    for i, d in enumerate(ids):
+        nxt, text = texts[ids[(i + 1) % len(ids)]] or "", texts[d] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + nxt[:half]
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        own, other = brute_grams(text), brute_grams(edited)
+        assert r["fingerprint"] == ",".join(f"{h:x}@{p}" for p, h in own)
+        assert r["edited_fingerprint"] == ",".join(f"{h:x}@{p}" for p, h in other)
+        assert math.isclose(r["near_edited"], brute_likeness(own, other)) and math.isclose(r["near_next"], brute_likeness(own, brute_grams(nxt)))
+
+
+def test_winnow_query(spark):
+    check_winnow({r["doc_id"]: r for r in queries.op2_winnowing(spark, SF).collect()}, {r["doc_id"]: r["text"] for r in table(spark, "documents")})
+
+
+def test_winnow_edges(spark, docs, rows):
+    check_winnow({r["doc_id"]: r for r in winnow.compare_edits(docs).collect()}, {r[0]: r[1] for r in rows})
+    assert winnow.compare_edits(docs.limit(0)).count() == 0
+    one = winnow.compare_edits(docs.where("doc_id = 7")).collect()
+    assert len(one) == 1 and one[0]["near_next"] == 1.0
+    assert winnow.compare_edits(docs.unionByName(docs)).count() == 2 * len(rows)
+
+
+def brute_secrets(text):
+    text = text or ""
+    found = []
+    p = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found += [(m.start(), 0, m.end(), "assign") for m in re.finditer(p, text, re.I | re.A) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def check_secrets(got, texts):
+    for d, text in texts.items():
+        want, r = brute_secrets(text), got[d]
+        kinds = Counter(x[3] for x in want)
+        line = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == (kinds["assign"], kinds["access"], kinds["hex"]), d
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert set(line.split(",")) - {""} <= set(r["spans"].split(","))
+
+
+def test_secrets_query(spark):
+    check_secrets({r["doc_id"]: r for r in queries.op3_secrets(spark, SF).collect()}, {r["doc_id"]: r["text"] for r in table(spark, "documents")})
+
+
+def test_secrets_edges(spark, docs, rows):
+    many = [(20, "token=" + "a1" * 8 + " x " * 3 + ("secret: " + "b" * 13 + " é ") * 300)]
+    more = docs.unionByName(spark.createDataFrame(many, "doc_id long, text string"), allowMissingColumns=True)
+    base = F.filter("spans", lambda s: s["kind_order"] < 3)
+    got = {r["doc_id"]: r for r in secrets.scan(more).select("doc_id", secrets.span_string(base).alias("b"), secrets.span_string(F.col("spans")).alias("s")).collect()}
+    for d, text, *_ in [*rows, *many]:
+        assert got[d]["b"] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_secrets(text)), d
+    assert "github:" in got[14]["s"]
+    assert secrets.scan(docs.limit(0)).count() == 0
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(more).collect()}
+    assert clean[1] == rows[0][1] and clean[4] is None
+    assert "24be6443" not in clean[13] and clean[13].startswith("é [SECRET]") and "secret=short" in clean[13]
+
+
+def test_trigram_queries():
+    q = {r.kind: secrets.trigram_query(r) for r in secrets.BASE + secrets.EXTRA}
+    assert q["hex"] is None and q["access"] == [frozenset({"aki", "kia"})]
+    assert frozenset({"tok", "oke", "ken"}) in q["assign"] and frozenset({"api", "pik", "ike", "key", "piK"}) - {"piK"} in q["assign"]
+
+
+def brute_leaks(text, items, size=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    w, hit, ids = words(text), set(), set()
+    for item, t in items:
+        iw = words(t)
+        for i in range(max(1, len(iw) - size + 1)) if iw else ():
+            win = iw[i : i + size]
+            for s in range(len(w) - len(win) + 1):
+                if w[s] == win[0] and w[s : s + len(win)] == win:
+                    hit |= set(range(s, s + len(win)))
+                    ids.add(str(item))
+    return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+
+
+def test_decontamination_query(spark):
+    items = [(r["item_id"], r["text"]) for r in table(spark, "benchmark")]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in queries.op9_decontamination(spark, SF).collect()}
+    assert got == {r["doc_id"]: brute_leaks(r["text"], items) for r in table(spark, "documents")}
+
+
+def test_decontamination_edges(spark, docs, rows):
+    items = [(1, " ".join(f"S{i}" for i in range(5, 40))), (2, "one TWO"), (3, None), (4, "..."), (11, "s6 s7 s8 s9 s10 s11 s12 s13 s14 s15"), (5, "word " * 12), (6, "nowhere to be seen")]
+    bench = spark.createDataFrame(items * 2, "item_id long, text string")
+    found = decontaminate.find(docs, bench).select("doc_id", "n_words", decontaminate.covered(F.col("hits")).alias("n_hit")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in found} == {r[0]: brute_leaks(r[1], items)[:2] for r in rows}
+    assert decontaminate.find(docs, bench.limit(0)).where("size(hits) > 0").count() == 0
+    assert decontaminate.clean(docs, bench).where("doc_id in (7, 8, 15)").count() == 0
+    near = spark.createDataFrame([(1, "s5 s6 s7 extra s8 s9 s10 s11 s12 s13 s14 s15")], "doc_id long, text string")
+    assert decontaminate.find(near, bench.where("item_id = 11"), slop=1).where("size(near) > 0 and size(hits) = 0").count() == 1
+
+
+def test_mixing(spark, docs):
+    big = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.when(F.col("id") < 2700, "big").when(F.col("id") < 2950, "mid").alias("source"))
+    out = mixing.mix(big, budget_tokens=30000, block_tokens=500).cache()
+    a = out.select("exponent").first()[0]
+    raw = {"big": 27000, "mid": 2500, None: 500}
+    z = sum((t / 30000) ** a for t in raw.values())
+    got = {r["source"]: r["t"] for r in out.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    for s, t in raw.items():
+        want = 30000 * (t / 30000) ** a / z
+        assert want <= got[s] + 1e-3 and got[s] < want + 10 + 1e-3
+    assert out.groupBy("doc_id", "epoch").count().where("count > 1").count() == 0
+    assert 0 <= a < 1 and max(got[s] / t for s, t in raw.items()) <= 4.1
+    spread = out.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("source").alias("s")).groupBy("s").agg((F.max("c") - F.min("c")).alias("d"))
+    assert all(r["d"] <= 1 for r in spread.collect())
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs).count() > 0
