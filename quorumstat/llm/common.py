@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions sent to Python workers carry their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 
 def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -38,6 +43,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows, counted now; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,10 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, small_side, stored
 
-#: Benchmark-side tables up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -31,10 +29,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, _NOT_WORD), "")
 
 
-def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(phrase, terms, items): each distinct window of the items, with the sorted ids of the items that hold it."""
     w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0 and item is not null")
@@ -46,13 +40,13 @@ def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col:
 def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, n): occurrences in the corpus of each of `terms(term)`."""
     found = docs.select(F.explode(words(F.col(text_col))).alias("term"))
-    return found.join(_side(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return found.join(small_side(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def postings(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc, pos): the positional index of `terms(term)`."""
     found = docs.select(F.col(id_col).alias("doc"), F.posexplode(words(F.col(text_col))).alias("pos", "term"))
-    return found.join(_side(terms), "term", "left_semi")
+    return found.join(small_side(terms), "term", "left_semi")
 
 
 def candidates(docs: DataFrame, w: DataFrame, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,7 +64,7 @@ def candidates(docs: DataFrame, w: DataFrame, slop: int = 0, id_col: str = "doc_
 
     def shifted(which: str) -> DataFrame:
         at = rare.where(F.col(which).isNotNull()).select("phrase", F.col(f"{which}.term").alias("term"), F.col(f"{which}.at").alias("at"), F.col("b").isNull().alias("alone"))
-        return index.join(_side(at), "term").select("phrase", "doc", (F.col("pos") - F.col("at")).alias("start"), "alone")
+        return index.join(small_side(at), "term").select("phrase", "doc", (F.col("pos") - F.col("at")).alias("start"), "alone")
 
     first, second = shifted("a"), shifted("b").select("phrase", "doc", "start")
     near = second.select("phrase", "doc", F.explode(F.array(*[F.lit(s) for s in range(-slop, slop + 1)])).alias("shift"), F.col("start").alias("at"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, decontaminate, mixing, secrets, simhash, suffix_trees, winnow
+from . import bwt, decontaminate, htmltext, langid, mixing, secrets, simhash, suffix_trees, toxicity, winnow
 from .common import read
 
 
@@ -25,14 +25,31 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secrets.span_string(base), 256).alias("base_sha256"), secrets.span_string(F.col("spans")).alias("spans"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.train(read(spark, sf_dir, "documents", "text", "lang"))
+    found = langid.identify_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"), model)
+    return found.select(F.col("key").alias("page_id"), "host", "declared", "text_lang", "lang", "confidence")
+
+
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt.remove_repeated_bytes(read(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(read(spark, sf_dir, "pages", "page_id", "html")).select("page_id", F.char_length("text").cast("long").alias("n_chars"), "text")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_trees.remove_repeated_words(read(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (~toxicity.training_rows()).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"), size=10)
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
@@ -46,5 +63,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_winnowing, op3_secrets, op5_suffix_array, op7_substring, op9_decontamination, op10_mixing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_winnowing, op3_secrets, op4_language, op5_suffix_array, op6_html, op7_substring, op8_toxicity, op9_decontamination, op10_mixing, pipeline,
+    )
+}
+#: The brute-force versions in tests/llm stand for SQL: hashes, regular expressions with positions, fixpoints and models.
 ORACLE_SQL: dict[str, str] = {}
