@@ -38,7 +38,9 @@ BASE_INVERSE = U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bins of the k-gram histogram; a bin this many times above the mean counts as frequent.
 BINS, FREQUENT = 1 << 16, 4
 #: Symbols handled at once inside a block.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
+#: Bytes of an anchor's hash that are sent, beside its bucket; an anchor mistaken for another only costs a comparison.
+KEY_BYTES = 5
 BYTE_SYMBOLS = np.random.default_rng(20).integers(1, 2**64, 256, dtype=U)
 
 
@@ -66,33 +68,34 @@ def window_minimum(v: np.ndarray, w: int) -> np.ndarray:
 
 @dataclass
 class Segments:
-    """Parallel arrays: first window (position among the block's symbols), windows, distance of the anchor, hashes, document ordinal."""
+    """Parallel arrays: first window (position among the block's symbols), windows, hashes of the anchor, of the content
+    and of the symbols beside the anchor, document ordinal."""
 
     start: np.ndarray
     count: np.ndarray
-    rel: np.ndarray
     key: np.ndarray
     content: np.ndarray
+    sides: np.ndarray
     doc: np.ndarray
 
 
-def segments(sym: np.ndarray, lengths: np.ndarray, length: int, k: int, frequent: np.ndarray) -> Segments:
-    """Segments of documents laid end to end in `sym`."""
+def segments(symbols: Callable[[int, int], np.ndarray], lengths: np.ndarray, length: int, k: int, frequent: np.ndarray) -> Segments:
+    """Segments of documents laid end to end; symbols(a, b) gives their symbols from a to b."""
     ends = np.cumsum(lengths)
     parts, lo = [], 0
     while lo < len(lengths):  # documents in chunks; windows never cross documents
         begin = ends[lo] - lengths[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, begin + CHUNK, "right")))
-        parts.append(_segments(sym[begin : ends[hi - 1]], lengths[lo:hi], length, k, frequent, int(begin), lo))
+        parts.append(_segments(symbols(int(begin), int(ends[hi - 1])), lengths[lo:hi], length, k, frequent, int(begin), lo))
         lo = hi
-    return Segments(*[np.concatenate([getattr(p, f) for p in parts]) if parts else np.empty(0, np.int64) for f in ("start", "count", "rel", "key", "content", "doc")])
+    return Segments(*[np.concatenate([getattr(p, f) for p in parts]) if parts else np.empty(0, np.int64) for f in ("start", "count", "key", "content", "sides", "doc")])
 
 
 def _segments(sym, lengths, length, k, frequent, offset, first_doc) -> Segments:
     n = len(sym)
     if n < length:
         none = np.empty(0, np.int64)
-        return Segments(none, none, none, none.astype(U), none.astype(U), none)
+        return Segments(none, none, none.astype(U), none.astype(U), none.astype(np.uint32), none)
     h = k_grams(sym, k)
     bits = U(max(24, int(n).bit_length()))
     rank = (h >> U(1)) | (frequent[(h & U(BINS - 1)).astype(np.intp)].astype(U) << U(63))
@@ -110,10 +113,15 @@ def _segments(sym, lengths, length, k, frequent, offset, first_doc) -> Segments:
     powers = np.cumprod(np.full(n, BASE), dtype=U)
     prefix = np.concatenate((np.zeros(1, U), np.cumsum(sym * powers, dtype=U)))
     inverse = np.cumprod(np.full(n, BASE_INVERSE), dtype=U)
-    content = (prefix[start + count - 1 + length] - prefix[start]) * inverse[start]
-    content = mixed(content + mixed((rel * 4096 + count).astype(U)))
+    between = lambda a, b: mixed((prefix[b] - prefix[a]) * inverse[np.minimum(a, n - 1)])
+    stop = start + count - 1 + length
+    content = mixed(between(start, stop) + mixed((rel * 4096 + count).astype(U)))
+    # two segments with a window in common agree on half its other symbols on one side of the anchor at least
+    side, at = (length - k + 1) // 2, anchor[new]
+    left = np.where(rel >= side, 1 + between(np.maximum(at - side, 0), at) % U(4095), U(0))
+    right = np.where(stop - at - k >= side, 1 + between(np.minimum(at + k, n), np.minimum(at + k + side, n)) % U(4095), U(0))
     doc = np.searchsorted(begins, start, "right") - 1
-    return Segments(start + offset, count, rel, h[anchor[new]], content, doc + first_doc)
+    return Segments(start + offset, count, h[at], content, (left | right << U(12)).astype(np.uint32), doc + first_doc)
 
 
 def distinct_segments(s: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -142,19 +150,25 @@ def block_of(table: pa.Table) -> Block:
 
 
 class Symbols:
-    """How texts become symbols; `lay` gives (symbols, lengths), `cut` the payload of a run of symbols."""
+    """How texts become symbols: `lay` takes them and gives their lengths, `at` the symbols of a range, `cut` its payload."""
 
-    def lay(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def lay(self, texts: list[bytes]) -> np.ndarray:
         raise NotImplementedError
 
-    def cut(self, texts_state, start: int, stop: int) -> bytes:
+    def at(self, start: int, stop: int) -> np.ndarray:
+        raise NotImplementedError
+
+    def cut(self, start: int, stop: int) -> bytes:
         raise NotImplementedError
 
 
 class Bytes(Symbols):
     def lay(self, texts):
         self.all = b"".join(texts)
-        return BYTE_SYMBOLS[np.frombuffer(self.all, np.uint8)], np.fromiter(map(len, texts), np.int64, len(texts))
+        return np.fromiter(map(len, texts), np.int64, len(texts))
+
+    def at(self, start, stop):
+        return BYTE_SYMBOLS[np.frombuffer(self.all, np.uint8, stop - start, start)] if stop > start else np.empty(0, U)
 
     def cut(self, start, stop):
         return self.all[start:stop]
@@ -167,7 +181,11 @@ class Words(Symbols):
         split = [t.split() for t in texts]
         self.all = [w for s in split for w in s]
         digest = xxhash.xxh64_intdigest
-        return np.array([digest(w) for w in self.all], dtype=U), np.fromiter(map(len, split), np.int64, len(texts))
+        self.digests = np.fromiter((digest(w) for w in self.all), U, len(self.all))
+        return np.fromiter(map(len, split), np.int64, len(texts))
+
+    def at(self, start, stop):
+        return self.digests[start:stop]
 
     def cut(self, start, stop):
         return b" ".join(self.all[start:stop])
@@ -217,8 +235,10 @@ def frequent_bins(docs: DataFrame, task: Task) -> np.ndarray:
         count = np.zeros(BINS, np.int64)
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                sym, _ = task.symbols().lay([t or b"" for t in b.column(0).slice(lo, 256).cast(pa.binary()).to_pylist()])
-                if len(sym) >= task.k:
+                symbols = task.symbols()
+                total = int(symbols.lay([t or b"" for t in b.column(0).slice(lo, 256).cast(pa.binary()).to_pylist()]).sum())
+                for at in range(0, total - task.k + 1, CHUNK):
+                    sym = symbols.at(at, min(total, at + CHUNK + task.k - 1))
                     count += np.bincount((k_grams(sym, task.k) & U(BINS - 1)).astype(np.intp), minlength=BINS)
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(count[at])], names=["bin", "n"])
@@ -233,8 +253,8 @@ def frequent_bins(docs: DataFrame, task: Task) -> np.ndarray:
 
 def _view(block: Block, task: Task, frequent: np.ndarray):
     symbols = task.symbols()
-    sym, lengths = symbols.lay(block.texts)
-    s = segments(sym, lengths, task.length, task.k, frequent)
+    lengths = symbols.lay(block.texts)
+    s = segments(symbols.at, lengths, task.length, task.k, frequent)
     first, of = distinct_segments(s)
     return symbols, lengths, s, first, of
 
@@ -255,7 +275,8 @@ def _emit(task: Task, frequent: np.ndarray, buckets: int):
         _, _, s, first, of = _view(block, task, frequent)
         twice = np.bincount(of, minlength=len(first)) > 1
         ids, no = block.ids[s.doc[first]] if len(first) else first, table["block"][0].as_py()
-        return _table([("s", b, no, len(i), s.key[first[i]], s.content[first[i]], np.diff(ids[i], prepend=0), twice[i].astype(np.uint8)) for b, i in _by_bucket(s, first, buckets)])
+        hashes = lambda at: np.column_stack((s.content[at].view(np.uint8).reshape(-1, 8), s.key[at].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], s.sides[at].view(np.uint8).reshape(-1, 4)[:, :3]))
+        return _table([("s", b, no, len(i), hashes(first[i]), np.diff(ids[i], prepend=0), twice[i].astype(np.uint8), b"") for b, i in _by_bucket(s, first, buckets)])
 
     return run
 
@@ -266,8 +287,10 @@ def _match(task: Task):
         if not rows:
             return _table([])
         read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        key, content, twice = read("a", U), read("b", U), read("d", np.uint8)
-        doc = np.concatenate([np.cumsum(np.frombuffer(r["c"], np.int64)) for r in rows])
+        raw, twice = read("a", np.uint8).reshape(-1, 8 + KEY_BYTES + 3), read("c", np.uint8)
+        number = lambda a, b: np.pad(raw[:, a:b], ((0, 0), (0, 8 - (b - a)))).view(U)[:, 0]
+        content, key, sides = number(0, 8), number(8, 8 + KEY_BYTES), number(8 + KEY_BYTES, 8 + KEY_BYTES + 3)
+        doc = np.concatenate([np.cumsum(np.frombuffer(r["b"], np.int64)) for r in rows])
         sizes = [r["n"] for r in rows]
         block, idx = np.repeat([r["block"] for r in rows], sizes), np.concatenate([np.arange(n) for n in sizes])
         # only anchors listed twice matter
@@ -280,12 +303,19 @@ def _match(task: Task):
         order = order[np.lexsort((doc[order], content[order], key[order]))]
         if not len(order):
             return _table([])
-        key, content, doc, twice, block, idx = (x[order] for x in (key, content, doc, twice, block, idx))
+        key, content, sides, doc, twice, block, idx = (x[order] for x in (key, content, sides, doc, twice, block, idx))
         new_key = np.concatenate(([True], key[1:] != key[:-1]))
         new_seg = new_key | np.concatenate(([True], content[1:] != content[:-1]))
         group, seg = np.cumsum(new_key) - 1, np.cumsum(new_seg) - 1
-        kinds = np.bincount(group, weights=new_seg)
-        single = kinds[group] == 1
+        # a content stands alone if no other content of its anchor agrees with it on a side
+        head = np.flatnonzero(new_seg)
+        met = np.zeros(len(head), bool)
+        for half in (sides[head] & U(4095), sides[head] >> U(12)):
+            order = np.lexsort((half, group[head]))
+            same = (np.diff(group[head][order]) == 0) & (half[order][1:] == half[order][:-1]) & (half[order][1:] > 0)
+            met[order[1:]] |= same
+            met[order[:-1]] |= same
+        single = ~met[seg]
         lowest = doc[np.flatnonzero(new_seg)][seg]
         out, bucket = [], rows[0]["bucket"]
 
@@ -296,7 +326,8 @@ def _match(task: Task):
                 if len(part):
                     out.append((kind, bucket, int(block[part[0]]), len(part), idx[part].astype(np.int32), value[part], b"", b""))
 
-        to_blocks("full", single & (doc > lowest) if task.least else single, lowest)
+        many = np.bincount(seg)[seg] > 1
+        to_blocks("full", single & many & (doc > lowest) if task.least else single & many, lowest)
         to_blocks("ask", ~single & new_seg, seg)
         w = np.flatnonzero(~single)
         if len(w):
@@ -392,8 +423,8 @@ def remove_repeats(docs: DataFrame, task: Task, report: Callable, schema: str) -
     """`report(block, symbols, lengths, flags) -> pa.Table` of `schema` for each block of `docs(doc_id, text)`."""
     frequent = frequent_bins(docs, task)
     n = shuffle_partitions(docs.sparkSession)
-    buckets = 2 * n
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4 * n)).cast("int").alias("block"))
+    buckets = n
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2 * n)).cast("int").alias("block"))
     texts = rows.repartition(n, "block")
     listed = texts.groupBy("block").applyInArrow(_emit(task, frequent, buckets), _ROW)
     answers = listed.groupBy("bucket").applyInArrow(_match(task), _ROW)
