@@ -1,4 +1,957 @@
-"""The registered queries of the survey engine and their SQL counterparts."""
+"""The registered queries of the survey engine, each with its SQL counterpart."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import associations as A
+from ..operators import estimators as E
+from ..operators import labels as L
+from ..operators import quality as Q
+from ..operators import reshape as R
+from ..operators import weights as WT
+from ..operators.core import NO_SUPPRESSION, Design, Item, design_counts, suppress_small_cells
+from ..sources import files as S
+from . import oracles as O
+from .frames import (
+    DESIGN_SQL, LABEL_SQL, LONG_SQL, PANEL_SQL, PEOPLE_SQL, SUPPLIER_SQL, design_frame, label_frame, long_frame, panel_frame, people_frame, read, supplier_frame, table, values_sql,
+)
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+DESIGN, KISH = Design(), Design("w", None, None)
+SHOWN = ("estimate", "se", "ci_lo", "ci_hi", "n", "sum_w", "n_psu", "n_strata", "df", "suppressed", "flagged")
+
+
+def register(name: str, sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+
+
+def shown(df: DataFrame, *keys: str) -> DataFrame:
+    return rounded(df.select(*keys, *SHOWN), "estimate", "se", "ci_lo", "ci_hi", "sum_w")
+
+
+ALL_Y = list(range(11))
+COUNTRY = ["country_code"]
+
+# --- 2.1 sources and sinks
+
+
+def _text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    li = read(spark, sf, "lineitem")
+    return li.select(F.concat(F.lit(" "), F.col("l_orderkey").cast("string")).alias("key"), F.when(F.col("l_linenumber") == 7, " ").otherwise(F.col("l_quantity").cast("string")).alias("qty"), F.date_format("l_shipdate", "M/d/yyyy").alias("day"))
+
+
+TYPES = {"key": "int64", "qty": "int16", "day": "date"}
+_CSV_SQL = "SELECT CAST(CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS BIGINT) END AS BIGINT) AS qty, count(*) AS n, sum(CAST(l_orderkey AS BIGINT)) AS keys, count(DISTINCT CAST(l_shipdate AS DATE)) AS days FROM lineitem GROUP BY 1"
+
+
+def _typed_summary(df: DataFrame) -> DataFrame:
+    return df.groupBy(F.col("qty").cast("long").alias("qty")).agg(F.count("*").alias("n"), F.sum("key").alias("keys"), F.countDistinct("day").alias("days"))
+
+
+@register("scan_csv_strings", _CSV_SQL.replace("sum(CAST(l_orderkey AS BIGINT))", "CAST(sum(l_orderkey) AS BIGINT)"))
+def scan_csv_strings(spark, sf):
+    import uuid
+
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    path = f"{base.get() if base.isDefined() else '/tmp/spark-csv'}/csv-{uuid.uuid4().hex}"
+    _text_lines(spark, sf).write.option("header", True).csv(path)
+    return _typed_summary(S.cast_by_catalog(S.scan_csv_strings(spark, path), TYPES, frozenset({"qty"})))
+
+
+@register("cast_by_catalog", ORACLE_SQL["scan_csv_strings"])
+def cast_by_catalog(spark, sf):
+    return _typed_summary(S.cast_by_catalog(S.blank_to_null(_text_lines(spark, sf)), TYPES, frozenset({"qty"})))
+
+
+@register("fractional_cell_check", """SELECT 'l_discount' AS "column", CAST(count(*) FILTER (WHERE l_discount <> floor(l_discount)) AS BIGINT) AS n FROM lineitem
+  UNION ALL SELECT 'l_quantity', CAST(count(*) FILTER (WHERE l_quantity <> floor(l_quantity)) AS BIGINT) FROM lineitem""")
+def fractional_cell_check(spark, sf):
+    return S.fractional_cells(read(spark, sf, "lineitem"), ["l_discount", "l_quantity"])
+
+
+@register("compare_shared_columns", """SELECT 'c_nationkey' AS "column", CAST(count(*) FILTER (WHERE c_custkey % 10 = 0) AS BIGINT) AS n_different FROM customer UNION ALL SELECT 'c_acctbal', CAST(0 AS BIGINT)""")
+def compare_shared_columns(spark, sf):
+    a = read(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    b = a.withColumn("c_nationkey", F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")))
+    return S.compare_shared_columns(a, b, "c_custkey", ["c_nationkey", "c_acctbal"])
+
+
+@register("key_containment", """SELECT 'only_a' AS side, count(*) AS n FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) x
+  UNION ALL SELECT 'only_b', count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer) y""")
+def key_containment(spark, sf):
+    return S.key_containment(read(spark, sf, "customer").select(F.col("c_custkey").alias("k")), read(spark, sf, "orders").select(F.col("o_custkey").alias("k")), "k")
+
+
+@register("scan_parquet", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def scan_parquet(spark, sf):
+    return S.scan_parquet(spark, f"{sf}/lineitem.parquet", ["l_returnflag"]).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return f"{base.get() if base.isDefined() else '/tmp/spark-tables'}/{name}-{uuid.uuid4().hex}"
+
+
+@register("write_parquet", f"SELECT wave, variable, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM ({LONG_SQL}) t GROUP BY 1, 2")
+def write_parquet(spark, sf):
+    path = _shared(spark, "long")
+    S.write_parquet(long_frame(spark, sf), path, ["wave", "variable", "id"], ("wave",))
+    return spark.read.parquet(path).groupBy("wave", "variable").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+# --- catalog literals
+
+VARIABLES = [
+    ("signup", "Signed up", "Did you sign up?", "use", "scale_0_10", "higher_better", 0, 9, False, False, ["Y1", "MY"], ["signup"]),
+    ("error", "Errors", "How many errors?", "use", "scale_0_10", "lower_better", 0, 9, False, False, ["Y1", "Y2"], ["error"]),
+    ("click", "Clicks", "How often did you click?", "web", "count", "none", 0, 9, False, False, ["Y1"], ["click", "view"]),
+    ("view", "Views", "Pages seen", "web", "ordinal", "higher_better", 0, 9, False, False, ["Y1"], ["view"]),
+    ("purchase", "Bought", "Did you buy?", "money", "nominal", "none", 0, 9, True, False, ["Y2"], ["purchase"]),
+]
+_VAR_NAMES = ["name", "display_name", "wording", "family", "scale_type", "direction", "min", "max", "restricted", "is_country_specific", "waves", "components"]
+_VAR_SQL = values_sql([r[:10] for r in VARIABLES], _VAR_NAMES[:10])
+_VAR_SCHEMA = "name string, display_name string, wording string, family string, scale_type string, direction string, min int, max int, restricted boolean, is_country_specific boolean, waves array<string>, components array<string>"
+LABELS = [
+    ("ATTEND", 1, "Weekly", None, None), ("ATTEND", 2, "Monthly", None, None), ("ATTEND", 3, "Never", None, None), ("ATTEND", 98, "(DK)", None, None), ("ATTEND", 99, "(Refused)", None, None),
+    ("CHILD", 0, "0", None, None), ("CHILD", 9, "9", None, None), ("CHILD", 10, "10+", None, None), ("HAPPY", 0, "Not at all", None, None), ("HAPPY", 10, "Completely", None, None), ("HAPPY", 97, "(Saw question, skipped)", None, None),
+    ("OWN", 1, "Yes", None, None), ("OWN", 2, "No", None, None), ("ETHNIC", 104, "Argentina: Mestizo(a)", 1, None), ("ETHNIC", 201, "Brazil: Branca", 2, None), ("INCOME", 9900, "(None/No household income)", None, None), ("INCOME", 5, "Five", None, "5k"),
+]
+_LABEL_NAMES = ["variable", "code", "label", "country_code", "short_label"]
+_LABEL_SQL = values_sql(LABELS, _LABEL_NAMES)
+_LABEL_SCHEMA = "variable string, code int, label string, country_code int, short_label string"
+COUNTRIES = [(0, "Africa"), (1, "Argentina"), (2, "Brazil"), (3, "Europe"), (4, "Japan")]
+_COUNTRY_SQL = values_sql(COUNTRIES, ["code", "name"])
+
+
+def variables(spark):
+    return table(spark, VARIABLES, _VAR_SCHEMA)
+
+
+def label_table(spark):
+    return table(spark, LABELS, _LABEL_SCHEMA)
+
+
+def country_table(spark):
+    return table(spark, COUNTRIES, "code int, name string")
+
+
+_ORIENTED_SQL = f"SELECT id, wave, variable, CASE WHEN direction = 'lower_better' THEN min + max - value ELSE value END AS value, nonresponse FROM ({LONG_SQL}) t LEFT JOIN {_VAR_SQL} v ON variable = name"
+
+
+@register("catalog_tables", f"SELECT variable, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM ({_ORIENTED_SQL}) o GROUP BY 1")
+def catalog_tables(spark, sf):
+    S.catalog_tables({"responses_long": long_frame(spark, sf), "variables": variables(spark), "countries": country_table(spark)})
+    return spark.sql("SELECT variable, count(*) AS n, sum(value) AS total FROM responses_oriented GROUP BY variable")
+
+
+_STATIC_SQL = f"SELECT 'share' AS view, level, n FROM ({O.taylor(DESIGN_SQL, [({'level': x}, f'CASE WHEN nominal IS NOT NULL THEN CASE WHEN nominal = {x} THEN 1.0 ELSE 0.0 END END') for x in (1, 2, 3)], [], share=True)}) q"
+
+
+@register("export_static_views", """SELECT wave, variable, count(*) AS n_rows FROM (SELECT DISTINCT wave, variable, CAST(id % 5 AS INTEGER) AS country_code FROM (""" + LONG_SQL + """) t) x GROUP BY 1, 2""")
+def export_static_views(spark, sf):
+    f = long_frame(spark, sf).join(people_frame(spark, sf), "id")
+    est = E.weighted_mean(f, "value", KISH, ["wave", "variable", "country_code"])
+    return S.export_static_views(est, _shared(spark, "views"), ["wave", "variable"], ["country_code", "estimate", "se", "n"])
+
+
+@register("export_catalog_views", f"""SELECT variable, CAST(n_labels AS BIGINT) AS n_labels FROM (SELECT variable, count(*) AS n_labels FROM {_LABEL_SQL} l GROUP BY 1) q""")
+def export_catalog_views(spark, sf):
+    docs = S.static_views(label_table(spark), ["variable"], ["code", "label"])
+    return docs.select("variable", F.col("n_rows").alias("n_labels"))
+
+
+@register("export_csv_labelled", f"SELECT country_code, name AS country_code_label, count(*) AS n FROM ({PEOPLE_SQL}) p LEFT JOIN {_COUNTRY_SQL} c ON country_code = code GROUP BY 1, 2")
+def export_csv_labelled(spark, sf):
+    rows = people_frame(spark, sf).groupBy("country_code").agg(F.count("*").alias("n"))
+    path = _shared(spark, "labelled")
+    S.export_csv_labelled(rows, {"country_code": country_table(spark).withColumnRenamed("name", "label")}, path)
+    return spark.read.option("header", True).schema("country_code int, country_code_label string, n long").csv(path)
+
+
+@register("table_manifest", "SELECT 'nation' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
+def table_manifest(spark, sf):
+    return S.table_manifest({t: read(spark, sf, t) for t in ("nation", "orders")}).drop("fingerprint")
+
+
+# --- 2.2 reshape
+
+
+@register("null_sentinels", f"SELECT variable, CAST(sum(CASE WHEN value NOT IN (8, 9) THEN value END) AS BIGINT) AS total, count(CASE WHEN value NOT IN (8, 9) THEN 1 END) AS n FROM ({LONG_SQL}) t GROUP BY 1")
+def null_sentinels(spark, sf):
+    v = long_frame(spark, sf).withColumn("v", C.null_sentinels(F.col("value"), [8, 9]))
+    return v.groupBy("variable").agg(F.sum("v").alias("total"), F.count("v").alias("n"))
+
+
+@register("build_respondents", f"SELECT country_code, name AS country_name, count(*) AS n, CAST(sum(CASE WHEN my IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_midyear FROM ({PANEL_SQL}) p LEFT JOIN {_COUNTRY_SQL} c ON country_code = code GROUP BY 1, 2")
+def build_respondents(spark, sf):
+    raw = panel_frame(spark, sf).select("id", "country_code", "my", "y2")
+    r = R.build_respondents(raw, {"id": "id", "country_code": "country_code"}, {"has_midyear": "my", "retained_y2": "y2"}, country_table(spark))
+    return r.groupBy("country_code", "country_name").agg(F.count("*").alias("n"), F.sum(F.col("has_midyear").cast("long")).alias("n_midyear"))
+
+
+_PANEL_LONG = {"Y1": {"y1": "PRIORITY"}, "MY": {"my": "PRIORITY"}, "Y2": {"y2": "PRIORITY"}}
+_PANEL_LONG_SQL = " UNION ALL ".join(f"SELECT id, '{w}' AS wave, 'PRIORITY' AS variable, CASE WHEN {c} <> 5 THEN {c} END AS value, CASE WHEN {c} = 5 THEN 'dk' END AS nonresponse FROM p WHERE {c} IS NOT NULL" for w, c in (("Y1", "y1"), ("MY", "my"), ("Y2", "y2")))
+
+
+def panel_long(spark, sf):
+    sentinels = table(spark, [("PRIORITY", 5, "dk")], "variable string, code int, kind string")
+    return R.unpivot_long(panel_frame(spark, sf), "id", _PANEL_LONG, sentinels)
+
+
+@register("unpivot_long", f"WITH p AS ({PANEL_SQL}) {_PANEL_LONG_SQL}")
+def unpivot_long(spark, sf):
+    return panel_long(spark, sf)
+
+
+@register("own_state", f"""SELECT state, state_y2, count(*) AS n FROM (SELECT CASE WHEN country_code = 1 AND id % 4 < 3 THEN concat('S', CAST(id % 4 AS VARCHAR)) END AS state,
+  CASE WHEN country_code = 1 THEN coalesce(CASE WHEN id % 3 < 2 THEN concat('S', CAST(id % 3 AS VARCHAR)) END, CASE WHEN id % 4 < 3 THEN concat('S', CAST(id % 4 AS VARCHAR)) END) END AS state_y2 FROM ({PANEL_SQL}) p) q GROUP BY 1, 2""")
+def own_state(spark, sf):
+    f = panel_frame(spark, sf).select("id", (F.col("id") % 4).alias("r1"), F.when(F.col("id") % 3 < 2, F.col("id") % 3).alias("r2"), (F.col("country_code") == 1).alias("us"))
+    states = table(spark, [(i, f"S{i}") for i in range(3)], "region long, postal string")
+    return R.own_state(f, states, "r1", "r2", "us").groupBy("state", "state_y2").agg(F.count("*").alias("n"))
+
+
+@register("check_own_state", f"SELECT id, state FROM ({PANEL_SQL}) p WHERE state IS NULL OR state = 'S3'")
+def check_own_state(spark, sf):
+    return R.check_own_state(panel_frame(spark, sf), "state", "state_group").select("id", "state")
+
+
+def _max(item: str, wave: str | None = None, name: str | None = None) -> str:
+    return f"max(CASE WHEN variable = '{item}'{f' AND wave = {chr(39)}{wave}{chr(39)}' if wave else ''} THEN value END) AS {name or item}"
+
+
+@register("pivot_wide", f"SELECT p.id, {_max('click')}, {_max('view')}, {_max('error')} FROM ({PEOPLE_SQL}) p LEFT JOIN (SELECT * FROM ({LONG_SQL}) t WHERE wave = 'Y1') l ON p.id = l.id GROUP BY p.id")
+def pivot_wide(spark, sf):
+    return R.pivot_wide(long_frame(spark, sf), people_frame(spark, sf).select("id"), ["click", "view", "error"], "Y1")
+
+
+@register("multiwave_wide", f"SELECT p.id, {_max('click', 'Y1', 'click_Y1')}, {_max('click', 'Y2', 'click_Y2')} FROM ({PEOPLE_SQL}) p LEFT JOIN ({LONG_SQL}) l ON p.id = l.id GROUP BY p.id")
+def multiwave_wide(spark, sf):
+    return R.multiwave_wide(long_frame(spark, sf), people_frame(spark, sf).select("id"), [("click", "Y1"), ("click", "Y2")])
+
+
+@register("answer_frame", f"SELECT p.id, {_max('click', 'Y1')}, {_max('view', 'MY')} FROM ({PEOPLE_SQL}) p LEFT JOIN ({LONG_SQL}) l ON p.id = l.id GROUP BY p.id")
+def answer_frame(spark, sf):
+    return R.answer_frame(long_frame(spark, sf), people_frame(spark, sf).select("id"), {"click": "Y1", "view": "MY"})
+
+
+@register("analysis_frame", f"SELECT p.id, country_code, w, value FROM ({PEOPLE_SQL}) p JOIN ({_ORIENTED_SQL}) o ON p.id = o.id WHERE variable = 'error' AND wave = 'Y1'")
+def analysis_frame(spark, sf):
+    return R.analysis_frame(long_frame(spark, sf), people_frame(spark, sf), "error", "Y1", ["country_code", "w"], variables(spark))
+
+
+@register("derived_frame", f"SELECT p.id, w, l.total AS value FROM ({PEOPLE_SQL}) p JOIN (SELECT id, CAST(sum(value) AS DOUBLE) AS total FROM ({LONG_SQL}) t WHERE wave = 'Y2' GROUP BY id) l ON p.id = l.id")
+def derived_frame(spark, sf):
+    d = long_frame(spark, sf).groupBy("id", "wave").agg(F.sum("value").cast("double").alias("total"))
+    return R.derived_frame(d, people_frame(spark, sf), "total", "Y2", ["w"])
+
+
+@register("orient_values", _ORIENTED_SQL)
+def orient_values(spark, sf):
+    return R.orient(long_frame(spark, sf), variables(spark)).select("id", "wave", "variable", "value", "nonresponse")
+
+
+@register("align_values", f"SELECT country_code, CAST(sum(6 - y1) AS BIGINT) AS total FROM ({PANEL_SQL}) p GROUP BY 1")
+def align_values(spark, sf):
+    return panel_frame(spark, sf).groupBy("country_code").agg(F.sum(C.align_values(F.col("y1"), 1, 5)).alias("total"))
+
+
+@register("binary_indicator", f"SELECT country_code, CAST(sum(CASE WHEN y1 IS NOT NULL THEN CASE WHEN y1 = 1 THEN 1 ELSE 0 END END) AS BIGINT) AS ones FROM ({PANEL_SQL}) p GROUP BY 1")
+def binary_indicator(spark, sf):
+    return panel_frame(spark, sf).groupBy("country_code").agg(F.sum(C.binary_indicator(F.col("y1"))).alias("ones"))
+
+
+@register("bin_score", "SELECT CAST(greatest(0, least(floor(l_extendedprice / 10000), 9)) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1")
+def bin_score(spark, sf):
+    return read(spark, sf, "lineitem").groupBy(C.bin_score(F.col("l_extendedprice") / 10000, 0, 10).alias("bin")).agg(F.count("*").alias("n"))
+
+
+_YOUNG = "CASE WHEN item3 IN (1, 2, 3) AND nominal IN (1, 2) THEN y END"
+
+
+@register("apply_domain_filters", O.taylor(DESIGN_SQL, [({}, _YOUNG)], COUNTRY))
+def apply_domain_filters(spark, sf):
+    f = design_frame(spark, sf).withColumn("y", C.in_domain(F.col("y"), {"item3": [1, 2, 3], "nominal": [1, 2]}))
+    return shown(E.weighted_mean(f, "y", DESIGN, COUNTRY), "country_code")
+
+
+# --- 2.3 derivations
+
+
+@register("mean_score_min_items", f"SELECT id, round(CASE WHEN n >= 2 THEN total / n END, 6) AS score, CAST(n AS INTEGER) AS n_items FROM (SELECT id, coalesce(y1, 0) + coalesce(my, 0) + coalesce(y2, 0) + 0.0 AS total, (CASE WHEN y1 IS NULL THEN 0 ELSE 1 END) + (CASE WHEN my IS NULL THEN 0 ELSE 1 END) + (CASE WHEN y2 IS NULL THEN 0 ELSE 1 END) AS n FROM ({PANEL_SQL}) p) q")
+def mean_score_min_items(spark, sf):
+    score, n = C.mean_score_min_items([F.col("y1"), F.col("my"), F.col("y2")], 2)
+    return panel_frame(spark, sf).select("id", F.round(score, 6).alias("score"), n.alias("n_items"))
+
+
+@register("pair_domain_scores", f"SELECT id, (CAST(y1 AS DOUBLE) + y2) / 2 AS score FROM ({PANEL_SQL}) p")
+def pair_domain_scores(spark, sf):
+    return panel_frame(spark, sf).select("id", C.pair_domain_score(F.col("y1"), F.col("y2")).alias("score"))
+
+
+@register("screener_score", f"SELECT id, CAST(8 - a - b AS INTEGER) AS score, 8 - a - b >= 3 AS positive FROM (SELECT id, least(y1, 4) AS a, least(my, 4) AS b FROM ({PANEL_SQL}) p WHERE y1 IS NOT NULL AND my IS NOT NULL) q")
+def screener_score(spark, sf):
+    f = panel_frame(spark, sf).where("y1 is not null and my is not null")
+    score, positive = C.screener_score(F.least("y1", F.lit(4)), F.least("my", F.lit(4)))
+    return f.select("id", score.alias("score"), positive.alias("positive"))
+
+
+@register("top_priority", f"""SELECT top, count(*) AS n FROM (SELECT CASE WHEN y1 IS NULL OR my IS NULL OR y2 IS NULL THEN NULL WHEN (CASE WHEN y1 = t THEN 1 ELSE 0 END) + (CASE WHEN my = t THEN 1 ELSE 0 END) + (CASE WHEN y2 = t THEN 1 ELSE 0 END) > 1 THEN 'tie'
+  WHEN y1 = t THEN 'money' WHEN my = t THEN 'relationships' ELSE 'meaning' END AS top FROM (SELECT y1, my, y2, greatest(y1, my, y2) AS t FROM ({PANEL_SQL}) p) q) z GROUP BY 1""")
+def top_priority(spark, sf):
+    top = C.top_priority({"money": F.col("y1"), "relationships": F.col("my"), "meaning": F.col("y2")})
+    return panel_frame(spark, sf).select(top.alias("top")).groupBy("top").agg(F.count("*").alias("n"))
+
+
+_BANDS = " ".join(f"WHEN age BETWEEN {a} AND {b} THEN '{t}'" for a, b, t in C.AGE_BANDS)
+
+
+@register("age_band", f"SELECT CASE {_BANDS} END AS band, count(*) AS n FROM ({PANEL_SQL}) p GROUP BY 1")
+def age_band(spark, sf):
+    return panel_frame(spark, sf).groupBy(C.age_band(F.col("age")).alias("band")).agg(F.count("*").alias("n"))
+
+
+@register("weighted_quintile", f"""WITH p AS (SELECT country_code, income_code % 100 AS b, w_c1 AS w FROM ({PANEL_SQL}) q), g AS (SELECT country_code, b, sum(w) AS bw FROM p GROUP BY 1, 2),
+  c AS (SELECT country_code, b, sum(bw) OVER (PARTITION BY country_code ORDER BY b) / sum(bw) OVER (PARTITION BY country_code) - bw / sum(bw) OVER (PARTITION BY country_code) / 2 AS mid FROM g),
+  k AS (SELECT country_code, b, CAST(greatest(0, least(floor(mid * 5), 4)) + 1 AS INTEGER) AS quintile FROM c)
+  SELECT p.country_code, quintile, count(*) AS n FROM p JOIN k ON p.country_code = k.country_code AND p.b = k.b GROUP BY 1, 2""")
+def weighted_quintile(spark, sf):
+    q = R.weighted_quintile(panel_frame(spark, sf), weight="w_c1")
+    return q.groupBy("country_code", F.col("income_quintile").alias("quintile")).agg(F.count("*").alias("n"))
+
+
+@register("build_derived", f"""SELECT id, 'Y1' AS wave, y1 AS priority FROM ({PANEL_SQL}) p UNION ALL SELECT id, 'MY', my FROM ({PANEL_SQL}) p WHERE has_midyear UNION ALL SELECT id, 'Y2', y2 FROM ({PANEL_SQL}) p WHERE retained_y2""")
+def build_derived(spark, sf):
+    p = panel_frame(spark, sf)
+    rows = F.array(*[F.struct(F.lit(w).alias("wave"), F.col(c).alias("priority"), ok.alias("ok")) for w, c, ok in (("Y1", "y1", F.lit(True)), ("MY", "my", F.col("has_midyear")), ("Y2", "y2", F.col("retained_y2")))])
+    return p.select("id", F.inline(rows)).where("ok").drop("ok")
+
+
+@register("coverage", f"SELECT variable, wave, country_code, count(*) AS n_present, count(value) AS n_valid, CAST(0 AS BIGINT) AS n_skipped, CAST(0 AS BIGINT) AS n_dk, count(nonresponse) AS n_refused FROM ({LONG_SQL}) t JOIN ({PEOPLE_SQL}) p ON t.id = p.id GROUP BY 1, 2, 3")
+def coverage(spark, sf):
+    return R.coverage(long_frame(spark, sf), people_frame(spark, sf))
+
+
+# --- 2.4 catalog work; observed answers of the events are labelled, so that the work grows with the tables
+
+_OBS_SQL = f"(SELECT DISTINCT variable, value AS code FROM ({LONG_SQL}) t WHERE value IS NOT NULL)"
+_EVENT_LABELS_SQL = f"(SELECT variable, code, CASE WHEN code = 9 THEN '(Refused)' WHEN code = 8 THEN '(DK)' WHEN code = 7 THEN '(Saw, skipped)' WHEN code = 6 THEN '(None)' ELSE concat('Answer ', CAST(code AS VARCHAR)) END AS label FROM {_OBS_SQL} o)"
+
+
+def event_labels(spark, sf):
+    o = long_frame(spark, sf).where("value is not null").select("variable", F.col("value").alias("code")).distinct()
+    c = F.col("code")
+    return o.withColumn("label", F.when(c == 9, "(Refused)").when(c == 8, "(DK)").when(c == 7, "(Saw, skipped)").when(c == 6, "(None)").otherwise(F.concat(F.lit("Answer "), c.cast("string"))))
+
+
+_KIND_SQL = f"SELECT variable, code, label, CASE WHEN code = 9 THEN 'refused' WHEN code = 8 THEN 'dk' WHEN code = 7 THEN 'skipped' WHEN code = 6 AND variable <> 'view' THEN 'unresolved' END AS kind FROM {_EVENT_LABELS_SQL} l"
+
+
+def classified(spark, sf):
+    return L.classify_nonresponse(event_labels(spark, sf), table(spark, [("view", 6, "valid")], "variable string, code int, ruling string"))
+
+
+@register("classify_nonresponse", _KIND_SQL)
+def classify_nonresponse(spark, sf):
+    return classified(spark, sf)
+
+
+@register("split_country_label", f"""SELECT c.code * 100 + b.code AS code, concat(name, ': b', CAST(b.code AS VARCHAR)) AS label, CASE WHEN c.code > 0 THEN c.code END AS country_code,
+  CASE WHEN c.code > 0 THEN concat('b', CAST(b.code AS VARCHAR)) ELSE concat(name, ': b', CAST(b.code AS VARCHAR)) END AS short, false AS mismatch FROM {_COUNTRY_SQL} c CROSS JOIN (SELECT DISTINCT code FROM {_OBS_SQL} o) b""")
+def split_country_label(spark, sf):
+    b = event_labels(spark, sf).select(F.col("code").alias("b")).distinct()
+    made = b.crossJoin(F.broadcast(country_table(spark))).select((F.col("code") * 100 + F.col("b")).alias("code"), F.concat("name", F.lit(": b"), F.col("b").cast("string")).alias("label"))  # five countries
+    return L.split_country_label(made, country_table(spark))
+
+
+@register("infer_scale", f"""SELECT variable, CASE WHEN n >= 3 AND hi - lo = n - 1 AND lo IN (0, 1) THEN 'ordinal' WHEN n = 2 AND lo = 1 AND hi = 2 THEN 'binary' ELSE 'nominal' END AS scale_type, lo AS min, hi AS max FROM (
+  SELECT variable, count(DISTINCT code) AS n, min(code) AS lo, max(code) AS hi FROM ({_KIND_SQL}) k WHERE kind IS NULL GROUP BY 1) q""")
+def infer_scale(spark, sf):
+    return L.infer_scale(classified(spark, sf).withColumn("country_code", F.lit(None).cast("int")))
+
+
+@register("expand_scale_labels", f"SELECT v.variable, CAST(r.i AS INTEGER) AS code, coalesce(l.label, '') AS label FROM (SELECT DISTINCT variable FROM {_OBS_SQL} o) v CROSS JOIN (SELECT i FROM {values_sql([(i,) for i in range(11)], ['i'])} n) r LEFT JOIN {_EVENT_LABELS_SQL} l ON v.variable = l.variable AND r.i = l.code")
+def expand_scale_labels(spark, sf):
+    ls = event_labels(spark, sf)
+    return L.expand_scale_labels(ls, ls.select("variable").distinct().withColumn("scale_type", F.lit("scale_0_10")))
+
+
+@register("catalog_coverage", f"SELECT variable AS name, 'no_entry' AS problem FROM (SELECT DISTINCT variable FROM ({LONG_SQL}) t) a WHERE variable NOT IN ('click', 'view') UNION ALL SELECT 'GHOST', 'no_column'")
+def catalog_coverage(spark, sf):
+    cols = long_frame(spark, sf).select(F.col("variable").alias("name")).distinct()
+    return L.catalog_coverage(cols, table(spark, [("click",), ("view",), ("GHOST",)], "name string"))
+
+
+@register("waves_of", f"SELECT variable, concat(CASE WHEN max(CASE WHEN wave = 'MY' THEN 1 ELSE 0 END) = 1 THEN 'MY' ELSE '' END, CASE WHEN max(CASE WHEN wave = 'Y1' THEN 1 ELSE 0 END) = 1 THEN ',Y1' ELSE '' END, CASE WHEN max(CASE WHEN wave = 'Y2' THEN 1 ELSE 0 END) = 1 THEN ',Y2' ELSE '' END) AS waves FROM ({LONG_SQL}) t GROUP BY 1")
+def waves_of(spark, sf):
+    return L.waves_of(long_frame(spark, sf).select(F.concat_ws("_", "variable", "wave").alias("name")).distinct())
+
+
+@register("breakdown_labels", f"SELECT o.variable, o.code, CASE WHEN o.code < 5 THEN concat('Answer ', CAST(o.code AS VARCHAR)) ELSE CAST(o.code AS VARCHAR) END AS label FROM {_OBS_SQL} o")
+def breakdown_labels(spark, sf):
+    ls = event_labels(spark, sf)
+    return L.breakdown_labels(ls, ls.where("code < 5").withColumn("short_label", F.lit(None).cast("string")))
+
+
+@register("answer_labels", f"SELECT variable, code, CASE WHEN code = 3 THEN 'country' WHEN code = 2 THEN 'wave' ELSE 'general' END AS label FROM {_OBS_SQL} o")
+def answer_labels(spark, sf):
+    o = event_labels(spark, sf).select("variable", "code")
+    rows = lambda label, wave, country, cond: o.where(cond).select("variable", "code", F.lit(wave).cast("string").alias("wave"), F.lit(country).cast("int").alias("country_code"), F.lit(label).alias("label"))
+    all_labels = rows("general", None, None, "true").unionByName(rows("wave", "Y1", None, "code in (2, 3)")).unionByName(rows("country", None, 7, "code = 3")).unionByName(rows("other", "Y2", 8, "true"))
+    return L.answer_labels(all_labels, "Y1", 7)
+
+
+def _search_table(spark, sf):
+    return long_frame(spark, sf).select("variable").distinct().join(variables(spark), F.col("variable") == F.col("name")).drop("variable")
+
+
+@register("variable_search", f"SELECT name FROM {_VAR_SQL} v WHERE name IN (SELECT variable FROM ({LONG_SQL}) t) AND (contains(lower(name), 'you') OR contains(lower(display_name), 'you') OR contains(lower(wording), 'you'))")
+def variable_search(spark, sf):
+    return L.variable_search(_search_table(spark, sf), "YOU").select("name")
+
+
+@register("variable_detail", f"SELECT o.variable, CAST(n_labels AS INTEGER) AS n_labels, CAST(n_waves AS INTEGER) AS n_waves FROM (SELECT variable, count(*) AS n_labels FROM {_OBS_SQL} x GROUP BY 1) o JOIN (SELECT variable, count(DISTINCT wave) AS n_waves FROM ({LONG_SQL}) t GROUP BY 1) w ON o.variable = w.variable")
+def variable_detail(spark, sf):
+    d = L.variable_detail(_search_table(spark, sf), event_labels(spark, sf), R.coverage(long_frame(spark, sf), people_frame(spark, sf)))
+    return d.select("variable", F.size("labels").alias("n_labels"), F.size("missingness").alias("n_waves"))
+
+
+@register("servable_outcomes", f"SELECT name, scale_type, CASE WHEN scale_type IN ('scale_0_10', 'count') THEN 'mean' ELSE 'proportion' END AS default_stat FROM {_VAR_SQL} v WHERE NOT restricted AND name IN (SELECT variable FROM ({LONG_SQL}) t) UNION ALL SELECT 'sfi', 'score', 'mean'")
+def servable_outcomes(spark, sf):
+    return L.servable_outcomes(_search_table(spark, sf), table(spark, [("sfi", "score")], "name string, scale_type string"))
+
+
+@register("midyear_timing", f"""SELECT country_code, 'Y1' AS pairing, count(CASE WHEN midyear_type = 1 THEN 1 END) AS n_type_1, count(CASE WHEN midyear_type = 2 THEN 1 END) AS n_type_2 FROM ({PANEL_SQL}) p WHERE has_midyear GROUP BY 1
+  UNION ALL SELECT country_code, 'Y2', count(CASE WHEN midyear_type = 1 THEN 1 END), count(CASE WHEN midyear_type = 2 THEN 1 END) FROM ({PANEL_SQL}) p WHERE has_midyear AND retained_y2 GROUP BY 1""")
+def midyear_timing(spark, sf):
+    return WT.midyear_timing(panel_frame(spark, sf))
+
+
+# --- 2.5 weights
+
+_ELIGIBLE = {"y1": "true", "y2": "retained_y2", "my": "has_midyear", "y1_y2": "retained_y2", "y1_y2_rect": "retained_y2", "y1_my": "has_midyear", "y1_my_y2": "retained_y2 AND has_midyear", "my_y2": "retained_y2 AND has_midyear AND midyear_type = 1"}
+
+
+def _spec_sql() -> str:
+    parts = []
+    for s in WT.WEIGHTS:
+        state = f" AND country_code = 1 AND {s.state_column} IS NOT NULL" if s.state_column else ""
+        parts.append(f"SELECT '{s.full_key}' AS spec, id, {s.weight} AS w FROM p WHERE {_ELIGIBLE[s.key]}{state}")
+    return f"WITH p AS ({PANEL_SQL}) SELECT spec, count(*) AS n, sum(w) AS sum_w, round(sum(w) * sum(w) / sum(w * w), 6) AS n_eff FROM ({' UNION ALL '.join(parts)}) u GROUP BY 1"
+
+
+@register("weights_by_spec", _spec_sql())
+def weights_by_spec(spark, sf):
+    return rounded(E.kish_n_eff(WT.weights_by_spec(panel_frame(spark, sf), us_code=1), "w", ["spec"]), "n_eff")
+
+
+@register("eligible_rows", f"SELECT id FROM ({PANEL_SQL}) p WHERE retained_y2 AND has_midyear AND midyear_type = 1")
+def eligible_rows(spark, sf):
+    return WT.eligible_rows(panel_frame(spark, sf), WT.get("my_y2")).select("id")
+
+
+@register("validate_frame", f"SELECT count(CASE WHEN NOT retained_y2 THEN 1 END) AS ineligible, CAST(0 AS BIGINT) AS null_weight, CAST(0 AS BIGINT) AS not_positive FROM ({PANEL_SQL}) p")
+def validate_frame(spark, sf):
+    return WT.validate_frame(panel_frame(spark, sf), WT.resolve(("Y2",)))
+
+
+@register("state_frame", f"SELECT state_y2 AS state, count(*) AS n, sum(w_state_c2) AS sum_w FROM ({PANEL_SQL}) p WHERE retained_y2 AND country_code = 1 AND state_y2 IS NOT NULL GROUP BY 1")
+def state_frame(spark, sf):
+    spec = WT.resolve(("Y2",), "us_state")
+    f = WT.state_frame(WT.eligible_rows(panel_frame(spark, sf), spec, 1), spec)
+    return f.groupBy("state").agg(F.count("*").alias("n"), F.sum(spec.weight).alias("sum_w"))
+
+
+# --- 2.6 cross-section
+
+
+def _level(c: str, x) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN CASE WHEN {c} = {x} THEN 1.0 ELSE 0.0 END END"
+
+
+def _levels(c: str, xs) -> list[tuple[dict, str]]:
+    return [({"level": x}, _level(c, x)) for x in xs]
+
+
+@register("weighted_mean", O.taylor(DESIGN_SQL, [({}, "y")], COUNTRY))
+def weighted_mean(spark, sf):
+    return shown(E.weighted_mean(design_frame(spark, sf), "y", DESIGN, COUNTRY), "country_code")
+
+
+@register("weighted_mean_all", O.taylor(DESIGN_SQL, [({}, "y")], []))
+def weighted_mean_all(spark, sf):
+    return shown(E.weighted_mean(design_frame(spark, sf), "y", DESIGN))
+
+
+@register("taylor_variance", O.taylor(SUPPLIER_SQL, [({}, "y")], []))
+def lonely_units(spark, sf):
+    return shown(E.weighted_mean(supplier_frame(spark, sf), "y", DESIGN))
+
+
+@register("taylor_variance_domain", O.taylor(SUPPLIER_SQL, [({}, "CASE WHEN psu % 3 = 0 THEN y END")], []))
+def lonely_domain(spark, sf):
+    f = supplier_frame(spark, sf).withColumn("y", F.when(F.col("psu") % 3 == 0, F.col("y")))
+    return shown(E.weighted_mean(f, "y", DESIGN))
+
+
+@register("design_counts", f"SELECT strata, count(DISTINCT psu) AS nh FROM ({DESIGN_SQL}) f GROUP BY 1")
+def design_counts_query(spark, sf):
+    return design_counts(design_frame(spark, sf), DESIGN).withColumnRenamed("_strata", "strata")
+
+
+@register("kish_mean", f"""SELECT country_code, round(est, 6) AS estimate, CASE WHEN n_eff > 1 THEN round(sqrt(greatest((ey2 - est * est) * (n_eff / (n_eff - 1)) / n_eff, 0)), 6) END AS se, n, sum_w FROM (
+  SELECT country_code, sum(w * y) / sum(w) AS est, sum(w) * sum(w) / sum(w * w) AS n_eff, sum(w * y * y) / sum(w) AS ey2, count(*) AS n, sum(w) AS sum_w FROM ({DESIGN_SQL}) f WHERE y IS NOT NULL GROUP BY 1) q""")
+def kish_mean(spark, sf):
+    m = E.weighted_mean(design_frame(spark, sf), "y", KISH, COUNTRY)
+    return rounded(m.select("country_code", "estimate", "se", "n", "sum_w"), "estimate", "se")
+
+
+@register("kish_n_eff", f"SELECT country_code, count(*) AS n, sum(w) AS sum_w, round(sum(w) * sum(w) / sum(w * w), 6) AS n_eff FROM ({DESIGN_SQL}) f GROUP BY 1")
+def kish_n_eff(spark, sf):
+    return rounded(E.kish_n_eff(design_frame(spark, sf), "w", COUNTRY), "n_eff")
+
+
+@register("weighted_proportion", O.taylor(DESIGN_SQL, _levels("nominal", (1, 2, 3)), COUNTRY, share=True))
+def weighted_proportion(spark, sf):
+    return shown(E.weighted_proportion(design_frame(spark, sf), "nominal", DESIGN, COUNTRY, [1, 2, 3]), "country_code", "level")
+
+
+@register("weighted_distribution", O.taylor(DESIGN_SQL, _levels("y", ALL_Y), COUNTRY, share=True))
+def weighted_distribution(spark, sf):
+    return shown(E.weighted_distribution(design_frame(spark, sf), "y", DESIGN, COUNTRY), "country_code", "level")
+
+
+_SCORE_SQL = f"SELECT *, CAST(greatest(0, least(floor(score), 9)) AS INTEGER) AS sbin FROM ({DESIGN_SQL}) f0"
+
+
+@register("score_distribution", O.taylor(_SCORE_SQL, _levels("sbin", range(10)), [], share=True))
+def score_distribution(spark, sf):
+    f = design_frame(spark, sf).withColumn("sbin", C.bin_score(F.col("score"), 0, 10))
+    return shown(E.weighted_distribution(f, "sbin", DESIGN, (), list(range(10))), "level")
+
+
+def _quantile_sql(frame: str, v: str, by: list[str], ps) -> str:
+    k = "".join(f"{c}, " for c in by)
+    part = f"PARTITION BY {', '.join(by)}" if by else ""
+    group = f"GROUP BY {', '.join(by)}" if by else ""
+    cdf = f"SELECT {k}v, c, sw, sum(sw) OVER ({part} ORDER BY v) / sum(sw) OVER ({part}) AS cdf FROM (SELECT {k}CAST({v} AS DOUBLE) AS v, count(*) AS c, sum(w) AS sw FROM ({frame}) f WHERE {v} IS NOT NULL GROUP BY {k}{v}) s"
+    return " UNION ALL ".join(f"SELECT {k}CAST({p} AS DOUBLE) AS p, min(CASE WHEN cdf >= {p} THEN v END) AS estimate, CAST(sum(c) AS BIGINT) AS n, sum(sw) AS sum_w FROM ({cdf}) q {group}" for p in ps)
+
+
+@register("weighted_quantile", _quantile_sql(DESIGN_SQL, "y", COUNTRY, (0.25, 0.5, 0.75)))
+def weighted_quantile(spark, sf):
+    return E.weighted_quantile(design_frame(spark, sf), "y", DESIGN, (0.25, 0.5, 0.75), COUNTRY).select("country_code", "p", "estimate", "n", "sum_w")
+
+
+@register("finalize_estimates", O.taylor(DESIGN_SQL, [({}, "CASE WHEN country_code <> 2 THEN y END")], ["country_code", "item3"]))
+def finalize_estimates(spark, sf):
+    f = design_frame(spark, sf).withColumn("y", F.when(F.col("country_code") != 2, F.col("y")))
+    return shown(E.weighted_mean(f, "y", DESIGN, ["country_code", "item3"]), "country_code", "item3")
+
+
+@register("suppress_small_cells", f"SELECT psu, n, CASE WHEN n >= 50 THEN n END AS estimate, n < 50 AS suppressed, n >= 50 AND n < 100 AS flagged FROM (SELECT psu, count(*) AS n FROM ({DESIGN_SQL}) f GROUP BY 1) g")
+def suppress_cells(spark, sf):
+    g = design_frame(spark, sf).groupBy("psu").agg(F.count("*").alias("n")).withColumn("estimate", F.col("n"))
+    return suppress_small_cells(g, columns=("estimate",))
+
+
+def aggregate_query(spark, sf, outcome="y", stat="mean", by=("country_code", "nominal"), filters=None, wave="Y1"):
+    """The composed query: frame, domain filters, statistic; argument errors are reported together."""
+    problems = []
+    if stat not in ("mean", "proportion", "distribution", "quantile"):
+        problems.append(f"unknown stat {stat!r}")
+    if len(by) > 3:
+        problems.append("at most three breakdowns")
+    if outcome in by:
+        problems.append("the outcome cannot be its own breakdown")
+    if not by or "country_code" not in by and "country_code" not in (filters or {}):
+        problems.append("group by or filter to a country")
+    if problems:
+        raise ValueError("; ".join(problems))
+    f = design_frame(spark, sf)
+    f = f.withColumn(outcome, C.in_domain(F.col(outcome), filters or {}))
+    op = {"mean": E.weighted_mean, "proportion": E.weighted_proportion, "distribution": E.weighted_distribution}.get(stat)
+    return op(f, outcome, DESIGN, by=list(by)) if op else E.weighted_quantile(f, outcome, DESIGN, by=list(by))
+
+
+@register("aggregate_query", O.taylor(DESIGN_SQL, [({}, "CASE WHEN item3 IN (1, 2) THEN y END")], ["country_code", "nominal"]))
+def aggregate_query_example(spark, sf):
+    return shown(aggregate_query(spark, sf, filters={"item3": [1, 2]}), "country_code", "nominal")
+
+
+_STATE_SQL = f"SELECT *, state_y2 AS st FROM ({PANEL_SQL}) p0 WHERE retained_y2 AND country_code = 1 AND state_y2 IS NOT NULL"
+
+
+@register("state_query", O.taylor(_STATE_SQL, [({}, "y2")], ["st"], w="w_state_c2").replace("SELECT st, CASE", "SELECT st AS state, CASE"))
+def state_query(spark, sf):
+    spec = WT.resolve(("Y2",), "us_state")
+    f = WT.state_frame(WT.assert_valid(WT.eligible_rows(panel_frame(spark, sf), spec, 1), spec, 1), spec)
+    return shown(E.weighted_mean(f, "y2", Design(spec.weight), ["state"]), "state")
+
+
+# --- 2.7 panel
+
+_RET_SQL = f"SELECT * FROM ({PANEL_SQL}) p0 WHERE retained_y2"
+_THREE_SQL = f"SELECT * FROM ({PANEL_SQL}) p0 WHERE retained_y2 AND has_midyear"
+PANEL = Design("w_l2")
+_BOTH = "y1 IS NOT NULL AND y2 IS NOT NULL"
+
+
+def retained(spark, sf):
+    return WT.eligible_rows(panel_frame(spark, sf), WT.resolve(("Y1", "Y2")))
+
+
+@register("paired_change", O.taylor(_RET_SQL, [({}, "y2 - y1")], COUNTRY, w="w_l2"))
+def paired_change(spark, sf):
+    return shown(E.paired_change(retained(spark, sf), "y1", "y2", PANEL, COUNTRY), "country_code")
+
+
+@register("paired_share_change", O.taylor(_RET_SQL, [({"level": x}, f"CASE WHEN {_BOTH} THEN (CASE WHEN y2 = {x} THEN 1 ELSE 0 END) - (CASE WHEN y1 = {x} THEN 1 ELSE 0 END) END") for x in (1, 2, 3)], COUNTRY, w="w_l2"))
+def paired_share_change(spark, sf):
+    return shown(E.paired_share_change(retained(spark, sf), "y1", "y2", [1, 2, 3], PANEL, COUNTRY), "country_code", "level")
+
+
+@register("change_distribution", O.taylor(_RET_SQL, _levels("(y2 - y1)", range(-4, 5)), [], w="w_l2", share=True))
+def change_distribution(spark, sf):
+    return shown(E.change_distribution(retained(spark, sf), "y1", "y2", 4, PANEL), "level")
+
+
+@register("three_point_panel", O.taylor(_THREE_SQL, [({"leg": "y1_my"}, "my - y1"), ({"leg": "my_y2"}, "CASE WHEN midyear_type = 1 THEN y2 - my END"), ({"leg": "y1_y2"}, "y2 - y1")], COUNTRY, w="w_l1m2"))
+def three_point_panel(spark, sf):
+    f = WT.eligible_rows(panel_frame(spark, sf), WT.resolve(("Y1", "MY", "Y2")))
+    return shown(E.three_point_panel(f, "y1", "my", "y2", Design("w_l1m2"), COUNTRY), "country_code", "leg")
+
+
+_CELLS = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3)]
+
+
+@register("transition_joint", O.taylor(_RET_SQL, [({"from_level": i, "to_level": j}, f"CASE WHEN {_BOTH} THEN CASE WHEN y1 = {i} AND y2 = {j} THEN 1.0 ELSE 0.0 END END") for i, j in _CELLS], [], w="w_l2", share=True))
+def transition_joint(spark, sf):
+    return shown(E.transition_joint(retained(spark, sf), "y1", "y2", [1, 2, 3], PANEL), "from_level", "to_level")
+
+
+@register("transition_conditional", O.taylor(_RET_SQL, [({"from_level": i, "to_level": j}, f"CASE WHEN {_BOTH} AND y1 = {i} THEN CASE WHEN y2 = {j} THEN 1.0 ELSE 0.0 END END") for i, j in _CELLS], [], w="w_l2", share=True))
+def transition_conditional(spark, sf):
+    return shown(E.transition_conditional(retained(spark, sf), "y1", "y2", [1, 2, 3], PANEL), "from_level", "to_level")
+
+
+def change_query(spark, sf, earlier="y1", later="y2", waves=("Y1", "Y2"), rect=False, filters=None, by=("country_code",)):
+    """Change between two waves on the weight of that pair, aligned so that more means more, within a domain."""
+    order = ("Y1", "MY", "Y2")
+    if order.index(waves[0]) >= order.index(waves[1]):
+        raise ValueError("waves must be distinct and in order")
+    if rect and waves != ("Y1", "Y2"):
+        raise ValueError("the rectangular weight serves Y1 to Y2 only")
+    spec = WT.get("y1_y2_rect") if rect else WT.resolve(waves)
+    f = WT.eligible_rows(panel_frame(spark, sf), spec)
+    for c in (earlier, later):
+        f = f.withColumn(c, C.in_domain(C.align_values(F.col(c), 1, 5), filters or {}))
+    return E.paired_change(f, earlier, later, Design(spec.weight), list(by))
+
+
+@register("change_query", O.taylor(_RET_SQL, [({}, "CASE WHEN age IN (20, 30, 40, 50, 60, 70, 80, 90, 25, 35, 45, 55) THEN y1 - y2 END")], COUNTRY, w="w_r2"))
+def change_query_example(spark, sf):
+    return shown(change_query(spark, sf, rect=True, filters={"age": [20, 30, 40, 50, 60, 70, 80, 90, 25, 35, 45, 55]}), "country_code")
+
+
+# --- 2.8 associations
+
+ITEMS = ["item2", "item3", "item4", "bin"]
+
+
+@register("weighted_pearson", O.pearson(DESIGN_SQL, "y", "item4", COUNTRY))
+def weighted_pearson(spark, sf):
+    return rounded(A.weighted_pearson(design_frame(spark, sf), "y", "item4", DESIGN, COUNTRY), "estimate", "sum_w").select("country_code", "estimate", "n", "sum_w")
+
+
+@register("weighted_spearman", O.spearman(DESIGN_SQL, "y", "item4", COUNTRY))
+def weighted_spearman(spark, sf):
+    return rounded(A.weighted_spearman(design_frame(spark, sf), "y", "item4", DESIGN, COUNTRY), "estimate", "sum_w")
+
+
+_SWEEP_SQL = " UNION ALL ".join(O.pearson(DESIGN_SQL, "y", i, COUNTRY, extra=f"'{i}' AS predictor, ") for i in ITEMS)
+
+
+def sweep(spark, sf):
+    return A.weighted_correlations(design_frame(spark, sf), "y", ITEMS, DESIGN, COUNTRY)
+
+
+@register("weighted_correlations", _SWEEP_SQL)
+def weighted_correlations(spark, sf):
+    return rounded(sweep(spark, sf), "estimate", "sum_w").select("country_code", "predictor", "estimate", "n", "sum_w")
+
+
+# with one categorical control, the slope is the regression on values less their control's weighted means
+_ADJ_SQL = f"""WITH f AS (SELECT country_code, nominal, w, CAST(item4 AS DOUBLE) AS y, CAST(item3 AS DOUBLE) AS x FROM ({DESIGN_SQL}) q WHERE item4 IS NOT NULL),
+  m AS (SELECT country_code, nominal, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM f GROUP BY 1, 2),
+  g AS (SELECT country_code, sum(w * x) / sum(w) AS gx FROM f GROUP BY 1),
+  b AS (SELECT f.country_code, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS beta, sqrt(sum(w * (x - gx) * (x - gx)) / sum(w)) AS sd, count(*) AS n FROM f JOIN m ON f.country_code = m.country_code AND f.nominal = m.nominal JOIN g ON f.country_code = g.country_code GROUP BY 1)
+  SELECT country_code, 'beta' AS measure, round(beta, 6) AS estimate, n FROM b UNION ALL SELECT country_code, 'beta_per_sd', round(beta * sd, 6), n FROM b"""
+
+
+@register("adjusted_gaussian", _ADJ_SQL)
+def adjusted_gaussian(spark, sf):
+    f = A.adjusted_association(design_frame(spark, sf), "item4", "item3", ["nominal", "country_code"], DESIGN, COUNTRY)
+    return rounded(f.select("country_code", "measure", "estimate", "n"), "estimate")
+
+
+@register("adjusted_gaussian_errors")
+def adjusted_gaussian_errors(spark, sf):
+    f = A.adjusted_association(design_frame(spark, sf), "item4", "item3", ["nominal", "bin"], DESIGN, COUNTRY)
+    return f.select("country_code", "measure", "estimate", "se", "n", "n_psu", "n_strata", "df")
+
+
+@register("adjusted_binomial")
+def adjusted_binomial(spark, sf):
+    return A.adjusted_association(label_frame(spark, sf), "quality", "x", ["lang"], DESIGN, (), "binomial").select("measure", "estimate", "se", "n", "n_psu", "n_strata")
+
+
+@register("kish_regression_se")
+def kish_regression_se(spark, sf):
+    return A.adjusted_association(design_frame(spark, sf), "item4", "item3", ["nominal"], KISH, COUNTRY).select("country_code", "measure", "estimate", "se", "n")
+
+
+_GRAM_SQL = f"""SELECT country_code, x, y, nominal, sum(w) AS sw, count(*) AS n FROM (SELECT country_code, CAST(item3 AS DOUBLE) AS x, CAST(item4 AS DOUBLE) AS y, nominal, w FROM ({DESIGN_SQL}) q) f GROUP BY 1, 2, 3, 4"""
+
+
+@register("grouped_gram", _GRAM_SQL)
+def grouped_gram(spark, sf):
+    cells = A.regression_cells(design_frame(spark, sf), "item4", "item3", ["nominal"], KISH, COUNTRY)
+    return cells.select("country_code", "x", "y", F.col("c")[0].cast("int").alias("nominal"), "sw", "n")
+
+
+@register("candidate_predictors", f"SELECT name FROM {_VAR_SQL} v WHERE name IN ('signup', 'error') AND name IN (SELECT variable FROM ({LONG_SQL}) t)")
+def candidate_predictors(spark, sf):
+    return L.candidate_predictors(_search_table(spark, sf), "view", "Y1").select("name")
+
+
+_RANK_SQL = f"SELECT predictor, round(median(abs(estimate)), 6) AS strength, count(*) AS n_groups FROM ({_SWEEP_SQL}) s WHERE estimate IS NOT NULL AND n >= 100 GROUP BY 1"
+
+
+@register("ranked_correlates", f"SELECT predictor, strength, n_groups, CAST(row_number() OVER (ORDER BY strength DESC, predictor) AS INTEGER) AS rank FROM ({_RANK_SQL}) r")
+def ranked_correlates(spark, sf):
+    return rounded(A.ranked_correlates(sweep(spark, sf), COUNTRY), "strength")
+
+
+@register("drop_overlaps", f"SELECT predictor, CASE WHEN predictor IN ('item3', 'bin') THEN 'item4' END AS kept_instead FROM ({_RANK_SQL}) r")
+def drop_overlaps(spark, sf):
+    r = A.ranked_correlates(sweep(spark, sf), COUNTRY)
+    meta = table(spark, [("item2", 9, False, ["tax"]), ("item3", 7, False, ["line"]), ("item4", 11, False, ["y", "line", "bin"]), ("bin", 2, True, ["bin"])], "predictor string, n_answers int, is_binary boolean, components array<string>")
+    return A.drop_overlaps(r.join(F.broadcast(meta), "predictor")).select("predictor", "kept_instead")
+
+
+_PAIRS = [("y", "item2"), ("y", "item4"), ("item2", "item4")]
+_MATRIX_SQL = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {'true' if (a, b) == ('y', 'item4') else 'false'} AS shares_answers, estimate, n, n < 100 AS below_min_n FROM ({O.pearson(DESIGN_SQL, a, b, [])}) q" for a, b in _PAIRS)
+
+
+@register("correlation_matrix", _MATRIX_SQL)
+def correlation_matrix(spark, sf):
+    return rounded(A.correlation_matrix(design_frame(spark, sf), ["y", "item2", "item4"], DESIGN, shared=frozenset({frozenset({"y", "item4"})})), "estimate")
+
+
+def _event_pairs(spark, sf):
+    long = long_frame(spark, sf).where("wave = 'Y1'").select("id", "variable", "value")
+    return A.all_pairs_by_country(long, people_frame(spark, sf))
+
+
+def _pairs_sql() -> str:
+    f = f"SELECT a.variable AS a, b.variable AS b, country_code, w, a.value AS x, b.value AS y FROM l a JOIN l b ON a.id = b.id AND a.variable < b.variable JOIN p ON a.id = p.id WHERE a.value IS NOT NULL AND b.value IS NOT NULL"
+    keys = ["a", "b", "country_code"]
+    return f"WITH l AS (SELECT * FROM ({LONG_SQL}) t WHERE wave = 'Y1'), p AS ({PEOPLE_SQL}) {O.pearson(f, 'x', 'y', keys, extra=chr(39) + 'pearson' + chr(39) + ' AS method, ')} UNION ALL {O.spearman(f, 'x', 'y', keys, extra=chr(39) + 'spearman' + chr(39) + ' AS method, ')}"
+
+
+@register("all_pairs_by_country", _pairs_sql())
+def all_pairs_by_country(spark, sf):
+    return rounded(_event_pairs(spark, sf), "estimate", "sum_w")
+
+
+@register("pair_lookup", f"SELECT CASE WHEN a = 'error' THEN b ELSE a END AS predictor, country_code, method, estimate, n, sum_w, false AS suppressed, n < 30 AND estimate IS NOT NULL AS flagged FROM ({_pairs_sql()}) t WHERE (a = 'error' AND b IN ('click', 'view')) OR (b = 'error' AND a IN ('click', 'view'))")
+def pair_lookup(spark, sf):
+    return rounded(A.pair_lookup(_event_pairs(spark, sf), "error", ["click", "view"]), "estimate", "sum_w")
+
+
+_TAB_SQL = f"""SELECT g.x, g.y, c.estimate, c.se, coalesce(c.n, 0) AS n FROM (SELECT a.x, b.y FROM {values_sql([(1,), (2,), (3,)], ['x'])} a CROSS JOIN {values_sql([(i,) for i in range(1, 9)], ['y'])} b) g
+  LEFT JOIN ({O.taylor(DESIGN_SQL, _levels('item3', range(1, 9)), ['nominal'], share=True, threshold=0, flag=30)}) c ON g.x = c.nominal AND g.y = c.level"""
+
+
+@register("cross_tab", _TAB_SQL)
+def cross_tab(spark, sf):
+    return rounded(A.cross_tab(design_frame(spark, sf), "nominal", "item3", DESIGN, [1, 2, 3], list(range(1, 9))).select("x", "y", "estimate", "se", "n"), "estimate", "se")
+
+
+@register("axis_bins", """WITH f AS (SELECT l_quantity AS w, CAST(floor(l_extendedprice / 1000) AS INTEGER) AS v FROM lineitem), c AS (SELECT v, sum(sw) OVER (ORDER BY v) / sum(sw) OVER () AS cdf FROM (SELECT v, sum(w) AS sw FROM f GROUP BY v) s),
+  q AS (SELECT min(CASE WHEN cdf >= 0.01 THEN v END) AS lo, min(CASE WHEN cdf >= 0.99 THEN v END) AS hi FROM c), k AS (SELECT lo, hi, greatest(1, ceil((hi - lo + 1) / 10.0)) AS wd FROM q)
+  SELECT CAST(greatest(0, least(floor((hi - lo) / wd), floor((v - lo) / wd))) AS INTEGER) AS bin, count(*) AS n FROM f CROSS JOIN k GROUP BY 1""")
+def axis_bins(spark, sf):
+    f = read(spark, sf, "lineitem").select(F.col("l_quantity").alias("w"), F.floor(F.col("l_extendedprice") / 1000).cast("int").alias("v"))
+    return A.axis_bins(f, "v", KISH).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+# --- 2.9 averages over countries
+
+_AVG = """SELECT {k}round(avg(estimate), 6) AS estimate, {se}CAST(sum(n) AS BIGINT) AS n, count(*) AS n_countries, max(n) AS largest_n FROM ({q}) e WHERE estimate IS NOT NULL {g}"""
+_SE = "CASE WHEN count(se) = count(*) THEN round(sqrt(sum(se * se)) / count(*), 5) END AS se, "
+
+
+@register("average_countries", _AVG.format(k="level, ", se=_SE, q=ORACLE_SQL["weighted_proportion"], g="GROUP BY level"))
+def average_countries(spark, sf):
+    e = E.weighted_proportion(design_frame(spark, sf), "nominal", DESIGN, COUNTRY, [1, 2, 3])
+    a = E.average_countries(rounded(e, "estimate", "se"), ["level"])
+    return a.select("level", F.round("estimate", 6).alias("estimate"), F.round("se", 5).alias("se"), "n", "n_countries", "largest_n")
+
+
+@register("coverage_floor", f"SELECT predictor, n_countries FROM ({_AVG.format(k='predictor, ', se='', q=_SWEEP_SQL, g='GROUP BY predictor')}) a WHERE n_countries >= 3")
+def coverage_floor(spark, sf):
+    a = E.average_countries(sweep(spark, sf).withColumn("se", F.lit(None).cast("double")), ["predictor"])
+    return E.coverage_floor(a, 5).select("predictor", "n_countries")
+
+
+@register("averaged_correlates", f"SELECT predictor, round(estimate, 5) AS estimate, n, n_countries, thin FROM (SELECT predictor, avg(estimate) AS estimate, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_countries, max(n) < 100 AS thin FROM ({_SWEEP_SQL}) e WHERE estimate IS NOT NULL GROUP BY 1) a")
+def averaged_correlates(spark, sf):
+    a = E.average_countries(rounded(sweep(spark, sf), "estimate").withColumn("se", F.lit(None).cast("double")), ["predictor"])
+    return a.select("predictor", F.round("estimate", 5).alias("estimate"), "n", "n_countries", (F.col("largest_n") < 100).alias("thin"))
+
+
+_TAB_BY_COUNTRY = O.taylor(DESIGN_SQL, _levels("item3", range(1, 8)), ["country_code", "nominal"], share=True, threshold=0, flag=30)
+
+
+@register("averaged_cross_tab", _AVG.format(k="nominal, level, ", se=_SE, q=_TAB_BY_COUNTRY, g="GROUP BY nominal, level"))
+def averaged_cross_tab(spark, sf):
+    e = E.weighted_proportion(design_frame(spark, sf), "item3", DESIGN, ["country_code", "nominal"], list(range(1, 8)), NO_SUPPRESSION)
+    a = E.average_countries(rounded(e, "estimate", "se"), ["nominal", "level"])
+    return a.select("nominal", "level", F.round("estimate", 6).alias("estimate"), F.round("se", 5).alias("se"), "n", "n_countries", "largest_n")
+
+
+# --- 2.10 orders
+
+
+def _by_strata(spark, sf):
+    return rounded(E.weighted_mean(design_frame(spark, sf), "y", DESIGN, ["strata"]), "estimate").select("strata", "estimate", "flagged", "n")
+
+
+_STRATA_SQL = f"(SELECT strata AS s, estimate, flagged, n FROM ({O.taylor(DESIGN_SQL, [({}, 'y')], ['strata'], strata='strata')}) q0)"
+_STRATA_SQL = "(SELECT strata, CASE WHEN n >= 50 THEN round(est, 6) END AS estimate, n FROM (SELECT strata, sum(w * y) / sum(w) AS est, count(y) AS n FROM (" + DESIGN_SQL + ") f WHERE y IS NOT NULL GROUP BY 1) q)"
+
+
+@register("order_by_value", f"SELECT strata, estimate FROM {_STRATA_SQL} s ORDER BY estimate DESC NULLS LAST, strata")
+def order_by_value(spark, sf):
+    return E.order_by_value(_by_strata(spark, sf).select("strata", "estimate"), "strata")
+
+
+@register("order_by_gap", f"SELECT country_code, round(CASE WHEN count(estimate) >= 2 THEN max(estimate) - min(estimate) END, 5) AS gap FROM (SELECT country_code, CASE WHEN flagged THEN NULL ELSE estimate END AS estimate FROM ({ORACLE_SQL['weighted_proportion']}) q) s GROUP BY 1")
+def order_by_gap(spark, sf):
+    e = rounded(E.weighted_proportion(design_frame(spark, sf), "nominal", DESIGN, COUNTRY, [1, 2, 3]), "estimate")
+    return E.order_by_gap(e, "country_code").withColumn("gap", F.round("gap", 5))
+
+
+@register("order_change_legs", f"SELECT country_code, leg, estimate, CAST(place AS INTEGER) AS place FROM ({ORACLE_SQL['three_point_panel']}) a JOIN (SELECT country_code AS g, row_number() OVER (ORDER BY estimate DESC NULLS LAST, country_code) AS place FROM ({ORACLE_SQL['three_point_panel']}) b0 WHERE leg = 'y1_y2') b ON country_code = g")
+def order_change_legs(spark, sf):
+    return E.order_change_legs(three_point_panel(spark, sf).select("country_code", "leg", "estimate"), "country_code", "y1_y2")
+
+
+@register("rank_items", f"SELECT country_code, predictor, estimate, CAST(row_number() OVER (PARTITION BY country_code ORDER BY estimate DESC NULLS LAST, predictor) AS INTEGER) AS rank FROM ({_SWEEP_SQL}) s")
+def rank_items(spark, sf):
+    return E.rank_items(rounded(sweep(spark, sf), "estimate").select("country_code", "predictor", "estimate"), "predictor")
+
+
+@register("equal_count_steps", f"SELECT strata, estimate, CASE WHEN estimate IS NOT NULL THEN CAST(least(floor((before + (c - 1) / 2.0 + 0.5) / total * 7), 6) AS INTEGER) END AS step FROM (SELECT strata, estimate, rank() OVER (ORDER BY estimate) - 1 AS before, count(*) OVER (PARTITION BY estimate) AS c, count(estimate) OVER () AS total FROM {_STRATA_SQL} s WHERE estimate IS NOT NULL) q")
+def equal_count_steps(spark, sf):
+    return E.equal_count_steps(_by_strata(spark, sf).select("strata", "estimate").where("estimate is not null"))
+
+
+@register("equal_width_steps", f"SELECT strata, estimate, CAST(least(floor((estimate - min(estimate) OVER ()) / (max(estimate) OVER () - min(estimate) OVER ()) * 7), 6) AS INTEGER) AS step FROM {_STRATA_SQL} s WHERE estimate IS NOT NULL")
+def equal_width_steps(spark, sf):
+    return E.equal_width_steps(_by_strata(spark, sf).select("strata", "estimate").where("estimate is not null"))
+
+
+@register("extremes", f"SELECT (SELECT max(strata) FROM {_STRATA_SQL} a WHERE estimate = (SELECT max(estimate) FROM {_STRATA_SQL} b)) AS highest, (SELECT max(estimate) FROM {_STRATA_SQL} c) AS highest_value, (SELECT min(strata) FROM {_STRATA_SQL} d WHERE estimate = (SELECT min(estimate) FROM {_STRATA_SQL} e)) AS lowest, (SELECT min(estimate) FROM {_STRATA_SQL} g) AS lowest_value")
+def extremes(spark, sf):
+    return E.extremes(_by_strata(spark, sf), "strata")
+
+
+@register("order_by_level", f"SELECT level, estimate, CAST(CASE level WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS INTEGER) AS place FROM ({O.taylor(DESIGN_SQL, _levels('nominal', (1, 2, 3)), [], share=True)}) q")
+def order_by_level(spark, sf):
+    return E.order_by_level(weighted_proportion_all(spark, sf).select("level", "estimate"), [3, 1, 2])
+
+
+def weighted_proportion_all(spark, sf):
+    return shown(E.weighted_proportion(design_frame(spark, sf), "nominal", DESIGN, (), [1, 2, 3]), "level")
+
+
+# --- 2.11 data quality
+
+
+def _check_sql(rows: list[tuple[str, str, float]], frame: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS name, CAST(({e}) AS DOUBLE) AS observed, CAST({x} AS DOUBLE) AS expected, CAST(({e}) AS DOUBLE) = {x} AS passed FROM ({frame}) t" for n, e, x in rows)
+
+
+def _bad(c: str) -> str:
+    return f"count(CASE WHEN {c} THEN 1 END)"
+
+
+@register("check_row_counts", _check_sql([("rows", "count(*)", 1500), ("unique_ids", "count(DISTINCT id)", 1500), ("countries", "count(DISTINCT country_code)", 5)], PANEL_SQL))
+def check_row_counts(spark, sf):
+    return Q.check_row_counts(panel_frame(spark, sf), "id", "country_code", {"rows": 1500, "unique_ids": 1500, "countries": 5})
+
+
+_WAVES = {"retention": 0.8, "midyear_type_1": 600, "midyear_type_2": 600, "strata": 5, "psus": 25, "type_without_midyear": 0}
+
+
+@register("check_waves_design", _check_sql([("retention", "round(avg(CASE WHEN retained_y2 THEN 1.0 ELSE 0.0 END), 6)", 0.8), ("midyear_type_1", _bad("midyear_type = 1"), 600), ("midyear_type_2", _bad("midyear_type = 2"), 600), ("strata", "count(DISTINCT strata)", 5), ("psus", "count(DISTINCT strata * 100 + psu)", 25), ("type_without_midyear", _bad("midyear_type IS NOT NULL AND NOT has_midyear"), 0)], PANEL_SQL))
+def check_waves_design(spark, sf):
+    return Q.check_waves_design(panel_frame(spark, sf), _WAVES)
+
+
+@register("check_demographics", _check_sql([("out_of_range", _bad("NOT (age BETWEEN 18 AND 90)"), 0), ("state_weight_mismatch", _bad("(state IS NULL) <> (state_y2 IS NULL)"), 0)], PANEL_SQL))
+def check_demographics(spark, sf):
+    return Q.check_demographics(panel_frame(spark, sf), "age", 18, 90, "state", "state_y2")
+
+
+@register("check_long", _check_sql([("dup", "0", 0), ("both", _bad("value IS NOT NULL AND nonresponse IS NOT NULL"), 0), ("range", _bad("NOT (value BETWEEN 0 AND 8)"), 0), ("sentinel", _bad("value IN (10)"), 0)], f"SELECT * FROM ({LONG_SQL}) l0").replace("CAST((0) AS DOUBLE)", "CAST(min(0) AS DOUBLE)"))
+def check_long(spark, sf):
+    return Q.check_long(long_frame(spark, sf), 0, 8, [10])
+
+
+@register("check_labelled", f"SELECT variable, value, count(*) AS n FROM ({LONG_SQL}) t WHERE value > 5 GROUP BY 1, 2")
+def check_labelled(spark, sf):
+    return Q.check_labelled(long_frame(spark, sf), event_labels(spark, sf).where("code <= 5"))
+
+
+@register("check_schema", _check_sql([("id:null", _bad("id IS NULL"), 0), ("id:unique", "count(id) - count(DISTINCT id)", 0), ("age:low", _bad("age < 20"), 0), ("age:high", _bad("age > 99"), 0), ("state:regex", _bad("state = 'S3'"), 0), ("y1:allowed", _bad("y1 NOT IN (1, 2, 3, 4)"), 0)], PANEL_SQL))
+def check_schema(spark, sf):
+    return Q.check_schema(panel_frame(spark, sf), {"id": {"nullable": False, "unique": True}, "age": {"low": 20, "high": 99}, "state": {"regex": "^S[0-2]$"}, "y1": {"allowed": [1, 2, 3, 4]}})
+
+
+@register("check_derived", _check_sql([("y1", _bad("NOT (y1 BETWEEN 1 AND 5)"), 0), ("age", _bad("NOT (age BETWEEN 18 AND 60)"), 0)], PANEL_SQL))
+def check_derived(spark, sf):
+    return Q.check_derived(panel_frame(spark, sf), {"y1": (1, 5), "age": (18, 60)})
+
+
+@register("check_published", f"SELECT CAST(country_code AS VARCHAR) AS name, round(estimate, 6) AS observed, CAST(5 AS DOUBLE) AS expected, abs(estimate - 5) <= 0.05 AS passed FROM ({ORACLE_SQL['weighted_mean']}) q")
+def check_published(spark, sf):
+    p = table(spark, [(i, 5.0) for i in range(5)], "country_code int, expected double")
+    return Q.check_published(weighted_mean(spark, sf), p, "country_code", 0.05)
+
+
+@register("retention_report", f"SELECT country_code, count(*) AS n, round(100 * avg(CASE WHEN retained_y2 THEN 1.0 ELSE 0.0 END), 6) AS pct_retained, round(100 * avg(CASE WHEN has_midyear THEN 1.0 ELSE 0.0 END), 6) AS pct_midyear, {_bad('midyear_type = 1')} AS n_type_1, {_bad('midyear_type = 2')} AS n_type_2 FROM ({PANEL_SQL}) p GROUP BY 1")
+def retention_report(spark, sf):
+    return rounded(Q.retention_report(panel_frame(spark, sf)), "pct_retained", "pct_midyear")
