@@ -26,25 +26,42 @@ LENGTH, K = 35, 8
 GROUP = 1 << 16
 
 
-def partition_by_prefix(words: np.ndarray, suffixes: np.ndarray, depth: int, limit: int) -> list[tuple[int, np.ndarray]]:
-    """(prefix length, suffixes) of memory-sized groups; prefixes are only as long as the limit asks."""
-    out, todo = [], [(0, suffixes)]
+def partition_by_prefix(words: np.ndarray, suffixes: np.ndarray, depth: int, limit: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(depth, suffixes, prefix number) of memory-sized groups.
+
+    A prefix is only as long as the limit asks; prefixes with few suffixes share a group, whose trees then grow side
+    by side from the shortest of them.
+    """
+    fits, todo = [], [(0, suffixes)]
     while todo:
         d, group = todo.pop()
         if len(group) <= limit or d == depth:
-            out.append((d, group))
+            fits.append((d, group))
             continue
         word = words[group + d]
         order = np.argsort(word, kind="stable")
         todo += [(d + 1, group[p]) for p in np.split(order, np.flatnonzero(np.diff(word[order])) + 1)]
+    out, pack, size = [], [], 0
+    for d, group in [*fits, (0, None)]:
+        if pack and (group is None or size + len(group) > limit):
+            sizes = [len(g) for _, g in pack]
+            out.append((min(x for x, _ in pack), np.concatenate([g for _, g in pack]), np.repeat(np.arange(len(pack)), sizes)))
+            pack, size = [], 0
+        if group is not None:
+            pack.append((d, group))
+            size += len(group)
     return out
 
 
-def deep_nodes(words: np.ndarray, suffixes: np.ndarray, from_depth: int, depth: int) -> np.ndarray:
-    """Node of each suffix at `depth` in the subtree that shares its first `from_depth` words; -1 for a leaf above it."""
-    node, active = np.zeros(len(suffixes), np.int64), np.arange(len(suffixes))
+def deep_nodes(words: np.ndarray, suffixes: np.ndarray, prefix: np.ndarray, from_depth: int, depth: int) -> np.ndarray:
+    """Node of each suffix at `depth` in the tree of its prefix, of which `from_depth` words are known to be shared; -1
+    for a leaf above it."""
     result = np.full(len(suffixes), -1, np.int64)
+    active = np.flatnonzero(np.bincount(prefix, minlength=1)[prefix] > 1) if len(prefix) else np.empty(0, np.int64)
+    node = prefix[active].astype(np.int64)
     for d in range(from_depth, depth):
+        if not len(active):
+            break
         word = words[suffixes[active] + d]
         order = np.lexsort((word, node))
         new = np.concatenate(([True], (np.diff(node[order]) != 0) | (np.diff(word[order]) != 0)))
@@ -52,8 +69,6 @@ def deep_nodes(words: np.ndarray, suffixes: np.ndarray, from_depth: int, depth:
         child[order] = np.cumsum(new) - 1
         inner = np.bincount(child)[child] > 1
         node, active = child[inner], active[inner]
-        if not len(active):
-            break
     result[active] = node
     return result
 
@@ -70,8 +85,8 @@ def sum_by_window(payloads: list[bytes], counts: np.ndarray, weights: np.ndarray
     value = np.zeros(len(words), np.int64)
     weight_at = np.zeros(len(words), np.int64)
     weight_at[suffixes] = weights[owner]
-    for d, group in partition_by_prefix(words, suffixes, length, limit):
-        node = deep_nodes(words, group, d, length) if d < length else np.zeros(len(group), np.int64)
+    for d, group, prefix in partition_by_prefix(words, suffixes, length, limit):
+        node = deep_nodes(words, group, prefix, d, length)
         w = weight_at[group]
         deep = node >= 0
         sums = np.bincount(node[deep], weights=w[deep]).astype(np.int64) if deep.any() else np.empty(0, np.int64)
