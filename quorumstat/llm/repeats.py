@@ -118,10 +118,10 @@ def _segments(sym, lengths, length, k, frequent, offset, first_doc) -> Segments:
     content = mixed(between(start, stop) + mixed((rel * 4096 + count).astype(U)))
     # two segments with a window in common agree on half its other symbols on one side of the anchor at least
     side, at = (length - k + 1) // 2, anchor[new]
-    left = np.where(rel >= side, 1 + between(np.maximum(at - side, 0), at) % U(4095), U(0))
-    right = np.where(stop - at - k >= side, 1 + between(np.minimum(at + k, n), np.minimum(at + k + side, n)) % U(4095), U(0))
+    left = np.where(rel >= side, 1 + between(np.maximum(at - side, 0), at) % U(65535), U(0))
+    right = np.where(stop - at - k >= side, 1 + between(np.minimum(at + k, n), np.minimum(at + k + side, n)) % U(65535), U(0))
     doc = np.searchsorted(begins, start, "right") - 1
-    return Segments(start + offset, count, h[at], content, (left | right << U(12)).astype(np.uint32), doc + first_doc)
+    return Segments(start + offset, count, h[at], content, (left | right << U(16)).astype(np.uint32), doc + first_doc)
 
 
 def distinct_segments(s: Segments) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +275,7 @@ def _emit(task: Task, frequent: np.ndarray, buckets: int):
         _, _, s, first, of = _view(block, task, frequent)
         twice = np.bincount(of, minlength=len(first)) > 1
         ids, no = block.ids[s.doc[first]] if len(first) else first, table["block"][0].as_py()
-        hashes = lambda at: np.column_stack((s.content[at].view(np.uint8).reshape(-1, 8), s.key[at].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], s.sides[at].view(np.uint8).reshape(-1, 4)[:, :3]))
+        hashes = lambda at: np.column_stack((s.content[at].view(np.uint8).reshape(-1, 8), s.key[at].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES], s.sides[at].view(np.uint8).reshape(-1, 4)))
         return _table([("s", b, no, len(i), hashes(first[i]), np.diff(ids[i], prepend=0), twice[i].astype(np.uint8), b"") for b, i in _by_bucket(s, first, buckets)])
 
     return run
@@ -287,9 +287,9 @@ def _match(task: Task):
         if not rows:
             return _table([])
         read = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in rows])
-        raw, twice = read("a", np.uint8).reshape(-1, 8 + KEY_BYTES + 3), read("c", np.uint8)
+        raw, twice = read("a", np.uint8).reshape(-1, 8 + KEY_BYTES + 4), read("c", np.uint8)
         number = lambda a, b: np.pad(raw[:, a:b], ((0, 0), (0, 8 - (b - a)))).view(U)[:, 0]
-        content, key, sides = number(0, 8), number(8, 8 + KEY_BYTES), number(8 + KEY_BYTES, 8 + KEY_BYTES + 3)
+        content, key, sides = number(0, 8), number(8, 8 + KEY_BYTES), number(8 + KEY_BYTES, 8 + KEY_BYTES + 4)
         doc = np.concatenate([np.cumsum(np.frombuffer(r["b"], np.int64)) for r in rows])
         sizes = [r["n"] for r in rows]
         block, idx = np.repeat([r["block"] for r in rows], sizes), np.concatenate([np.arange(n) for n in sizes])
@@ -310,25 +310,26 @@ def _match(task: Task):
         # a content stands alone if no other content of its anchor agrees with it on a side
         head = np.flatnonzero(new_seg)
         met = np.zeros(len(head), bool)
-        for half in (sides[head] & U(4095), sides[head] >> U(12)):
+        for half in (sides[head] & U(65535), sides[head] >> U(16)):
             order = np.lexsort((half, group[head]))
             same = (np.diff(group[head][order]) == 0) & (half[order][1:] == half[order][:-1]) & (half[order][1:] > 0)
             met[order[1:]] |= same
             met[order[:-1]] |= same
         single = ~met[seg]
         lowest = doc[np.flatnonzero(new_seg)][seg]
-        out, bucket = [], rows[0]["bucket"]
+        bucket, answer = rows[0]["bucket"], {}  # block -> settled segments and values, segments asked for and their numbers
 
-        def to_blocks(kind: str, which: np.ndarray, value: np.ndarray) -> None:
+        def to_blocks(at: int, which: np.ndarray, value: np.ndarray) -> None:
             w = np.flatnonzero(which)
             w = w[np.argsort(block[w], kind="stable")]
             for part in np.split(w, np.flatnonzero(np.diff(block[w])) + 1):
                 if len(part):
-                    out.append((kind, bucket, int(block[part[0]]), len(part), idx[part].astype(np.int32), value[part], b"", b""))
+                    answer.setdefault(int(block[part[0]]), [b"", b"", b"", b""])[at : at + 2] = idx[part].astype(np.int32), value[part]
 
         many = np.bincount(seg)[seg] > 1
-        to_blocks("full", single & many & (doc > lowest) if task.least else single & many, lowest)
-        to_blocks("ask", ~single & new_seg, seg)
+        to_blocks(0, single & many & (doc > lowest) if task.least else single & many, lowest)
+        to_blocks(2, ~single & new_seg, seg)
+        out = [("answer", bucket, b, 0, *parts) for b, parts in answer.items()]
         w = np.flatnonzero(~single)
         if len(w):
             out.append(("held", bucket, -1, len(w), np.column_stack((seg[w], block[w], idx[w])).astype(np.int64), doc[w], twice[w], b""))
@@ -339,17 +340,17 @@ def _match(task: Task):
 
 def _fetch(task: Task, frequent: np.ndarray, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        asks = [r for r in right.to_pylist() if r["kind"] == "ask"]
+        asks = [r for r in right.to_pylist() if r["kind"] == "answer" and r["c"]]
         if not left.num_rows or not asks:
             return _table([])
         symbols, _, s, first, _ = _view(block_of(left), task, frequent)
         mine = dict(_by_bucket(s, first, buckets))
         out = []
         for r in asks:
-            which = first[mine[r["bucket"]][np.frombuffer(r["a"], np.int32)]]
+            which = first[mine[r["bucket"]][np.frombuffer(r["c"], np.int32)]]
             parts = [symbols.cut(i, i + c - 1 + task.length) for i, c in zip(s.start[which].tolist(), s.count[which].tolist(), strict=True)]
             lengths, blob = _pack(parts)
-            out.append(("text", r["bucket"], r["block"], len(parts), r["b"], s.count[which], lengths, blob))
+            out.append(("text", r["bucket"], r["block"], len(parts), r["d"], s.count[which], lengths, blob))
         return _table(out)
 
     return run
@@ -393,10 +394,10 @@ def flagged(block: Block, task: Task, frequent: np.ndarray, buckets: int, answer
     value, parts = local.astype(np.int64).copy(), {}
     mine = dict(_by_bucket(s, first, buckets))
     for r in answers:
-        if r["kind"] not in ("full", "part"):
+        if not r["a"]:
             continue
         which = mine[r["bucket"]][np.frombuffer(r["a"], np.int32)]
-        if r["kind"] == "full":
+        if r["kind"] == "answer":
             value[which] = np.minimum(value[which], np.frombuffer(r["b"], np.int64)) if task.least else 2
         else:
             e = np.cumsum(np.frombuffer(r["b"], np.int32))
@@ -414,8 +415,8 @@ def flagged(block: Block, task: Task, frequent: np.ndarray, buckets: int, answer
         for j in np.flatnonzero(in_parts[of] & ~whole).tolist():
             vals = parts[of[j]]
             hit = s.start[j] + np.flatnonzero(np.minimum(vals, value[of[j]]) < ids[j] if task.least else vals >= 2)
-            np.add.at(mark, hit, 1)
-            np.add.at(mark, hit + task.length, -1)
+            mark[hit] += 1
+            mark[hit + task.length] -= 1
     return symbols, lengths, np.cumsum(mark)[:total] > 0
 
 
@@ -424,7 +425,7 @@ def remove_repeats(docs: DataFrame, task: Task, report: Callable, schema: str) -
     frequent = frequent_bins(docs, task)
     n = shuffle_partitions(docs.sparkSession)
     buckets = n
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2 * n)).cast("int").alias("block"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n)).cast("int").alias("block"))
     texts = rows.repartition(n, "block")
     listed = texts.groupBy("block").applyInArrow(_emit(task, frequent, buckets), _ROW)
     answers = listed.groupBy("bucket").applyInArrow(_match(task), _ROW)
