@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bounds of the training sample, of the feature table and of the sentences the chain is fitted to.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_FEATURES, MAX_SENTENCES = 2500, 6000, 5000, 8000
+#: Bounds of the training sample, of the feature table, and of the sentences (and their tokens) the chain is fitted to.
+SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_FEATURES, MAX_SENTENCES, MAX_TOKENS = 2500, 6000, 5000, 4000, 60
 MIN_TOXIC_DOCS, MIN_LOG_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6)
 LEVELS = (3.5, 5.0, 6.5)  # at which a feature's level rises
@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
                 for part in np.split(codes, np.flatnonzero(np.diff(number)) + 1) if len(codes) else ():
                     tag = toxic * ((part // N_LEVEL >= 1) | (part % N_LEVEL >= 2))
                     if part.any() or len(part) % 16 == 0:
-                        out.append((int(part.any()), part[:200].tolist(), tag[:200].tolist()))
+                        out.append((int(part.any()), part[:MAX_TOKENS].tolist(), tag[:MAX_TOKENS].tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["hit", "codes", "tags"])
 
     found = cut(rows.mapInArrow(tagged, "hit int, codes array<long>, tags array<long>"))
