@@ -125,8 +125,8 @@ def _design(codes: np.ndarray) -> np.ndarray:
     c = np.maximum(codes, 0)
     pad = np.zeros((len(c), 1), np.int64)
     near = [c, np.hstack((pad, c[:, :-1])), np.hstack((c[:, 1:], pad))]
-    eye = np.eye(N_LEVEL)
-    return np.concatenate([np.ones((*c.shape, 1)), *[x for v in near for x in (eye[v // N_LEVEL], eye[v % N_LEVEL])]], axis=2)
+    eye = np.eye(N_LEVEL, dtype=np.float32)
+    return np.concatenate([np.ones((*c.shape, 1), np.float32), *[x for v in near for x in (eye[v // N_LEVEL], eye[v % N_LEVEL])]], axis=2)
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, there: np.ndarray):
@@ -164,7 +164,7 @@ def fit_chain(model: Crf, seqs: list[np.ndarray], tags: list[np.ndarray], rounds
     """Maximum a posteriori weights by gradient ascent with per-weight step sizes."""
     codes, y = _padded(seqs), np.maximum(_padded(tags), 0)
     there, x = codes >= 0, _design(codes)
-    x = x * there[:, :, None]
+    x *= there[:, :, None]
     seen = np.einsum("ntd,nt->d", x, y)
     pair_seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & there[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
     w = np.concatenate((model.theta, model.trans.ravel()))
