@@ -77,6 +77,57 @@ def test_links_of_hot_keys_in_paired_blocks(spark):
         assert {i: comp.get(i, i) for i in nodes} == want
 
 
+def brute_wide_links(fps):
+    """Pairs within the radius of which one segment differs in at most one bit."""
+    edges = [sum(simhash.WIDE_WIDTHS[:i]) for i in range(len(simhash.WIDE_WIDTHS) + 1)]
+    for i, x in fps.items():
+        for j, y in fps.items():
+            diff = x ^ y
+            if i < j and 0 < diff.bit_count() <= simhash.WIDE_RADIUS and any(((diff >> lo) & ((1 << (hi - lo)) - 1)).bit_count() <= 1 for lo, hi in zip(edges, edges[1:])):
+                yield i, j
+
+
+def test_similar_texts(spark):
+    import random
+
+    from quorumstat.llm.common import connected_components
+
+    rnd = random.Random(3)
+    groups, texts = {}, {}
+    for g in range(60):
+        base = [f"v{rnd.randrange(5000)}" for _ in range(240)]
+        for copy, edits in enumerate((0, 3, 4, 4)):
+            words = list(base)
+            for at in rnd.sample(range(240), edits):  # each edit changes five shingles: an index of 0.85 or more against the original
+                words[at] = f"n{rnd.randrange(10**6)}"
+            texts[10 * g + copy], groups[10 * g + copy] = " ".join(words), g
+    texts |= {1000: None, 1001: "", 1002: texts[0], 1003: texts[10].upper()}
+    groups |= {1000: -1, 1001: -1, 1002: 0, 1003: 1}
+    fps = {i: int.from_bytes(simhash.wide_simhash((t or "").encode(), 5).tobytes(), "little") for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("node", __import__("pyspark").sql.functions.lit("clash"))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert set(got) == set(texts) and all(groups[i] == groups[c] for i, c in got.items())
+    assert sum(got[i] == min(j for j in groups if groups[j] == groups[i]) for i in got) >= 0.95 * len(got)
+    parent = {i: i for i in fps}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    same = {}
+    links = [*brute_wide_links(fps), *((same.setdefault(f, i), i) for i, f in fps.items())]
+    for a, b in links:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    assert got == {i: root(i) for i in fps}
+    words = [(i, *(((f >> (64 * k)) & (2**64 - 1) ^ (1 << 63)) - (1 << 63) for k in range(4))) for f, i in same.items()]
+    blocks = simhash.similar_links(spark.createDataFrame(words, "node long, f0 long, f1 long, f2 long, f3 long"), block=2).collect()
+    comp = {r.node: r.component for r in connected_components(spark.createDataFrame(blocks, "a long, b long")).collect()}
+    assert {i: comp.get(i, i) for i in same.values()} == {i: got[i] for i in same.values()}
+    assert simhash.similar_components(docs.limit(0)).count() == 0
+
+
 def brute_grams(text, k=winnow.K, w=winnow.WINDOW):
     u = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text or "")
     if not u:
