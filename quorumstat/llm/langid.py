@@ -54,17 +54,25 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
-    """Trigram models from at most `rows` labelled rows (text, lang), chosen by hash of the text's digest."""
-    known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    picked = cut(known.orderBy(F.xxhash64("text", "lang")).limit(rows))
-    top = picked.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    """Trigram models from at most `rows` distinct labelled texts (text, lang), those of least hash; copies count.
+
+    A share of the hash range that holds about 2 * `rows` of the labelled rows is filtered in the scan, so that the
+    ordered limit gets a bounded number of texts at every size of the table.
+    """
+    labelled = docs.where("lang is not null")
+    share = min(1.0, 2 * rows / max(1, labelled.count()))
+    known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
+    known = known.withColumn("h", F.xxhash64("text", "lang")).where(F.col("h") <= min((1 << 63) - 1, int(share * 2**64) - (1 << 63)))
+    once = known.groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"), F.count("*").alias("copies"))
+    picked = cut(once.orderBy("h").limit(rows).select("text", "lang", "copies"))
+    top = picked.groupBy("lang").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     languages = sorted(r["lang"] for r in top.collect())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {}
         for b in batches:
-            for text, lang in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[lang] = counts.get(lang, 0) + np.bincount(trigram_bins(text), minlength=BINS)
+            for text, lang, copies in zip(b.column(0).cast(pa.binary()).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                counts[lang] = counts.get(lang, 0) + copies * np.bincount(trigram_bins(text), minlength=BINS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "bin", "n"])
