@@ -11,6 +11,12 @@ For a similarity of 0.8, which turns some 15 % of the bits, 64 bits are too few.
 differs in at most one bit is equal, so each half deals the fingerprints out (26 rows a
 fingerprint, not 256) and the wildcards of the other half are put in inside the task.
 
+`exact_components` takes those links as candidates only.  Each is held against the Jaccard
+index of both shingle sets; then every pair of documents of different components so far
+that share a shingle of their prefixes (the rarest shingles, so many that sets of an index
+of 0.8 must share one) is held against it too.  So every pair of 0.8 or more is connected
+and no other is linked, up to collisions of 64-bit shingle hashes.
+
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other;
 repeated rows share a fingerprint and so a component; an empty table gives no rows;
 other input columns are ignored.
@@ -26,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, shuffle_partitions
+from .common import connected_components, cut, shuffle_partitions, small_side, stored
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -41,6 +47,9 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 WIDE_WORDS, WIDE_RADIUS, HALF = 4, 44, 10
 WIDE_WIDTHS = (20,) * 9 + (19,) * 4
 _WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
+#: Documents whose shingles are counted to tell common ones, and how many of those are kept; they set the order of
+#: the prefixes and so the work, never the result.
+COUNTED, COMMON = 20_000, 200_000
 
 
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -73,7 +82,10 @@ def simhash(text: bytes, shingle: int) -> int:
 
 def wide_simhash(text: bytes, shingle: int) -> np.ndarray:
     """256-bit SimHash as four signed words: further words mix the hash of the shingle with a multiple of an odd constant."""
-    hashes = _shingle_hashes(text, shingle)
+    return _wide_majority(_shingle_hashes(text, shingle))
+
+
+def _wide_majority(hashes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return np.zeros(WIDE_WORDS, np.int64)
     x = hashes[:, None] + np.arange(WIDE_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -263,6 +275,111 @@ def similar_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RAD
     return fps.join(of_fp, _WIDE).select("doc_id", "component_id")
 
 
+def _sets(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the sorted set of shingle hashes of each of `rows(doc_id, text)`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                sets = [np.unique(_shingle_hashes(t or b"", shingle)).view("<i8") for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "node long, hashes array<long>")
+
+
+def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles most frequent in a bounded sample of `rows`, and their counts."""
+    share = min(1.0, COUNTED / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    counts = _sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    top = counts.where("n >= 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    found = np.array([(r["h"], r["n"]) for r in top], np.int64).reshape(-1, 2)
+    found = found[np.argsort(found[:, 0].view(np.uint64))]
+    return np.ascontiguousarray(found[:, 0]).view(np.uint64), found[:, 1].copy()
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n sorted hashes in the order of (count, hash): sets of an index of 0.8 share one."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    count = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        count = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, count))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def _prefix_links(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components among rows (key, node, component, size << 32 | place) sorted by key.
+
+    A pair whose first common shingle this is needs min(size - place) shingles from here on, 4/9 of both sizes at least.
+    """
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1))
+    mixed = np.minimum.reduceat(rows[:, 2], starts) < np.maximum.reduceat(rows[:, 2], starts)
+    rows = rows[np.repeat(mixed, np.diff(np.append(starts, len(rows))))]
+    key, node, component, packed = rows.T.copy()
+    size = packed >> 32
+    rest = size - (packed & 0xFFFFFFFF)
+    a, b, active, shift = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(key)), 0
+    while len(active):
+        shift += 1
+        active = active[active + shift < len(key)]
+        active = active[key[active] == key[active + shift]]
+        x, y = active, active + shift
+        near = (component[x] != component[y]) & (9 * np.minimum(rest[x], rest[y]) >= 4 * (size[x] + size[y]))
+        a.append(np.minimum(node[x], node[y])[near]), b.append(np.maximum(node[x], node[y])[near])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _verified(links: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of 0.8 or more."""
+    links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = cut(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = stored(_sets(rows.join(small_side(ends), "doc_id", "left_semi"), shingle).distinct())
+    both = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return cut(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct())
+
+
+def exact_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) over all pairs of texts whose shingle sets have a Jaccard index of 0.8 or more.
+
+    Fingerprints within `radius` are looked at first, which settles most of a large group by few links; a wordless text
+    is like another.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    common, counts = _common_shingles(rows, shingle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                ids, fps, sizes, prefixes = [], [], [], []
+                for t in part.column(1).cast(pa.binary()).to_pylist():
+                    hashes = _shingle_hashes(t or b"", shingle)
+                    once = np.unique(hashes)
+                    ids.append(np.frombuffer(xxhash.xxh3_128_digest(once.tobytes()), "<i8"))
+                    fps.append(_wide_majority(hashes)), sizes.append(len(once)), prefixes.append(_prefix(once, common, counts).view("<i8"))
+                two, four = np.array(ids), np.array(fps)
+                cols = [part.column(0), *[pa.array(two[:, i]) for i in range(2)], *[pa.array(four[:, i]) for i in range(WIDE_WORDS)], pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "d0", "d1", *_WIDE, "n", "prefix"])
+
+    found = stored(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "d0", "d1", *_WIDE, "n")) + ", prefix array<long>"))
+    distinct = cut(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *[F.min_by(f, "doc_id").alias(f) for f in _WIDE]))
+    nodes = distinct.where("node is not null")
+    first = _verified(similar_links(nodes, radius), rows, shingle)
+    so_far = nodes.join(connected_components(first), "node", "left").select("d0", "d1", "node", F.coalesce("component", "node").alias("component"))
+    each = found.join(so_far, ["d0", "d1"]).where("doc_id = node").dropDuplicates(["d0", "d1"])
+    packed = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("packed")
+    keyed = each.select("node", "component", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "component", packed)
+    second = _verified(_links(keyed, _prefix_links, ["node"], radius, block), rows, shingle)
+    components = connected_components(first.unionByName(second))
+    of_set = distinct.join(components, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
+    return found.select("doc_id", "d0", "d1").join(of_set, ["d0", "d1"]).select("doc_id", "component_id")
+
+
 def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most `radius` bits."""
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
@@ -274,7 +391,7 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
 
 def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component (one row where an id repeats; rows without an id stay)."""
-    keep = similar_components(docs, shingle, radius, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    keep = exact_components(docs, shingle, radius, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     known = docs.where(F.col(id_col).isNotNull())
     kept = known.join(keep, known[id_col].cast("long") == keep["_keep"], "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -128,6 +128,32 @@ def test_similar_texts(spark):
     assert simhash.similar_components(docs.limit(0)).count() == 0
 
 
+def test_near_copies_are_exact(spark):
+    import random
+
+    rnd = random.Random(5)
+    texts = {1: None, 2: "", 3: "a few words", 4: "A few words"}
+    for g in range(60):  # indices on both sides of 0.8, short and long texts, chains
+        base = [f"v{rnd.randrange(3000)}" for _ in range(rnd.choice((8, 60, 240)))]
+        for copy in range(4):
+            words = list(base)
+            for at in rnd.sample(range(len(base)), min(len(base), copy * rnd.randrange(1, 4))):
+                words[at] = f"n{rnd.randrange(10**6)}"
+            texts[100 + 10 * g + copy] = " ".join(words)
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for i, t in texts.items() for w in [(t or "").lower().split()]}
+    component = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and component[a] != component[b]:
+            low, high = sorted((component[a], component[b]))
+            component = {i: low if c == high else c for i, c in component.items()}
+    docs = spark.createDataFrame([*texts.items(), (None, "a few words")], "doc_id long, text string")
+    kept = simhash.deduplicate(docs).select("doc_id").collect()
+    assert {r["doc_id"] for r in kept} == {None, *component.values()}
+    for block in (20_000, 2):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.exact_components(docs.where("doc_id is not null"), radius=0, block=block).collect()}
+        assert got == component
+
+
 def brute_grams(text, k=winnow.K, w=winnow.WINDOW):
     u = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text or "")
     if not u:
