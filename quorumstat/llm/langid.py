@@ -1,6 +1,6 @@
 """Language identification by Bayesian fusion of text, declared language, address and host.
 
-Byte-trigram models of each language are counted over a bounded sample of labelled rows.
+Byte-trigram models of each language are counted over a bounded sample of the rows of each label.
 A row's text likelihood (tempered, since trigrams overlap) is combined with its declared
 language and with a prior of its host.  Host priors are soft counts of the rows' text and
 declared evidence, summed by host, domain and address suffix and smoothed from the global
@@ -8,8 +8,8 @@ shares down; a row's own counts are taken out of its host's.
 
 Edge cases: a null or letterless text gives no text evidence; a null or unknown declared
 language, host or suffix gives none of its kind; with no evidence at all the language is
-the most common one at its prior; repeated rows are judged alike; an empty table gives no
-rows; without labelled rows there are no languages and every result is null.
+the most common one at its prior; repeated rows are judged alike; a row whose declared
+language has no model is rejected only without letters; an empty table gives no rows; without labelled rows there are no languages and every result is null.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small_side
 
-#: Bounds of the training sample and of the languages modelled.
-SAMPLE, MAX_LANGUAGES = 4000, 40
+#: Bounds of the training sample of each language and of the languages modelled.
+SAMPLE, MAX_LANGUAGES = 1000, 200
 BINS = 1 << 15
 #: Weight of a trigram's log-likelihood; trust in a declared language; strength of each prior level.
 TEMPER, DECLARED_ERROR, STRENGTH = 0.25, 0.1, 5.0
@@ -54,19 +54,23 @@ class Model:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
-    """Trigram models from at most `rows` distinct labelled texts (text, lang), those of least hash; copies count.
+    """Trigram models from at most `rows` distinct texts of each label (text, lang), those of least hash; copies count.
 
-    A share of the hash range that holds about 2 * `rows` of the labelled rows is filtered in the scan, so that the
-    ordered limit gets a bounded number of texts at every size of the table.
+    A share of the hash range that holds about 2 * `rows` distinct texts of the label is filtered in the scan, so that
+    the ordered limit gets a bounded number of texts at every size of the table, and a rare label all of its texts.
     """
-    labelled = docs.where("lang is not null")
-    share = min(1.0, 2 * rows / max(1, labelled.count()))
-    known = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
-    known = known.withColumn("h", F.xxhash64("text", "lang")).where(F.col("h") <= min((1 << 63) - 1, int(share * 2**64) - (1 << 63)))
+    known = docs.where("lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null")
+    known = known.withColumn("h", F.xxhash64("text", "lang"))
+    top = known.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r["lang"] for r in top)
+    if not languages:
+        return Model([], np.zeros((BINS, 0), np.float32))
+    upto = [(r["lang"], min((1 << 63) - 1, int(min(1.0, 2 * rows / max(1, r["texts"])) * 2**64) - (1 << 63))) for r in top]
+    bounds = docs.sparkSession.createDataFrame(upto, "lang string, upto long")
+    known = known.join(F.broadcast(bounds), "lang").where("h <= upto")
     once = known.groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"), F.count("*").alias("copies"))
-    picked = cut(once.orderBy("h").limit(rows).select("text", "lang", "copies"))
-    top = picked.groupBy("lang").agg(F.sum("copies").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(r["lang"] for r in top.collect())
+    ranked = once.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    picked = cut(ranked.where(F.col("at") <= rows).select("text", "lang", "copies"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {}
@@ -80,10 +84,9 @@ def train(docs: DataFrame, rows: int = SAMPLE) -> Model:
     counts = picked.mapInArrow(run, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = np.full((BINS, len(languages)), 0.1)
     place = {x: i for i, x in enumerate(languages)}
-    for r in counts.collect():  # at most BINS rows a language
-        if r["lang"] in place:
-            table[r["bin"], place[r["lang"]]] += r["n"]
-    return Model(languages, np.log(table / table.sum(0)).astype(np.float32)) if languages else Model([], np.zeros((BINS, 0), np.float32))
+    got = counts.toArrow()  # at most BINS rows a language
+    table[got["bin"].to_numpy(), [place[x] for x in got["lang"].to_pylist()]] += got["n"].to_numpy()
+    return Model(languages, np.log(table / table.sum(0)).astype(np.float32))
 
 
 def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
@@ -103,11 +106,14 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("key", "text", "declared", "host", "domain", "suffix").mapInArrow(run, "key long, declared string, host string, domain string, suffix string, n long, mean array<double>")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where the body uses it inside a loop over an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    divided = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return _let(logs, lambda v: _let(F.array_max(v), lambda top: _let(F.transform(v, lambda x: F.exp(x - top)), divided)))
 
 
 def fuse(evidence: DataFrame, model: Model, strength: float = STRENGTH) -> DataFrame:
@@ -133,8 +139,8 @@ def fuse(evidence: DataFrame, model: Model, strength: float = STRENGTH) -> DataF
 
     def shares(counts: Column, prior: Column) -> Column:
         """Counts smoothed by `strength` rows of the prior."""
-        total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(counts, prior, lambda c, p: (c + strength * p) / (total + strength))
+        sums = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+        return _let(sums, lambda total: F.zip_with(counts, prior, lambda c, p: (c + strength * p) / (total + strength)))
 
     uniform = F.array_repeat(F.lit(1.0 / k), k)
     p_suffix = suffix.select("suffix", as_array.alias("c1")).join(F.broadcast(world), F.lit(True)).select("suffix", shares(F.col("c1"), shares(F.col("c0"), uniform)).alias("p1"))
@@ -173,12 +179,13 @@ def identify_pages(pages: DataFrame, model: Model) -> DataFrame:
     return fuse(text_evidence(page_rows(pages), model), model)
 
 
-def rejected(found: DataFrame, floor: float = FLOOR, sure: float = 0.999) -> DataFrame:
-    """Keys of rows that are in no known language: no letters, trigrams unlike every language, or surely not the
-    declared one."""
-    unlike = (F.col("n") == 0) | (F.col("mean_loglik") < floor)
+def rejected(found: DataFrame, languages: list[str], floor: float = FLOOR, sure: float = 0.999) -> DataFrame:
+    """Keys of rows that are in no known language: no letters, or, unless their declared language has no model among
+    `languages`, trigrams unlike every language or surely not the declared one."""
+    unlike = F.col("mean_loglik") < floor
     other = F.col("declared").isNotNull() & (F.col("declared") != F.col("lang")) & (F.col("confidence") >= sure)
-    return found.where(unlike | F.coalesce(other, F.lit(False))).select("key").distinct()
+    judged = F.col("declared").isNull() | F.array_contains(F.array(*map(F.lit, languages)), F.col("declared"))
+    return found.where((F.col("n") == 0) | judged & F.coalesce(unlike | other, F.lit(False))).select("key").distinct()
 
 
 def accept(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -190,5 +197,5 @@ def accept(docs: DataFrame, model: Model | None = None) -> DataFrame:
     if not model.languages:
         return docs
     key = F.xxhash64("doc_id", "text", "lang", "source")
-    bad = small_side(cut(rejected(fuse(text_evidence(document_rows(docs, key), model), model))))
+    bad = small_side(cut(rejected(fuse(text_evidence(document_rows(docs, key), model), model), model.languages)))
     return docs.withColumn("_row", key).join(bad, F.col("_row") == F.col("key"), "left_anti").drop("_row")

@@ -63,6 +63,22 @@ def test_language_model_and_fusion(spark, docs):
     assert langid.train(docs.limit(0)).languages == [] and langid.accept(docs.limit(0)).count() == 0
 
 
+def test_rare_languages_are_modelled_and_kept(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in range(46):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:9]
+        vocabulary = ["".join(rng.choice(letters, rng.integers(3, 8))) for _ in range(60)]
+        rows += [(len(rows) + i, " ".join(rng.choice(vocabulary, 120)), f"l{n:02d}") for i in range(600 if not n else 2)]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, lang string, source string").repartition(4)
+    model = langid.train(df, 20)
+    assert len(model.languages) == 46 and len(np.unique(model.logp, axis=1).T) == 46
+    assert langid.accept(df, model).count() == len(rows)
+    few = langid.train(df.where("lang < 'l03'"), 20)
+    odd = spark.createDataFrame([(9000, "123", "l40", "s"), (9001, None, "l41", "s"), (9002, rows[-1][1], "l00", "s")], df.schema)
+    assert {r["doc_id"] for r in langid.accept(df.unionByName(odd), few).collect()} == {r[0] for r in rows}
+
+
 def test_page_language(spark):
     out = queries.op4_language(spark, SF)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
