@@ -38,6 +38,8 @@ IMPLIED = {
     "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
+#: Start tags that do not end an open head; any other, and text, does.
+IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
 _NO_SHOW = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -64,7 +66,13 @@ class TreeBuilder(HTMLParser):
                 if not any(n.tag in names for n in self.open[max(1, i - 3) :]):
                     return
 
+    def _leave_head(self) -> None:
+        if self.open[-1].tag == "head":
+            self._end(("head",), ())
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in IMPLIED:
             self._end(*IMPLIED[tag])
         elif tag in BLOCK and any(n.tag == "p" for n in self.open):
@@ -84,6 +92,7 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "br":
+            self._leave_head()
             self.open[-1].children.append(Node("br"))
             return
         for i in range(len(self.open) - 1, 0, -1):
@@ -94,6 +103,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if _SPACE.sub("", data):
+            self._leave_head()
         self.open[-1].children.append(data)
 
 

@@ -24,6 +24,11 @@ def test_visible_text():
     assert htmltext.visible_text("<td>a<td>b") == "ab"
 
 
+def test_head_without_end_tag():
+    assert htmltext.visible_text("<html><head><title>t</title><meta charset=x><p>Hello <b>all</b></html>") == "Hello all"
+    assert htmltext.visible_text("<head><style>p{}</style>\n <script>x</script> Hello<p>all") == "Hello\n\nall"
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = queries.op6_html(spark, SF)
