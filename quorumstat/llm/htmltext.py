@@ -6,7 +6,8 @@ markers and indents for list items, and table cells padded to the width of their
 
 Edge cases: a null or empty page has empty text; unclosed, stray and misnested tags are
 repaired as by their nearest open ancestor; elements nested beyond MAX_DEPTH are laid out
-as if at that depth; repeated rows give equal text; an empty table gives no rows.
+as if at that depth; of a select the shown option is text; closed dialogs, and in
+drawings all but text elements, are hidden; repeated rows give equal text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,20 +22,23 @@ from pyspark.sql import functions as F
 
 MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style head template noscript title meta link svg math object iframe select textarea audio video canvas datalist dialog".split())
+HIDDEN = frozenset("script style head template noscript title meta link iframe audio video canvas datalist annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption figcaption details summary center menu thead tbody tfoot".split())
+SECTIONS = ("thead", "tbody", "tfoot")
+#: Below svg, subtrees that are not drawn; and text is drawn only below these.
+SVG_HIDDEN, SVG_TEXT = frozenset("defs symbol desc metadata clippath mask marker pattern".split()), ("text", "foreignobject")
 #: A start tag ends open elements of these names, unless one of the barriers stands between.
 IMPLIED = {
     "li": (("li",), ("ul", "ol", "menu")),
     "dt": (("dt", "dd"), ("dl",)),
     "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th", "caption"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
-    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
-    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "td": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+    "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
     "option": (("option",), ("select",)),
     "body": (("head",), ()),
 }
@@ -45,10 +49,10 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start")
+    __slots__ = ("tag", "children", "hidden", "start", "attrs")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.children, self.hidden, self.start = tag, [], hidden, start
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, attrs: dict | None = None):
+        self.tag, self.children, self.hidden, self.start, self.attrs = tag, [], hidden, start, attrs or {}
 
 
 class TreeBuilder(HTMLParser):
@@ -77,17 +81,35 @@ class TreeBuilder(HTMLParser):
             self._end(*IMPLIED[tag])
         elif tag in BLOCK and any(n.tag == "p" for n in self.open):
             self._end(("p",), ("td", "th", "table", "button"))
+        if tag in ("td", "th") and self.open[-1].tag in ("table", *SECTIONS) and len(self.open) < MAX_DEPTH:
+            self._push(Node("tr"))
         a = dict(attrs)
-        hidden = tag in HIDDEN or "hidden" in a or bool(_NO_SHOW.search(a.get("style") or ""))
+        drawing = self._drawing()
+        if drawing and tag == "text":
+            self.open[-1].children.append(" ")
+        unseen = tag == "dialog" and "open" not in a or tag == "object" and "data" in a or drawing and tag in SVG_HIDDEN
+        hidden = unseen or tag in HIDDEN or "hidden" in a or bool(_NO_SHOW.search(a.get("style") or ""))
         start = int(a["start"]) if tag == "ol" and (a.get("start") or "").lstrip("-").isdigit() and len(a["start"]) < 10 else 1
-        node = Node(tag, hidden, start)
-        self.open[-1].children.append(node)
+        node = Node(tag, hidden, start, a if tag in ("select", "option") else None)
         if tag not in VOID and len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+            self._push(node)
+        else:
+            self.open[-1].children.append(node)
+
+    def _push(self, node: Node) -> None:
+        self.open[-1].children.append(node)
+        self.open.append(node)
+
+    def _drawing(self) -> bool:
+        """Inside svg, outside its text."""
+        for n in reversed(self.open):
+            if n.tag == "svg" or n.tag in SVG_TEXT:
+                return n.tag == "svg"
+        return False
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and tag in ("svg", "math"):
+        if tag not in VOID and self.open[-1].tag == tag and any(n.tag in ("svg", "math") for n in self.open):
             self.open.pop()
 
     def handle_endtag(self, tag):
@@ -105,7 +127,8 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if _SPACE.sub("", data):
             self._leave_head()
-        self.open[-1].children.append(data)
+        if not self._drawing():
+            self.open[-1].children.append(data)
 
 
 class Page:
@@ -161,6 +184,13 @@ def render(node: Node, page: Page, pre: bool = False) -> None:
             continue
         if tag == "br":
             page.br(True)
+        elif tag == "select":
+            for option in _shown_options(child):
+                page.text(" ", False)
+                render(option, page, pre)
+                page.text(" ", False)
+        elif tag == "textarea":
+            render(child, page, True)
         elif tag == "table":
             page.block(True)
             _table(child, page)
@@ -204,19 +234,48 @@ def _item(child: Node, page: Page, outer: str, mark: str, pre: bool) -> None:
             page.lines.append("")
 
 
+def _shown_options(select: Node) -> list[Node]:
+    """All options of a list box; of a drop-down the last selected one, or else the first that is not disabled."""
+    todo, options = [select], []
+    while todo:
+        node = todo.pop()
+        if node.tag == "option":
+            options.append(node)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node) and not c.hidden]
+    size = select.attrs.get("size") or ""
+    if "multiple" in select.attrs or size.isdigit() and int(size) > 1:
+        return options
+    chosen = [o for o in options if "selected" in o.attrs][-1:] or [o for o in options if "disabled" not in o.attrs][:1]
+    return chosen
+
+
+def _loose(node: Node) -> Iterator[Node | str]:
+    """What stands in a table or its sections outside the rows."""
+    for c in node.children:
+        if isinstance(c, str):
+            if c.strip():
+                yield c
+        elif c.tag in SECTIONS:
+            if not c.hidden:
+                yield from _loose(c)
+        elif c.tag != "tr":
+            yield c
+
+
 def _rows(node: Node) -> Iterator[Node]:
     for c in node.children:
         if isinstance(c, Node) and not c.hidden:
             if c.tag == "tr":
                 yield c
-            elif c.tag in ("thead", "tbody", "tfoot"):
+            elif c.tag in SECTIONS:
                 yield from _rows(c)
 
 
 def _table(node: Node, page: Page) -> None:
     """Cells rendered on their own, padded to their column's width; what is not in a row comes before the rows."""
     rest = Node("div")
-    rest.children = [c for c in node.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot")]
+    rest.children = list(_loose(node))
     render(rest, page)
     page.br()
     grid = []

@@ -29,6 +29,18 @@ def test_head_without_end_tag():
     assert htmltext.visible_text("<head><style>p{}</style>\n <script>x</script> Hello<p>all") == "Hello\n\nall"
 
 
+def test_table_sections_and_shown_elements():
+    show = htmltext.visible_text
+    assert show("<table><tbody><td>x<td>y</tbody></table>") == "x  y" and show("<table><td>x</td></table>") == "x"
+    assert show("<table><tbody>loose<b>one</b><tr><td>x</table>") == "looseone\nx"
+    assert show("<table><colgroup><col><tbody><tr><td>a<td>b</table>") == "a  b"
+    assert show("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b") == "a x=2 b"
+    assert show("<svg><title>no</title><g>no<path/><text>one</text><text>two</text></g></svg> b") == "one two b"
+    assert show("<p><textarea>typed</textarea><dialog>no</dialog><dialog open>yes</dialog>") == "typedyes"
+    assert show("<select><option>a<option selected>b<option>c</select>") == "b" and show("<select><option>a<option>b</select>") == "a"
+    assert show("<select multiple><option>a<option>b</select> c") == "a b c"
+
+
 def test_html_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     out = queries.op6_html(spark, SF)
