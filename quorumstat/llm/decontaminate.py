@@ -75,17 +75,21 @@ def candidates(docs: DataFrame, w: DataFrame, slop: int = 0, id_col: str = "doc_
 
 def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with n_words and `hits`: array<struct(start, len, phrase, items)> of exact windows, and, where slop is
-    positive, `near`: those whose two rarest terms stand close but whose words differ."""
+    positive, `near`: inexact windows all of whose terms stand in the text within `slop` words of the window's place."""
     w = cut(windows(items, size, text_col="text"))
     found = candidates(docs, w, slop, id_col, text_col).join(w.select("phrase", F.size("terms").alias("len"), "items"), "phrase")
+    exact_type = "array<struct<start:int,len:int,phrase:string,items:array<string>,shift:int>>"
     hit = F.struct("start", "len", "phrase", "items", "shift")
     by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(hit)).alias("_hits"))
     joined = docs.join(by_doc, docs[id_col] == by_doc["_doc"], "left").withColumn("_words", words(F.col(text_col)))
     holds = lambda h: (h["shift"] == 0) & (F.array_join(F.slice(F.col("_words"), h["start"] + 1, h["len"]), " ") == h["phrase"])
-    exact = F.coalesce(F.filter("_hits", holds), F.array().cast("array<struct<start:int,len:int,phrase:string,items:array<string>,shift:int>>"))
+    exact = F.coalesce(F.filter("_hits", holds), F.array().cast(exact_type))
     out = joined.withColumn("hits", exact).withColumn("n_words", F.size("_words").cast("long"))
     if slop:
-        out = out.withColumn("near", F.filter("_hits", lambda h: ~holds(h)))
+        here = lambda h: F.slice(F.col("_words"), F.greatest(h["start"] - slop, F.lit(0)) + 1, h["len"] + 2 * slop)
+        whole = lambda h: F.size(F.array_except(F.split(h["phrase"], " "), here(h))) == 0
+        same = lambda h: F.exists("hits", lambda e: (e["phrase"] == h["phrase"]) & (F.abs(e["start"] - h["start"]) <= slop))
+        out = out.withColumn("near", F.coalesce(F.filter("_hits", lambda h: ~holds(h) & whole(h) & ~same(h)), F.array().cast(exact_type)))
     return out.drop("_doc", "_hits", "_words")
 
 

@@ -280,6 +280,15 @@ def test_decontamination_edges(spark, docs, rows):
     assert decontaminate.find(near, bench.where("item_id = 11"), slop=1).where("size(near) > 0 and size(hits) = 0").count() == 1
 
 
+def test_near_leaks_in_the_query(spark, tmp_path):
+    leak = [f"s{i}" for i in range(12)]
+    texts = [(1, " ".join(leak)), (2, " ".join([*leak[:6], "extra", *leak[6:]])), (3, " ".join([*leak[:2], "other", *leak[3:]])), (4, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(leak))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in queries.op9_decontamination(spark, str(tmp_path)).collect()}
+    assert got == {1: (12, 0), 2: (0, 3), 3: (0, 0), 4: (0, 0)}
+
+
 def test_mixing(spark, docs):
     big = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.when(F.col("id") < 2700, "big").when(F.col("id") < 2950, "mid").alias("source"))
     out = mixing.mix(big, budget_tokens=30000, block_tokens=500).cache()
