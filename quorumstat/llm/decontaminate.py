@@ -7,7 +7,8 @@ the window and intersected, and what remains is verified word by word in the tex
 
 Edge cases: a null or wordless text or item has no words, windows or hits; an item
 shorter than a window is one window; repeated items and rows count once each; documents
-whose id repeats are verified on their own text; an empty benchmark or corpus gives no
+whose id repeats, or is null, are verified on their own text; items without id are one
+item of the empty id; an empty benchmark or corpus gives no
 hits; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ def words(text: Column) -> Column:
 
 def windows(items: DataFrame, size: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """(phrase, terms, items): each distinct window of the items, with the sorted ids of the items that hold it."""
-    w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0 and item is not null")
+    w = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     each = w.select("item", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))).alias("i"))
     each = each.select("item", F.slice("w", F.col("i"), size).alias("terms"))
     return each.groupBy(F.array_join("terms", " ").alias("phrase")).agg(F.first("terms").alias("terms"), F.sort_array(F.collect_set("item")).alias("items"))
@@ -68,8 +69,8 @@ def candidates(docs: DataFrame, w: DataFrame, slop: int = 0, id_col: str = "doc_
 
     first, second = shifted("a"), shifted("b").select("phrase", "doc", "start")
     near = second.select("phrase", "doc", F.explode(F.array(*[F.lit(s) for s in range(-slop, slop + 1)])).alias("shift"), F.col("start").alias("at"))
-    near = near.select("phrase", "doc", "shift", (F.col("at") - F.col("shift")).alias("start"))
-    both = first.where("not alone").join(near, ["phrase", "doc", "start"]).select("phrase", "doc", "start", "shift")
+    near = near.select("phrase", "doc", "shift", (F.col("at") - F.col("shift")).alias("start")).toDF("p", "d", "shift", "s")
+    both = first.where("not alone").join(near, F.expr("phrase = p and doc <=> d and start = s")).select("phrase", "doc", "start", "shift")
     return both.unionByName(first.where("alone").select("phrase", "doc", "start", F.lit(0).alias("shift"))).where("start >= 0")
 
 
@@ -81,7 +82,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_co
     exact_type = "array<struct<start:int,len:int,phrase:string,items:array<string>,shift:int>>"
     hit = F.struct("start", "len", "phrase", "items", "shift")
     by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(hit)).alias("_hits"))
-    joined = docs.join(by_doc, docs[id_col] == by_doc["_doc"], "left").withColumn("_words", words(F.col(text_col)))
+    joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_doc"]), "left").withColumn("_words", words(F.col(text_col)))
     holds = lambda h: (h["shift"] == 0) & (F.array_join(F.slice(F.col("_words"), h["start"] + 1, h["len"]), " ") == h["phrase"])
     exact = F.coalesce(F.filter("_hits", holds), F.array().cast(exact_type))
     out = joined.withColumn("hits", exact).withColumn("n_words", F.size("_words").cast("long"))

@@ -96,7 +96,7 @@ def compare_edits(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
     """Each text of `docs(doc_id, text)` against itself with its last half replaced by the head of the next document.
 
     The next document is the one with the next smaller id (after the smallest, the
-    largest).  Texts are shuffled once by id; only the head that is needed and the hashes
+    largest); that of a row without id is an empty text.  Texts are shuffled once by id; only the head that is needed and the hashes
     travel to the neighbour.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
@@ -107,6 +107,8 @@ def compare_edits(docs: DataFrame, k: int = K, w: int = WINDOW) -> DataFrame:
         F.col("before").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), hashes(F.col("g")).alias("next_hashes")
     )
     pair = here.select("doc_id", "text").join(sent, "doc_id")
+    nobody = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("head"), F.array().cast(sent.schema["next_hashes"].dataType).alias("next_hashes"))
+    pair = pair.unionByName(nobody)
     n = F.char_length("text")
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"), F.expr("substring(head, 1, cast(floor(char_length(text) / 2) as int))"))
     out = pair.select("doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next_hashes")

@@ -289,6 +289,22 @@ def test_near_leaks_in_the_query(spark, tmp_path):
     assert got == {1: (12, 0), 2: (0, 3), 3: (0, 0), 4: (0, 0)}
 
 
+def test_rows_without_id(spark, docs):
+    leak = " ".join(f"s{i}" for i in range(12))
+    rows = spark.createDataFrame([(None, leak), (None, "clean"), (1, leak), (2, None), (None, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, leak)], "item_id long, text string")
+    hits = decontaminate.find(rows, bench).select("doc_id", "text", F.size("hits").alias("n")).collect()
+    assert len(hits) == 5 and all(r["n"] == (3 if r["text"] == leak else 0) for r in hits)
+    assert {(r["doc_id"], r["text"]) for r in decontaminate.clean(rows, bench).collect()} == {(None, "clean"), (2, None), (None, None)}
+    got = [r for r in winnow.compare_edits(rows).collect() if r["doc_id"] is None]
+    assert sorted(r["n_chars"] for r in got) == [0, 5, len(leak)]
+    for r in got:
+        text = {0: "", 5: "clean"}.get(r["n_chars"], leak)
+        edited = text[: len(text) - len(text) // 2]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert math.isclose(r["near_edited"], brute_likeness(brute_grams(text), brute_grams(edited))) and r["near_next"] == float(not text)
+
+
 def test_mixing(spark, docs):
     big = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 10).alias("text"), F.when(F.col("id") < 2700, "big").when(F.col("id") < 2950, "mid").alias("source"))
     out = mixing.mix(big, budget_tokens=30000, block_tokens=500).cache()
