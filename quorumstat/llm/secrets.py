@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GAP = "\0"
-#: Matches of one rule in one text that the running sums cover: 2 to this power.
-SUM_STEPS = 22
+#: Matches of one rule in one text that the running sums cover: 2 to this power, beyond the longest array there can
+#: be; steps beyond an array's size leave it as it is.
+SUM_STEPS = 31
 
 
 @dataclass(frozen=True)

@@ -243,6 +243,12 @@ def test_secrets_edges(spark, docs, rows):
     assert "24be6443" not in clean[13] and clean[13].startswith("é [SECRET]") and "secret=short" in clean[13]
 
 
+def test_running_sums_cover_every_array(spark):
+    assert 2**secrets.SUM_STEPS >= 2**31 - 1
+    got = spark.range(1).select(secrets._running_sums(F.array_repeat(F.lit(3), 1000)).alias("s")).first()["s"]
+    assert got == [3 * i for i in range(1, 1001)]
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r) for r in secrets.BASE + secrets.EXTRA}
     assert q["hex"] is None and q["access"] == [frozenset({"aki", "kia"})]
