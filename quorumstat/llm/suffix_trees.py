@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .repeats import Task, Words, remove_repeats
+from .repeats import Task, Words, flag_edges, remove_repeats
 
 LENGTH, K = 35, 8
 #: Suffixes of one subtree.
@@ -101,15 +101,17 @@ _PA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 
 
 def _report(block, symbols, lengths, flags) -> pa.Table:
-    rows, lo = [], 0
-    for i, null, n in zip(block.ids.tolist(), block.null.tolist(), lengths.tolist(), strict=True):
-        f = flags[lo : lo + n]
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], f.view(np.int8), [0])))).reshape(-1, 2).tolist()
-        words, kept, upto = symbols.all[lo : lo + n], [], 0
+    rows, lo, at = [], 0, 0
+    start, end = flag_edges(lengths, flags)
+    to = np.searchsorted(start, np.cumsum(lengths)).tolist()
+    start, end = start.tolist(), end.tolist()
+    for i, null, n, to in zip(block.ids.tolist(), block.null.tolist(), lengths.tolist(), to, strict=True):
+        edge, at = [(a - lo, b - lo) for a, b in zip(start[at:to], end[at:to], strict=True)], to
+        kept, upto = [], lo
         for a, b in edge:
-            kept += words[upto:a]
-            upto = b
-        kept = b" ".join(kept + words[upto:])
+            kept += symbols.all[upto : lo + a]
+            upto = lo + b
+        kept = b" ".join(kept + symbols.all[upto : lo + n])
         rows.append((None if null else i, n, sum(b - a for a, b in edge), hashlib.sha256(kept).hexdigest(), [{"start": a, "end": b} for a, b in edge]))
         lo += n
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 5, _PA, strict=True)], schema=_PA)

@@ -7,7 +7,9 @@ from collections import Counter
 
 import numpy as np
 
-from quorumstat.llm import bwt, queries, suffix_trees
+import pytest
+
+from quorumstat.llm import bwt, queries, repeats, suffix_trees
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,7 +62,11 @@ def test_queries(spark):
     assert key(tuple(r) for r in queries.op7_substring(spark, SF).collect()) == key(brute_words(docs))
 
 
-def test_edges(spark, docs, rows):
+@pytest.mark.parametrize("hot, batch, chunk", [(repeats.HOT, repeats.BATCH, repeats.CHUNK), (50, 200, 256)])
+def test_edges(spark, docs, rows, monkeypatch, hot, batch, chunk):
+    """Also with anchors dealt out by their sides, many batches and many chunks."""
+    for name, value in (("HOT", hot), ("BATCH", batch), ("CHUNK", chunk)):
+        monkeypatch.setattr(repeats, name, value)
     rnd = random.Random(3)
     passage = " ".join(f"p{rnd.randrange(1000)}" for _ in range(70))
     more = [(None, passage), (None, passage), (30, "x" * 60), (30, "x" * 60), (31, passage[:200] + " own " + passage[100:]), (32, "ab" * 200), (33, "ba" * 150)]
