@@ -1,9 +1,9 @@
 """Design-based estimation from sampling-unit totals.
 
 Every estimator is a weighted mean of one or more score columns.  The frame is aggregated
-once to (group, strata, psu) totals; the linearised scores, three-branch stratum variances
-and intervals come from that much smaller table.  The design is the whole frame: a null
-value leaves the estimate, never the design.
+once to (group, strata, psu) totals; groups, design counts, estimates, linearised scores,
+three-branch stratum variances and intervals all come from that much smaller table.  The
+design is the whole frame: a null value leaves the estimate, never the design.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ class Design:
         return "kish" if self.strata is None else "taylor"
 
 
+# The thresholds of the policies.
 @dataclass(frozen=True)
 class Policy:
     """Cells below `threshold` are suppressed; shown cells resting on fewer than `flag_below` are flagged."""
@@ -61,84 +62,88 @@ class Item:
 
 
 def design_counts(frame: DataFrame, design: Design) -> DataFrame:
-    """(strata, nh): sampling units of each stratum in the whole frame."""
+    """(_strata, nh): sampling units of each stratum in the whole frame."""
     return frame.groupBy(F.col(design.strata).alias("_strata")).agg(F.countDistinct(design.psu).alias("nh"))
 
 
-def _equal(a: list[str], left: DataFrame, right: DataFrame) -> Column:
-    return reduce(lambda x, y: x & y, [left[c] == right[c] for c in a])
+def unit_table(frame: DataFrame, items: list[Item], design: Design, by: list[str]) -> DataFrame:
+    """by, _strata, _psu and `rows`, an array with a struct for each item: its keys, sw, swy, n, one (and sww, swyy).
 
-
-def unit_totals(frame: DataFrame, items: list[Item], design: Design, by: list[str]) -> DataFrame:
-    """Totals of every item by group and sampling unit, in one aggregation: sw, swy, n, n1, sww, swyy."""
+    One aggregation over the rows; units without valid rows stay, since they are part of the design.  The totals are
+    one column, so that every reader of this table asks for the same columns and Spark reuses its exchange.
+    """
     w = F.col(design.weight).cast("double")
     unit = [F.col(design.strata).alias("_strata"), F.col(design.psu).alias("_psu")] if design.strata else [F.lit(0).alias("_strata"), F.lit(0).alias("_psu")]
-    aggs = []
-    for i, item in enumerate(items):
+    rows = []
+    for item in items:
         y = item.value.cast("double") if item.domain is None else F.when(item.domain, item.value.cast("double"))
         wy = F.when(y.isNotNull(), w)
-        aggs += [F.sum(wy).alias(f"sw{i}"), F.sum(wy * y).alias(f"swy{i}"), F.count(y).alias(f"n{i}"), F.sum(F.when(y == 1, 1).otherwise(0)).alias(f"one{i}")]
+        sums = {"sw": F.sum(wy), "swy": F.sum(wy * y), "n": F.count(y), "one": F.count(F.when(y == 1, 1))}
         if not design.strata:
-            aggs += [F.sum(wy * wy).alias(f"sww{i}"), F.sum(wy * y * y).alias(f"swyy{i}")]
-    wide = frame.groupBy(*[F.col(c) for c in by], *unit).agg(*aggs)
-    squares = lambda i: [F.col(f"sww{i}").alias("sww"), F.col(f"swyy{i}").alias("swyy")] if not design.strata else []
-    rows = [
-        F.struct(*[F.lit(v).alias(k) for k, v in item.keys], F.col(f"sw{i}").alias("sw"), F.col(f"swy{i}").alias("swy"), F.col(f"n{i}").alias("n"), F.col(f"one{i}").alias("one"), *squares(i))
-        for i, item in enumerate(items)
-    ]
-    return wide.select(*by, "_strata", "_psu", F.inline(F.array(*rows))).where("n > 0")
+            sums |= {"sww": F.sum(wy * wy), "swyy": F.sum(wy * y * y)}
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in item.keys], *[c.alias(k) for k, c in sums.items()]))
+    return frame.groupBy(*[F.col(c) for c in by], *unit).agg(F.array(*rows).alias("rows")).repartition("_strata", "_psu")
+
+
+def unit_counts(units: DataFrame) -> DataFrame:
+    """(_strata, nh) of a unit table: the sampling units of each stratum, with or without valid rows."""
+    return units.where(F.size("rows") > 0).groupBy("_strata").agg(F.countDistinct("_psu").alias("nh"))
+
+
+def match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, kept once; null keys match nothing.  Without keys, both sides have one row."""
+    if not keys:
+        return a.join(F.broadcast(b), F.lit(True), how)
+    renamed = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    return a.join(renamed, reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_k_{k}") for k in keys]), how).drop(*[f"_k_{k}" for k in keys])
 
 
 def taylor_variance(units: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, var, n_psu, n_strata from unit scores `units(keys, _strata, _psu, z)` and `counts(_strata, nh)`."""
-    strata = units.groupBy(*keys, "_strata").agg(F.sum(F.col("z") * F.col("z")).alias("s"), F.sum("z").alias("t"), F.count("*").alias("m"))
-    strata = strata.join(counts, "_strata")
-    centre = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    strata = strata.withColumn("zbar", F.sum("t").over(centre) / F.sum("nh").over(centre))
-    nh, t, zbar = F.col("nh").cast("double"), F.col("t"), F.col("zbar")
-    part = (
-        F.when(F.col("nh") == 1, (t - zbar) * (t - zbar))
-        .when(F.col("m") == 1, nh / (nh - 1) * ((t - zbar) * (t - zbar) + (nh - 1) * zbar * zbar))
-        .otherwise(nh / (nh - 1) * (F.col("s") - t * t / nh))
-    )
-    return strata.groupBy(*keys).agg(F.sum(part).alias("var"), F.sum("m").alias("n_psu"), F.count("*").alias("n_strata"))
+    strata = units.groupBy(*keys, "_strata").agg(F.sum(F.col("z") * F.col("z")).alias("squares"), F.sum("z").alias("score"), F.count("*").alias("seen"))
+    return _variance(strata.join(counts, "_strata"), keys)
+
+
+def _variance(strata: DataFrame, keys: list[str]) -> DataFrame:
+    """From `strata(keys, squares, score, seen, nh)`, a row for each stratum of a group: the between-unit variance; around
+    the group's mean unit score where a stratum has one unit, or one of several is seen."""
+    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    mean = F.sum("score").over(whole) / F.sum("nh").over(whole)
+    off, all_units = F.col("score") - mean, F.col("nh").cast("double")
+    widen = all_units / (all_units - 1)
+    part = F.when(F.col("nh") == 1, off * off)
+    part = part.when(F.col("seen") == 1, widen * (off * off + (all_units - 1) * mean * mean))
+    part = part.otherwise(widen * (F.col("squares") - F.col("score") * F.col("score") / all_units))
+    return strata.withColumn("part", part).groupBy(*keys).agg(F.sum("part").alias("var"), F.sum("seen").alias("n_psu"), F.count("*").alias("n_strata"))
 
 
 def records(frame: DataFrame, items: list[Item], design: Design, by: list[str]) -> DataFrame:
-    """by, item keys, estimate, se, n, one (rows scored 1), sum_w, n_psu, n_strata, df for groups with valid rows."""
+    """by, item keys, estimate, se, n, one (rows scored 1), sum_w, n_psu, n_strata, df for every group seen and every item;
+    a group with a null key has no estimate."""
     keys = [*by, *[k for k, _ in items[0].keys]]
-    units = unit_totals(frame, items, design, by)
-    grouped = units.groupBy(*keys)
-    base = [F.sum("swy").alias("swy"), F.sum("sw").alias("sum_w"), F.sum("n").alias("n"), F.sum("one").alias("one")]
+    units = unit_table(frame, items, design, by)
+    each = units.select(*by, "_strata", "_psu", F.inline("rows"))
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.lit(True))
+    total = lambda c: F.sum(F.when(known, F.col(c))).alias(c)
+    sums = [total(c) for c in ("swy", "sw", "n", "one")]
+    none = F.lit(None).cast("long")
     if design.strata is None:
-        g = grouped.agg(*base, F.sum("sww").alias("sww"), F.sum("swyy").alias("swyy")).withColumn("estimate", F.col("swy") / F.col("sum_w"))
+        g = each.groupBy(*keys).agg(*sums, total("sww"), total("swyy"))
+        g = g.withColumnRenamed("sw", "sum_w").withColumn("estimate", F.when(F.col("n") > 0, F.col("swy") / F.col("sum_w")))
         n_eff = F.col("sum_w") * F.col("sum_w") / F.col("sww")
         spread = F.greatest((F.col("swyy") / F.col("sum_w") - F.col("estimate") * F.col("estimate")) * (n_eff / (n_eff - 1)) / n_eff, F.lit(0.0))
-        none = F.lit(None).cast("long")
         return g.select(*keys, "estimate", F.when(n_eff > 1, F.sqrt(spread)).alias("se"), "n", "one", "sum_w", none.alias("n_psu"), none.alias("n_strata"), none.alias("df"))
-    g = grouped.agg(*base).withColumn("estimate", F.col("swy") / F.col("sum_w")).drop("swy")
-    if keys:
-        scored = units.join(g.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("estimate").alias("e"), F.col("sum_w").alias("sum_all")), reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys]))
-    else:
-        scored = units.crossJoin(F.broadcast(g.select(F.col("estimate").alias("e"), F.col("sum_w").alias("sum_all"))))  # one row
+    g = each.groupBy(*keys).agg(*sums).withColumn("estimate", F.when(F.col("n") > 0, F.col("swy") / F.col("sw"))).withColumnRenamed("sw", "sum_w").drop("swy")
+    scored = match(each.where(F.col("n") > 0), g.select(*keys, F.col("estimate").alias("e"), F.col("sum_w").alias("sum_all")), keys)
     scored = scored.select(*keys, "_strata", "_psu", ((F.col("swy") - F.col("e") * F.col("sw")) / F.col("sum_all")).alias("z"))
-    var = taylor_variance(scored, design_counts(frame, design), keys)
-    if keys:
-        var = var.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "var", "n_psu", "n_strata")
-        out = g.join(var, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys]), "left")
-    else:
-        out = g.crossJoin(var)  # one row each
+    out = match(g, taylor_variance(scored, unit_counts(units), keys), keys, "left")
     return out.select(*keys, "estimate", F.sqrt(F.greatest("var", F.lit(0.0))).alias("se"), "n", "one", "sum_w", "n_psu", "n_strata", (F.col("n_psu") - F.col("n_strata")).alias("df"))
 
 
-def universe(frame: DataFrame, by: list[str], keyed: list[tuple[tuple[str, object], ...]]) -> DataFrame:
-    """Every observed group with every item's keys."""
-    rows = F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in ks]) for ks in keyed])) if keyed and keyed[0] else None
-    if by:
-        groups = frame.select(*by).distinct()
-        return groups.select(*by, rows) if rows is not None else groups
-    one = frame.sparkSession.range(1)
-    return one.select(rows) if rows is not None else one.select(F.lit(1).alias("_all"))
+def grid(frame: DataFrame, by: list[str], keyed: list[tuple[tuple[str, object], ...]]) -> DataFrame:
+    """Every observed group with every item's keys, where the records hold only groups with valid rows."""
+    rows = F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in ks]) for ks in keyed]))
+    return (frame.select(*by).distinct() if by else frame.sparkSession.range(1)).select(*by, rows)
 
 
 def suppress_small_cells(df: DataFrame, policy: Policy = DEFAULT_POLICY, n: str = "n", base: str = "n", columns: tuple[str, ...] = ("estimate", "se", "ci_lo", "ci_hi")) -> DataFrame:
@@ -149,14 +154,11 @@ def suppress_small_cells(df: DataFrame, policy: Policy = DEFAULT_POLICY, n: str
 
 
 def finalize(
-    recs: DataFrame, all_rows: DataFrame, keys: list[str], stat: str, design: Design, policy: Policy = DEFAULT_POLICY, ci_level: float = 0.95, intervals: bool = True, share: bool = False
+    recs: DataFrame, keys: list[str], stat: str, design: Design, policy: Policy = DEFAULT_POLICY, ci_level: float = 0.95, intervals: bool = True, share: bool = False, all_rows: DataFrame | None = None
 ) -> DataFrame:
-    """Result records: the universe with its estimates, intervals, suppression and flags.  share: n is the count at the level."""
-    if keys:
-        r = recs.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in recs.columns if c not in keys])
-        out = all_rows.join(r, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_k_{k}") for k in keys]), "left")
-    else:
-        out = all_rows.join(recs, F.lit(True), "left")  # one row each
+    """Result records with intervals, suppression and flags.  share: n is the count at the level.  all_rows: the result
+    has these keys, where the records lack some."""
+    out = recs if all_rows is None else match(all_rows, recs, keys, "left")
     out = out.withColumn("n_base", F.coalesce("n", F.lit(0)))
     out = out.withColumns({"n": F.coalesce(F.col("one"), F.lit(0)).cast("long") if share else F.col("n_base"), "sum_w": F.coalesce("sum_w", F.lit(0.0))})
     z = NormalDist().inv_cdf((1 + ci_level) / 2)

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import DEFAULT_POLICY, Design, Item, Policy, finalize, records, universe
+from .core import DEFAULT_POLICY, Design, Item, Policy, finalize, grid, records
 
 
 def means(frame: DataFrame, items: list[Item], design: Design, by=(), policy: Policy = DEFAULT_POLICY, stat: str = "mean", ci_level: float = 0.95, share: bool = False) -> DataFrame:
     by = list(by)
     keys = [*by, *[k for k, _ in items[0].keys]]
-    return finalize(records(frame, items, design, by), universe(frame, by, [i.keys for i in items]), keys, stat, design, policy, ci_level, True, share)
+    all_rows = grid(frame, by, [i.keys for i in items]) if keys and not by else None  # an empty frame, too, has its items
+    return finalize(records(frame, items, design, by), keys, stat, design, policy, ci_level, True, share, all_rows)
 
 
 def weighted_mean(frame: DataFrame, value: str, design: Design = Design(), by=(), policy: Policy = DEFAULT_POLICY, ci_level: float = 0.95) -> DataFrame:
@@ -22,13 +23,21 @@ def weighted_mean(frame: DataFrame, value: str, design: Design = Design(), by=()
 
 
 def kish_n_eff(frame: DataFrame, weight: str = "w", by=()) -> DataFrame:
-    w = F.col(weight)
+    """(by, n, sum_w, n_eff); a weight that is not positive is an error of the job."""
+    w = F.when(F.col(weight) > 0, F.col(weight)).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double"))
     return frame.groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("sum_w"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_eff"))
 
 
+#: Levels are conditional sums of one aggregation; an item with more answers is no categorical one.
+MAX_LEVELS = 1000
+
+
 def observed_levels(frame: DataFrame, value: str) -> list[int]:
-    """The distinct codes of a categorical item: at most a few hundred values reach the driver."""
-    return sorted(r[0] for r in frame.where(F.col(value).isNotNull()).select(value).distinct().collect())
+    """The distinct codes of a categorical item; more than MAX_LEVELS are an error."""
+    found = frame.where(F.col(value).isNotNull()).select(value).distinct().limit(MAX_LEVELS + 1).collect()
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{value} has more than {MAX_LEVELS} distinct values; give its levels or bin it")
+    return sorted(r[0] for r in found)
 
 
 def indicator(value: Column, level) -> Column:
@@ -46,6 +55,8 @@ def weighted_distribution(frame: DataFrame, value: str, design: Design = Design(
     """Histogram over the contiguous observed range; empty bins stay."""
     if levels is None:
         lo, hi = frame.agg(F.min(value), F.max(value)).first()
+        if lo is not None and hi - lo >= MAX_LEVELS:
+            raise ValueError(f"{value} spans {lo} to {hi}, more than {MAX_LEVELS} bins; give its levels or bin it")
         levels = list(range(lo, hi + 1)) if lo is not None else []
     return weighted_proportion(frame, value, design, by, levels, policy, "distribution")
 
@@ -64,7 +75,7 @@ def weighted_quantile(frame: DataFrame, value: str, design: Design = Design(), p
     recs = wide.select(*by, "n", "sum_w", F.inline(F.array(*[F.struct(F.lit(float(q)).alias("p"), F.col(f"q{i}").alias("estimate")) for i, q in enumerate(p)]))).withColumns(
         {"one": F.lit(0), "se": none.cast("double"), "n_psu": none.cast("long"), "n_strata": none.cast("long"), "df": none.cast("long")}
     )
-    return finalize(recs, universe(frame, by, [(("p", float(q)),) for q in p]), [*by, "p"], "quantile", design, policy, intervals=False)
+    return finalize(recs, [*by, "p"], "quantile", design, policy, intervals=False, all_rows=grid(frame, by, [(("p", float(q)),) for q in p]))
 
 
 # --- panel
