@@ -2,16 +2,21 @@
 
 Training reads a bounded sample of labelled rows, `SAMPLE_TOXIC` and `SAMPLE_CLEAN` of
 them, chosen by hash of the id among the rows whose crc32(id) mod 3 is not 1, with near
-copies thinned by min-hash.  Word and prefix features are counted there by label; tokens
-of toxic documents whose features stand out are the labelled tokens of the chain, whose
-weights are fitted to the sample's sentences.  Forward-backward marginals of every
-sentence of every whole text give the offending tokens; the sum of their squares,
-calibrated on the sample, is the document's score.  Labels, language, source and id are never inputs.
+copies thinned by min-hash; of those rows, everything is used.  Word and prefix features
+are counted by label in the sample and in each of its two halves.  Tokens of toxic documents
+whose features stand out in the sample are the labelled tokens of the chain; what the chain
+observes of them is how their features stand out in the other half, so that it learns how
+far such evidence holds and how it carries over to neighbours.  The weights are fitted to
+all sentences of the sample (in pieces of at most `PIECE` tokens, equal ones counted), batch
+by batch.  Forward-backward marginals of every sentence of every whole text give the
+offending tokens; the sum of their squares, calibrated on the sample, is the document's
+score.  Labels, language, source and id are never inputs.
 
 Edge cases: a null or letterless text scores as a text without offending tokens; repeated
 rows score alike; contradictory or missing labels are only used as far as they are 0 or 1;
-without any labelled toxic row every score is the share of toxic labels seen (0 if none);
-an empty table gives no rows; other columns are ignored.
+a row without id is never learned from and counts as held out; without any labelled toxic
+row, or without any feature that stands out, every score is the share of toxic labels seen
+(0 if none); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +32,26 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bounds of the training sample, of the feature table, and of the sentences (and their tokens) the chain is fitted to.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_FEATURES, MAX_SENTENCES, MAX_TOKENS = 2500, 6000, 5000, 4000, 60
+#: Bounds of the training sample, in rows.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 2500, 6000
+#: Tokens of a piece of a sentence, and of a batch of pieces, when the chain is fitted.
+PIECE, BATCH = 60, 200_000
 MIN_TOXIC_DOCS, MIN_LOG_ODDS = 5, 2.5
 PREFIXES = (4, 5, 6)
 LEVELS = (3.5, 5.0, 6.5)  # at which a feature's level rises
 N_LEVEL = len(LEVELS) + 2
 MEMO = 1 << 18
+_STOPS = ".!?\n"
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 
 
 def training_rows(id_col: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1
+    """Whether a row may be learned from; false without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
 def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> DataFrame:
-    """(text, toxic) of the bounded training sample."""
+    """(text, toxic, half) of the bounded training sample; half is 0 or 1, by hash of the text."""
     known = labels.where(training_rows() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     by_hash = F.xxhash64(F.lit(11), "doc_id")
     ids = cut(known.where("toxic = 1").orderBy(by_hash, "doc_id").limit(n_toxic).unionByName(known.where("toxic = 0").orderBy(by_hash, "doc_id").limit(n_clean)))
@@ -50,22 +59,30 @@ def sample(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cl
     words = F.split(F.col("text"), r"\s+")
     low = lambda seed: F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.lit(seed), F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
     rows = rows.withColumn("w", words).withColumns({"m1": low(1), "m2": low(2)}).drop("w")
-    return cut(rows.dropDuplicates(["toxic", "m1"]).dropDuplicates(["toxic", "m2"]).select("text", "toxic"))
+    return cut(rows.dropDuplicates(["toxic", "m1"]).dropDuplicates(["toxic", "m2"]).select("text", "toxic", F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(2)).cast("int").alias("half")))
 
 
-def feature_table(rows: DataFrame) -> dict[str, float]:
-    """Words (=word) and prefixes (prefix) that stand out in toxic documents, at most MAX_FEATURES: their log-odds less
-    one standard error, so that chance features of few documents stay out."""
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+def feature_tables(rows: DataFrame) -> list[dict[str, float]]:
+    """Words (=word) and prefixes (prefix) that stand out in the toxic documents of half 0, of half 1, and of both: their
+    log-odds less one standard error, so that chance features of few documents stay out.
+
+    A feature is in at least MIN_TOXIC_DOCS of at most SAMPLE_TOXIC documents, which bounds what reaches the driver.
+    """
+    w = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), F.lower))
     parts = [F.transform("w", lambda x: F.concat(F.lit("="), x))]
     parts += [F.transform(F.filter("w", longer_than(n)), head(n)) for n in PREFIXES]
-    each = rows.select("toxic", w.alias("w")).select("toxic", F.explode(F.array_distinct(F.concat(*parts))).alias("f"))
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    counts = each.groupBy("f").agg(F.sum("toxic").alias("a"), F.count("*").alias("c"))
-    odds = F.log((F.col("a") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("c") - F.col("a") + 0.5) / (n.get(0, 0) + 1))
-    odds = odds - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("c") - F.col("a") + 0.5))
-    top = counts.where(F.col("a") >= MIN_TOXIC_DOCS).withColumn("o", odds).where(F.col("o") >= MIN_LOG_ODDS).orderBy(F.desc("a"), "f").limit(MAX_FEATURES)
-    return {r["f"]: float(r["o"]) for r in top.collect()}
+    each = rows.select("toxic", "half", w.alias("w")).select("toxic", "half", F.explode(F.array_distinct(F.concat(*parts))).alias("f"))
+    n = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}  # four rows
+    sums = [F.count(F.when((F.col("half") == h) & (F.col("toxic") == t), 1)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)]
+    counts = each.groupBy("f").agg(*sums)
+    tables = []
+    for halves in ((0,), (1,), (0, 1)):
+        seen = {t: sum(n.get((h, t), 0) for h in halves) for t in (0, 1)}
+        a, c = (sum((F.col(f"n{h}{t}") for h in halves), F.lit(0)) for t in (1, 0))
+        odds = F.log((a + 0.5) / (seen[1] + 1)) - F.log((c + 0.5) / (seen[0] + 1)) - F.sqrt(1 / (a + 0.5) + 1 / (c + 0.5))
+        tables.append(F.when((a >= MIN_TOXIC_DOCS) & (odds >= MIN_LOG_ODDS), odds))
+    found = counts.select("f", F.array(*tables).alias("odds")).where(F.exists("odds", lambda x: x.isNotNull())).collect()
+    return [{r["f"]: float(r["odds"][i]) for r in found if r["odds"][i] is not None} for i in range(3)]
 
 
 def longer_than(n: int):
@@ -82,7 +99,7 @@ def level(odds: float | None) -> int:
 
 @dataclass
 class Crf:
-    """Two states; theta scores state 1 from the token's observed levels, trans[i, j] scores a step from i to j."""
+    """Two states; theta scores state 1 from the observed levels of the token and its neighbours, trans[i, j] a step from i to j."""
 
     features: dict[str, float] = field(default_factory=dict)
     theta: np.ndarray = field(default_factory=lambda: np.zeros(1 + 3 * N_LEVEL * 2))
@@ -90,23 +107,23 @@ class Crf:
     scale: tuple[float, float] = (0.0, 0.0)
     _memo: dict[str, int] = field(default_factory=dict)
 
-    def code(self, word: str) -> int:
+    def code(self, token: str) -> int:
         """Word level times N_LEVEL plus the highest prefix level; 0 for most words."""
-        found = self._memo.get(word)
+        found = self._memo.get(token)
         if found is None:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
-            get = self.features.get
+            get, word = self.features.get, token.lower()
             prefix = max((level(get(word[:n])) for n in PREFIXES if len(word) > n), default=0)
-            found = self._memo[word] = level(get("=" + word)) * N_LEVEL + prefix
+            found = self._memo[token] = level(get("=" + word)) * N_LEVEL + prefix
         return found
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all tokens, sentence of each)."""
         codes, number, s = [], [], 0
         code = self.code
-        for t in _TOKEN.findall(text.lower()):
-            if t[0] in ".!?\n":
+        for t in _TOKEN.findall(text):
+            if t[0] in _STOPS:
                 s += 1
             else:
                 codes.append(code(t)), number.append(s)
@@ -114,23 +131,42 @@ class Crf:
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """Scores of state 1; codes is (sentences, tokens) with -1 beyond the end."""
-        return _design(codes) @ self.theta
+        return _emissions(self.theta, _near(codes))
 
     def marginals(self, codes: np.ndarray) -> np.ndarray:
         return forward_backward(self.emissions(codes), self.trans, codes >= 0)[0]
 
 
-def _design(codes: np.ndarray) -> np.ndarray:
-    """One-hot word and prefix levels of the token and its neighbours, and a constant."""
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Offsets of the tokens that `Crf.sentences` numbers."""
+    return [m.span() for m in _TOKEN.finditer(text) if m[0][0] not in _STOPS]
+
+
+def _near(codes: np.ndarray) -> list[np.ndarray]:
+    """Codes of each token, of the one before and of the one behind; 0 beyond the ends."""
     c = np.maximum(codes, 0)
     pad = np.zeros((len(c), 1), np.int64)
-    near = [c, np.hstack((pad, c[:, :-1])), np.hstack((c[:, 1:], pad))]
-    eye = np.eye(N_LEVEL, dtype=np.float32)
-    return np.concatenate([np.ones((*c.shape, 1), np.float32), *[x for v in near for x in (eye[v // N_LEVEL], eye[v % N_LEVEL])]], axis=2)
+    return [c, np.hstack((pad, c[:, :-1])), np.hstack((c[:, 1:], pad))]
+
+
+def _emissions(theta: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
+    """A constant, and for each of the three tokens a weight of its word level and one of its prefix level."""
+    weights = theta[1:].reshape(3, 2, N_LEVEL)
+    tables = (weights[:, 0, :, None] + weights[:, 1, None, :]).reshape(3, -1)
+    return theta[0] + sum(t[c] for t, c in zip(tables, near, strict=True))
+
+
+def _gradient(near: list[np.ndarray], residual: np.ndarray) -> np.ndarray:
+    """Derivative of the sum of residual * emission by theta."""
+    out = [np.array([residual.sum()])]
+    for c in near:
+        by_code = np.bincount(c.ravel(), weights=residual.ravel(), minlength=N_LEVEL**2).reshape(N_LEVEL, N_LEVEL)
+        out += [by_code.sum(1), by_code.sum(0)]
+    return np.concatenate(out)
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, there: np.ndarray):
-    """(P(state 1) per token, expected transition counts, log-partition per sentence) by log-space recursions."""
+    """(P(state 1) per token, expected transition counts per sentence, log-partition per sentence) by log-space recursions."""
     n, t = e.shape
     score = np.stack((np.zeros_like(e), e), axis=2)
     fwd, bwd = np.empty((n, t, 2)), np.zeros((n, t, 2))
@@ -144,12 +180,12 @@ def forward_backward(e: np.ndarray, trans: np.ndarray, there: np.ndarray):
         bwd[:, i] = np.where(there[:, i + 1, None], step, bwd[:, i])
     logz = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
     p = np.exp(np.minimum(fwd[:, :, 1] + bwd[:, :, 1] - logz[:, None], 0)) * there
-    pair = np.zeros((2, 2))
+    pair = np.zeros((n, 2, 2))
     if t > 1:
         both = there[:, 1:]
         for a in (0, 1):
             for b in (0, 1):
-                pair[a, b] = (np.exp(np.minimum(fwd[:, :-1, a] + trans[a, b] + score[:, 1:, b] + bwd[:, 1:, b] - logz[:, None], 0)) * both).sum()
+                pair[:, a, b] = (np.exp(np.minimum(fwd[:, :-1, a] + trans[a, b] + score[:, 1:, b] + bwd[:, 1:, b] - logz[:, None], 0)) * both).sum(1)
     return p, pair, logz
 
 
@@ -160,18 +196,33 @@ def _padded(seqs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def fit_chain(model: Crf, seqs: list[np.ndarray], tags: list[np.ndarray], rounds: int = 150, ridge: float = 0.05) -> None:
-    """Maximum a posteriori weights by gradient ascent with per-weight step sizes."""
-    codes, y = _padded(seqs), np.maximum(_padded(tags), 0)
-    there, x = codes >= 0, _design(codes)
-    x *= there[:, :, None]
-    seen = np.einsum("ntd,nt->d", x, y)
-    pair_seen = np.array([[((y[:, :-1] == a) & (y[:, 1:] == b) & there[:, 1:]).sum() for b in (0, 1)] for a in (0, 1)], float)
+def _batches(seqs: list[np.ndarray], tags: list[np.ndarray], times: list[int]) -> Iterator[tuple]:
+    """Sequences of like length together, at most BATCH tokens with their padding (or one sequence)."""
+    order, lo = sorted(range(len(seqs)), key=lambda i: len(seqs[i])), 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * len(seqs[order[hi]]) <= BATCH:
+            hi += 1
+        part = order[lo:hi]
+        codes, y = _padded([seqs[i] for i in part]), _padded([tags[i] for i in part])
+        yield codes, np.maximum(y, 0), np.array([times[i] for i in part], float)
+        lo = hi
+
+
+def fit_chain(model: Crf, seqs: list[np.ndarray], tags: list[np.ndarray], times: list[int], rounds: int = 150, ridge: float = 0.05) -> None:
+    """Maximum a posteriori weights by gradient ascent with per-weight step sizes, summed over batches; sequence i counts
+    times[i] times."""
     w = np.concatenate((model.theta, model.trans.ravel()))
     m, v, d = np.zeros_like(w), np.zeros_like(w), len(model.theta)
+    compact = [x.astype(np.int8) for x in seqs], [x.astype(np.int8) for x in tags]
     for r in range(1, rounds + 1):
-        p, pair, _ = forward_backward(x @ w[:d], w[d:].reshape(2, 2), there)
-        g = np.concatenate((seen - np.einsum("ntd,nt->d", x, p), (pair_seen - pair).ravel())) - ridge * w
+        g = -ridge * w
+        for codes, y, k in _batches(*compact, times):
+            there, near = codes >= 0, _near(codes)
+            p, pair, _ = forward_backward(_emissions(w[:d], near), w[d:].reshape(2, 2), there)
+            seen = [[((y[:, :-1] == a) & (y[:, 1:] == b) & there[:, 1:]).sum(1) for b in (0, 1)] for a in (0, 1)]
+            g[:d] += _gradient(near, (y - p) * there * k[:, None])
+            g[d:] += ((np.moveaxis(np.array(seen, float), 2, 0) - pair) * k[:, None, None]).sum(0).ravel()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w + 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-9)
     model.theta, model.trans = w[:d], w[d:].reshape(2, 2)
@@ -208,42 +259,39 @@ def _offence(model: Crf, texts: list[str], spans: bool = False) -> tuple[np.ndar
                 hits.setdefault(i, []).extend((first + np.flatnonzero(row[: len(c)] >= 0.5)).tolist())
         lo = hi
     for i, at in hits.items():
-        places = [m.span() for m in _TOKEN.finditer(_lower(texts[i])) if m[0][0] not in ".!?\n"]
+        places = token_spans(texts[i])
         found[i] = [places[j] for j in sorted(at)]
     return np.log(total + 0.01), found
 
 
-def _lower(text: str) -> str:
-    """Lower case without change of length where possible, so that offsets hold."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
 def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN) -> Crf:
     """The fitted chain; what reaches the driver is bounded by the module's parameters."""
     rows = sample(docs, labels, n_toxic, n_clean)
-    model = Crf(features=feature_table(rows))
+    *halves, both = feature_tables(rows)
+    model = Crf(features=both)
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0) or not model.features:
         share = n.get(1, 0) / max(1, sum(n.values()))
         model.scale = (0.0, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
         return model
+    views = [Crf(features=x) for x in halves]
+    fields = [("codes", pa.binary()), ("tags", pa.binary())]
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                codes, number = model.sentences(text)
-                for part in np.split(codes, np.flatnonzero(np.diff(number)) + 1) if len(codes) else ():
-                    tag = toxic * ((part // N_LEVEL >= 1) | (part % N_LEVEL >= 2))
-                    if part.any() or len(part) % 16 == 0:
-                        out.append((int(part.any()), part[:MAX_TOKENS].tolist(), tag[:MAX_TOKENS].tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["hit", "codes", "tags"])
-
-    found = cut(rows.mapInArrow(tagged, "hit int, codes array<long>, tags array<long>"))
-    half = MAX_SENTENCES // 2
-    seqs = [r for hit in (0, 1) for r in found.where(F.col("hit") == hit).orderBy(F.xxhash64("codes")).limit(half).collect()]
-    fit_chain(model, [np.array(r["codes"]) for r in seqs], [np.array(r["tags"]) for r in seqs])
+            for text, toxic, half in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                own, number = model.sentences(text)
+                codes, _ = views[1 - half].sentences(text)
+                tags = toxic * ((own // N_LEVEL >= 1) | (own % N_LEVEL >= 2))
+                cuts = np.flatnonzero(np.diff(number)) + 1
+                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(codes)], strict=True):
+                    out += [(codes[i : min(hi, i + PIECE)], tags[i : min(hi, i + PIECE)]) for i in range(lo, hi, PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i].astype(np.uint8).tobytes() for o in out], pa.binary()) for i in (0, 1)], schema=pa.schema(fields))
+
+    pieces = rows.mapInArrow(tagged, "codes binary, tags binary").groupBy("codes", "tags").agg(F.count("*").alias("n")).toArrow()
+    arrays = [[np.frombuffer(x, np.uint8) for x in pieces[c].to_pylist()] for c in ("codes", "tags")]
+    fit_chain(model, *arrays, pieces["n"].to_pylist())
 
     def offences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,5 +1,7 @@
 """Operators 4, 6 and 8 and the pipeline: exact examples, held-out accuracy, planted cases."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -120,7 +122,63 @@ def test_forward_backward_is_exact():
             for i in range(n - 1):
                 pairs[y[i], y[i + 1]] += w / z
         assert np.allclose(p[row, :n], ones) and np.isclose(logz[row], np.log(z)) and not p[row, n:].any()
-    assert np.allclose(pair, pairs)
+    assert np.allclose(pair.sum(0), pairs)
+
+
+def toxic_model():
+    model = toxicity.Crf(features={"=scum": 6.0, "trash": 4.0}, scale=(1.0, 0.5))
+    rng = np.random.default_rng(1)
+    model.theta, model.trans = rng.normal(size=len(model.theta)), rng.normal(size=(2, 2))
+    return model
+
+
+def test_toxicity_score_equals_sentence_by_sentence(spark):
+    model = toxic_model()
+    texts = ["You scum of trashy trash. Nice day!\nscum", "", None, "\u0130stanbul scum", "good day " * 3000 + "scum", "İİİ scum. \u0130 trashcan", "scum"] * 2
+    df = spark.createDataFrame([(i if i < 13 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    got = {(r["doc_id"], r["score"], tuple(map(tuple, r["spans"]))) for r in toxicity.score(df, model).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        total, spans = 0.0, []
+        parts, at = [], 0
+        for m in re.finditer(r"[^\W\d_]+|[.!?\n]+", t or ""):
+            if m[0][0] in ".!?\n":
+                at += 1
+            else:
+                parts.append((at, m.span(), model.code(m[0])))
+        for sentence in sorted({p[0] for p in parts}):
+            mine = [p for p in parts if p[0] == sentence]
+            p = model.marginals(np.array([[c for _, _, c in mine]]))[0]
+            total += (p**2).sum()
+            spans += [s for (_, s, _), x in zip(mine, p, strict=True) if x >= 0.5] if any(c for _, _, c in mine) else []
+        z = model.scale[0] * np.log(total + 0.01) + model.scale[1]
+        want.add((i if i < 13 else None, round(1 / (1 + np.exp(-z)), 9), tuple(spans)))
+    assert {(i, round(s, 9), x) for i, s, x in got} == want
+
+
+def test_chain_is_fitted_to_all_pieces_alike():
+    """Batches and counts change nothing; the likelihood rises."""
+    rng = np.random.default_rng(2)
+    seqs = [rng.integers(0, 25, n) for n in (3, 9, 9, 40, 1)]
+    tags = [(s > 12).astype(int) for s in seqs]
+    fits = []
+    for batch, times in ((200_000, [1, 2, 1, 1, 3]), (10, [1, 2, 1, 1, 3])):
+        old, toxicity.BATCH = toxicity.BATCH, batch
+        m = toxicity.Crf()
+        toxicity.fit_chain(m, seqs, tags, times, rounds=30)
+        toxicity.BATCH = old
+        fits.append(m)
+    again = toxicity.Crf()
+    copies = [(s, t) for s, t, k in zip(seqs, tags, [1, 2, 1, 1, 3], strict=True) for _ in range(k)]
+    toxicity.fit_chain(again, [c[0] for c in copies], [c[1] for c in copies], [1] * len(copies), rounds=30)
+    assert np.allclose(fits[0].theta, fits[1].theta) and np.allclose(fits[0].theta, again.theta)
+    p = fits[0].marginals(np.array([seqs[3]]))[0]
+    assert p[tags[3] == 1].mean() > 0.6 > 0.4 > p[tags[3] == 0].mean()
+
+
+def test_rows_without_id_are_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,)], "doc_id long").select(toxicity.training_rows().alias("t"))
+    assert [r["t"] for r in df.collect()][0] is False
 
 
 def test_toxicity_held_out(spark):
