@@ -2,24 +2,31 @@
 
 A tree builder with implied end tags places every start tag; hidden subtrees are dropped;
 the tree is rendered with blank lines around paragraphs, line breaks around other blocks,
-markers and indents for list items, and table cells padded to the width of their column.
+markers and indents for list items, and table cells padded to the width of their columns
+(wide characters count as two, spanning cells cover theirs).
 
 Edge cases: a null or empty page has empty text; unclosed, stray and misnested tags are
-repaired as by their nearest open ancestor; elements nested beyond MAX_DEPTH are laid out
-as if at that depth; of a select the shown option is text; closed dialogs, and in
-drawings all but text elements, are hidden; repeated rows give equal text; an empty table gives no rows.
+repaired as by their nearest open ancestor; elements nested beyond MAX_DEPTH keep their
+visibility and begin lines where they are blocks, but are laid out as if at that depth; of
+a select the shown option is text; closed dialogs, and in drawings all but text elements,
+are hidden; below visibility: hidden only what is made visible again shows; very long pages
+are read whole; repeated rows give equal text; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Levels of the tree, which is rendered by recursion.
 MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head template noscript title meta link iframe audio video canvas datalist annotation annotation-xml".split())
@@ -44,29 +51,42 @@ IMPLIED = {
 }
 #: Start tags that do not end an open head; any other, and text, does.
 IN_HEAD = frozenset("html head base link meta title style script noscript template".split())
-_NO_SHOW = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_NO_SHOW = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+#: Largest column and row spans that browsers take.
+MAX_SPAN = {"colspan": 1000, "rowspan": 65534}
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "hidden", "start", "attrs")
+    """visible: what the element itself says of visibility, None if nothing.  drawing: inside svg, outside its text.
+    lent: a block whose contents stand in its parent."""
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1, attrs: dict | None = None):
-        self.tag, self.children, self.hidden, self.start, self.attrs = tag, [], hidden, start, attrs or {}
+    __slots__ = ("tag", "children", "hidden", "start", "attrs", "visible", "drawing", "lent")
+
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, attrs: dict | None = None, visible: bool | None = None):
+        self.tag, self.children, self.hidden, self.start, self.attrs, self.visible, self.drawing, self.lent = tag, [], hidden, start, attrs or {}, visible, False, False
 
 
 class TreeBuilder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("body")
-        self.open = [self.root]
+        self.open, self.count = [self.root], Counter()
+
+    def _close(self, i: int) -> None:
+        for n in self.open[i:]:
+            self.count[n.tag] -= 1
+            if n.lent:
+                n.children.append(Node("div"))
+        del self.open[i:]
 
     def _end(self, names: tuple[str, ...], barriers: tuple[str, ...]) -> None:
         for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in barriers:
+            if self.open[i].tag in barriers or not any(self.count[x] for x in names):
                 return
             if self.open[i].tag in names:
-                del self.open[i:]
+                self._close(i)
                 if not any(n.tag in names for n in self.open[max(1, i - 3) :]):
                     return
 
@@ -79,47 +99,53 @@ class TreeBuilder(HTMLParser):
             self._leave_head()
         if tag in IMPLIED:
             self._end(*IMPLIED[tag])
-        elif tag in BLOCK and any(n.tag == "p" for n in self.open):
+        elif tag in BLOCK and self.count["p"]:
             self._end(("p",), ("td", "th", "table", "button"))
-        if tag in ("td", "th") and self.open[-1].tag in ("table", *SECTIONS) and len(self.open) < MAX_DEPTH:
+        if tag in ("td", "th") and self.open[-1].tag in ("table", *SECTIONS):
             self._push(Node("tr"))
         a = dict(attrs)
-        drawing = self._drawing()
+        drawing = self.open[-1].drawing
         if drawing and tag == "text":
             self.open[-1].children.append(" ")
         unseen = tag == "dialog" and "open" not in a or tag == "object" and "data" in a or drawing and tag in SVG_HIDDEN
         hidden = unseen or tag in HIDDEN or "hidden" in a or bool(_NO_SHOW.search(a.get("style") or ""))
         start = int(a["start"]) if tag == "ol" and (a.get("start") or "").lstrip("-").isdigit() and len(a["start"]) < 10 else 1
-        node = Node(tag, hidden, start, a if tag in ("select", "option") else None)
-        if tag not in VOID and len(self.open) < MAX_DEPTH:
+        said = _VISIBILITY.search(a.get("style") or "")
+        node = Node(tag, hidden, start, a if tag in ("select", "option", "td", "th", "li") else None, said and said[1].lower() == "visible")
+        if tag not in VOID:
             self._push(node)
         else:
             self.open[-1].children.append(node)
 
     def _push(self, node: Node) -> None:
-        self.open[-1].children.append(node)
+        """Below MAX_DEPTH a visible element only lends its place to its contents; a hidden one keeps them."""
+        parent = self.open[-1]
+        if len(self.open) < MAX_DEPTH or node.hidden:
+            parent.children.append(node)
+        elif node.visible is not None:
+            inner = Node("span", visible=node.visible)
+            parent.children.append(inner)
+            node.children = inner.children
+        else:
+            parent.children.append(Node("div" if node.tag in BLOCK else "span"))
+            node.children, node.lent = parent.children, node.tag in BLOCK
+        node.drawing = node.tag == "svg" or parent.drawing and node.tag not in SVG_TEXT
         self.open.append(node)
-
-    def _drawing(self) -> bool:
-        """Inside svg, outside its text."""
-        for n in reversed(self.open):
-            if n.tag == "svg" or n.tag in SVG_TEXT:
-                return n.tag == "svg"
-        return False
+        self.count[node.tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.open[-1].tag == tag and any(n.tag in ("svg", "math") for n in self.open):
-            self.open.pop()
+        if tag not in VOID and self.open[-1].tag == tag and (self.count["svg"] or self.count["math"]):
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         if tag == "br":
             self._leave_head()
             self.open[-1].children.append(Node("br"))
             return
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if self.count[tag] else ():
             if self.open[i].tag == tag:
-                del self.open[i:]
+                self._close(i)
                 return
             if self.open[i].tag in ("td", "th", "table") and tag not in ("tr", "thead", "tbody", "tfoot", "table"):
                 return
@@ -127,7 +153,7 @@ class TreeBuilder(HTMLParser):
     def handle_data(self, data):
         if _SPACE.sub("", data):
             self._leave_head()
-        if not self._drawing():
+        if not self.open[-1].drawing:
             self.open[-1].children.append(data)
 
 
@@ -173,54 +199,59 @@ class Page:
         self.gap = max(self.gap, int(spaced))
 
 
-def render(node: Node, page: Page, pre: bool = False) -> None:
+def render(node: Node, page: Page, pre: bool = False, shown: bool = True) -> None:
     number = node.start
     for child in node.children:
         if isinstance(child, str):
-            page.text(child, pre)
+            if shown:
+                page.text(child, pre)
             continue
         tag = child.tag
         if child.hidden:
             continue
+        here = shown if child.visible is None else child.visible
         if tag == "br":
             page.br(True)
         elif tag == "select":
             for option in _shown_options(child):
                 page.text(" ", False)
-                render(option, page, pre)
+                render(option, page, pre, here)
                 page.text(" ", False)
         elif tag == "textarea":
-            render(child, page, True)
+            render(child, page, True, here)
         elif tag == "table":
             page.block(True)
-            _table(child, page)
+            _table(child, page, here)
             page.block(True)
         elif tag == "li":
             page.block(False)
             outer = page.indent
+            value = child.attrs.get("value") or ""
+            if node.tag == "ol" and value.lstrip("-").isdigit() and len(value) < 10:
+                number = int(value)
             mark = f"{number}. " if node.tag == "ol" else "* "
             number += 1
             page.mark = mark
             page.indent = outer
-            _item(child, page, outer, mark, pre)
+            _item(child, page, outer, mark, pre, here)
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dl") and node.tag in ("li", "dd")
             outer = page.indent
             page.block(tag in SPACED and not nested)
             if tag in ("blockquote", "dd"):
                 page.indent = outer + "  "
-            render(child, page, pre or tag == "pre")
+            render(child, page, pre or tag == "pre", here)
             page.block(tag in SPACED and not nested)
             page.indent = outer
         else:
-            render(child, page, pre)
+            render(child, page, pre, here)
 
 
-def _item(child: Node, page: Page, outer: str, mark: str, pre: bool) -> None:
+def _item(child: Node, page: Page, outer: str, mark: str, pre: bool, shown: bool) -> None:
     """A list item: its first line carries the marker, the rest is indented to it."""
     before = len(page.lines)
     render_into = Page()
-    render(child, render_into, pre)
+    render(child, render_into, pre, shown)
     render_into.br()
     lines = render_into.lines or [""]
     page.mark = ""
@@ -272,35 +303,68 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from _rows(c)
 
 
-def _table(node: Node, page: Page) -> None:
-    """Cells rendered on their own, padded to their column's width; what is not in a row comes before the rows."""
+def _span(cell: Node | str, name: str) -> int:
+    value = "" if isinstance(cell, str) else cell.attrs.get(name) or ""
+    return min(MAX_SPAN[name], max(1, int(value))) if value.isdigit() and len(value) < 10 else 1
+
+
+def _width(text: str) -> int:
+    return len(text) if text.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _table(node: Node, page: Page, shown: bool) -> None:
+    """Cells rendered on their own and placed at their columns, which are as wide as their cells of one column, or wider
+    at the end of a cell of several; what is not in a row comes before the rows."""
     rest = Node("div")
     rest.children = list(_loose(node))
-    render(rest, page)
+    render(rest, page, False, shown)
     page.br()
-    grid = []
+    grid, below = [], {}  # below: rows that a column is still taken for
     for row in _rows(node):
-        cells = []
+        cells, at = [], 0
+        seen = shown if row.visible is None else row.visible
+        fresh = {}
         for c in row.children:
-            if isinstance(c, Node) and not c.hidden and c.tag in ("td", "th") or isinstance(c, Node) and not c.hidden and c.tag not in ("td", "th"):
-                cells.append(_lines(c))
-            elif isinstance(c, str) and c.strip():
-                cells.append([_SPACE.sub(" ", c).strip()])
+            if isinstance(c, str) and not c.strip() or isinstance(c, Node) and c.hidden:
+                continue
+            while below.get(at, 0):
+                at += 1
+            lines = ([_SPACE.sub(" ", c).strip()] if seen else [""]) if isinstance(c, str) else _lines(c, seen if c.visible is None else c.visible)
+            span = _span(c, "colspan")
+            cells.append((at, span, lines))
+            if _span(c, "rowspan") > 1:
+                fresh |= dict.fromkeys(range(at, at + span), _span(c, "rowspan") - 1)
+            at += span
+        below = {i: n - 1 for i, n in below.items() if n > 1} | fresh
         grid.append(cells)
-    widths: list[int] = []
+    widths = Counter()
+    for cells in grid:
+        for at, span, lines in cells:
+            if span == 1:
+                widths[at] = max(widths[at], *map(_width, lines), 0)
     for cells in grid:
-        for i, c in enumerate(cells):
-            w = max(map(len, c), default=0)
-            widths[i : i + 1] = [max(w, widths[i] if i < len(widths) else 0)]
+        for at, span, lines in cells:
+            if span > 1:
+                lack = max(map(_width, lines), default=0) - sum(widths[i] + 2 for i in range(at, at + span)) + 2
+                widths[at + span - 1] += max(0, lack)
+    edge, left = [0], 0
+    for i in range(max(widths, default=-1) + 1):
+        left += widths[i] + 2
+        edge.append(left)
     for cells in grid:
-        for at in range(max(map(len, cells), default=0)):
-            page._put("  ".join((c[at] if at < len(c) else "").ljust(widths[i]) for i, c in enumerate(cells)).rstrip() or " ")
+        for i in range(max((len(lines) for _, _, lines in cells), default=0)):
+            line, filled = "", 0
+            for at, _, lines in cells:
+                if i < len(lines) and lines[i]:
+                    line += " " * (edge[min(at, len(edge) - 1)] - filled) + lines[i]
+                    filled = edge[min(at, len(edge) - 1)] + _width(lines[i])
+            page._put(line.rstrip() or " ")
             page.br()
 
 
-def _lines(node: Node) -> list[str]:
+def _lines(node: Node, shown: bool = True) -> list[str]:
     page = Page()
-    render(node, page)
+    render(node, page, False, shown)
     page.br()
     return page.lines
 

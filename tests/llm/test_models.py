@@ -105,6 +105,29 @@ def test_page_language(spark):
     assert out.where("lang = declared").count() > 0.8 * pages.count()
 
 
+def test_deep_pages_keep_their_visibility():
+    deep = "<div>" * 210
+    assert htmltext.visible_text(deep + '<span hidden>SECRET</span><p style="display:none">ALSO</p>tail') == "tail"
+    assert htmltext.visible_text(deep + "one<p>two</p><ul><li>three</ul><span style='visibility:hidden'>no<b style='visibility:visible'>yes</b></span>").split() == ["one", "two", "three", "yes"]
+    assert htmltext.visible_text("<g>" * 50_000 + "x" + "<svg>" + "<g>" * 50_000 + "no<text>yes") == "x yes"
+    assert htmltext.visible_text("<table><tr><td>" * 150 + "in") == "in"
+
+
+def test_spans_and_widths():
+    page = "<table><tr><td rowspan=2>a</td><td colspan=2>wide cell</td></tr><tr><td>b</td><td>c</td></tr><tr><td>日本</td><td>d</td><td>e</td></tr></table>"
+    assert htmltext.visible_text(page) == "a     wide cell\n      b  c\n日本  d  e"
+    assert htmltext.visible_text("<ol><li value=7>a<li>b</ol>") == "7. a\n8. b"
+    assert htmltext.visible_text("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b></p>") == "yes"
+
+
+def test_pages_edges(spark):
+    rows = [(1, None, "x"), (1, None, "x"), (2, "", "y"), (None, "<p>a</p>", "z"), (3, "<p>long</p>" + "word " * 200_000, "t"), (3, "<p>a", "t")]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted(((r["page_id"], len(r["text"])) for r in htmltext.extract(df).collect()), key=repr)
+    assert got == sorted([(1, 0), (1, 0), (2, 0), (None, 1), (3, 6 + 999_999), (3, 1)], key=repr)
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(0)
     e, trans = rng.normal(size=(2, 5)), rng.normal(size=(2, 2))
