@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, stored
+from .common import cut, free_names, small_side, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,24 +74,26 @@ def candidates(docs: DataFrame, w: DataFrame, slop: int = 0, id_col: str = "doc_
     return both.unionByName(first.where("alone").select("phrase", "doc", "start", F.lit(0).alias("shift"))).where("start >= 0")
 
 
-def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with n_words and `hits`: array<struct(start, len, phrase, items)> of exact windows, and, where slop is
-    positive, `near`: inexact windows all of whose terms stand in the text within `slop` words of the window's place."""
+def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", hits: str = "hits", n_words: str = "n_words", near: str = "near") -> DataFrame:
+    """`docs` with columns `n_words` and `hits` (in place of any of these names): array<struct(start, len, phrase, items)>
+    of exact windows, and, where slop is positive, `near`: inexact windows all of whose terms stand in the text within
+    `slop` words of the window's place."""
+    doc_name, hits_name, words_name = free_names(docs, "_doc", "_hits", "_words")
     w = cut(windows(items, size, text_col="text"))
     found = candidates(docs, w, slop, id_col, text_col).join(w.select("phrase", F.size("terms").alias("len"), "items"), "phrase")
     exact_type = "array<struct<start:int,len:int,phrase:string,items:array<string>,shift:int>>"
     hit = F.struct("start", "len", "phrase", "items", "shift")
-    by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_set(hit)).alias("_hits"))
-    joined = docs.join(by_doc, docs[id_col].eqNullSafe(by_doc["_doc"]), "left").withColumn("_words", words(F.col(text_col)))
-    holds = lambda h: (h["shift"] == 0) & (F.array_join(F.slice(F.col("_words"), h["start"] + 1, h["len"]), " ") == h["phrase"])
-    exact = F.coalesce(F.filter("_hits", holds), F.array().cast(exact_type))
-    out = joined.withColumn("hits", exact).withColumn("n_words", F.size("_words").cast("long"))
+    by_doc = found.groupBy(F.col("doc").alias(doc_name)).agg(F.sort_array(F.collect_set(hit)).alias(hits_name))
+    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col(doc_name)), "left").withColumn(words_name, words(F.col(text_col)))
+    holds = lambda h: (h["shift"] == 0) & (F.array_join(F.slice(F.col(words_name), h["start"] + 1, h["len"]), " ") == h["phrase"])
+    exact = F.coalesce(F.filter(hits_name, holds), F.array().cast(exact_type))
+    out = joined.withColumn(hits, exact).withColumn(n_words, F.size(words_name).cast("long"))
     if slop:
-        here = lambda h: F.slice(F.col("_words"), F.greatest(h["start"] - slop, F.lit(0)) + 1, h["len"] + 2 * slop)
+        here = lambda h: F.slice(F.col(words_name), F.greatest(h["start"] - slop, F.lit(0)) + 1, h["len"] + 2 * slop)
         whole = lambda h: F.size(F.array_except(F.split(h["phrase"], " "), here(h))) == 0
-        same = lambda h: F.exists("hits", lambda e: (e["phrase"] == h["phrase"]) & (F.abs(e["start"] - h["start"]) <= slop))
-        out = out.withColumn("near", F.coalesce(F.filter("_hits", lambda h: ~holds(h) & whole(h) & ~same(h)), F.array().cast(exact_type)))
-    return out.drop("_doc", "_hits", "_words")
+        same = lambda h: F.exists(hits, lambda e: (e["phrase"] == h["phrase"]) & (F.abs(e["start"] - h["start"]) <= slop))
+        out = out.withColumn(near, F.coalesce(F.filter(hits_name, lambda h: ~holds(h) & whole(h) & ~same(h)), F.array().cast(exact_type)))
+    return out.drop(doc_name, hits_name, words_name)
 
 
 def covered(hits: Column) -> Column:
@@ -103,5 +105,6 @@ def covered(hits: Column) -> Column:
 
 
 def clean(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without any exact window of an item."""
-    return find(docs, items, size, 0, id_col, text_col).where(F.size("hits") == 0).drop("hits", "n_words")
+    """The rows of `docs` without any exact window of an item; their columns stay as they are, whatever their names."""
+    hits, n_words = free_names(docs, "_hits_", "_n_words_")
+    return find(docs, items, size, 0, id_col, text_col, hits, n_words).where(F.size(hits) == 0).drop(hits, n_words)

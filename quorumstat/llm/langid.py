@@ -9,7 +9,9 @@ shares down; a row's own counts are taken out of its host's.
 Edge cases: a null or letterless text gives no text evidence; a null or unknown declared
 language, host or suffix gives none of its kind; with no evidence at all the language is
 the most common one at its prior; repeated rows are judged alike; a row whose declared
-language has no model is rejected only without letters; an empty table gives no rows; without labelled rows there are no languages and every result is null.
+language has no model is rejected only without letters; of more labels than MAX_LANGUAGES the
+most frequent have models; an empty table gives no rows; without labelled rows there are no
+languages and every result is null.  `accept` returns the columns of its input as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_side
+from .common import cut, free_names, small_side
 
 #: Bounds of the training sample of each language and of the languages modelled.
 SAMPLE, MAX_LANGUAGES = 1000, 200
@@ -122,7 +124,7 @@ def fuse(evidence: DataFrame, model: Model, strength: float = STRENGTH) -> DataF
     if not k:
         return evidence.select("key", "declared", "host", "n", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(None).cast("double").alias("mean_loglik"))
     langs = F.array(*map(F.lit, model.languages))
-    steps = F.least(F.col("n"), F.lit(2000)) * F.lit(TEMPER)
+    steps = F.col("n") * F.lit(TEMPER)
     text = F.when(F.col("n") > 0, F.transform("mean", lambda x: x * steps)).otherwise(F.array_repeat(F.lit(0.0), k))
     said = F.when(
         F.array_contains(langs, F.col("declared")), F.transform(langs, lambda x: F.when(x == F.col("declared"), F.log(F.lit(1 - DECLARED_ERROR))).otherwise(F.log(F.lit(DECLARED_ERROR / max(1, k - 1)))))
@@ -198,4 +200,5 @@ def accept(docs: DataFrame, model: Model | None = None) -> DataFrame:
         return docs
     key = F.xxhash64("doc_id", "text", "lang", "source")
     bad = small_side(cut(rejected(fuse(text_evidence(document_rows(docs, key), model), model), model.languages)))
-    return docs.withColumn("_row", key).join(bad, F.col("_row") == F.col("key"), "left_anti").drop("_row")
+    row, bad_row = free_names(docs, "_row", "_bad_row")
+    return docs.withColumn(row, key).join(bad.toDF(bad_row), F.col(row) == F.col(bad_row), "left_anti").drop(row)

@@ -4,16 +4,18 @@ Temperature mixing: with token shares p of the sources, weights are w = p^a / su
 The exponent a in [0, 1] is bisected until the weights' entropy reaches a target share of
 its maximum or no source is repeated more often than a limit allows, whichever needs the
 larger a.  The weights are then realised as block permutations: each source is cut by
-hash into blocks of about `block_tokens` tokens; epoch e lists the blocks in an order of
-its own, and takes whole blocks until the source's token budget is spent.  Within the
-block that crosses the budget, documents are taken in hash order while the budget is not
-yet reached, so that a source overruns its budget by less than one document.
+hash into blocks of about `block_tokens` tokens; epoch e lists the blocks of each source in
+an order of its own, and takes whole blocks until the source's token budget is spent.  The
+order is cut into `RANGES` ranges of hash, whose totals are summed first, so that blocks of
+a source are ranked range by range in parallel.  Within the block that crosses the budget,
+documents are taken in hash order while the budget is not yet reached, so that a source
+overruns its budget by less than one document.
 
 Edge cases: a null source is a source of its own ('' in the result's order keys), a null
 or empty text has no tokens and is taken along with its block without cost; repeated rows
 count as rows; with a single source the exponent is irrelevant (1); a corpus without
-tokens, or an empty table, gives no rows.  Input columns beyond id, text and source are
-ignored, or kept where `keep` names them.
+tokens, or an empty table, gives no rows.  Rows without id are told apart by their text.
+Input columns beyond id, text and source are ignored, or kept where `keep` names them.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .common import cut
 #: Exponents tried in one job; each round narrows the interval by so many parts.
 CUTS = 16
 ROUNDS = 6
+#: Ranges of hash (two to this power) in which the blocks of a source are ranked.
+RANGES = 12
 
 
 def token_count(text: Column) -> Column:
@@ -59,12 +63,10 @@ def _measures(sizes: DataFrame, exponents: list[float], budget: float) -> list[t
 
 
 def bisect_exponent(sizes: DataFrame, budget: float, entropy_share: float = 0.9, max_repeats: float = 4.0) -> float:
-    """The smallest exponent whose weights repeat no source above `max_repeats`, lowered no further than needed for an
-    entropy of at most... the largest exponent that still reaches `entropy_share` of the maximal entropy wins if the
-    limit allows it.
+    """The largest exponent whose weights reach `entropy_share` of the maximal entropy, or the smallest one that repeats no
+    source above `max_repeats`, if that is larger.
 
-    Entropy falls and repetition falls as the exponent grows to 1, so both are bisected; the repetition limit has
-    priority.
+    Entropy and repetition both fall as the exponent grows to 1, so both are found by bisection.
     """
     n = sizes.where("tokens > 0").count()
     if n < 2:
@@ -112,7 +114,7 @@ def mix(
 
     `budget_tokens` is the size of the mixture; unset, that of the corpus.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col)).alias("tokens"), *keep)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), token_count(F.col(text_col)).alias("tokens"), F.xxhash64(F.lit(seed), id_col, F.when(F.col(id_col).isNull(), F.col(text_col))).alias("_hash"), *keep)
     light = cut(rows)
     sizes = cut(source_sizes(light))
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
@@ -123,7 +125,7 @@ def mix(
     )
     per_source = cut(per_source.withColumn("epochs", F.ceil(F.col("budget") / F.col("tokens")).cast("int")).withColumnRenamed("tokens", "source_tokens"))
 
-    id_hash = F.xxhash64(F.lit(seed), "doc_id")
+    id_hash = F.col("_hash")
     # n_blocks of each source comes to the rows by a null-safe join: the source side has a row for each source
     placed = light.join(per_source.select(F.col("source").alias("s"), "n_blocks"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     placed = placed.withColumn("block", F.pmod(id_hash, F.col("n_blocks")).cast("int")).drop("n_blocks")
@@ -131,11 +133,14 @@ def mix(
 
     # budgets by block: epochs before the last take all blocks; the last takes them in its order while budget is left
     last = per_source.withColumn("epoch", F.col("epochs") - 1).withColumn("left", F.col("budget") - F.col("source_tokens") * F.col("epoch"))
-    order = F.xxhash64(F.lit(seed), "epoch", "block")
+    order = F.xxhash64(F.lit(seed), "source", "epoch", "block")
     ranked = blocks.withColumnRenamed("source", "s").join(last, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    by = W.partitionBy("source").orderBy(order, "block")
-    ranked = ranked.withColumn("before", F.sum("block_tokens").over(by.rowsBetween(W.unboundedPreceding, -1)))
-    taken = ranked.withColumn("room", F.col("left") - F.coalesce("before", F.lit(0))).where("room > 0")
+    ranked = ranked.withColumn("order", order).withColumn("range", F.shiftright("order", 64 - RANGES))
+    ranges = ranked.groupBy("source", "range").agg(F.sum("block_tokens").alias("range_tokens"))
+    ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_tokens").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("block_tokens").over(W.partitionBy("source", "range").orderBy("order", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranked.withColumn("inside", inside).join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    taken = ranked.withColumn("room", F.col("left") - F.col("earlier") - F.col("inside")).where("room > 0")
     final = taken.select("source", "block", "weight", F.col("epoch").alias("full_epochs"), F.when(F.col("room") < F.col("block_tokens"), F.col("room")).alias("room"), F.lit(True).alias("in_last"))
     rest = blocks.withColumnRenamed("source", "s").join(per_source, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rest = rest.select("source", "block", "weight", (F.col("epochs") - 1).alias("full_epochs"))

@@ -9,7 +9,7 @@ running lengths of the text between them.
 
 Edge cases: a null or empty text has no spans; a row without id, or whose id repeats
 with other texts, is verified like any other; an empty table gives no rows; other input
-columns are ignored.
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 GAP = "\0"
 #: Matches of one rule in one text that the running sums cover: 2 to this power, beyond the longest array there can
 #: be; steps beyond an array's size leave it as it is.
@@ -125,28 +127,30 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.filter(located, lambda s: s["ok"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with array column `spans`: struct(start, kind_order, end, kind, ok), ordered by start and then rule."""
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str = "doc_id", text_col: str = "text", to: str = "spans") -> DataFrame:
+    """`docs` with array column `to` (in place of one of that name): struct(start, kind_order, end, kind, ok), ordered by
+    start and then rule."""
+    id_name, has_name, rules_name = free_names(docs, "_id", "_has", "_rules")
     queries = {r.kind: trigram_query(r) for r in rules}
     trigrams = sorted({t for q in queries.values() for alt in q or () for t in alt})
     index = trigram_index(docs, trigrams, id_col, text_col)
-    postings = index.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("trigram").alias("_has"))
-    has = F.col("_has")
+    postings = index.groupBy(F.col(id_col).alias(id_name)).agg(F.collect_set("trigram").alias(has_name))
+    has = F.col(has_name)
     wanted = [
         F.when(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains(has, t) for t in sorted(alt)]) for alt in q]), F.lit(kind))
         for kind, q in queries.items()
         if q is not None
     ]
-    candidates = postings.select("_id", F.array_compact(F.array(*wanted)).alias("_rules")).where(F.size("_rules") > 0)
-    joined = docs.join(candidates, docs[id_col] == candidates["_id"], "left").drop("_id")
+    candidates = postings.select(id_name, F.array_compact(F.array(*wanted)).alias(rules_name)).where(F.size(rules_name) > 0)
+    joined = docs.join(candidates, F.col(id_col) == F.col(id_name), "left").drop(id_name)
     text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast("array<struct<start:bigint,kind_order:int,end:bigint,kind:string,ok:boolean>>")
     found = []
     for order, rule in enumerate(rules):
         candidate = F.rlike(text, F.lit(rule.java))
         if queries[rule.kind] is not None:
-            candidate = (F.col(id_col).isNull() | F.coalesce(F.array_contains("_rules", rule.kind), F.lit(False))) & candidate
+            candidate = (F.col(id_col).isNull() | F.coalesce(F.array_contains(rules_name, rule.kind), F.lit(False))) & candidate
         found.append(F.when(candidate, spans_of(text, rule, order)).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*found))).drop("_rules")
+    return joined.withColumn(to, F.array_sort(F.concat(*found))).drop(rules_name)
 
 
 def span_string(spans: Column) -> Column:
@@ -155,15 +159,16 @@ def span_string(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span of the text replaced by `mark`; overlapping spans become one mark, other columns stay."""
-    found = scan(docs, rules, id_col, text_col).withColumn("_upto", F.transform("spans", lambda s: s["end"]))
+    (spans,) = free_names(docs, "_spans")
+    found = scan(docs, rules, id_col, text_col, spans)
     text = F.col(text_col)
     step = lambda acc, s: F.when(
         s["start"] >= acc["upto"],
         F.struct(F.concat(acc["out"], F.substring(text, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("upto")),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["upto"], s["end"]).alias("upto")))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("upto"))
-    cleaned = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, cleaned).otherwise(text)).drop("spans", "_upto")
+    cleaned = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, cleaned).otherwise(text)).drop(spans)
 
 
 def pattern_matches(rule: Rule, text: str) -> list[tuple[int, int]]:

@@ -1,18 +1,20 @@
 """Winnowing fingerprints in native DataFrame expressions.
 
-A text is cut into units (runs of at most `UNIT` non-space code points); every run of
-`k` units is hashed, and of each `w` consecutive hashes the smallest is chosen, the
-rightmost where several are equal.  Any passage of `k + w - 1` equal units in two texts
-therefore gives them an equal chosen hash, and the position kept with it says where.
-
-A chosen gram is one long: the 32-bit hash above `POS_MAX - position`, so that the plain
+A text is cut into units: words of at most `UNIT` code points, and of longer unbroken runs
+(other scripts, encoded data) every code point, so that units do not depend on where a run
+begins.  Every run of `k` units has a Karp-Rabin hash, which rolls from one run to the next,
+and of each `w` consecutive hashes the smallest is chosen, the rightmost where several are
+equal.  Any passage of `k + w - 1` equal units in two texts therefore gives them an equal
+chosen hash, and the position kept with it says where.
+
+A chosen gram is one long: the 31-bit hash above `POS_MAX - position`, so that the plain
 minimum of a window prefers the smaller hash and, among equals, the larger position.
 
 Edge cases: a null or blank text has no grams and an empty fingerprint; a text of fewer
 than `k` units is one gram; two empty fingerprints have likeness 1, an empty and a
 non-empty one 0.  Where an id is repeated, each row keeps its own fingerprint, and the
-row with the smallest text hash stands for that id as a neighbour.  An empty table gives
-no rows; other columns are ignored.
+row with the smallest text hash stands for that id as a neighbour; a row without id has an
+empty text for a neighbour.  An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,26 +23,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import cut, free_names, shuffle_partitions
 
 UNIT, K, WINDOW = 12, 3, 6
 POS_MAX = 2**31 - 1
+#: Modulus (a prime) and base of the rolling hash; products stay below 2**62.
+PRIME, BASE = 2**31 - 1, 1_000_003
 
 
 def with_grams(df: DataFrame, text: str, to: str, k: int = K, w: int = WINDOW, unit: int = UNIT) -> DataFrame:
     """`df` with array<long> column `to`: the chosen grams of column `text`, in order of position."""
-    units, all_grams = f"_{to}_units", f"_{to}_all"
+    units, all_grams = free_names(df, f"_{to}_units", f"_{to}_all")
     u = F.col(units)
-    gram = lambda i: F.xxhash64(*[F.get(u, i + j) for j in range(k)])
-    packed = lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(0xFFFFFFFF)), 31).bitwiseOR(F.lit(POS_MAX) - i)
+    packed = lambda h, i: F.shiftleft(h, 31).bitwiseOR(F.lit(POS_MAX) - i)
+
+    def gram(i: Column) -> Column:
+        """Hash of units i to i + k - 1: of unit hashes a, b, c it is (a * BASE + b) * BASE + c."""
+        h = F.get(u, i)
+        for j in range(1, k):
+            h = (h * F.lit(BASE) + F.get(u, i + j)) % F.lit(PRIME)
+        return h
+
     v = F.col(all_grams)
     starts = F.sequence(F.lit(1), F.greatest(F.size(v) - w + 1, F.lit(1)))
     return (
-        df.withColumn(units, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"[^\s]{{1,{unit}}}"), F.lit(0)))
+        df.withColumn(units, F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"(?<!\S)\S{{1,{unit}}}(?!\S)|\S"), F.lit(0)), lambda x: F.pmod(F.xxhash64(x), F.lit(PRIME))))
         .withColumn(
             all_grams,
             F.when(F.size(u) >= k, F.transform(F.sequence(F.lit(0), F.size(u) - k), lambda i: packed(gram(i), i)))
-            .when(F.size(u) > 0, F.array(packed(F.xxhash64(F.array_join(u, " ")), F.lit(0).cast("int"))))
+            .when(F.size(u) > 0, F.array(packed(F.aggregate(u, F.lit(0).cast("bigint"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME)), F.lit(0).cast("int"))))
             .otherwise(F.array().cast("array<bigint>")),
         )
         .withColumn(to, F.when(F.size(v) == 0, v).otherwise(F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(v, i, w))))))
@@ -49,7 +60,7 @@ def with_grams(df: DataFrame, text: str, to: str, k: int = K, w: int = WINDOW, u
 
 
 def hashes(grams: Column) -> Column:
-    """The distinct 32-bit hashes of chosen grams."""
+    """The distinct hashes of chosen grams."""
     return F.array_distinct(F.transform(grams, lambda g: F.shiftright(g, 31)))
 
 

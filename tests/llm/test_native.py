@@ -155,17 +155,22 @@ def test_near_copies_are_exact(spark):
 
 
 def brute_grams(text, k=winnow.K, w=winnow.WINDOW):
-    u = re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text or "")
+    u = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
+        u += [run] if len(run) <= winnow.UNIT else list(run)
     if not u:
         return []
+    p = winnow.PRIME
+    signed = lambda x: x - 2**64 if x >> 63 else x
+    h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) % p for x in u]
 
-    def spark_hash(parts):
-        h = 42
-        for p in parts:
-            h = xxhash.xxh64_intdigest(p.encode(), h)
-        return h & 0xFFFFFFFF
+    def rolled(x):
+        out = 0
+        for v in x:
+            out = (out * winnow.BASE + v) % p
+        return out
 
-    g = [spark_hash(u[i : i + k]) for i in range(len(u) - k + 1)] or [spark_hash([" ".join(u)])]
+    g = [rolled(h[i : i + k]) for i in range(len(h) - k + 1)] or [rolled(h)]
     chosen = {}
     for i in range(max(1, len(g) - w + 1)):
         span = range(i, min(i + w, len(g)))
@@ -205,6 +210,22 @@ def test_winnow_edges(spark, docs, rows):
     assert winnow.compare_edits(docs.unionByName(docs)).count() == 2 * len(rows)
 
 
+def test_winnow_guarantee_at_every_offset(spark):
+    """Texts without spaces share the hashes of a passage wherever it begins; so do words."""
+    import random
+
+    rnd = random.Random(9)
+    han = "".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(600))
+    blob = "".join(rnd.choice("abcdef0123456789") for _ in range(300))
+    words = " ".join(f"w{rnd.randrange(500)}" for _ in range(200))
+    texts = [t for x in (han, blob, words) for t in (x, *(("q" * n + (" " if x == words else "")) + x for n in (1, 5, 13)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["h"]) for r in winnow.with_grams(rows, "text", "g").select("doc_id", winnow.hashes(F.col("g")).alias("h")).collect()}
+    for first in (0, 4, 8):
+        for other in range(first + 1, first + 4):
+            assert len(got[first] & got[other]) >= 0.9 * len(got[first])
+
+
 def brute_secrets(text):
     text = text or ""
     found = []
@@ -326,3 +347,67 @@ def test_mixing(spark, docs):
     spread = out.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("source").alias("s")).groupBy("s").agg((F.max("c") - F.min("c")).alias("d"))
     assert all(r["d"] <= 1 for r in spread.collect())
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(docs).count() > 0
+    assert abs(a - brute_exponent(list(raw.values()), 30000)) < 1e-5
+    again = mixing.mix(big.unionByName(big.where("doc_id < 50").withColumn("doc_id", F.lit(None).cast("long"))), budget_tokens=60000, block_tokens=1)
+    assert again.agg(F.sum("tokens")).first()[0] >= 60000
+
+
+def brute_exponent(sizes, budget, share=0.9, limit=4.0):
+    """Plain bisection of both conditions."""
+    total = sum(sizes)
+
+    def weights(a):
+        raw = [(t / total) ** a for t in sizes]
+        return [x / sum(raw) for x in raw]
+
+    def last_good(good):
+        """Largest a in [0, 1] up to which good() holds, for good() that holds and then fails."""
+        lo, hi = 0.0, 1.0
+        if good(1.0) or not good(0.0):
+            return float(good(1.0))
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if good(mid) else (lo, mid)
+        return lo
+
+    entropy = lambda a: -sum(w * math.log(w) for w in weights(a))
+    repeats = lambda a: max(w * budget / t for w, t in zip(weights(a), sizes, strict=True))
+    return max(last_good(lambda a: entropy(a) >= share * math.log(len(sizes))), last_good(lambda a: repeats(a) > limit))
+
+
+def test_exponents_equal_plain_bisection(spark):
+    import random
+
+    rnd = random.Random(4)
+    for _ in range(6):
+        sizes = [int(10 ** rnd.uniform(1, 5)) for _ in range(rnd.randrange(2, 7))]
+        budget, share, limit = sum(sizes) * rnd.choice((0.5, 1, 2)), rnd.uniform(0.3, 0.99), rnd.choice((1.5, 4, 20))
+        df = spark.createDataFrame([(str(i), t, 1) for i, t in enumerate(sizes)], "source string, tokens long, rows int")
+        assert abs(mixing.bisect_exponent(df, budget, share, limit) - brute_exponent(sizes, budget, share, limit)) < 1e-5
+
+
+def test_blocks_of_a_source_are_taken_in_one_order(spark):
+    """Every source meets its budget to less than a document, and has an order of its own."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 4 == 0, "x").otherwise("y").alias("source"))
+    out = mixing.mix(rows, budget_tokens=9000, block_tokens=6).toPandas()
+    for source, tokens in (("x", 3000), ("y", 9000)):
+        mine = out[out.source == source]
+        last = mine.epoch.max()
+        budget = 9000 * mine.weight.iloc[0] - last * tokens
+        taken = mine[mine.epoch == last]
+        assert budget - 1e-3 <= len(taken) * 3 < budget + 3 + 1e-3
+        assert taken.drop_duplicates("block").block_rank.is_unique
+    assert not set(out[out.source == "x"].block_rank) & set(out[out.source == "y"].block_rank)
+
+
+def test_stages_keep_columns_of_clashing_names(spark, docs):
+    from quorumstat.llm import langid
+
+    clash = "key _row _bad_row spans _rules _id _has _spans hits n_words near _doc _hits _words _hits_ _n_words_ node _keep component_id _low item phrase doc term len".split()
+    extra = docs.withColumns({c: F.lit(f"own {c}") for c in clash})
+    items = spark.createDataFrame([(1, " ".join(f"s{i}" for i in range(20, 40)))], "item_id long, text string")
+    for stage in (langid.accept, simhash.deduplicate, lambda d: decontaminate.clean(d, items), secrets.redact):
+        out = stage(extra)
+        assert out.columns == extra.columns
+        got = out.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in clash)
