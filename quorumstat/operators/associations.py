@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Policy, design_counts, suppress_small_cells, taylor_variance
-from .estimators import observed_levels, weighted_proportion, weighted_quantile
+from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, kept, match, suppress_small_cells, taylor_variance
+from .estimators import all_of, indicator, means, observed_levels, weighted_quantile
+
+# Functions sent to Python workers carry their code, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
 
 
 def _moments(w: str, x: str, y: str) -> list:
@@ -137,16 +142,21 @@ def drop_overlaps(ranked: DataFrame) -> DataFrame:
 
 
 def cross_tab(frame: DataFrame, x: str, y: str, design: Design = Design(), x_levels: list | None = None, y_levels: list | None = None, policy: Policy = SERVING_POLICY, column_flag: int = 100) -> DataFrame:
-    """Shares of y within each answer x, with the share of x itself; cells without rows stay with n = 0."""
+    """Shares of y within each answer x, with the share of x itself and the correlation of the two items; cells without
+    rows stay with n = 0.
+
+    Both kinds of share are items of one estimate: of y within the domain of an answer x, and of x among all.
+    """
     x_levels = x_levels or observed_levels(frame, x)
     y_levels = y_levels or observed_levels(frame, y)
-    both = frame.withColumns({"_x": F.when(F.col(y).isNotNull(), F.col(x)), "_y": F.when(F.col(x).isNotNull(), F.col(y))})
-    cells = weighted_proportion(both, "_y", design, ["_x"], y_levels, policy).where("_x is not null").select(F.col("_x").alias("x"), F.col("level").alias("y"), "estimate", "se", "n")
-    columns = weighted_proportion(both, "_x", design, (), x_levels, policy).select(F.col("level").alias("x_"), F.col("estimate").alias("column_share"), F.col("se").alias("column_se"), F.col("n").alias("column_n"))
-    grid = frame.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, x_levels))).alias("gx")).select("gx", F.explode(F.array(*map(F.lit, y_levels))).alias("gy"))
-    out = grid.join(cells, (F.col("gx") == F.col("x")) & (F.col("gy") == F.col("y")), "left").join(F.broadcast(columns), F.col("gx") == F.col("x_"), "left")
-    n = F.coalesce("n", F.lit(0))
-    return out.select(F.col("gx").alias("x"), F.col("gy").alias("y"), "estimate", "se", n.alias("n"), "column_share", "column_se", "column_n", (n < policy.flag_below).alias("thin_cell"), (F.coalesce("column_n", F.lit(0)) < column_flag).alias("thin_column"))
+    vx, vy = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)) for a, b in ((x, y), (y, x)))
+    items = [Item(indicator(vy, j), (("x", i), ("y", j), ("of", "cell")), vx == i) for i in x_levels for j in y_levels]
+    items += [Item(indicator(vx, i), (("x", i), ("y", y_levels[0]), ("of", "column"))) for i in x_levels]
+    every = kept(means(frame, items, design, (), policy, "proportion", share=True))
+    columns = every.where("of = 'column'").select("x", F.col("estimate").alias("column_share"), F.col("se").alias("column_se"), F.col("n").alias("column_n"))
+    out = match(every.where("of = 'cell'").select("x", "y", "estimate", "se", "n"), columns, ["x"], "left")
+    out = match(out, frame.agg(*_moments(design.weight, x, y)).select(_coefficient().alias("correlation"), F.coalesce("n", F.lit(0)).alias("pairs")), [])
+    return out.withColumns({"thin_cell": F.col("n") < policy.flag_below, "thin_column": F.col("column_n") < column_flag})
 
 
 def axis_bins(frame: DataFrame, value: str, design: Design = Design(), most: int = 10) -> DataFrame:
@@ -161,139 +171,166 @@ def axis_bins(frame: DataFrame, value: str, design: Design = Design(), most: int
     return frame.withColumns({"bin": F.when(F.col(value).isNotNull(), b), "bin_label": F.when(F.col(value).isNotNull(), label)})
 
 
-# --- regressions: rows are first summed to cells of equal (group, x, y, controls)
+# --- regressions: rows are summed to cells of equal (group, predictor, x, y, controls), cells to Gram tables
 
+# Rounds, stop and bounds of the logistic fit, and the residual share at which a column is dependent.
+ROUNDS, STOP, LEAST_P, DEPENDENT = 100, 1e-11, 1e-10, 1e-8
+ONE, X, TARGET = "1", "x", "y"
 
-def regression_cells(frame: DataFrame, outcome: str, predictor: str, controls: list[str], design: Design, by: list[str]) -> DataFrame:
-    ok = [F.col(c).isNotNull() for c in (outcome, predictor, *controls)]
-    rows = frame
-    for c in ok:
-        rows = rows.where(c)
+
+def regression_cells(frame: DataFrame, outcome: str, predictors: list[str], controls: list[str], design: Design, by: list[str]) -> DataFrame:
+    """(by, predictor, x, y, c, _strata, _psu, sw, sww, n): complete rows of every predictor summed by equal answers."""
+    rows = frame.where(all_of([F.col(c).isNotNull() for c in (outcome, *controls)]))
     w = F.col(design.weight).cast("double")
-    unit = [F.col(design.strata).alias("_strata"), F.col(design.psu).alias("_psu")] if design.strata else []
+    unit = {"_strata": F.col(design.strata), "_psu": F.col(design.psu)} if design.strata else {"_strata": F.lit(0), "_psu": F.lit(0)}
     control = F.array(*[F.col(c).cast("string") for c in controls]) if controls else F.array().cast("array<string>")
-    g = rows.groupBy(*by, F.col(predictor).cast("double").alias("x"), F.col(outcome).cast("double").alias("y"), control.alias("c"), *unit)
-    return g.agg(F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.count("*").alias("n"))
+    each = F.inline(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("x")) for p in predictors]))
+    long = rows.select(*by, F.col(outcome).cast("double").alias("y"), control.alias("c"), *[c.alias(k) for k, c in unit.items()], w.alias("_w"), each).where("x is not null")
+    return long.groupBy(*by, "predictor", "x", "y", "c", "_strata", "_psu").agg(F.sum("_w").alias("sw"), F.sum(F.col("_w") * F.col("_w")).alias("sww"), F.sum(F.lit(1)).alias("n"))
+
+
+def _dummy(level: F.Column, control: F.Column) -> F.Column:
+    return F.concat(F.lpad(control.cast("string"), 3, "0"), F.lit("="), level)
+
+
+def grouped_gram(rows: DataFrame, keys: list[str], weight: str = "sw", target: str = "y") -> DataFrame:
+    """(keys, i, j, v): sums of weight * z_i * z_j over `rows(keys, x, c, weight, target)` for the columns z: 1, a dummy
+    for each control and level, x and y, the target.  i is not behind j in the order of names."""
+    entry = lambda k, v: F.struct(k.alias("k"), v.cast("double").alias("v"))
+    columns = F.concat(F.array(entry(F.lit(ONE), F.lit(1.0))), F.transform("c", lambda level, i: entry(_dummy(level, i), F.lit(1.0))), F.array(entry(F.lit(X), F.col("x")), entry(F.lit(TARGET), F.col(target))))
+    product = lambda a: F.transform(F.filter("z", lambda b: b["k"] >= a["k"]), lambda b: F.struct(a["k"].alias("i"), b["k"].alias("j"), (a["v"] * b["v"]).alias("p")))
+    pairs = rows.select(*keys, F.col(weight).alias("_w"), columns.alias("z")).select(*keys, "_w", F.inline(F.flatten(F.transform("z", product))))
+    return pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("_w") * F.col("p")).alias("v"))
+
+
+def _independent(gram: np.ndarray, tol: float = DEPENDENT) -> list[int]:
+    """Columns that earlier ones do not give: each column's residual against those taken, from the Gram matrix."""
+    taken: list[int] = []
+    for i, own in enumerate(np.diag(gram)):
+        explained = gram[i, taken] @ np.linalg.solve(gram[np.ix_(taken, taken)], gram[taken, i]) if taken else 0.0
+        if own > 0 and own - explained > tol * own:
+            taken.append(i)
+    return taken
+
+
+def solve_gram(cells: pd.DataFrame) -> tuple[dict | None, dict | None]:
+    """(coefficients, row of the inverse for x) by column from one group's Gram cells (i, j, v) and its number of rows n;
+    None for an undefined fit: x depends on the controls, or there are too few rows."""
+    names = sorted(set(cells["i"]) | set(cells["j"]))
+    at = {k: i for i, k in enumerate(names)}
+    gram = np.zeros((len(names), len(names)))
+    i, j = cells["i"].map(at), cells["j"].map(at)
+    gram[i, j] = gram[j, i] = cells["v"]
+    dummies = [k for k in names if "=" in k]
+    first = {k.split("=", 1)[0]: k for k in reversed(dummies)}  # the least level of each control is the base
+    columns = [ONE, *[k for k in dummies if first[k.split("=", 1)[0]] != k]]
+    pick = lambda ks: np.array([at[k] for k in ks])
+    order = pick(columns)
+    columns = [columns[k] for k in _independent(gram[np.ix_(order, order)])] + [X]
+    order = pick(columns)
+    info = gram[np.ix_(order, order)]
+    if len(_independent(info)) < len(columns) or cells["n"].iloc[0] <= len(columns):
+        return None, None
+    try:
+        inverse = np.linalg.inv(info)
+    except np.linalg.LinAlgError:
+        return None, None
+    coef = np.linalg.solve(info, gram[order, at[TARGET]])
+    return dict(zip(columns, coef.tolist(), strict=True)), dict(zip(columns, inverse[-1].tolist(), strict=True))
+
+
+def _fits(gram: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, coef, inverse): maps by column, from Gram tables of k * k rows a group; null for undefined fits."""
+    wide = match(gram, sizes.select(*keys, "n", "usable"), keys)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.select(*keys).schema.fields)
 
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        coef, inverse = solve_gram(pdf) if pdf["usable"].iloc[0] else (None, None)
+        out = pdf[keys].head(1).copy()
+        out["coef"], out["inverse"] = [coef], [inverse]
+        return out
 
-def _design_matrix(c: pd.Series, levels: list[list[str]]) -> np.ndarray:
-    cols = [np.ones(len(c))]
-    for j, names in enumerate(levels):
-        v = c.str[j].to_numpy()
-        cols += [(v == name).astype(float) for name in names[1:]]
-    return np.column_stack(cols)
+    return wide.groupBy(*keys).applyInPandas(fit, f"{fields}, coef map<string,double>, inverse map<string,double>")
 
 
-def _independent(gram: np.ndarray, tol: float = 1e-8) -> list[int]:
-    """Columns that earlier ones do not give: Gram-Schmidt on the Gram matrix."""
-    keep: list[int] = []
-    for i in range(len(gram)):
-        left = gram[i, i]
-        if keep:
-            sub = gram[np.ix_(keep, keep)]
-            left -= gram[i, keep] @ np.linalg.solve(sub, gram[keep, i])
-        if gram[i, i] > 0 and left > tol * gram[i, i]:
-            keep.append(i)
-    return keep
+def _linear(m: str, x: F.Column) -> F.Column:
+    """Sum of the columns of a row with the weights of map m; columns that are not in it count nothing."""
+    of = lambda k: F.coalesce(F.try_element_at(F.col(m), k), F.lit(0.0))
+    return F.aggregate(F.transform("c", lambda level, i: of(_dummy(level, i))), of(F.lit(ONE)) + of(F.lit(X)) * x, lambda a, b: a + b)
 
 
-def fit_cells(pdf: pd.DataFrame, binomial: bool) -> dict:
-    """One group's fit from its cells (x, y, c, sw, sww, n): coefficient, residual direction and scales, or an undefined fit.
+def _mean(eta: F.Column, binomial: bool) -> F.Column:
+    return F.greatest(F.lit(LEAST_P), F.least(F.lit(1 - LEAST_P), 1 / (1 + F.exp(-eta)))) if binomial else eta
 
-    The number of cells is bounded by the answers' combinations, not by the rows.
-    """
-    out = {"beta": None, "sd_x": None, "coef": None, "inverse": None, "keep": None, "levels": None, "kish_se": None}
-    w, x, y = pdf["sw"].to_numpy(), pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    k = len(pdf["c"].iloc[0])
-    levels = [sorted(pdf["c"].str[j].unique()) for j in range(k)]
-    base = _design_matrix(pdf["c"], levels)
-    total = w.sum()
-    mx = (w * x).sum() / total
-    out["sd_x"] = float(np.sqrt(max((w * (x - mx) ** 2).sum() / total, 0.0)))
-    keep = _independent((base * w[:, None]).T @ base)
-    full = np.column_stack((base[:, keep], x - mx))
-    if len(_independent((full * w[:, None]).T @ full)) < full.shape[1] or pdf["n"].sum() <= full.shape[1] or binomial and len(set(y)) < 2:
-        return out
-    coef = np.zeros(full.shape[1])
-    if binomial:
-        mu, deviance = np.clip((y + 0.5) / 2, 1e-10, 1 - 1e-10), None
-        eta = np.log(mu / (1 - mu))
-        for _ in range(100):
-            v = mu * (1 - mu)
-            info = (full * (w * v)[:, None]).T @ full
-            try:
-                coef = np.linalg.solve(info, full.T @ (w * v * (eta + (y - mu) / v)))
-            except np.linalg.LinAlgError:
-                return out
-            eta = full @ coef
-            mu = np.clip(1 / (1 + np.exp(-np.clip(eta, -700, 700))), 1e-10, 1 - 1e-10)
-            now = -2 * (w * np.where(y == 1, np.log(mu), np.log(1 - mu))).sum()
-            if deviance is not None and abs(now - deviance) / (abs(now) + 0.1) < 1e-11:
-                break
-            deviance = now
-        else:
-            return out
-        info = (full * (w * mu * (1 - mu))[:, None]).T @ full
-    else:
-        info = (full * w[:, None]).T @ full
-        coef = np.linalg.solve(info, full.T @ (w * y))
-        mu = full @ coef
-    inverse = np.linalg.inv(info)
-    n_eff = total**2 / pdf["sww"].sum()
-    if n_eff > full.shape[1]:
-        scale = 1.0 if binomial else (w * (y - mu) ** 2).sum() / total * n_eff / (n_eff - full.shape[1])
-        out["kish_se"] = float(np.sqrt(scale * inverse[-1, -1] * total / n_eff))
-    return out | {"beta": float(coef[-1]), "coef": coef.tolist(), "inverse": inverse[-1].tolist(), "keep": keep, "levels": levels, "mx": float(mx)}
 
+def _logistic_fits(cells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Reweighted least squares: a round is one aggregation to Gram tables for all groups at once.  A fit that has not
+    settled after ROUNDS is undefined."""
+    p = F.greatest(F.lit(LEAST_P), F.least(F.lit(1 - LEAST_P), (F.col("y") + 0.5) / 2))
+    work, before, fits = cells.withColumn("mu", p).withColumn("eta", F.log(F.col("mu") / (1 - F.col("mu")))), None, None
+    for _ in range(ROUNDS):
+        v = F.col("mu") * (1 - F.col("mu"))
+        work = work.withColumn("v", v).withColumns({"work_w": F.col("sw") * F.col("v"), "work_y": F.col("eta") + (F.col("y") - F.col("mu")) / F.col("v")})
+        fits = kept(_fits(grouped_gram(work, keys, "work_w", "work_y"), sizes, keys))
+        work = match(cells, fits.where("coef is not null").select(*keys, "coef"), keys).withColumn("eta", _linear("coef", F.col("x")))
+        work = work.withColumn("mu", _mean(F.col("eta"), True)).drop("coef")
+        now = kept(work.groupBy(*keys).agg((-2 * F.sum(F.col("sw") * F.log(F.when(F.col("y") == 1, F.col("mu")).otherwise(1 - F.col("mu"))))).alias("deviance")))
+        if before is not None:
+            moved = F.abs(F.col("deviance") - F.col("was")) / (F.abs("deviance") + 0.1) >= STOP
+            open_fits = match(now, before.withColumnRenamed("deviance", "was"), keys).where(moved).select(*keys)
+            if not open_fits.limit(1).count():
+                return fits
+        before = now
+    return match(fits, open_fits, keys, "left_anti").unionByName(match(fits, open_fits, keys, "left_semi").withColumns({c: F.lit(None).cast("map<string,double>") for c in ("coef", "inverse")}))
 
-def adjusted_association(frame: DataFrame, outcome: str, predictor: str, controls: list[str], design: Design = Design(), by=(), family: str = "gaussian", policy: Policy = NO_SUPPRESSION) -> DataFrame:
-    """Coefficient of the predictor with dummy-coded controls, per group: rows beta and beta_per_sd.
 
-    Fits run on each group's cells; the influence of every cell then goes through the same unit totals and Taylor
-    variance as every other estimator.
+def adjusted_associations(frame: DataFrame, outcome: str, predictors: list[str], controls: list[str], design: Design = Design(), by=(), family: str = "gaussian", policy: Policy = NO_SUPPRESSION) -> DataFrame:
+    """Coefficient of each predictor, one at a time, with dummy-coded controls, per group: rows beta and beta_per_sd.
+
+    All predictors and groups are fitted together: rows become cells, cells Gram tables, and only those reach Python.
+    The influence of every cell goes through the same unit totals and Taylor variance as every other estimator; without
+    a design the error is the model's, on the effective sample size.
     """
     if family not in ("gaussian", "binomial"):
         raise ValueError(f"unknown family {family!r}")
-    if predictor == outcome or predictor in controls:
-        raise ValueError("predictor, outcome and controls must differ")
-    by = list(by)
+    if not predictors or {outcome, *controls} & set(predictors) or outcome in controls:
+        raise ValueError("predictors, outcome and controls must differ")
+    by, binomial = list(by), family == "binomial"
     controls = [c for c in dict.fromkeys(controls) if c not in by]
-    binomial = family == "binomial"
-    cells = regression_cells(frame, outcome, predictor, controls, design, by)
-    keyed = cells if by else cells.withColumn("_all", F.lit(1))
-    keys = by or ["_all"]
-    # the fit needs cells without sampling units; the influence needs them: (x, y, c) cells carry the fit back
-    small = keyed.groupBy(*keys, "x", "y", "c").agg(F.sum("sw").alias("sw"), F.sum("sww").alias("sww"), F.sum("n").alias("n"))
-    schema = small.select(*keys, "x", "y", "c").schema
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        f = fit_cells(pdf, binomial)
-        out = pdf[[*keys, "x", "y", "c"]].copy()
-        out["beta"], out["sd_x"], out["kish_se"] = f["beta"], f["sd_x"], f["kish_se"]
-        if f["coef"] is None:
-            out["influence"] = np.nan
-        else:
-            m = np.column_stack((_design_matrix(pdf["c"], f["levels"])[:, f["keep"]], pdf["x"] - f["mx"]))
-            eta = m @ np.array(f["coef"])
-            mu = 1 / (1 + np.exp(-eta)) if binomial else eta
-            out["influence"] = (m @ np.array(f["inverse"])) * (pdf["y"].to_numpy() - mu)
-        return out
-
-    fits = small.groupBy(*keys).applyInPandas(fit, f"{fields}, beta double, sd_x double, kish_se double, influence double")
-    group = fits.groupBy(*keys).agg(F.max("beta").alias("beta"), F.max("sd_x").alias("sd_x"), F.max("kish_se").alias("kish_se"))
-    sizes = small.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sw").alias("sum_w"))
-    recs = sizes.join(group, keys)
+    keys = [*by, "predictor"]
+    cells = kept(regression_cells(frame, outcome, predictors, controls, design, by))
+    mean = F.sum(F.col("sw") * F.col("x")) / F.sum("sw")
+    usable = F.min("y") != F.max("y") if binomial else F.lit(True)
+    sizes = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("sw").alias("sum_w"), F.sum("sww").alias("sww"), mean.alias("mx"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    spread = match(cells, sizes.select(*keys, "mx"), keys).withColumn("x", F.col("x") - F.col("mx"))
+    centred = kept(spread.groupBy(*keys, "x", "y", "c").agg(F.sum("sw").alias("sw")))
+    variance = centred.groupBy(*keys).agg((F.sum(F.col("sw") * F.col("x") * F.col("x")) / F.sum("sw")).alias("var_x"))
+    sizes = kept(match(sizes, variance, keys).withColumn("sd_x", F.sqrt(F.greatest("var_x", F.lit(0.0)))))
+    fits = _logistic_fits(centred, sizes, keys) if binomial else kept(_fits(grouped_gram(centred, keys), sizes, keys))
+    recs = match(sizes, fits.select(*keys, F.try_element_at("coef", F.lit(X)).alias("beta"), F.try_element_at("inverse", F.lit(X)).alias("inverse_x"), F.size("coef").alias("p")), keys, "left")
+    fitted = match(spread if design.strata else centred, fits.where("coef is not null"), keys)
+    off = F.col("y") - _mean(_linear("coef", F.col("x")), binomial)
     if design.strata:
-        z = keyed.join(fits.select(*keys, "x", "y", "c", "influence"), [*keys, "x", "y", "c"]).where("influence is not null and not isnan(influence)")
-        units = z.groupBy(*keys, "_strata", "_psu").agg(F.sum(F.col("sw") * F.col("influence")).alias("z"))
-        var = taylor_variance(units, design_counts(frame, design), keys)
-        recs = recs.join(var, keys, "left").withColumn("se", F.when(F.col("beta").isNotNull(), F.sqrt(F.greatest("var", F.lit(0.0)))))
-        recs = recs.withColumn("df", F.col("n_psu") - F.col("n_strata"))
+        units = fitted.groupBy(*keys, "_strata", "_psu").agg(F.sum(F.col("sw") * _linear("inverse", F.col("x")) * off).alias("z"))
+        recs = match(recs, taylor_variance(units, design_counts(frame, design), keys), keys, "left")
+        recs = recs.withColumns({"se": F.sqrt(F.greatest("var", F.lit(0.0))), "df": F.col("n_psu") - F.col("n_strata")})
     else:
-        none = F.lit(None).cast("long")
-        recs = recs.withColumns({"se": F.col("kish_se"), "n_psu": none, "n_strata": none, "df": none})
+        n_eff = F.col("sum_w") * F.col("sum_w") / F.col("sww")
+        scale = F.lit(1.0) if binomial else F.col("sse") / F.col("sum_w") * n_eff / (n_eff - F.col("p"))
+        recs = match(recs, fitted.groupBy(*keys).agg(F.sum(F.col("sw") * off * off).alias("sse")), keys, "left")
+        recs = recs.withColumn("se", F.when(n_eff > F.col("p"), F.sqrt(scale * F.col("inverse_x") * F.col("sum_w") / n_eff)))
+        recs = recs.withColumns({c: F.lit(None).cast("long") for c in ("n_psu", "n_strata", "df")})
     pair = F.inline(F.array(F.struct(F.lit("beta").alias("measure"), F.lit(1.0).alias("k")), F.struct(F.lit("beta_per_sd").alias("measure"), F.col("sd_x").alias("k"))))
-    out = recs.select(*by, "beta", "se", "n", "sum_w", "n_psu", "n_strata", "df", pair)
-    out = out.withColumns({"estimate": F.col("beta") * F.col("k"), "se": F.col("se") * F.col("k")}).drop("beta", "k")
+    out = recs.select(*keys, "beta", "se", "n", "sum_w", "n_psu", "n_strata", "df", pair)
+    out = out.withColumns({"estimate": F.col("beta") * F.col("k"), "se": F.when(F.col("beta").isNotNull(), F.col("se") * F.col("k"))}).drop("beta", "k")
     return suppress_small_cells(out, policy, columns=("estimate", "se"))
+
+
+def adjusted_association(frame: DataFrame, outcome: str, predictor: str, controls: list[str], design: Design = Design(), by=(), family: str = "gaussian", policy: Policy = NO_SUPPRESSION) -> DataFrame:
+    """The same for one predictor, without the column predictor."""
+    return adjusted_associations(frame, outcome, [predictor], controls, design, by, family, policy).drop("predictor")
+
+
+def ranked_adjusted(estimates: DataFrame, by: list[str], min_n: int = 100, limit: int = 20) -> DataFrame:
+    """Predictors of an adjusted sweep ranked by their median |beta_per_sd|."""
+    return ranked_correlates(estimates.where("measure = 'beta_per_sd'"), by, min_n, limit)

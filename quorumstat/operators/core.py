@@ -8,14 +8,42 @@ design is the whole frame: a null value leaves the estimate, never the design.
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import dataclass
 from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset and Spark runs on this machine alone."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(path)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows, counted now; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 RESULT_COLUMNS = (
     "stat", "estimate", "se", "ci_lo", "ci_hi", "ci_level", "ci_method", "n", "sum_w", "n_psu", "n_strata", "df", "se_method", "weight", "suppressed", "flagged",
 )

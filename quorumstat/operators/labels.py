@@ -2,70 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import small_side
+
+
+# What a label in parentheses must contain to be of a kind, first match first.
+NONRESPONSE = (("skipped", "skip"), ("dk", "dk|know"), ("refused", r"refus|^\(rf\)$"))
+
+
+def _first_rule(rules: list[tuple]) -> Column:
+    """The value of the first rule (value, condition) that holds, null if none does."""
+    return F.coalesce(*[F.when(condition, value) for value, condition in rules])
+
 
 def classify_nonresponse(labels: DataFrame, rulings: DataFrame | None = None) -> DataFrame:
     """Adds kind: skipped, dk, refused or unresolved for labels wholly in parentheses, null for answers.
 
     rulings (variable, code, ruling) win; the ruling 'valid' makes a parenthesised label an answer.
     """
-    low = F.lower("label")
-    kind = (
-        F.when(~(F.startswith("label", F.lit("(")) & F.endswith("label", F.lit(")"))), F.lit(None))
-        .when(F.contains(low, F.lit("skip")), "skipped")
-        .when(F.contains(low, F.lit("dk")) | F.contains(low, F.lit("know")), "dk")
-        .when(F.contains(low, F.lit("refus")) | (low == "(rf)"), "refused")
-        .otherwise("unresolved")
-    )
+    said = F.lower("label")
+    kinds = [(F.lit(kind), F.rlike(said, F.lit(words))) for kind, words in NONRESPONSE]
+    kind = F.when(F.rlike("label", F.lit(r"(?s)^\(.*\)$")), _first_rule([*kinds, (F.lit("unresolved"), F.lit(True))]))
     out = labels.withColumn("kind", kind)
     if rulings is None:
         return out
-    r = F.broadcast(rulings.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "ruling"))  # a catalog table
+    r = small_side(rulings.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "ruling"))
     out = out.join(r, (F.col("variable") == F.col("_v")) & (F.col("code") == F.col("_c")), "left")
     return out.withColumn("kind", F.when(F.col("ruling").isNull(), F.col("kind")).when(F.col("ruling") != "valid", F.col("ruling"))).drop("_v", "_c", "ruling")
 
 
 def split_country_label(labels: DataFrame, countries: DataFrame) -> DataFrame:
     """Codes of 100 and more carry their country: adds country_code, short (label without the prefix), mismatch."""
-    c = F.broadcast(countries.select(F.col("code").alias("_cc"), F.col("name").alias("_name")))
+    c = small_side(countries.select(F.col("code").alias("_cc"), F.col("name").alias("_name")))
     out = labels.join(c, (F.col("code") >= 100) & (F.floor(F.col("code") / 100) == F.col("_cc")), "left")
     prefix = F.concat(F.col("_name"), F.lit(": "))
     fits = F.startswith("label", prefix)
     return out.select(
-        *labels.columns, F.when(fits, F.col("_cc")).alias("country_code"), F.when(fits, F.substring("label", F.char_length(prefix) + 1, F.lit(10_000))).otherwise(F.col("label")).alias("short"),
+        *labels.columns, F.when(fits, F.col("_cc")).alias("country_code"), F.when(fits, F.substring("label", F.char_length(prefix) + 1, F.char_length("label"))).otherwise(F.col("label")).alias("short"),
         (F.col("_cc").isNotNull() & ~fits).alias("mismatch"),
     )
 
 
-#: Scale types that the name of a variable decides.
-NAME_RULES = (
-    (r"^ID$", "id"), (r"^(STRATA|PSU)$", "design"), (r"WEIGHT", "weight"), (r"^DOI(_|$)", "date"),
-    (r"^(WAVE|MODE_RECRUIT|MODE_ANNUAL|RECRUIT_TYPE|MIDYEAR_TYPE|FULL_PARTIAL|COUNTRY)$", "design"),
-)
+def infer_scale(labels: DataFrame, named: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(variable, scale_type, min, max) from `labels(variable, code, label, kind, country_code)`.
 
-
-def infer_scale(labels: DataFrame) -> DataFrame:
-    """(variable, scale_type, min, max) from `labels(variable, code, label, kind, country_code)`: names first, then the
-    valid codes."""
-    ok = F.col("kind").isNull()
-    top = F.when(ok & F.rlike("label", F.lit(r"^\d+\+$")), F.col("code"))
+    named: (pattern of a variable's name, scale type), for variables that are no answers and have no bounds.
+    """
+    answer = F.col("kind").isNull()
+    open_ended = F.when(answer & F.rlike("label", F.lit(r"^\d+\+$")), F.col("code"))
     v = labels.groupBy("variable").agg(
-        F.sort_array(F.collect_set(F.when(ok, F.col("code")))).alias("codes"), F.max(top).alias("top"), F.max((ok & F.col("country_code").isNotNull()).cast("int")).alias("by_country")
-    )
-    n, lo, hi = F.size("codes"), F.array_min("codes"), F.array_max("codes")
-    by_codes = (
-        F.when(F.col("by_country") == 1, "nominal").when(F.col("top").isNotNull(), "count").when((n == 2) & (lo == 0) & (hi == 10), "scale_0_10").when((n == 2) & (lo == 1) & (hi == 2), "binary")
-        .when((n >= 3) & (hi - lo == n - 1) & lo.isin(0, 1), "ordinal").when(n > 0, "nominal").otherwise("continuous")
+        F.countDistinct(F.when(answer, F.col("code"))).alias("n"), F.min(F.when(answer, F.col("code"))).alias("lo"), F.max(F.when(answer, F.col("code"))).alias("hi"),
+        F.max(open_ended).alias("top"), F.max(answer & F.col("country_code").isNotNull()).alias("by_country"),
     )
-    named = F.coalesce(*[F.when(F.rlike("variable", F.lit(p)), s) for p, s in NAME_RULES])
+    n, lo, hi, top = (F.col(c) for c in ("n", "lo", "hi", "top"))
+    codes = lambda low, high: (n == 2) & (lo == low) & (hi == high)
+    rules = [("nominal", F.col("by_country")), ("count", top.isNotNull()), ("scale_0_10", codes(0, 10)), ("binary", codes(1, 2)), ("ordinal", (n >= 3) & lo.isin(0, 1) & (hi - lo + 1 == n)), ("nominal", n > 0), ("continuous", F.lit(True))]
+    by_name = _first_rule([(F.lit(kind), F.rlike("variable", F.lit(pattern))) for pattern, kind in named] or [(F.lit(None).cast("string"), F.lit(False))])
+    by_codes = _first_rule([(F.lit(kind), condition) for kind, condition in rules])
     counted = by_codes == "count"
-    return v.select(
-        "variable", F.coalesce(named, by_codes).alias("scale_type"), F.when(named.isNull(), F.when(~counted, lo).when(F.array_contains("codes", 0), F.lit(0))).alias("min"),
-        F.when(named.isNull(), F.when(counted, F.col("top")).otherwise(hi)).alias("max"),
-    )
+    low = F.when(counted, F.when(lo == 0, F.lit(0))).otherwise(lo)
+    return v.select("variable", F.coalesce(by_name, by_codes).alias("scale_type"), F.when(by_name.isNull(), low).alias("min"), F.when(by_name.isNull(), F.when(counted, top).otherwise(hi)).alias("max"))
 
 
 def expand_scale_labels(labels: DataFrame, variables: DataFrame) -> DataFrame:
@@ -88,7 +86,7 @@ def waves_of(columns: DataFrame) -> DataFrame:
 
 def breakdown_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
     """(variable, code, label) of observed codes: the short label, else the label, else the code itself."""
-    ls = F.broadcast(labels.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "label", "short_label"))
+    ls = small_side(labels.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "label", "short_label"))
     out = values.select("variable", "code").distinct().join(ls, (F.col("variable") == F.col("_v")) & (F.col("code") == F.col("_c")), "left")
     return out.select("variable", "code", F.coalesce("short_label", "label", F.col("code").cast("string")).alias("label"))
 
@@ -128,12 +126,12 @@ def servable_outcomes(variables: DataFrame, derived: DataFrame) -> DataFrame:
 
 
 def candidate_predictors(variables: DataFrame, outcome: str, wave: str) -> DataFrame:
-    """Ordered servable items asked at the wave that share no answers with the outcome."""
-    mine = variables.where(F.col("name") == outcome).select(F.col("components").alias("_mine"))
-    ordered = variables.where(F.col("scale_type").isin("scale_0_10", "ordinal", "binary", "count") & F.array_contains("waves", wave) & (F.col("name") != outcome))
-    return ordered.crossJoin(F.broadcast(mine)).where(~F.arrays_overlap("components", "_mine")).drop("_mine")  # one row
+    """Ordered servable items asked at the wave, or at the midyear interview, that share no answers with the outcome.
 
-
-def latest_label(labels: DataFrame) -> DataFrame:
-    w = W.partitionBy("variable", "code").orderBy(F.desc("wave"))
-    return labels.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+    Those asked at midyear alone are marked by column midyear: their pairs with the wave take the panel weight of both.
+    """
+    mine = variables.where(F.col("name") == outcome).select(F.col("name").alias("_outcome"), F.explode("components").alias("_mine"))
+    at_wave, at_midyear = F.array_contains("waves", wave), F.array_contains("waves", "MY")
+    ordered = variables.where(F.col("scale_type").isin("scale_0_10", "ordinal", "binary", "count") & (at_wave | at_midyear) & (F.col("name") != outcome))
+    sharing = ordered.select("name", F.explode("components").alias("_mine")).join(mine, "_mine").select("name").distinct()
+    return ordered.join(sharing, "name", "left_anti").withColumn("midyear", ~at_wave)

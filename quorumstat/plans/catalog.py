@@ -131,14 +131,14 @@ _VAR_NAMES = ["name", "display_name", "wording", "family", "scale_type", "direct
 _VAR_SQL = values_sql([r[:10] for r in VARIABLES], _VAR_NAMES[:10])
 _VAR_SCHEMA = "name string, display_name string, wording string, family string, scale_type string, direction string, min int, max int, restricted boolean, is_country_specific boolean, waves array<string>, components array<string>"
 LABELS = [
-    ("ATTEND", 1, "Weekly", None, None), ("ATTEND", 2, "Monthly", None, None), ("ATTEND", 3, "Never", None, None), ("ATTEND", 98, "(DK)", None, None), ("ATTEND", 99, "(Refused)", None, None),
-    ("CHILD", 0, "0", None, None), ("CHILD", 9, "9", None, None), ("CHILD", 10, "10+", None, None), ("HAPPY", 0, "Not at all", None, None), ("HAPPY", 10, "Completely", None, None), ("HAPPY", 97, "(Saw question, skipped)", None, None),
-    ("OWN", 1, "Yes", None, None), ("OWN", 2, "No", None, None), ("ETHNIC", 104, "Argentina: Mestizo(a)", 1, None), ("ETHNIC", 201, "Brazil: Branca", 2, None), ("INCOME", 9900, "(None/No household income)", None, None), ("INCOME", 5, "Five", None, "5k"),
+    ("VISITS", 1, "Weekly", None, None), ("VISITS", 2, "Monthly", None, None), ("VISITS", 3, "Never", None, None), ("VISITS", 98, "(DK)", None, None), ("VISITS", 99, "(Refused)", None, None),
+    ("PETS", 0, "0", None, None), ("PETS", 9, "9", None, None), ("PETS", 10, "10+", None, None), ("MOOD", 0, "Not at all", None, None), ("MOOD", 10, "Completely", None, None), ("MOOD", 97, "(Skipped it)", None, None),
+    ("BIKE", 1, "Yes", None, None), ("BIKE", 2, "No", None, None), ("DISTRICT", 104, "Eastmark: Hills", 1, None), ("DISTRICT", 201, "Southport: Docks", 2, None), ("PAY", 9900, "(No pay at all)", None, None), ("PAY", 5, "Five", None, "5k"),
 ]
 _LABEL_NAMES = ["variable", "code", "label", "country_code", "short_label"]
 _LABEL_SQL = values_sql(LABELS, _LABEL_NAMES)
 _LABEL_SCHEMA = "variable string, code int, label string, country_code int, short_label string"
-COUNTRIES = [(0, "Africa"), (1, "Argentina"), (2, "Brazil"), (3, "Europe"), (4, "Japan")]
+COUNTRIES = [(0, "Northland"), (1, "Eastmark"), (2, "Southport"), (3, "Westmere"), (4, "Midvale")]
 _COUNTRY_SQL = values_sql(COUNTRIES, ["code", "name"])
 
 
@@ -354,13 +354,13 @@ def coverage(spark, sf):
 # --- 2.4 catalog work; observed answers of the events are labelled, so that the work grows with the tables
 
 _OBS_SQL = f"(SELECT DISTINCT variable, value AS code FROM ({LONG_SQL}) t WHERE value IS NOT NULL)"
-_EVENT_LABELS_SQL = f"(SELECT variable, code, CASE WHEN code = 9 THEN '(Refused)' WHEN code = 8 THEN '(DK)' WHEN code = 7 THEN '(Saw, skipped)' WHEN code = 6 THEN '(None)' ELSE concat('Answer ', CAST(code AS VARCHAR)) END AS label FROM {_OBS_SQL} o)"
+_EVENT_LABELS_SQL = f"(SELECT variable, code, CASE WHEN code = 9 THEN '(Refused)' WHEN code = 8 THEN '(DK)' WHEN code = 7 THEN '(Skipped it)' WHEN code = 6 THEN '(None)' ELSE concat('Answer ', CAST(code AS VARCHAR)) END AS label FROM {_OBS_SQL} o)"
 
 
 def event_labels(spark, sf):
     o = long_frame(spark, sf).where("value is not null").select("variable", F.col("value").alias("code")).distinct()
     c = F.col("code")
-    return o.withColumn("label", F.when(c == 9, "(Refused)").when(c == 8, "(DK)").when(c == 7, "(Saw, skipped)").when(c == 6, "(None)").otherwise(F.concat(F.lit("Answer "), c.cast("string"))))
+    return o.withColumn("label", F.when(c == 9, "(Refused)").when(c == 8, "(DK)").when(c == 7, "(Skipped it)").when(c == 6, "(None)").otherwise(F.concat(F.lit("Answer "), c.cast("string"))))
 
 
 _KIND_SQL = f"SELECT variable, code, label, CASE WHEN code = 9 THEN 'refused' WHEN code = 8 THEN 'dk' WHEN code = 7 THEN 'skipped' WHEN code = 6 AND variable <> 'view' THEN 'unresolved' END AS kind FROM {_EVENT_LABELS_SQL} l"
@@ -730,13 +730,32 @@ def kish_regression_se(spark, sf):
     return A.adjusted_association(design_frame(spark, sf), "item4", "item3", ["nominal"], KISH, COUNTRY).select("country_code", "measure", "estimate", "se", "n")
 
 
-_GRAM_SQL = f"""SELECT country_code, x, y, nominal, sum(w) AS sw, count(*) AS n FROM (SELECT country_code, CAST(item3 AS DOUBLE) AS x, CAST(item4 AS DOUBLE) AS y, nominal, w FROM ({DESIGN_SQL}) q) f GROUP BY 1, 2, 3, 4"""
+_GRAM_SQL = f"""SELECT country_code, a.k AS i, b.k AS j, round(sum(w * a.v * b.v), 4) AS v FROM (SELECT country_code, w, [{{'k': '1', 'v': CAST(1 AS DOUBLE)}}, {{'k': concat('000=', CAST(nominal AS VARCHAR)), 'v': CAST(1 AS DOUBLE)}},
+  {{'k': 'x', 'v': CAST(item3 AS DOUBLE)}}, {{'k': 'y', 'v': CAST(item4 AS DOUBLE)}}] AS z FROM ({DESIGN_SQL}) f WHERE item4 IS NOT NULL) q, unnest(z) AS t(a), unnest(z) AS u(b) WHERE a.k <= b.k GROUP BY 1, 2, 3"""
 
 
 @register("grouped_gram", _GRAM_SQL)
 def grouped_gram(spark, sf):
-    cells = A.regression_cells(design_frame(spark, sf), "item4", "item3", ["nominal"], KISH, COUNTRY)
-    return cells.select("country_code", "x", "y", F.col("c")[0].cast("int").alias("nominal"), "sw", "n")
+    cells = A.regression_cells(design_frame(spark, sf), "item4", ["item3"], ["nominal"], KISH, COUNTRY)
+    return A.grouped_gram(cells, COUNTRY).withColumn("v", F.round("v", 4))
+
+
+_ADJ_SWEEP_SQL = " UNION ALL ".join(f"SELECT '{p}' AS predictor, a.* FROM ({_ADJ_SQL.replace('CAST(item3 AS DOUBLE)', f'CAST({p} AS DOUBLE)')}) a" for p in ("item2", "item3", "bin"))
+
+
+def adjusted_sweep(spark, sf):
+    return A.adjusted_associations(design_frame(spark, sf), "item4", ["item2", "item3", "bin"], ["nominal"], DESIGN, COUNTRY)
+
+
+@register("adjusted_sweep", _ADJ_SWEEP_SQL)
+def adjusted_sweep_query(spark, sf):
+    return rounded(adjusted_sweep(spark, sf).select("country_code", "predictor", "measure", "estimate", "n"), "estimate")
+
+
+@register("ranked_adjusted", f"""SELECT predictor, strength, n_groups, CAST(row_number() OVER (ORDER BY strength DESC, predictor) AS INTEGER) AS rank FROM (
+  SELECT predictor, round(median(abs(estimate)), 5) AS strength, count(*) AS n_groups FROM ({_ADJ_SWEEP_SQL}) s WHERE measure = 'beta_per_sd' AND n >= 100 GROUP BY 1) r""")
+def ranked_adjusted(spark, sf):
+    return A.ranked_adjusted(adjusted_sweep(spark, sf), COUNTRY).withColumn("strength", F.round("strength", 5))
 
 
 @register("candidate_predictors", f"SELECT name FROM {_VAR_SQL} v WHERE name IN ('signup', 'error') AND name IN (SELECT variable FROM ({LONG_SQL}) t)")
@@ -789,13 +808,14 @@ def pair_lookup(spark, sf):
     return rounded(A.pair_lookup(_event_pairs(spark, sf), "error", ["click", "view"]), "estimate", "sum_w")
 
 
-_TAB_SQL = f"""SELECT g.x, g.y, c.estimate, c.se, coalesce(c.n, 0) AS n FROM (SELECT a.x, b.y FROM {values_sql([(1,), (2,), (3,)], ['x'])} a CROSS JOIN {values_sql([(i,) for i in range(1, 9)], ['y'])} b) g
-  LEFT JOIN ({O.taylor(DESIGN_SQL, _levels('item3', range(1, 9)), ['nominal'], share=True, threshold=0, flag=30)}) c ON g.x = c.nominal AND g.y = c.level"""
+_TAB_SQL = f"""SELECT g.x, g.y, c.estimate, c.se, coalesce(c.n, 0) AS n, coalesce(k.column_n, 0) AS column_n, r.estimate AS correlation, r.n AS pairs FROM (SELECT a.x, b.y FROM {values_sql([(1,), (2,), (3,)], ['x'])} a CROSS JOIN {values_sql([(i,) for i in range(1, 9)], ['y'])} b) g
+  LEFT JOIN ({O.taylor(DESIGN_SQL, _levels('item3', range(1, 9)), ['nominal'], share=True, threshold=0, flag=30)}) c ON g.x = c.nominal AND g.y = c.level
+  LEFT JOIN (SELECT nominal, count(*) AS column_n FROM ({DESIGN_SQL}) f WHERE item3 IS NOT NULL GROUP BY 1) k ON g.x = k.nominal CROSS JOIN ({O.pearson(DESIGN_SQL, 'nominal', 'item3', [])}) r"""
 
 
 @register("cross_tab", _TAB_SQL)
 def cross_tab(spark, sf):
-    return rounded(A.cross_tab(design_frame(spark, sf), "nominal", "item3", DESIGN, [1, 2, 3], list(range(1, 9))).select("x", "y", "estimate", "se", "n"), "estimate", "se")
+    return rounded(A.cross_tab(design_frame(spark, sf), "nominal", "item3", DESIGN, [1, 2, 3], list(range(1, 9))).select("x", "y", "estimate", "se", "n", "column_n", "correlation", "pairs"), "estimate", "se", "correlation")
 
 
 @register("axis_bins", """WITH f AS (SELECT l_quantity AS w, CAST(floor(l_extendedprice / 1000) AS INTEGER) AS v FROM lineitem), c AS (SELECT v, sum(sw) OVER (ORDER BY v) / sum(sw) OVER () AS cdf FROM (SELECT v, sum(w) AS sw FROM f GROUP BY v) s),

@@ -3,6 +3,8 @@
 import math
 from statistics import NormalDist, stdev
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,54 @@ def test_regression_closed_forms(spark):
         A.adjusted_association(line, "y", "y", [], Design())
 
 
+def _weighted_fit(d, columns, y, w, binomial):
+    """Weighted least squares, or its reweighted rounds, by plain matrices: coefficients, inverse information, means."""
+    z = np.column_stack(columns)
+    mu = (y + 0.5) / 2 if binomial else None
+    for _ in range(60 if binomial else 1):
+        v = mu * (1 - mu) if binomial else np.ones(len(y))
+        target = np.log(mu / (1 - mu)) + (y - mu) / v if binomial and _ == 0 else z @ beta + (y - mu) / v if binomial else y
+        info = (z * (w * v)[:, None]).T @ z
+        beta = np.linalg.solve(info, z.T @ (w * v * target))
+        mu = 1 / (1 + np.exp(-(z @ beta))) if binomial else z @ beta
+    v = mu * (1 - mu) if binomial else np.ones(len(y))
+    return beta, np.linalg.inv((z * (w * v)[:, None]).T @ z), mu, z
+
+
+@pytest.mark.parametrize("family", ["gaussian", "binomial"])
+def test_adjusted_sweep_equals_matrices(spark, family):
+    """Coefficients, sandwich errors with strata and units, and model errors, for two predictors and two groups."""
+    rng = np.random.default_rng(8)
+    n = 600
+    d = pd.DataFrame({"g": rng.integers(0, 2, n), "x1": rng.integers(0, 8, n), "x2": rng.normal(size=n).round(1), "c": rng.integers(0, 3, n), "e": rng.integers(0, 2, n), "w": rng.uniform(0.5, 3, n), "strata": rng.integers(0, 5, n), "unit": rng.integers(0, 6, n)})
+    d["psu"] = d.strata * 10 + d.unit
+    score = 0.3 * d.x1 - 0.5 * d.x2 + 0.4 * d.c + rng.normal(size=n) * 2
+    d["y"] = (score > 1).astype(float) if family == "binomial" else score
+    df = spark.createDataFrame(d)
+    for design in (Design(), Design("w", None, None)):
+        got = {(r.g, r.predictor, r.measure): r for r in A.adjusted_associations(df, "y", ["x1", "x2"], ["c", "e"], design, ["g"], family).collect()}
+        assert len(got) == 8
+        for g, f in d.groupby("g"):
+            for p in ("x1", "x2"):
+                w, y, x = f.w.to_numpy(), f.y.to_numpy(), f[p].to_numpy(float)
+                columns = [np.ones(len(f)), f.c == 1, f.c == 2, f.e == 1, x]
+                beta, inverse, mu, z = _weighted_fit(f, [np.asarray(c, float) for c in columns], y, w, family == "binomial")
+                r = got[g, p, "beta"]
+                assert close(r.estimate, beta[-1], 1e-7) and r.n == len(f)
+                sd = np.sqrt((w * (x - (w * x).sum() / w.sum()) ** 2).sum() / w.sum())
+                assert close(got[g, p, "beta_per_sd"].estimate, beta[-1] * sd, 1e-7)
+                if design.strata:
+                    u = (w * (z @ inverse[-1]) * (y - mu))
+                    total = pd.Series(u).groupby([f.strata.to_numpy(), f.psu.to_numpy()]).sum()
+                    units = d.groupby("strata").psu.nunique()
+                    var = sum(units[s] / (units[s] - 1) * ((t**2).sum() - t.sum() ** 2 / units[s]) for s, t in total.groupby(level=0))
+                    assert close(r.se, np.sqrt(var), 1e-7)
+                else:
+                    n_eff, k = w.sum() ** 2 / (w**2).sum(), z.shape[1]
+                    scale = 1.0 if family == "binomial" else (w * (y - mu) ** 2).sum() / w.sum() * n_eff / (n_eff - k)
+                    assert close(r.se, np.sqrt(scale * inverse[-1, -1] * w.sum() / n_eff), 1e-7)
+
+
 def test_averages_need_every_error(spark):
     df = spark.createDataFrame([("a", 1, 1.0, 0.3, 10, 5.0), ("a", 2, 3.0, 0.4, 20, 5.0), ("b", 1, 1.0, None, 5, 1.0), ("b", 2, None, 0.1, 5, 1.0)], "k string, country_code int, estimate double, se double, n int, sum_w double")
     r = {x.k: x for x in E.average_countries(df, ["k"]).collect()}
@@ -164,11 +214,11 @@ def test_row_functions(spark):
 def test_label_rules(spark):
     from quorumstat.plans.catalog import label_table
 
-    rulings = spark.createDataFrame([("INCOME", 9900, "valid")], "variable string, code int, ruling string")
+    rulings = spark.createDataFrame([("PAY", 9900, "valid")], "variable string, code int, ruling string")
     kinds = {(r.variable, r.code): r.kind for r in L.classify_nonresponse(label_table(spark), rulings).collect()}
-    assert kinds["ATTEND", 98] == "dk" and kinds["ATTEND", 99] == "refused" and kinds["HAPPY", 97] == "skipped" and kinds["INCOME", 9900] is None
+    assert kinds["VISITS", 98] == "dk" and kinds["VISITS", 99] == "refused" and kinds["MOOD", 97] == "skipped" and kinds["PAY", 9900] is None
     scale = {r.variable: (r.scale_type, r.min, r.max) for r in L.infer_scale(L.classify_nonresponse(label_table(spark), rulings)).collect()}
-    assert scale == {"ATTEND": ("ordinal", 1, 3), "CHILD": ("count", 0, 10), "HAPPY": ("scale_0_10", 0, 10), "OWN": ("binary", 1, 2), "ETHNIC": ("nominal", 104, 201), "INCOME": ("nominal", 5, 9900)}
+    assert scale == {"VISITS": ("ordinal", 1, 3), "PETS": ("count", 0, 10), "MOOD": ("scale_0_10", 0, 10), "BIKE": ("binary", 1, 2), "DISTRICT": ("nominal", 104, 201), "PAY": ("nominal", 5, 9900)}
 
 
 def test_overlaps_compete_once(spark):
