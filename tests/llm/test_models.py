@@ -98,6 +98,66 @@ def test_rare_languages_are_modelled_and_kept(spark):
     assert {r["doc_id"] for r in langid.accept(df.unionByName(odd), few).collect()} == {r[0] for r in rows}
 
 
+def brute_fusion(rows, model):
+    """rows: (key, text, declared, host, domain, suffix) -> key: (lang, confidence), with loops over rows and levels."""
+    langs, k = model.languages, len(model.languages)
+    softmax = lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    own, soft = [], []
+    for _, text, declared, *_ in rows:
+        b = b" " + (text or "").lower().encode() + b" "
+        letters = [c if chr(c).isalpha() or c >= 128 else 32 for c in b]
+        squeezed = [c for i, c in enumerate(letters) if c != 32 or i == 0 or letters[i - 1] != 32]
+        bins = [((squeezed[i] * 65536 + squeezed[i + 1] * 256 + squeezed[i + 2]) * 0x9E3779B1 >> 13) % langid.BINS for i in range(len(squeezed) - 2)] if any(c != 32 for c in letters) else []
+        score = np.zeros(k)
+        for x in bins:
+            score += model.logp[x].astype(float) * langid.TEMPER
+        if declared in langs:
+            score += np.log([1 - langid.DECLARED_ERROR if x == declared else langid.DECLARED_ERROR / max(1, k - 1) for x in langs])
+        own.append(score), soft.append(softmax(score))
+    prior = np.full(k, 1 / k)
+    smooth = lambda counts, p: (counts + langid.STRENGTH * p) / (counts.sum() + langid.STRENGTH)
+    out = {}
+    for i, r in enumerate(rows):
+        p = prior
+        for level in ((), (5,), (5, 4)):
+            p = smooth(sum(s for s, q in zip(soft, rows, strict=True) if all(q[c] == r[c] for c in level)), p)
+        host = sum(s for s, q in zip(soft, rows, strict=True) if all(q[c] == r[c] for c in (5, 4, 3)))
+        post = softmax(own[i] + np.log(smooth(np.maximum(host - soft[i], 0), p)))
+        out[r[0]] = (langs[int(post.argmax())], post.max())
+    return out
+
+
+def test_fusion_equals_loops_over_rows(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = {"aa": "ana bana kala tara mala", "bb": "ost west knorz schlupf brumm", "cc": "ille bonus tempus quod"}
+    docs = spark.createDataFrame([(" ".join(rng.choice(words.split(), 12)), lang) for lang, words in vocabulary.items() for _ in range(8)], "text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["aa", "bb", "cc"]
+    rows = []
+    for i in range(60):
+        lang = list(vocabulary)[i % 3 if i % 4 else 0]
+        n = int(rng.integers(0, 6))
+        text = None if i == 7 else "" if i == 8 else "123 456" if i == 9 else " ".join(rng.choice(vocabulary[lang].split(), n)) if i != 10 else vocabulary["bb"] * 3000
+        host = None if i % 11 == 0 else f"h{i % 5}.d{i % 2}.x{i % 3}"
+        rows.append((i, text, [None, lang, "zz", "cc"][i % 4], host, host and host.split(".", 1)[1], host and host[-2:]))
+    df = spark.createDataFrame(rows, "key long, text string, declared string, host string, domain string, suffix string")
+    got = {r["key"]: (r["lang"], r["confidence"]) for r in langid.fuse(langid.text_evidence(df, model), model).collect()}
+    want = brute_fusion(rows, model)
+    assert set(got) == set(want)
+    for key, (lang, sure) in want.items():
+        assert got[key][0] == lang and abs(got[key][1] - sure) < 1e-4, key
+
+
+def test_page_language_edges(spark):
+    docs = spark.createDataFrame([("one two three", "en"), ("ein zwei drei", "de")], "text string, lang string")
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (2, "", "", "y"), (3, "no address", "<html lang=de>drei", "z"), (None, "http://a.de/", "<p>ein zwei", "t"), (4, "http://a.de", "<html lang=en>" + "zwei drei " * 100_000, "t")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = langid.identify_pages(pages, langid.train(docs)).collect()
+    assert len(got) == len(rows) and all(r["lang"] in ("en", "de") for r in got)
+    assert [r["lang"] for r in got if r["key"] == 4] == ["de"]
+    assert langid.identify_pages(pages.limit(0), langid.train(docs)).count() == 0
+
+
 def test_page_language(spark):
     out = queries.op4_language(spark, SF)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
