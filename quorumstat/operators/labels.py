@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import small_side
-
 
 # What a label in parentheses must contain to be of a kind, first match first.
 NONRESPONSE = (("skipped", "skip"), ("dk", "dk|know"), ("refused", r"refus|^\(rf\)$"))
@@ -28,14 +26,14 @@ def classify_nonresponse(labels: DataFrame, rulings: DataFrame | None = None) ->
     out = labels.withColumn("kind", kind)
     if rulings is None:
         return out
-    r = small_side(rulings.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "ruling"))
+    r = rulings.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "ruling")
     out = out.join(r, (F.col("variable") == F.col("_v")) & (F.col("code") == F.col("_c")), "left")
     return out.withColumn("kind", F.when(F.col("ruling").isNull(), F.col("kind")).when(F.col("ruling") != "valid", F.col("ruling"))).drop("_v", "_c", "ruling")
 
 
 def split_country_label(labels: DataFrame, countries: DataFrame) -> DataFrame:
     """Codes of 100 and more carry their country: adds country_code, short (label without the prefix), mismatch."""
-    c = small_side(countries.select(F.col("code").alias("_cc"), F.col("name").alias("_name")))
+    c = countries.select(F.col("code").alias("_cc"), F.col("name").alias("_name"))
     out = labels.join(c, (F.col("code") >= 100) & (F.floor(F.col("code") / 100) == F.col("_cc")), "left")
     prefix = F.concat(F.col("_name"), F.lit(": "))
     fits = F.startswith("label", prefix)
@@ -86,7 +84,7 @@ def waves_of(columns: DataFrame) -> DataFrame:
 
 def breakdown_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
     """(variable, code, label) of observed codes: the short label, else the label, else the code itself."""
-    ls = small_side(labels.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "label", "short_label"))
+    ls = labels.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), "label", "short_label")
     out = values.select("variable", "code").distinct().join(ls, (F.col("variable") == F.col("_v")) & (F.col("code") == F.col("_c")), "left")
     return out.select("variable", "code", F.coalesce("short_label", "label", F.col("code").cast("string")).alias("label"))
 

@@ -37,14 +37,46 @@ def check_demographics(df: DataFrame, code: str, lo: float, hi: float, state: st
     return _checks(df, obs, dict.fromkeys(obs, 0))
 
 
-def check_long(long: DataFrame, lo: int, hi: int, sentinels: list[int]) -> DataFrame:
-    """Duplicate keys; values along with a non-response; values out of range; sentinels left as values."""
+def check_long(long: DataFrame, lo: int, hi: int, sentinels: list[int], coverage: DataFrame | None = None) -> DataFrame:
+    """Duplicate keys; values along with a non-response; values out of range; sentinels left as values; with `coverage`
+    (variable, wave, n_valid), variables and waves whose valid values are not as many as it says."""
     keys = long.groupBy("id", "wave", "variable").agg(
         (F.count("*") > 1).cast("int").alias("dup"), violations(F.col("value").isNotNull() & F.col("nonresponse").isNotNull()).alias("both"),
         violations(~F.col("value").between(lo, hi)).alias("range"), violations(F.col("value").isin(sentinels)).alias("sentinel"),
     )
     obs = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("dup", "both", "range", "sentinel")}
-    return _checks(keys, obs, dict.fromkeys(obs, 0))
+    found = _checks(keys, obs, dict.fromkeys(obs, 0))
+    if coverage is None:
+        return found
+    seen = long.groupBy(F.col("variable").alias("_v"), F.col("wave").alias("_w")).agg(F.count("value").alias("seen"))
+    both = coverage.join(seen, (F.col("variable") == F.col("_v")) & (F.col("wave") == F.col("_w")), "full")
+    off = both.select((~F.col("n_valid").eqNullSafe(F.col("seen"))).cast("int").alias("off"))
+    return found.unionByName(_checks(off, {"coverage": F.coalesce(F.sum("off"), F.lit(0))}, {"coverage": 0}))
+
+
+def check_country_prefix(long: DataFrame, country: str = "country_code") -> DataFrame:
+    """(variable, n): values of 100 and more whose hundreds are not the country of the row."""
+    wrong = (F.col("value") >= 100) & ~F.floor(F.col("value") / 100).eqNullSafe(F.col(country))
+    return long.where(wrong).groupBy("variable").agg(F.count("*").alias("n"))
+
+
+def check_scores(derived: DataFrame, ranges: dict[str, tuple[float, float]], items: dict[str, tuple[str, int]], wave: str = "wave") -> DataFrame:
+    """(wave, score, n_valid, out_of_range, too_few_items): by wave, scores outside their range, and scores given although
+    fewer items were answered than they need.  items: score -> (column with the items answered, least number)."""
+    rows = []
+    for name, (lo, hi) in ranges.items():
+        c, (count, least) = F.col(name), items.get(name, (None, 0))
+        few = F.col(count) < least if count else F.lit(False)
+        rows.append(F.struct(F.lit(name).alias("score"), c.isNotNull().alias("valid"), (~c.between(lo, hi)).alias("off"), (c.isNotNull() & few).alias("few")))
+    each = derived.select(wave, F.inline(F.array(*rows)))
+    n = lambda x: F.count(F.when(F.col(x), 1))
+    return each.groupBy(wave, "score").agg(n("valid").alias("n_valid"), n("off").alias("out_of_range"), n("few").alias("too_few_items"))
+
+
+def code_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(variable, code, n): how often each code stands in each column, nulls included."""
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("code")) for c in columns]))
+    return rows.select(each).groupBy("variable", "code").agg(F.count("*").alias("n"))
 
 
 def check_labelled(long: DataFrame, labels: DataFrame) -> DataFrame:
@@ -80,7 +112,7 @@ def check_derived(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> Data
 
 def check_published(means: DataFrame, published: DataFrame, key: str, tolerance: float) -> DataFrame:
     """Estimates against published ones, within a tolerance."""
-    p = F.broadcast(published.select(F.col(key).alias("_k"), F.col("expected")))
+    p = published.select(F.col(key).alias("_k"), F.col("expected"))
     return means.join(p, F.col(key) == F.col("_k")).select(F.col(key).cast("string").alias("name"), F.col("estimate").alias("observed"), "expected", (F.abs(F.col("estimate") - F.col("expected")) <= tolerance).alias("passed"))
 
 

@@ -12,7 +12,7 @@ from ..functions.columns import orient_values
 def build_respondents(raw: DataFrame, columns: dict[str, str], flags: dict[str, str], countries: DataFrame, extras: DataFrame | None = None) -> DataFrame:
     """Renamed person columns, a flag for each wave marker that is not null, the country's name and optional extras."""
     people = raw.select(*[F.col(a).alias(b) for a, b in columns.items()], *[F.col(m).isNotNull().alias(f) for f, m in flags.items()])
-    out = people.join(F.broadcast(countries.select(F.col("code").alias("country_code"), F.col("name").alias("country_name"))), "country_code", "left")
+    out = people.join(countries.select(F.col("code").alias("country_code"), F.col("name").alias("country_name")), "country_code", "left")
     return out.join(extras, "id", "left") if extras is not None else out
 
 
@@ -28,7 +28,7 @@ def unpivot_long(raw: DataFrame, id_col: str, by_wave: dict[str, dict[str, str]]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    s = F.broadcast(sentinels.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), F.col("kind").alias("nonresponse")))
+    s = sentinels.select(F.col("variable").alias("_v"), F.col("code").alias("_c"), F.col("kind").alias("nonresponse"))
     out = long.join(s, (F.col("variable") == F.col("_v")) & (F.col("raw") == F.col("_c")), "left")
     return out.select("id", "wave", "variable", F.when(F.col("nonresponse").isNull(), F.col("raw")).alias("value"), "nonresponse")
 
@@ -69,14 +69,14 @@ def derived_frame(derived: DataFrame, respondents: DataFrame, score: str, wave:
 
 
 def orient(long: DataFrame, variables: DataFrame) -> DataFrame:
-    v = F.broadcast(variables.select(F.col("name").alias("_n"), "direction", F.col("min").alias("_lo"), F.col("max").alias("_hi")))
+    v = variables.select(F.col("name").alias("_n"), "direction", F.col("min").alias("_lo"), F.col("max").alias("_hi"))
     out = long.join(v, F.col("variable") == F.col("_n"), "left")
     return out.withColumn("value", orient_values(F.col("value"), F.coalesce("direction", F.lit("none")), F.col("_lo"), F.col("_hi"))).drop("_n", "direction", "_lo", "_hi")
 
 
 def own_state(df: DataFrame, states: DataFrame, region: str, region_y2: str, in_group: str) -> DataFrame:
     """Postal code of each wave's region where the person is in the group; the second wave falls back to the first."""
-    m = lambda c: F.broadcast(states.select(F.col("region").alias(f"_{c}"), F.col("postal").alias(c)))
+    m = lambda c: states.select(F.col("region").alias(f"_{c}"), F.col("postal").alias(c))
     out = df.join(m("s1"), F.when(F.col(in_group), F.col(region)) == F.col("_s1"), "left").join(m("s2"), F.when(F.col(in_group), F.col(region_y2)) == F.col("_s2"), "left")
     return out.withColumns({"state": F.col("s1"), "state_y2": F.coalesce("s2", "s1")}).drop("_s1", "_s2", "s1", "s2")
 
@@ -95,7 +95,7 @@ def weighted_quintile(people: DataFrame, country: str = "country_code", code: st
     share = F.col("bw") / F.sum("bw").over(whole)
     mid = F.sum("bw").over(run) / F.sum("bw").over(whole) - share / 2
     q = g.select("_c", "_b", (F.greatest(F.lit(0), F.least(F.floor(mid * 5), F.lit(4))) + 1).cast("int").alias("income_quintile"))
-    return banded.join(F.broadcast(q), (F.col(country) == F.col("_c")) & (F.col("income_band") == F.col("_b")), "left").drop("_c", "_b")
+    return banded.join(q, (F.col(country) == F.col("_c")) & (F.col("income_band") == F.col("_b")), "left").drop("_c", "_b")
 
 
 def coverage(long: DataFrame, respondents: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from ..operators import labels as L
 from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import weights as WT
-from ..operators.core import NO_SUPPRESSION, Design, Item, design_counts, suppress_small_cells
+from ..operators.core import NO_SUPPRESSION, Design, Item, design_counts, shared_dir, suppress_small_cells
 from ..sources import files as S
 from . import oracles as O
 from .frames import (
@@ -67,10 +68,7 @@ def _typed_summary(df: DataFrame) -> DataFrame:
 
 @register("scan_csv_strings", _CSV_SQL.replace("sum(CAST(l_orderkey AS BIGINT))", "CAST(sum(l_orderkey) AS BIGINT)"))
 def scan_csv_strings(spark, sf):
-    import uuid
-
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    path = f"{base.get() if base.isDefined() else '/tmp/spark-csv'}/csv-{uuid.uuid4().hex}"
+    path = _shared(spark, "csv")
     _text_lines(spark, sf).write.option("header", True).csv(path)
     return _typed_summary(S.cast_by_catalog(S.scan_csv_strings(spark, path), TYPES, frozenset({"qty"})))
 
@@ -105,10 +103,7 @@ def scan_parquet(spark, sf):
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return f"{base.get() if base.isDefined() else '/tmp/spark-tables'}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("write_parquet", f"SELECT wave, variable, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM ({LONG_SQL}) t GROUP BY 1, 2")
@@ -173,12 +168,6 @@ def export_static_views(spark, sf):
     return S.export_static_views(est, _shared(spark, "views"), ["wave", "variable"], ["country_code", "estimate", "se", "n"])
 
 
-@register("export_catalog_views", f"""SELECT variable, CAST(n_labels AS BIGINT) AS n_labels FROM (SELECT variable, count(*) AS n_labels FROM {_LABEL_SQL} l GROUP BY 1) q""")
-def export_catalog_views(spark, sf):
-    docs = S.static_views(label_table(spark), ["variable"], ["code", "label"])
-    return docs.select("variable", F.col("n_rows").alias("n_labels"))
-
-
 @register("export_csv_labelled", f"SELECT country_code, name AS country_code_label, count(*) AS n FROM ({PEOPLE_SQL}) p LEFT JOIN {_COUNTRY_SQL} c ON country_code = code GROUP BY 1, 2")
 def export_csv_labelled(spark, sf):
     rows = people_frame(spark, sf).groupBy("country_code").agg(F.count("*").alias("n"))
@@ -189,7 +178,7 @@ def export_csv_labelled(spark, sf):
 
 @register("table_manifest", "SELECT 'nation' AS table_name, count(*) AS rows FROM nation UNION ALL SELECT 'orders', count(*) FROM orders")
 def table_manifest(spark, sf):
-    return S.table_manifest({t: read(spark, sf, t) for t in ("nation", "orders")}).drop("fingerprint")
+    return S.table_manifest({t: read(spark, sf, t) for t in ("nation", "orders")}).select("table_name", "rows")
 
 
 # --- 2.2 reshape
@@ -363,6 +352,17 @@ def event_labels(spark, sf):
     return o.withColumn("label", F.when(c == 9, "(Refused)").when(c == 8, "(DK)").when(c == 7, "(Skipped it)").when(c == 6, "(None)").otherwise(F.concat(F.lit("Answer "), c.cast("string"))))
 
 
+@register("export_catalog_views", f"SELECT variable, count(*) AS n_labels, string_agg(concat(CAST(code AS VARCHAR), '=', label), '; ' ORDER BY code) AS labels FROM {_EVENT_LABELS_SQL} l GROUP BY 1")
+def export_catalog_views(spark, sf):
+    """Documents of the labels of each variable, written, read again and compared in full."""
+    path = _shared(spark, "catalog")
+    S.export_static_views(event_labels(spark, sf), path, ["variable"], ["code", "label"])
+    body = "struct<meta:map<string,string>,rows:array<struct<code:int,label:string>>>"
+    rows = F.array_sort(F.from_json("value", body)["rows"])
+    docs = spark.read.text(path).select("variable", rows.alias("r"))
+    return docs.select("variable", F.size("r").cast("long").alias("n_labels"), F.array_join(F.transform("r", lambda x: F.concat_ws("=", x["code"], x["label"])), "; ").alias("labels"))
+
+
 _KIND_SQL = f"SELECT variable, code, label, CASE WHEN code = 9 THEN 'refused' WHEN code = 8 THEN 'dk' WHEN code = 7 THEN 'skipped' WHEN code = 6 AND variable <> 'view' THEN 'unresolved' END AS kind FROM {_EVENT_LABELS_SQL} l"
 
 
@@ -574,23 +574,49 @@ def suppress_cells(spark, sf):
     return suppress_small_cells(g, columns=("estimate",))
 
 
-def aggregate_query(spark, sf, outcome="y", stat="mean", by=("country_code", "nominal"), filters=None, wave="Y1"):
-    """The composed query: frame, domain filters, statistic; argument errors are reported together."""
-    problems = []
-    if stat not in ("mean", "proportion", "distribution", "quantile"):
-        problems.append(f"unknown stat {stat!r}")
-    if len(by) > 3:
-        problems.append("at most three breakdowns")
-    if outcome in by:
-        problems.append("the outcome cannot be its own breakdown")
-    if not by or "country_code" not in by and "country_code" not in (filters or {}):
-        problems.append("group by or filter to a country")
-    if problems:
-        raise ValueError("; ".join(problems))
-    f = design_frame(spark, sf)
+_STATE_SQL_ADJ = f"SELECT *, state_y2 AS st FROM ({PANEL_SQL}) p0 WHERE retained_y2 AND country_code = 1 AND state_y2 IS NOT NULL"
+WAVES = {"Y1": "y1", "MY": "my", "Y2": "y2"}
+STATS = {"mean": E.weighted_mean, "proportion": E.weighted_proportion, "distribution": E.weighted_distribution, "quantile": E.weighted_quantile}
+
+
+def aggregate_query(spark, sf, outcome="y", stat="mean", by=("country_code", "nominal"), filters=None, wave=None, scope="global", oriented=False, p=(0.5,)):
+    """The composed query: frame, domain filters, statistic; argument errors are reported together.
+
+    Without a wave, over the line items; with one, the outcome `priority` of the panel at that wave, on the weight of the
+    wave and scope.  oriented: of a 1-5 item, more means more.  p: of quantiles.
+    """
+    rules = {
+        f"unknown stat {stat!r}": stat not in STATS, "at most three breakdowns": len(by) > 3, "the outcome cannot be its own breakdown": outcome in by,
+        "group by or filter to a country": not {"country_code", "state"} & {*by, *(filters or {})}, f"unknown wave {wave!r}": wave not in (None, *WAVES),
+        "scopes and orientation need a wave": wave is None and (scope != "global" or oriented), "waves have the outcome 'priority'": wave is not None and outcome != "priority",
+        f"unknown scope {scope!r}": scope not in {s.scope for s in WT.WEIGHTS}, "p is of quantiles": stat != "quantile" and tuple(p) != (0.5,),
+    }
+    if any(rules.values()):
+        raise ValueError("; ".join(problem for problem, found in rules.items() if found))
+    if wave is None:
+        f, design = design_frame(spark, sf), DESIGN
+    else:
+        spec = WT.resolve((wave,), scope)
+        f, design = WT.eligible_rows(panel_frame(spark, sf), spec, 1), Design(spec.weight)
+        f = (WT.state_frame(f, spec) if spec.state_column else f).withColumn("priority", F.col(WAVES[wave]))
+        f = f.withColumn("priority", C.align_values(F.col("priority"), 1, 5)) if oriented else f
     f = f.withColumn(outcome, C.in_domain(F.col(outcome), filters or {}))
-    op = {"mean": E.weighted_mean, "proportion": E.weighted_proportion, "distribution": E.weighted_distribution}.get(stat)
-    return op(f, outcome, DESIGN, by=list(by)) if op else E.weighted_quantile(f, outcome, DESIGN, by=list(by))
+    return STATS[stat](f, outcome, design, by=list(by), **({"p": p} if stat == "quantile" else {}))
+
+
+@register("aggregate_query_wave", O.taylor(f"SELECT *, 6 - y2 AS priority FROM ({PANEL_SQL}) p0 WHERE retained_y2", [({}, "CASE WHEN age IN (20, 30, 40, 50, 60, 70) THEN priority END")], COUNTRY, w="w_c2"))
+def aggregate_query_wave(spark, sf):
+    return shown(aggregate_query(spark, sf, "priority", by=COUNTRY, filters={"age": [20, 30, 40, 50, 60, 70]}, wave="Y2", oriented=True), "country_code")
+
+
+@register("aggregate_query_quantile", f"SELECT country_code, p, CASE WHEN n >= 50 THEN estimate END AS estimate, n, sum_w FROM ({_quantile_sql(f"SELECT *, w_l1m AS w FROM ({PANEL_SQL}) p0 WHERE has_midyear", "my", COUNTRY, (0.25, 0.9))}) q")
+def aggregate_query_quantile(spark, sf):
+    return aggregate_query(spark, sf, "priority", "quantile", COUNTRY, wave="MY", p=(0.25, 0.9)).select("country_code", "p", "estimate", "n", "sum_w")
+
+
+@register("state_query_adjusted", O.taylor(_STATE_SQL_ADJ, [({}, "y2")], ["st"], w="w_state_adj_c2").replace("SELECT st, CASE", "SELECT st AS state, CASE"))
+def state_query_adjusted(spark, sf):
+    return shown(aggregate_query(spark, sf, "priority", by=("state",), wave="Y2", scope="us_state_adj"), "state")
 
 
 @register("aggregate_query", O.taylor(DESIGN_SQL, [({}, "CASE WHEN item3 IN (1, 2) THEN y END")], ["country_code", "nominal"]))
@@ -654,8 +680,9 @@ def transition_conditional(spark, sf):
     return shown(E.transition_conditional(retained(spark, sf), "y1", "y2", [1, 2, 3], PANEL), "from_level", "to_level")
 
 
-def change_query(spark, sf, earlier="y1", later="y2", waves=("Y1", "Y2"), rect=False, filters=None, by=("country_code",)):
-    """Change between two waves on the weight of that pair, aligned so that more means more, within a domain."""
+def change_query(spark, sf, earlier="y1", later="y2", waves=("Y1", "Y2"), rect=False, filters=None, by=("country_code",), transitions=()):
+    """Change between two waves on the weight of that pair, aligned so that more means more, within a domain; with
+    `transitions`, the levels to tell apart, the joint and conditional shares of moves between them instead."""
     order = ("Y1", "MY", "Y2")
     if order.index(waves[0]) >= order.index(waves[1]):
         raise ValueError("waves must be distinct and in order")
@@ -665,9 +692,20 @@ def change_query(spark, sf, earlier="y1", later="y2", waves=("Y1", "Y2"), rect=F
     f = WT.eligible_rows(panel_frame(spark, sf), spec)
     for c in (earlier, later):
         f = f.withColumn(c, C.in_domain(C.align_values(F.col(c), 1, 5), filters or {}))
+    if transitions:
+        joint, conditional = (op(f, earlier, later, list(transitions), Design(spec.weight), list(by)) for op in (E.transition_joint, E.transition_conditional))
+        return joint.unionByName(conditional)
     return E.paired_change(f, earlier, later, Design(spec.weight), list(by))
 
 
+_MOVES = [({"from_level": i, "to_level": j, "measure": m}, f"CASE WHEN y1 IS NOT NULL AND y2 IS NOT NULL{f' AND 6 - y1 = {i}' if m == 'conditional' else ''} THEN CASE WHEN 6 - y1 = {i} AND 6 - y2 = {j} THEN 1.0 ELSE 0.0 END END") for m in ("joint", "conditional") for i in (4, 5) for j in (4, 5)]
+
+
+@register("change_query_transitions", O.taylor(_RET_SQL, _MOVES, [], w="w_l2", share=True))
+def change_query_transitions(spark, sf):
+    return shown(change_query(spark, sf, by=(), transitions=(4, 5)), "from_level", "to_level", "measure")
+
+
 @register("change_query", O.taylor(_RET_SQL, [({}, "CASE WHEN age IN (20, 30, 40, 50, 60, 70, 80, 90, 25, 35, 45, 55) THEN y1 - y2 END")], COUNTRY, w="w_r2"))
 def change_query_example(spark, sf):
     return shown(change_query(spark, sf, rect=True, filters={"age": [20, 30, 40, 50, 60, 70, 80, 90, 25, 35, 45, 55]}), "country_code")
@@ -805,7 +843,9 @@ def all_pairs_by_country(spark, sf):
 
 @register("pair_lookup", f"SELECT CASE WHEN a = 'error' THEN b ELSE a END AS predictor, country_code, method, estimate, n, sum_w, false AS suppressed, n < 30 AND estimate IS NOT NULL AS flagged FROM ({_pairs_sql()}) t WHERE (a = 'error' AND b IN ('click', 'view')) OR (b = 'error' AND a IN ('click', 'view'))")
 def pair_lookup(spark, sf):
-    return rounded(A.pair_lookup(_event_pairs(spark, sf), "error", ["click", "view"]), "estimate", "sum_w")
+    path = _shared(spark, "pairs")
+    S.write_parquet(_event_pairs(spark, sf), path, ["a", "b", "country_code"], ())
+    return rounded(A.pair_lookup(spark.read.parquet(path), "error", ["click", "view"]), "estimate", "sum_w")
 
 
 _TAB_SQL = f"""SELECT g.x, g.y, c.estimate, c.se, coalesce(c.n, 0) AS n, coalesce(k.column_n, 0) AS column_n, r.estimate AS correlation, r.n AS pairs FROM (SELECT a.x, b.y FROM {values_sql([(1,), (2,), (3,)], ['x'])} a CROSS JOIN {values_sql([(i,) for i in range(1, 9)], ['y'])} b) g
@@ -946,9 +986,31 @@ def check_demographics(spark, sf):
     return Q.check_demographics(panel_frame(spark, sf), "age", 18, 90, "state", "state_y2")
 
 
-@register("check_long", _check_sql([("dup", "0", 0), ("both", _bad("value IS NOT NULL AND nonresponse IS NOT NULL"), 0), ("range", _bad("NOT (value BETWEEN 0 AND 8)"), 0), ("sentinel", _bad("value IN (10)"), 0)], f"SELECT * FROM ({LONG_SQL}) l0").replace("CAST((0) AS DOUBLE)", "CAST(min(0) AS DOUBLE)"))
+_DUP_SQL = f"(SELECT count(*) FROM (SELECT 1 FROM ({LONG_SQL}) d GROUP BY id, wave, variable HAVING count(*) > 1) g)"
+_COVER_SQL = f"(SELECT count(*) FROM (SELECT variable, wave, count(value) - count(CASE WHEN nonresponse IS NULL THEN 1 END) AS off FROM ({LONG_SQL}) c GROUP BY 1, 2) g WHERE off <> 0)"
+
+
+@register("check_long", _check_sql([("dup", f"max({_DUP_SQL})", 0), ("both", _bad("value IS NOT NULL AND nonresponse IS NOT NULL"), 0), ("range", _bad("NOT (value BETWEEN 0 AND 8)"), 0), ("sentinel", _bad("value IN (10)"), 0), ("coverage", f"max({_COVER_SQL})", 0)], f"SELECT * FROM ({LONG_SQL}) l0"))
 def check_long(spark, sf):
-    return Q.check_long(long_frame(spark, sf), 0, 8, [10])
+    coverage = long_frame(spark, sf).where("nonresponse is null").groupBy("variable", "wave").agg(F.count("*").alias("n_valid"))
+    return Q.check_long(long_frame(spark, sf), 0, 8, [10], coverage)
+
+
+@register("check_country_prefix", f"SELECT variable, count(*) AS n FROM (SELECT variable, 100 * CAST(id % 5 AS INTEGER) + value AS v, CAST(id % 6 AS INTEGER) AS c FROM ({LONG_SQL}) t WHERE value IS NOT NULL) q WHERE v >= 100 AND floor(v / 100) <> c GROUP BY 1")
+def check_country_prefix(spark, sf):
+    l = long_frame(spark, sf).where("value is not null")
+    return Q.check_country_prefix(l.select("variable", (100 * (F.col("id") % 5).cast("int") + F.col("value")).alias("value"), (F.col("id") % 6).cast("int").alias("country_code")))
+
+
+@register("check_scores", f"SELECT wave, 'm' AS score, count(m) AS n_valid, count(CASE WHEN m > 6 THEN 1 END) AS out_of_range, count(CASE WHEN m IS NOT NULL AND k < 2 THEN 1 END) AS too_few_items FROM (SELECT id, wave, avg(value) AS m, count(value) AS k FROM ({LONG_SQL}) t GROUP BY 1, 2) q GROUP BY 1")
+def check_scores(spark, sf):
+    d = long_frame(spark, sf).groupBy("id", "wave").agg(F.avg("value").alias("m"), F.count("value").alias("k"))
+    return Q.check_scores(d, {"m": (0, 6)}, {"m": ("k", 2)})
+
+
+@register("code_counts", f"SELECT 'state' AS variable, state AS code, count(*) AS n FROM ({PANEL_SQL}) p GROUP BY 2 UNION ALL SELECT 'age', CAST(age AS VARCHAR), count(*) FROM ({PANEL_SQL}) p GROUP BY 2")
+def code_counts(spark, sf):
+    return Q.code_counts(panel_frame(spark, sf), ["state", "age"])
 
 
 @register("check_labelled", f"SELECT variable, value, count(*) AS n FROM ({LONG_SQL}) t WHERE value > 5 GROUP BY 1, 2")

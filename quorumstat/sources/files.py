@@ -92,7 +92,7 @@ def labelled(rows: DataFrame, labels: dict[str, DataFrame]) -> DataFrame:
     """Each code column followed by its label column."""
     out = rows
     for c, table in labels.items():
-        t = F.broadcast(table.select(F.col("code").alias(f"_{c}"), F.col("label").alias(f"{c}_label")))
+        t = table.select(F.col("code").alias(f"_{c}"), F.col("label").alias(f"{c}_label"))
         out = out.join(t, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
     order = [x for c in rows.columns for x in ((c, f"{c}_label") if c in labels else (c,))]
     return out.select(*order)
@@ -102,10 +102,13 @@ def export_csv_labelled(rows: DataFrame, labels: dict[str, DataFrame], path: str
     labelled(rows, labels).write.mode("overwrite").option("header", True).csv(path)
 
 
-def table_manifest(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table_name, rows, fingerprint): the fingerprint does not depend on the order of rows."""
+def table_manifest(tables: dict[str, DataFrame], job_version: str = "1") -> DataFrame:
+    """(table_name, rows, fingerprint, data_version): the fingerprint does not depend on the order of rows; the data
+    version is a digest of all fingerprints and of the version of the job."""
     parts = [df.agg(F.lit(n).alias("table_name"), F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("fingerprint")) for n, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("table_name", "rows", "fingerprint"))), lambda r: F.concat_ws(":", r["table_name"], r["rows"], r["fingerprint"]))
+    version = out.agg(F.sha2(F.concat_ws("\n", F.lit(job_version), F.array_join(lines, "\n")), 256).alias("data_version"))
+    return out.join(version, F.lit(True))  # one row
