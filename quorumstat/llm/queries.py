@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bwt, decontaminate, htmltext, langid, mixing, secrets, simhash, suffix_trees, toxicity, winnow
+from . import alignment, bwt, decontaminate, filter_audit, htmltext, hyperminhash, langid, mixing, secrets, simhash, suffix_trees, toxicity, winnow
 from .common import read
 
 
@@ -64,6 +64,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents", "doc_id", "text", "source"), read(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op13_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_components(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=5, percent=85)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,8 +85,40 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_winnowing, op3_secrets, op4_language, op5_suffix_array, op6_html, op7_substring, op8_toxicity, op9_decontamination, op10_mixing, pipeline,
+        op1_simhash, op2_winnowing, op3_secrets, op4_language, op5_suffix_array, op6_html, op7_substring, op8_toxicity, op9_decontamination, op10_mixing, op11_filter_audit,
+        op12_alignment, op13_hyperminhash, pipeline,
     )
 }
-#: The brute-force versions in tests/llm stand for SQL: hashes, regular expressions with positions, fixpoints and models.
-ORACLE_SQL: dict[str, str] = {}
+_AUDIT_SQL = """
+with base as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+), first as (select t, min(doc_id) as first_id from base group by t
+), failed as (
+  select b.doc_id, part, case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end
+    + case when 100 * length(regexp_replace(b.t, '[^A-Z]', '', 'g')) > 2 * length(b.t) then 4 else 0 end
+    + case when regexp_matches(b.t, '[#$%&*|]') then 8 else 0 end + case when b.doc_id > first_id then 16 else 0 end as mask
+  from base b join first f on b.t = f.t
+), known as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id
+), m as (
+  select part, mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic,
+    (mask & 1) + (mask >> 1 & 1) + (mask >> 2 & 1) + (mask >> 3 & 1) + (mask >> 4 & 1) as fails
+  from failed left join known using (doc_id) group by part, mask
+), f(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, a.bit as b1, b.bit as b2, c.bit as b3, d.bit as b4, e.bit as b5
+  from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+), steps as (
+  select filter_order, 1 as step, b1 as bit, 0 as prior from orders union all select filter_order, 2, b2, b1 from orders union all select filter_order, 3, b3, b1 + b2 from orders
+  union all select filter_order, 4, b4, b1 + b2 + b3 from orders union all select filter_order, 5, b5, b1 + b2 + b3 + b4 from orders
+)
+select part, filter_order, cast(step as integer) as step,
+  cast(sum(case when mask & (prior | bit) = 0 then n else 0 end) as bigint) as kept, cast(sum(case when mask & bit <> 0 and mask & prior = 0 then n else 0 end) as bigint) as removed,
+  cast(sum(case when mask & bit <> 0 and mask & prior <> 0 then n else 0 end) as bigint) as redundant, cast(sum(case when mask = bit then n else 0 end) as bigint) as unique_fails,
+  cast(sum(case when mask & bit <> 0 and mask & prior = 0 then good else 0 end) as bigint) as good_lost,
+  cast(sum(case when mask & bit <> 0 and mask & prior = 0 then toxic else 0 end) as bigint) as toxic_lost,
+  cast(sum(case when mask & bit <> 0 then n * 120 // fails else 0 end) as bigint) as shapley
+from m, steps group by part, filter_order, step
+"""
+#: Of the others, the brute-force versions in tests/llm stand for SQL: hashes, regular expressions with positions,
+#: fixpoints, tokenizers and models.
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": _AUDIT_SQL}

@@ -52,7 +52,7 @@ _WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
 COUNTED, COMMON = 20_000, 200_000
 
 
-def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """XXH64 of each shingle: ASCII letters lowered, words split at ASCII space."""
     words = text.lower().split()
     if not words:
@@ -76,13 +76,13 @@ def _majority(hashes: np.ndarray) -> np.ndarray:
 
 def simhash(text: bytes, shingle: int) -> int:
     """Signed 64-bit SimHash; 0 for a wordless text."""
-    hashes = _shingle_hashes(text, shingle)
+    hashes = shingle_hashes(text, shingle)
     return int(_majority(hashes[:, None])[0]) if len(hashes) else 0
 
 
 def wide_simhash(text: bytes, shingle: int) -> np.ndarray:
     """256-bit SimHash as four signed words: further words mix the hash of the shingle with a multiple of an odd constant."""
-    return _wide_majority(_shingle_hashes(text, shingle))
+    return _wide_majority(shingle_hashes(text, shingle))
 
 
 def _wide_majority(hashes: np.ndarray) -> np.ndarray:
@@ -282,7 +282,7 @@ def _sets(rows: DataFrame, shingle: int) -> DataFrame:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                sets = [np.unique(_shingle_hashes(t or b"", shingle)).view("<i8") for t in part.column(1).cast(pa.binary()).to_pylist()]
+                sets = [np.unique(shingle_hashes(t or b"", shingle)).view("<i8") for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "node long, hashes array<long>")
@@ -333,14 +333,14 @@ def _prefix_links(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
-def _verified(links: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
-    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of 0.8 or more."""
+def verified(links: DataFrame, rows: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
+    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of `percent` or more."""
     links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = cut(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = stored(_sets(rows.join(small_side(ends), "doc_id", "left_semi"), shingle).distinct())
     both = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct())
+    return cut(both.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct())
 
 
 def exact_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -358,7 +358,7 @@ def exact_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIU
                 part = b.slice(lo, 200)
                 ids, fps, sizes, prefixes = [], [], [], []
                 for t in part.column(1).cast(pa.binary()).to_pylist():
-                    hashes = _shingle_hashes(t or b"", shingle)
+                    hashes = shingle_hashes(t or b"", shingle)
                     once = np.unique(hashes)
                     ids.append(np.frombuffer(xxhash.xxh3_128_digest(once.tobytes()), "<i8"))
                     fps.append(_wide_majority(hashes)), sizes.append(len(once)), prefixes.append(_prefix(once, common, counts).view("<i8"))
@@ -369,12 +369,12 @@ def exact_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIU
     found = stored(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "d0", "d1", *_WIDE, "n")) + ", prefix array<long>"))
     distinct = cut(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *[F.min_by(f, "doc_id").alias(f) for f in _WIDE]))
     nodes = distinct.where("node is not null")
-    first = _verified(similar_links(nodes, radius), rows, shingle)
+    first = verified(similar_links(nodes, radius), rows, shingle)
     so_far = nodes.join(connected_components(first), "node", "left").select("d0", "d1", "node", F.coalesce("component", "node").alias("component"))
     each = found.join(so_far, ["d0", "d1"]).where("doc_id = node").dropDuplicates(["d0", "d1"])
     packed = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("packed")
     keyed = each.select("node", "component", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "component", packed)
-    second = _verified(_links(keyed, _prefix_links, ["node"], radius, block), rows, shingle)
+    second = verified(_links(keyed, _prefix_links, ["node"], radius, block), rows, shingle)
     components = connected_components(first.unionByName(second))
     of_set = distinct.join(components, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", "d0", "d1").join(of_set, ["d0", "d1"]).select("doc_id", "component_id")
