@@ -6,9 +6,10 @@ import re
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Functions sent to Python workers carry their code, so executors need not have this package installed.
@@ -65,6 +66,12 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of `value`, which is computed once: Spark may write a named column out again for every use of it, also within
+    a function of array elements."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, small_side, stored
+from .common import cut, free_names, let, small_side, stored
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -78,22 +78,31 @@ def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_co
     """`docs` with columns `n_words` and `hits` (in place of any of these names): array<struct(start, len, phrase, items)>
     of exact windows, and, where slop is positive, `near`: inexact windows all of whose terms stand in the text within
     `slop` words of the window's place."""
-    doc_name, hits_name, words_name = free_names(docs, "_doc", "_hits", "_words")
+    doc_name, hits_name, all_name = free_names(docs, "_doc", "_hits", "_found")
     w = cut(windows(items, size, text_col="text"))
     found = candidates(docs, w, slop, id_col, text_col).join(w.select("phrase", F.size("terms").alias("len"), "items"), "phrase")
     exact_type = "array<struct<start:int,len:int,phrase:string,items:array<string>,shift:int>>"
     hit = F.struct("start", "len", "phrase", "items", "shift")
     by_doc = found.groupBy(F.col("doc").alias(doc_name)).agg(F.sort_array(F.collect_set(hit)).alias(hits_name))
-    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col(doc_name)), "left").withColumn(words_name, words(F.col(text_col)))
-    holds = lambda h: (h["shift"] == 0) & (F.array_join(F.slice(F.col(words_name), h["start"] + 1, h["len"]), " ") == h["phrase"])
-    exact = F.coalesce(F.filter(hits_name, holds), F.array().cast(exact_type))
-    out = joined.withColumn(hits, exact).withColumn(n_words, F.size(words_name).cast("long"))
-    if slop:
-        here = lambda h: F.slice(F.col(words_name), F.greatest(h["start"] - slop, F.lit(0)) + 1, h["len"] + 2 * slop)
-        whole = lambda h: F.size(F.array_except(F.split(h["phrase"], " "), here(h))) == 0
-        same = lambda h: F.exists(hits, lambda e: (e["phrase"] == h["phrase"]) & (F.abs(e["start"] - h["start"]) <= slop))
-        out = out.withColumn(near, F.coalesce(F.filter(hits_name, lambda h: ~holds(h) & whole(h) & ~same(h)), F.array().cast(exact_type)))
-    return out.drop(doc_name, hits_name, words_name)
+    joined = docs.join(by_doc, F.col(id_col).eqNullSafe(F.col(doc_name)), "left")
+    none = F.array().cast(exact_type)
+
+    def judged(text_words: Column) -> Column:
+        """Of the candidates: exact windows, the number of words, and inexact ones; the text is split once for all of them."""
+        holds = lambda h: (h["shift"] == 0) & (F.array_join(F.slice(text_words, h["start"] + 1, h["len"]), " ") == h["phrase"])
+        exact = F.coalesce(F.filter(hits_name, holds), none)
+        parts = [F.size(text_words).cast("long").alias("n"), exact.alias("exact")]
+        if slop:
+            here = lambda h: F.slice(text_words, F.greatest(h["start"] - slop, F.lit(0)) + 1, h["len"] + 2 * slop)
+            whole = lambda h: F.size(F.array_except(F.split(h["phrase"], " "), here(h))) == 0
+            same = lambda found, h: F.exists(found, lambda e: (e["phrase"] == h["phrase"]) & (F.abs(e["start"] - h["start"]) <= slop))
+            inexact = lambda found: F.coalesce(F.filter(hits_name, lambda h: ~holds(h) & whole(h) & ~same(found, h)), none)
+            parts.append(let(exact, inexact).alias("inexact"))
+        return F.struct(*parts)
+
+    out = joined.withColumn(all_name, let(words(F.col(text_col)), judged))
+    columns = {hits: F.col(all_name)["exact"], n_words: F.col(all_name)["n"]} | ({near: F.col(all_name)["inexact"]} if slop else {})
+    return out.withColumns(columns).drop(doc_name, hits_name, all_name)
 
 
 def covered(hits: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, small_side
+from .common import cut, free_names, small_side, let
 
 #: Bounds of the training sample of each language and of the languages modelled.
 SAMPLE, MAX_LANGUAGES = 1000, 200
@@ -108,14 +108,9 @@ def text_evidence(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("key", "text", "declared", "host", "domain", "suffix").mapInArrow(run, "key long, declared string, host string, domain string, suffix string, n long, mean array<double>")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once, also where the body uses it inside a loop over an array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _softmax(logs: Column) -> Column:
-    divided = lambda e: _let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
-    return _let(logs, lambda v: _let(F.array_max(v), lambda top: _let(F.transform(v, lambda x: F.exp(x - top)), divided)))
+    divided = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total))
+    return let(logs, lambda v: let(F.array_max(v), lambda top: let(F.transform(v, lambda x: F.exp(x - top)), divided)))
 
 
 def fuse(evidence: DataFrame, model: Model, strength: float = STRENGTH) -> DataFrame:
@@ -142,7 +137,7 @@ def fuse(evidence: DataFrame, model: Model, strength: float = STRENGTH) -> DataF
     def shares(counts: Column, prior: Column) -> Column:
         """Counts smoothed by `strength` rows of the prior."""
         sums = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-        return _let(sums, lambda total: F.zip_with(counts, prior, lambda c, p: (c + strength * p) / (total + strength)))
+        return let(sums, lambda total: F.zip_with(counts, prior, lambda c, p: (c + strength * p) / (total + strength)))
 
     uniform = F.array_repeat(F.lit(1.0 / k), k)
     p_suffix = suffix.select("suffix", as_array.alias("c1")).join(F.broadcast(world), F.lit(True)).select("suffix", shares(F.col("c1"), shares(F.col("c0"), uniform)).alias("p1"))
