@@ -15,6 +15,7 @@ columns stay as they are, whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -22,12 +23,14 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names
+from .common import free_names, let
 
 GAP = "\0"
 #: Matches of one rule in one text that the running sums cover: 2 to this power, beyond the longest array there can
 #: be; steps beyond an array's size leave it as it is.
 SUM_STEPS = 31
+#: Characters of the blocks in which a text is cut.
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -102,29 +105,31 @@ def trigram_index(docs: DataFrame, trigrams: list[str], id_col: str = "doc_id",
     return lowered.select(id_col, F.explode(F.array_compact(F.array(*flags))).alias("trigram"))
 
 
-def _running_sums(lengths: Column) -> Column:
-    """Inclusive prefix sums of an array, by doubling."""
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefix sums, or prefixes of another associative `join`, of an array, by doubling."""
 
     def shifted_by(by: int):
-        return lambda p: F.when(F.size(p) <= by, p).otherwise(F.transform(p, lambda x, i: x + F.when(i >= by, F.get(p, i - by)).otherwise(0)))
+        return lambda p: F.when(F.size(p) <= by, p).otherwise(F.transform(p, lambda x, i: F.when(i >= by, join(x, F.get(p, i - by))).otherwise(x)))
 
     for step in range(SUM_STEPS):
-        lengths = F.get(F.transform(F.array(lengths), shifted_by(1 << step)), F.lit(0))
-    return lengths
+        values = let(values, shifted_by(1 << step))
+    return values
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array<struct(start, kind_order, end, kind)> of the rule's spans, in code points."""
-    pattern = F.lit(rule.java)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.java, -1)
-    steps = F.transform(matches, lambda m, i: F.char_length(F.get(between, i)) + F.char_length(m))
-    ends = _running_sums(steps)
+    """array<struct(start, kind_order, end, kind)> of the rule's spans, in code points.  The text is searched and split
+    once, not for every match."""
     enough = lambda m: F.char_length(F.regexp_extract(m, rule.java, rule.group)) >= rule.least if rule.least else F.lit(True)
-    located = F.zip_with(
-        matches, ends, lambda m, e: F.struct((e - F.char_length(m)).cast("long").alias("start"), F.lit(order).alias("kind_order"), e.cast("long").alias("end"), F.lit(rule.kind).alias("kind"), enough(m).alias("ok"))
-    )
-    return F.filter(located, lambda s: s["ok"])
+
+    def located(both: Column) -> Column:
+        steps = F.transform(both["matches"], lambda m, i: F.char_length(F.get(both["between"], i)) + F.char_length(m))
+        return F.zip_with(
+            both["matches"], _running(steps, lambda x, y: x + y),
+            lambda m, e: F.struct((e - F.char_length(m)).cast("long").alias("start"), F.lit(order).alias("kind_order"), e.cast("long").alias("end"), F.lit(rule.kind).alias("kind"), enough(m).alias("ok")),
+        )
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(rule.java), F.lit(0)).alias("matches"), F.split(text, rule.java, -1).alias("between"))
+    return F.filter(let(both, located), lambda s: s["ok"])
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, id_col: str = "doc_id", text_col: str = "text", to: str = "spans") -> DataFrame:
@@ -157,18 +162,37 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _between(blocks: Column, lo: Column, hi: Column) -> Column:
+    """Characters lo to hi of a text held as blocks of BLOCK characters: a long text is not walked from its start each time."""
+    place = lambda x: F.floor(x / BLOCK).cast("int")
+    inside = lambda x: (x % BLOCK).cast("int")
+    block = lambda x: F.coalesce(F.get(blocks, place(x)), F.lit(""))
+    one = F.substring(block(lo), inside(lo) + 1, (hi - lo).cast("int"))
+    more = F.concat(F.substring(block(lo), inside(lo) + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, place(lo) + 2, place(hi) - place(lo) - 1), ""), F.substring(block(hi), F.lit(1), inside(hi)))
+    return F.when(place(lo) == place(hi), one).otherwise(more)
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with its spans, ordered by start, replaced; a span that begins before the furthest end so far joins it."""
+
+    def pieces(blocks: Column, upto: Column) -> Column:
+        before = lambda i: F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(upto, i - 1))
+        begins = F.filter(F.sequence(F.lit(0), F.size(spans) - 1), lambda i: F.get(spans, i)["start"] >= before(i))
+        kept = F.transform(begins, lambda i: _between(blocks, before(i), F.get(spans, i)["start"]))
+        rest = _between(blocks, F.element_at(upto, -1), F.char_length(text).cast("long"))
+        return F.array_join(F.concat(kept, F.array(rest)), mark)
+
+    ends = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return let(blocks, lambda b: let(ends, lambda upto: pieces(b, upto)))
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with every span of the text replaced by `mark`; overlapping spans become one mark, other columns stay."""
     (spans,) = free_names(docs, "_spans")
     found = scan(docs, rules, id_col, text_col, spans)
-    text = F.col(text_col)
-    step = lambda acc, s: F.when(
-        s["start"] >= acc["upto"],
-        F.struct(F.concat(acc["out"], F.substring(text, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("upto")),
-    ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["upto"], s["end"]).alias("upto")))
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("upto"))
-    cleaned = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["upto"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, cleaned).otherwise(text)).drop(spans)
+    cleaned = let(F.col(spans), lambda s: F.when(F.size(s) > 0, _without(F.col(text_col), s, mark)).otherwise(F.col(text_col)))
+    return found.withColumn(text_col, cleaned).drop(spans)
 
 
 def pattern_matches(rule: Rule, text: str) -> list[tuple[int, int]]:
