@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, kept, match, suppress_small_cells, taylor_variance
+from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, kept, match, prefix_sums, suppress_small_cells, taylor_variance
 from .estimators import all_of, indicator, means, observed_levels, weighted_quantile
 
 # Functions sent to Python workers carry their code, so executors need not have this package installed.
@@ -54,29 +54,37 @@ def pair_contingency(frame: DataFrame, x: str, y: str, weight: str, by=()) -> Da
 
 
 def spearman_from_contingency(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Weighted Pearson of unweighted average ranks, from value counts and not from a sort of the rows."""
+    """Weighted Pearson of unweighted average ranks, from value counts and not from a sort of the rows.  The cells of a
+    group are ranked in one task: for answers of few values; `weighted_spearman` ranks any number of them."""
 
-    def ranks(v: str, name: str) -> DataFrame:
-        c = cells.groupBy(*keys, v).agg(F.sum("n").alias("c"))
-        w = W.partitionBy(*keys).orderBy(v) if keys else W.partitionBy(F.lit(1)).orderBy(v)
-        return c.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col(v).alias(f"{name}_v"), (F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2).alias(name))
+    def rank(v: str) -> F.Column:
+        group = [F.col(k) for k in keys] or [F.lit(1)]
+        c = F.sum("n").over(W.partitionBy(*group, v))
+        return F.sum("n").over(W.partitionBy(*group).orderBy(v).rangeBetween(W.unboundedPreceding, W.currentRow)) - c + (c + 1) / 2
 
-    out = cells
-    for v, name in (("vx", "rx"), ("vy", "ry")):
-        on = F.col(v) == F.col(f"{name}_v")
-        for k in keys:
-            on = on & (F.col(k) == F.col(f"{name}_{k}"))
-        out = out.join(ranks(v, name), on)
+    return _rank_correlation(cells.withColumns({"rx": rank("vx"), "ry": rank("vy")}), keys)
+
+
+def _rank_correlation(ranked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, estimate, n, sum_w) from cells with ranks rx and ry."""
     s = lambda e, a: F.sum(F.col("sw") * e).alias(a)
     rx, ry = F.col("rx"), F.col("ry")
-    m = out.groupBy(*keys).agg(
+    m = ranked.groupBy(*keys).agg(
         F.sum("sw").alias("sw"), s(rx, "sx"), s(ry, "sy"), s(rx * rx, "sxx"), s(ry * ry, "syy"), s(rx * ry, "sxy"), F.sum("n").alias("n"), (F.max(rx) != F.min(rx)).alias("vx"), (F.max(ry) != F.min(ry)).alias("vy")
     )
     return m.select(*keys, _coefficient().alias("estimate"), "n", F.col("sw").alias("sum_w"))
 
 
 def weighted_spearman(frame: DataFrame, x: str, y: str, design: Design = Design(), by=()) -> DataFrame:
-    return spearman_from_contingency(pair_contingency(frame, x, y, design.weight, by), list(by))
+    """Spearman's coefficient of continuous or coded values: ranks come from prefix sums over ranges of values, so that no
+    task holds all values of a group."""
+    by = list(by)
+    cells = kept(pair_contingency(frame, x, y, design.weight, by))
+    for v, name in (("vx", "rx"), ("vy", "ry")):
+        counts = cells.groupBy(*by, v).agg(F.sum("n").alias("c"))
+        ranks = prefix_sums(counts, by, v, {"upto": "c"}).withColumn(name, F.col("upto") - F.col("c") + (F.col("c") + 1) / 2)
+        cells = match(cells, ranks.select(*by, v, name), [*by, v], null_safe=True)
+    return _rank_correlation(cells, by)
 
 
 def correlation_matrix(frame: DataFrame, items: list[str], design: Design = Design(), by=(), min_n: int = 100, shared: frozenset = frozenset()) -> DataFrame:
@@ -91,27 +99,6 @@ def correlation_matrix(frame: DataFrame, items: list[str], design: Design = Desi
     return long.select(*by, "a", "b", "shares_answers", _coefficient("m.").alias("estimate"), n.alias("n"), (n < min_n).alias("below_min_n"))
 
 
-def all_pairs_by_country(long: DataFrame, design_frame: DataFrame, weight: str = "w", country: str = "country_code") -> DataFrame:
-    """Pearson and Spearman of every item pair by country from `long(id, variable, value)` and `design_frame(id, country, w)`.
-
-    The pair contingency is built by a self-join on the person; answers are few, so map-side
-    aggregation leaves a table of answers by answers for each pair.
-    """
-    a = long.select("id", F.col("variable").alias("a"), F.col("value").alias("va"))
-    b = long.select("id", F.col("variable").alias("b"), F.col("value").alias("vb"))
-    joined = a.join(b, "id").where("a < b").join(design_frame.select("id", country, weight), "id")
-    cells = joined.where("va is not null and vb is not null").groupBy("a", "b", country, F.col("va").cast("double").alias("vx"), F.col("vb").cast("double").alias("vy")).agg(F.count("*").alias("n"), F.sum(weight).cast("double").alias("sw"))
-    keys = ["a", "b", country]
-    s = lambda e, n: F.sum(F.col("sw") * e).alias(n)
-    x, y = F.col("vx"), F.col("vy")
-    m = cells.groupBy(*keys).agg(
-        F.sum("sw").alias("sw"), s(x, "sx"), s(y, "sy"), s(x * x, "sxx"), s(y * y, "syy"), s(x * y, "sxy"), F.sum("n").alias("n"), (F.max(x) != F.min(x)).alias("vx"), (F.max(y) != F.min(y)).alias("vy")
-    )
-    pearson = m.select(*keys, F.lit("pearson").alias("method"), _coefficient().alias("estimate"), "n", F.col("sw").alias("sum_w"))
-    spearman = spearman_from_contingency(cells, keys).select(*keys, F.lit("spearman").alias("method"), "estimate", "n", "sum_w")
-    return pearson.unionByName(spearman)
-
-
 def pair_lookup(table: DataFrame, x: str, ys: list[str], policy: Policy = SERVING_POLICY) -> DataFrame:
     """Rows of the materialised pair table for x with ys, in either orientation, with the policy applied on reading."""
     one = table.where((F.col("a") == x) & F.col("b").isin(ys)).withColumn("predictor", F.col("b"))

@@ -118,12 +118,32 @@ def unit_counts(units: DataFrame) -> DataFrame:
     return units.where(F.size("rows") > 0).groupBy("_strata").agg(F.countDistinct("_psu").alias("nh"))
 
 
-def match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys, kept once; null keys match nothing.  Without keys, both sides have one row."""
+def match(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """Join on equal keys, kept once; null keys match nothing unless null_safe.  Without keys, both sides have one row."""
     if not keys:
         return a.join(F.broadcast(b), F.lit(True), how)
     renamed = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
-    return a.join(renamed, reduce(lambda x, y: x & y, [F.col(k) == F.col(f"_k_{k}") for k in keys]), how).drop(*[f"_k_{k}" for k in keys])
+    equal = lambda k: F.col(k).eqNullSafe(F.col(f"_k_{k}")) if null_safe else F.col(k) == F.col(f"_k_{k}")
+    return a.join(renamed, reduce(lambda x, y: x & y, map(equal, keys)), how).drop(*[f"_k_{k}" for k in keys])
+
+
+def prefix_sums(sums: DataFrame, by: list[str], value: str, totals: dict[str, str]) -> DataFrame:
+    """`sums(by, value, ...)`, a row for each value of a group, with a running total for each of `totals` {new: column}, over
+    the values up to and with the row's, and `{new}_all`, the group's whole total.
+
+    Rows are dealt out by ranges of (group, value).  Each range runs its own sums, and begins with the totals of the
+    ranges before it; only a row for each group and range is summed in one task.  So the values of a group may be of
+    any number, and one group may hold most of them.
+    """
+    placed = kept(sums.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    each = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    group = [F.col(c) for c in by] or [F.lit(1)]
+    before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = each.select(*by, "_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals], *[F.sum(f"_{n}").over(W.partitionBy(*group)).alias(f"{n}_all") for n in totals])
+    run = W.partitionBy(*[F.col(c) for c in by], "_range").orderBy(value)
+    local = placed.withColumns({n: F.sum(c).over(run) for n, c in totals.items()})
+    out = match(local, starts, [*by, "_range"], null_safe=True)
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop("_range", *[f"_{n}" for n in totals])
 
 
 def taylor_variance(units: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:

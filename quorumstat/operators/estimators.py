@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import DEFAULT_POLICY, Design, Item, Policy, finalize, grid, records
+from .core import DEFAULT_POLICY, Design, Item, Policy, finalize, grid, prefix_sums, records
 
 
 def means(frame: DataFrame, items: list[Item], design: Design, by=(), policy: Policy = DEFAULT_POLICY, stat: str = "mean", ci_level: float = 0.95, share: bool = False) -> DataFrame:
@@ -62,14 +62,12 @@ def weighted_distribution(frame: DataFrame, value: str, design: Design = Design(
 
 
 def weighted_quantile(frame: DataFrame, value: str, design: Design = Design(), p=(0.5,), by=(), policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """Smallest value whose weighted distribution function reaches p; rows are first summed by value."""
+    """Smallest value whose weighted distribution function reaches p; rows are first summed by value, values by ranges."""
     if not p or not all(0 < q < 1 for q in p):
         raise ValueError(f"p must lie within (0, 1), got {p!r}")
     by = list(by)
-    key = by or [F.lit(1)]
     sums = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.sum(design.weight).cast("double").alias("sw"), F.count("*").alias("c"))
-    run, whole = W.partitionBy(*key).orderBy("_v"), W.partitionBy(*key)
-    cdf = sums.withColumns({"cdf": F.sum("sw").over(run) / F.sum("sw").over(whole)})
+    cdf = prefix_sums(sums, by, "_v", {"upto": "sw"}).withColumn("cdf", F.col("upto") / F.col("upto_all"))
     wide = cdf.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("sw").alias("sum_w"), *[F.min(F.when(F.col("cdf") >= q, F.col("_v"))).alias(f"q{i}") for i, q in enumerate(p)])
     none = F.lit(None)
     recs = wide.select(*by, "n", "sum_w", F.inline(F.array(*[F.struct(F.lit(float(q)).alias("p"), F.col(f"q{i}").alias("estimate")) for i, q in enumerate(p)]))).withColumns(

@@ -12,6 +12,7 @@ from ..functions import columns as C
 from ..operators import associations as A
 from ..operators import estimators as E
 from ..operators import labels as L
+from ..operators import pairs as P
 from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import weights as WT
@@ -19,7 +20,7 @@ from ..operators.core import NO_SUPPRESSION, Design, Item, design_counts, shared
 from ..sources import files as S
 from . import oracles as O
 from .frames import (
-    DESIGN_SQL, LABEL_SQL, LONG_SQL, PANEL_SQL, PEOPLE_SQL, SUPPLIER_SQL, design_frame, label_frame, long_frame, panel_frame, people_frame, read, supplier_frame, table, values_sql,
+    DESIGN_SQL, LABEL_SQL, LONG_SQL, PANEL_SQL, PANELISTS_SQL, PEOPLE_SQL, SUPPLIER_SQL, design_frame, label_frame, long_frame, panel_frame, panelists_frame, people_frame, read, supplier_frame, table, values_sql,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,6 +635,16 @@ def state_query(spark, sf):
     return shown(E.weighted_mean(f, "y2", Design(spec.weight), ["state"]), "state")
 
 
+_PRICE_SQL = """WITH f AS (SELECT l_returnflag, l_extendedprice AS v, l_quantity AS w FROM lineitem), c AS (SELECT l_returnflag, v, sum(sw) OVER (PARTITION BY l_returnflag ORDER BY v) / sum(sw) OVER (PARTITION BY l_returnflag) AS cdf
+  FROM (SELECT l_returnflag, v, sum(w) AS sw FROM f GROUP BY 1, 2) s), e AS (SELECT l_returnflag, count(*) AS n FROM f GROUP BY 1)"""
+
+
+@register("quantile_continuous", _PRICE_SQL + " UNION ALL ".join(f"SELECT e.l_returnflag, CAST({p} AS DOUBLE) AS p, round(min(v), 6) AS estimate, max(n) AS n FROM c JOIN e ON c.l_returnflag = e.l_returnflag WHERE cdf >= {p} GROUP BY 1" for p in (0.1, 0.5, 0.9)).replace("SELECT e.", " SELECT e.", 1))
+def quantile_continuous(spark, sf):
+    f = read(spark, sf, "lineitem").select("l_returnflag", "l_extendedprice", F.col("l_quantity").alias("w"))
+    return rounded(E.weighted_quantile(f, "l_extendedprice", KISH, (0.1, 0.5, 0.9), ["l_returnflag"]), "estimate").select("l_returnflag", "p", "estimate", "n")
+
+
 # --- 2.7 panel
 
 _RET_SQL = f"SELECT * FROM ({PANEL_SQL}) p0 WHERE retained_y2"
@@ -726,6 +737,15 @@ def weighted_spearman(spark, sf):
     return rounded(A.weighted_spearman(design_frame(spark, sf), "y", "item4", DESIGN, COUNTRY), "estimate", "sum_w")
 
 
+_LINES_SQL = "SELECT l_linestatus, l_extendedprice AS x, l_tax * 100 + l_discount AS y, l_quantity AS w FROM lineitem"
+
+
+@register("spearman_continuous", O.spearman(_LINES_SQL, "x", "y", ["l_linestatus"]))
+def spearman_continuous(spark, sf):
+    f = read(spark, sf, "lineitem").select("l_linestatus", F.col("l_extendedprice").alias("x"), (F.col("l_tax") * 100 + F.col("l_discount")).alias("y"), F.col("l_quantity").alias("w"))
+    return rounded(A.weighted_spearman(f, "x", "y", KISH, ["l_linestatus"]), "estimate", "sum_w")
+
+
 _SWEEP_SQL = " UNION ALL ".join(O.pearson(DESIGN_SQL, "y", i, COUNTRY, extra=f"'{i}' AS predictor, ") for i in ITEMS)
 
 
@@ -826,8 +846,9 @@ def correlation_matrix(spark, sf):
 
 
 def _event_pairs(spark, sf):
-    long = long_frame(spark, sf).where("wave = 'Y1'").select("id", "variable", "value")
-    return A.all_pairs_by_country(long, people_frame(spark, sf))
+    items = tuple(P.PairItem(n, "Y1") for n in sorted(v[0] for v in VARIABLES))
+    frame = P.PairFrame("Y1", None, WT.WeightSpec("y1", "global", ("Y1",), "w"), items)
+    return P.all_pairs(long_frame(spark, sf), people_frame(spark, sf), [frame]).select("a", "b", "country_code", "method", "estimate", "n", "sum_w")
 
 
 def _pairs_sql() -> str:
@@ -841,6 +862,35 @@ def all_pairs_by_country(spark, sf):
     return rounded(_event_pairs(spark, sf), "estimate", "sum_w")
 
 
+PAIR_VARIABLES = [
+    ("click", "count", "ascending", 0, 9, False, False, ["Y1", "MY", "Y2"], ["click", "view"]), ("error", "scale_0_10", "descending", 0, 9, False, False, ["Y1", "Y2"], ["error"]),
+    ("purchase", "binary", "ascending", 0, 9, False, False, ["Y1", "Y2"], ["purchase"]), ("signup", "scale_0_10", "ascending", 0, 9, False, False, ["Y1", "Y2"], ["signup"]),
+    ("view", "ordinal", "ascending", 0, 9, False, False, ["Y1", "MY"], ["view"]),
+]
+_PAIR_SCHEMA = "name string, scale_type string, polarity string, min int, max int, restricted boolean, is_country_specific boolean, waves array<string>, components array<string>"
+
+
+def _four_frames_sql() -> str:
+    value = "CASE variable WHEN 'error' THEN 9 - value WHEN 'purchase' THEN CASE WHEN value = 1 THEN 1 WHEN value IS NOT NULL THEN 0 END ELSE value END"
+    where = {("Y1", None): "true", ("Y2", None): "retained_y2", ("MY", "Y1"): "has_midyear", ("MY", "Y2"): "has_midyear AND retained_y2"}
+    weight = {("Y1", None): "w_c1", ("Y2", None): "w_c2", ("MY", "Y1"): "w_l1m", ("MY", "Y2"): "w_l1m2"}
+    parts, keys = [], ["a", "b", "country_code"]
+    for wave, other in P.FRAMES:
+        asked = [(r[0], wave if wave in r[7] else other) for r in PAIR_VARIABLES if wave in r[7] or other in r[7]]
+        rows = " OR ".join(f"(variable = '{n}' AND wave = '{at}')" for n, at in asked)
+        f = f"""SELECT a.variable AS a, b.variable AS b, country_code, {weight[wave, other]} AS w, a.v AS x, b.v AS y FROM (SELECT id, variable, {value} AS v FROM l WHERE {rows}) a JOIN (SELECT id, variable, {value} AS v FROM l WHERE {rows}) b
+          ON a.id = b.id AND a.variable < b.variable AND NOT (a.variable = 'click' AND b.variable = 'view') JOIN p ON a.id = p.id WHERE {where[wave, other]} AND a.v IS NOT NULL AND b.v IS NOT NULL"""
+        named = f"'{wave}' AS wave, {f"'{other}'" if other else 'CAST(NULL AS VARCHAR)'} AS other_wave, "
+        parts += [O.pearson(f, "x", "y", keys, extra=f"{named}'pearson' AS method, "), O.spearman(f, "x", "y", keys, extra=f"{named}'spearman' AS method, ")]
+    return f"WITH l AS ({LONG_SQL}), p AS ({PANELISTS_SQL}) {' UNION ALL '.join(parts)}"
+
+
+@register("all_pairs_four_frames", _four_frames_sql())
+def all_pairs_four_frames(spark, sf):
+    frames = P.pair_frames(table(spark, PAIR_VARIABLES, _PAIR_SCHEMA))
+    return rounded(P.all_pairs(long_frame(spark, sf), panelists_frame(spark, sf), frames), "estimate", "sum_w")
+
+
 @register("pair_lookup", f"SELECT CASE WHEN a = 'error' THEN b ELSE a END AS predictor, country_code, method, estimate, n, sum_w, false AS suppressed, n < 30 AND estimate IS NOT NULL AS flagged FROM ({_pairs_sql()}) t WHERE (a = 'error' AND b IN ('click', 'view')) OR (b = 'error' AND a IN ('click', 'view'))")
 def pair_lookup(spark, sf):
     path = _shared(spark, "pairs")

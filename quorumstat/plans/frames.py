@@ -101,6 +101,26 @@ def people_frame(spark: SparkSession, sf: str) -> DataFrame:
 PEOPLE_SQL = "SELECT DISTINCT user_id AS id, CAST(user_id % 5 AS INTEGER) AS country_code, CAST(user_id % 6 + 1 AS DOUBLE) AS w FROM events"
 
 
+_PANEL_WEIGHTS = ("w_c1", "w_c2", "w_l1m", "w_l1m2")
+
+
+def panelists_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The same people with the design, flags, weights and demographics of a panel."""
+    i = F.col("id")
+    p = people_frame(spark, sf).drop("w")
+    return p.withColumns(
+        {
+            "strata": (i % 10).cast("int"), "psu": (i % 10 * 10 + i % 7).cast("int"), "retained_y2": i % 3 != 0, "has_midyear": i % 2 == 0, "midyear_type": F.when(i % 2 == 0, (1 + i % 4 / 2).cast("int")),
+            **{w: (k + i % 5).cast("double") for k, w in enumerate(_PANEL_WEIGHTS, 1)}, "age_band": F.when(i % 11 != 0, F.concat(F.lit("a"), (i % 4).cast("string"))), "income_quintile": (1 + i % 5).cast("int"),
+        }
+    )
+
+
+PANELISTS_SQL = f"""SELECT id, country_code, CAST(id % 10 AS INTEGER) AS strata, CAST(id % 10 * 10 + id % 7 AS INTEGER) AS psu, id % 3 <> 0 AS retained_y2, id % 2 = 0 AS has_midyear,
+  {', '.join(f'CAST({k} + id % 5 AS DOUBLE) AS {w}' for k, w in enumerate(_PANEL_WEIGHTS, 1))}, CASE WHEN id % 11 <> 0 THEN concat('a', CAST(id % 4 AS VARCHAR)) END AS age_band, CAST(1 + id % 5 AS INTEGER) AS income_quintile
+  FROM ({PEOPLE_SQL}) p"""
+
+
 def label_frame(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents: a binary outcome, a graded predictor and a control."""
     d = read(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
