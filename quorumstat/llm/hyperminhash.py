@@ -6,12 +6,13 @@ bits of mantissa, 16 bits in all.  Four registers make a band's 64-bit key.  Pai
 share a band are held against a Jaccard estimate from all registers, corrected for
 registers that agree by chance, and what may reach the limit is confirmed on full sets.
 
-Within a key all pairs would grow with its square.  First every member is held only against
-the member that has most neighbours over all keys, which is the common original where
-copies were edited one by one.  Keys whose members are then still in several components go
-on in rounds: each member offers its most similar partners of other components, eight,
-then sixty-four, and so on, until none has more to offer.  So every pair that shares a band
-and may reach the limit is confirmed unless already connected, and no round emits all pairs.
+Within a key all pairs would grow with its square.  First every member is held against the
+member that has most neighbours over all keys, which is the common original where copies
+were edited one by one, and the best of these pairs by estimate is confirmed.  Keys whose
+members are then still in several components go on in rounds: each member offers its most
+similar partners of other components, one, then eight, and so on, until none has more to
+offer.  So every pair that shares a band and may reach the limit is confirmed unless
+already connected, and no round emits all pairs.
 
 Two sets at the limit of 0.85 share no band once in 10^10 pairs, and fall below the estimate's
 bound, six standard deviations under the limit, once in 10^9.
@@ -41,8 +42,9 @@ BANDS = BUCKETS // BAND
 REST_BITS = 64 - BUCKET_BITS
 #: Standard deviations that an estimate may fall short of the limit.
 SLACK = 6
-#: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Partners a member offers in the first round.
-BLOCK, OFFERS = 2_000, 8
+#: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Partners a member offers in the first
+#: round, eight times as many in each further one.  Longest run of one key that is compared by shifts.
+BLOCK, OFFERS, SHORT = 2_000, 1, 64
 #: Smaller sets have no other set within 0.85: 5 of 6 is less.
 LEAST = 6
 
@@ -59,12 +61,12 @@ def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def band_keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of every band that is not empty; keys of different bands differ."""
+    """(row, key) of every band that is not empty; the lowest bits of a key are the number of its band."""
     packed = np.ascontiguousarray(found).view("<u8")
     row, band = np.nonzero(packed)
     x = packed[row, band] + band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return row, (x ^ (x >> np.uint64(32))).view(np.int64)
+    return row, (((x ^ (x >> np.uint64(32))) & ~np.uint64(BANDS - 1)) | band.astype(np.uint64)).view(np.int64)
 
 
 def chance(n: np.ndarray) -> np.ndarray:
@@ -128,61 +130,89 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs(a, b)` whose estimate may reach the limit."""
+    """(a, b, estimate) of those of `pairs(a, b)` that may reach the limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 part = b.slice(lo, 2000)
                 n, m = (part.column(k).to_numpy() for k in (2, 3))
-                _, near = plausible(_rows_of(part.column(4)), _rows_of(part.column(5)), n, m, percent)
-                yield part.select(["a", "b"]).filter(pa.array(near))
+                estimate, near = plausible(_rows_of(part.column(4)), _rows_of(part.column(5)), n, m, percent)
+                cols = [part.column(0), part.column(1), pa.array(estimate)]
+                yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "estimate"]).filter(pa.array(near))
 
     side = lambda node, n, r: nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("registers").alias(r))
-    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long, estimate double")
+
+
+def _candidates(deal: np.ndarray, component: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of pairs in runs of equal deal: of different components, from different sides of a pair of blocks, and
+    of sizes that allow the limit.  Short runs are compared by shifts of the whole arrays, long ones row by row."""
+
+    def open_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        may = (component[x] != component[y]) & ((side[x] == 0) | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        return x[may], y[may]
+
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(deal)) + 1, [len(deal)]))
+    size = np.diff(cuts)
+    for lo, hi in zip(cuts[:-1][size > SHORT].tolist(), cuts[1:][size > SHORT].tolist(), strict=True):
+        for x in range(lo, hi - 1):
+            yield open_pairs(np.full(hi - x - 1, x), np.arange(x + 1, hi))
+    active = np.flatnonzero(np.repeat(size <= SHORT, size))
+    for shift in range(1, SHORT):
+        active = active[active + shift < len(deal)]
+        active = active[deal[active] == deal[active + shift]]
+        if not len(active):
+            break
+        yield open_pairs(active, active + shift)
+
+
+def _best(x: np.ndarray, y: np.ndarray, estimate: np.ndarray, most: int) -> np.ndarray:
+    """Whether each pair is among the `most` best of one of its ends."""
+    end, value = np.concatenate((x, y)), np.concatenate((estimate, estimate))
+    order = np.lexsort((np.concatenate((y, x)), -value, end))
+    starts = np.concatenate(([True], np.diff(end[order]) != 0))
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    best = np.zeros(len(order), bool)
+    best[order] = rank < most
+    return best[: len(x)] | best[len(x) :]
 
 
 def _offer(percent: int, most: int):
-    """Per partition sorted by deal: pairs (a, b) of different components, at most `most` for each member of a deal, the
-    most similar first; `more` tells that a member has others.  A pair is offered in the first band it shares only."""
+    """Per partition sorted by deal: pairs (a, b) of different components that are among the `most` best of an end in their
+    deal, in the first band they share only; and the keys (more) that hold further ones."""
 
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
-        node, component, n, side = (rows.column(k).to_numpy() for k in (2, 3, 4, 5))
+        deal, key, node, component, n, side = (rows.column(k).to_numpy() for k in range(6))
         regs = _rows_of(rows.column(6))
-        left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-        both = not (side != 0).any()
-        band = None
-        a, b, more = [], [], []
-        for i in left:
-            others = right[right > i] if both else right
-            others = others[component[others] != component[i]]
-            for lo in range(0, len(others), 4096):
-                y = others[lo : lo + 4096]
-                same = (regs[y].reshape(-1, BANDS, BAND) == regs[i].reshape(1, BANDS, BAND)).all(-1) & (regs[i].reshape(1, BANDS, BAND) != 0).any(-1)
-                if band is None:
-                    band = int(np.flatnonzero(band_keys(regs[i : i + 1])[1] == rows.column(1)[0].as_py())[0])
-                    band = int(np.flatnonzero((regs[i].reshape(BANDS, BAND) != 0).any(-1))[band])
-                estimate, near = plausible(regs[y], regs[i][None], n[y], np.full(len(y), n[i]), percent)
-                near &= same.argmax(-1) == band
-                y, estimate = y[near], estimate[near]
-                best = np.argsort(-estimate, kind="stable")[:most]
-                a.append(np.full(len(best), node[i]))
-                b.append(node[y[best]])
-                more.append(np.full(len(best), len(y) > most))
-        a, b, more = (np.concatenate([*x, np.empty(0, kind)]) for x, kind in ((a, np.int64), (b, np.int64), (more, bool)))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b).astype(np.int64)), pa.array(np.maximum(a, b).astype(np.int64)), pa.array(more.astype(bool))], names=["a", "b", "more"])
+        found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for left, right in _candidates(deal, component, n, side, percent):
+            for lo in range(0, len(left), 4096):
+                x, y = left[lo : lo + 4096], right[lo : lo + 4096]
+                rx, ry = regs[x], regs[y]
+                same = ((rx == ry).reshape(-1, BANDS, BAND).all(-1)) & ((rx != 0).reshape(-1, BANDS, BAND).any(-1))
+                first = same.argmax(-1) == (key[x] & (BANDS - 1))
+                x, y, rx, ry = x[first], y[first], rx[first], ry[first]
+                estimate, near = plausible(rx, ry, n[x], n[y], percent)
+                found.append((x[near], y[near], estimate[near]))
+        x, y, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
+        best = _best(x, y, estimate, most) if len(x) else np.empty(0, bool)
+        more = np.unique(key[x[~best]])
+        a, b = node[x[best]], node[y[best]]
+        cols = [pa.concat_arrays([pa.array(c), pa.nulls(len(more), pa.int64())]) for c in (np.minimum(a, b), np.maximum(a, b))]
+        return pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(more)])], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            deal = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(deal)) + 1).tolist(), len(deal)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[0].column(0)[0].as_py() != deal[lo]:
-                    yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                    held = []
-                if hi > lo:
-                    held.append(batch.slice(lo, hi - lo))
+            held.append(batch)
+            if sum(h.num_rows for h in held) < 10_000:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(np.searchsorted(rows.column(0).to_numpy(), rows.column(0)[-1].as_py()))
+            held = [rows.slice(last)]
+            if last:
+                yield pairs(rows.slice(0, last))
         if held:
             yield pairs(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
@@ -199,7 +229,7 @@ def _offers(keyed: DataFrame, nodes: DataFrame, components: DataFrame, percent:
     deal = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("deal")
     side = F.signum(F.col("mine") - F.col("other")).cast("int").alias("side")
     even = dealt.select(deal, "key", "node", "component", "n", side, "registers").repartition(shuffle_partitions(keyed.sparkSession), "deal").sortWithinPartitions("deal", "node")
-    return even.mapInArrow(_offer(percent, most), "a long, b long, more boolean")
+    return even.mapInArrow(_offer(percent, most), "a long, b long, more long")
 
 
 def links(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85, block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
@@ -212,19 +242,21 @@ def links(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85
     known = keyed.groupBy("node").agg(F.sum("members").alias("neighbours"))
     ranked = keyed.select("key", "node").join(known, "node")
     centre = ranked.groupBy("key").agg(F.max_by("node", F.struct("neighbours", F.negate("node"))).alias("centre"))
-    stars = keyed.select("key", "node").join(centre, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    good = verified(_estimated(stars, nodes, percent), rows, shingle, percent)
-    judged, keyed = stars, keyed.select("key", "node")
+    stars = keyed.select("key", "node").join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    best = cut(_estimated(stars, nodes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", F.negate("a"))).alias("a")))
+    good, judged = verified(best, rows, shingle, percent), best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    keyed = keyed.select("key", "node")
     while True:
         found_so_far = connected_components(good)
         components = nodes.select("node").join(found_so_far, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         new = cut(_offers(keyed, nodes, components, percent, offers, block))
-        fresh = new.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
-        more = new.where("more").limit(1).count() > 0
+        fresh = new.where("a is not null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
         good = cut(good.unionByName(verified(fresh, rows, shingle, percent)))
-        if not more:
+        more = new.where("more is not null").select(F.col("more").alias("key")).distinct()
+        if not more.limit(1).count():
             return good
-        judged, offers = cut(judged.unionByName(new.select("a", "b")).distinct()), offers * 8
+        keyed = cut(keyed.join(more, "key", "left_semi"))
+        judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 8
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
