@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 FILTERS = "ABCDE"
 #: The words' separators, the symbols and the thresholds of the filters.
 SPACE, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#$%&*|"
@@ -212,7 +214,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 def outcomes(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """(part, mask, n, good, toxic): documents of each part that fail just the filters of `mask` (A is bit 0), and how
     many of them are labelled good or toxic."""
-    rows = measures(docs, id_col, text_col, part_col).select("doc_id", "part", "mask", "d0", "d1")
+    rows = cut(measures(docs, id_col, text_col, part_col).select("doc_id", "part", "mask", "d0", "d1"))
     copies = rows.groupBy("d0", "d1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("d0", "d1", "first")
     marked = rows.join(copies, ["d0", "d1"], "left")
     mask = F.col("mask").bitwiseOR(F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)).cast("int")
