@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -162,7 +163,7 @@ def axis_bins(frame: DataFrame, value: str, design: Design = Design(), most: int
 
 # Rounds, stop and bounds of the logistic fit, and the residual share at which a column is dependent.
 ROUNDS, STOP, LEAST_P, DEPENDENT = 100, 1e-11, 1e-10, 1e-8
-ONE, X, TARGET = "1", "x", "y"
+ONE, X, TARGET, DEVIANCE = "1", "x", "y", "~deviance"
 
 
 def regression_cells(frame: DataFrame, outcome: str, predictors: list[str], controls: list[str], design: Design, by: list[str]) -> DataFrame:
@@ -180,14 +181,17 @@ def _dummy(level: F.Column, control: F.Column) -> F.Column:
     return F.concat(F.lpad(control.cast("string"), 3, "0"), F.lit("="), level)
 
 
-def grouped_gram(rows: DataFrame, keys: list[str], weight: str = "sw", target: str = "y") -> DataFrame:
+def grouped_gram(rows: DataFrame, keys: list[str], weight: str = "sw", target: str = "y", sums: dict[str, F.Column] | None = None) -> DataFrame:
     """(keys, i, j, v): sums of weight * z_i * z_j over `rows(keys, x, c, weight, target)` for the columns z: 1, a dummy
-    for each control and level, x and y, the target.  i is not behind j in the order of names."""
+    for each control and level, x and y, the target.  i is not behind j in the order of names.  `sums` are summed along,
+    as entries (name, name)."""
     entry = lambda k, v: F.struct(k.alias("k"), v.cast("double").alias("v"))
     columns = F.concat(F.array(entry(F.lit(ONE), F.lit(1.0))), F.transform("c", lambda level, i: entry(_dummy(level, i), F.lit(1.0))), F.array(entry(F.lit(X), F.col("x")), entry(F.lit(TARGET), F.col(target))))
-    product = lambda a: F.transform(F.filter("z", lambda b: b["k"] >= a["k"]), lambda b: F.struct(a["k"].alias("i"), b["k"].alias("j"), (a["v"] * b["v"]).alias("p")))
-    pairs = rows.select(*keys, F.col(weight).alias("_w"), columns.alias("z")).select(*keys, "_w", F.inline(F.flatten(F.transform("z", product))))
-    return pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("_w") * F.col("p")).alias("v"))
+    product = lambda a: F.transform(F.filter("z", lambda b: b["k"] >= a["k"]), lambda b: F.struct(a["k"].alias("i"), b["k"].alias("j"), (F.col("_w") * (a["v"] * b["v"])).alias("p")))
+    more = [F.struct(F.lit(k).alias("i"), F.lit(k).alias("j"), v.cast("double").alias("p")) for k, v in (sums or {}).items()]
+    each = rows.select(*keys, F.col(weight).cast("double").alias("_w"), columns.alias("z"), F.array(*more).cast("array<struct<i:string,j:string,p:double>>").alias("more"))
+    pairs = each.select(*keys, F.inline(F.concat(F.flatten(F.transform("z", product)), F.col("more"))))
+    return pairs.groupBy(*keys, "i", "j").agg(F.sum("p").alias("v"))
 
 
 def _independent(gram: np.ndarray, tol: float = DEPENDENT) -> list[int]:
@@ -226,10 +230,13 @@ def solve_gram(cells: pd.DataFrame) -> tuple[dict | None, dict | None]:
     return dict(zip(columns, coef.tolist(), strict=True)), dict(zip(columns, inverse[-1].tolist(), strict=True))
 
 
+def _key_fields(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields)
+
+
 def _fits(gram: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, coef, inverse): maps by column, from Gram tables of k * k rows a group; null for undefined fits."""
     wide = match(gram, sizes.select(*keys, "n", "usable"), keys)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.select(*keys).schema.fields)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         coef, inverse = solve_gram(pdf) if pdf["usable"].iloc[0] else (None, None)
@@ -237,7 +244,7 @@ def _fits(gram: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
         out["coef"], out["inverse"] = [coef], [inverse]
         return out
 
-    return wide.groupBy(*keys).applyInPandas(fit, f"{fields}, coef map<string,double>, inverse map<string,double>")
+    return wide.groupBy(*keys).applyInPandas(fit, f"{_key_fields(wide, keys)}, coef map<string,double>, inverse map<string,double>")
 
 
 def _linear(m: str, x: F.Column) -> F.Column:
@@ -250,25 +257,39 @@ def _mean(eta: F.Column, binomial: bool) -> F.Column:
     return F.greatest(F.lit(LEAST_P), F.least(F.lit(1 - LEAST_P), 1 / (1 + F.exp(-eta)))) if binomial else eta
 
 
-def _logistic_fits(cells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
-    """Reweighted least squares: a round is one aggregation to Gram tables for all groups at once.  A fit that has not
-    settled after ROUNDS is undefined."""
-    p = F.greatest(F.lit(LEAST_P), F.least(F.lit(1 - LEAST_P), (F.col("y") + 0.5) / 2))
-    work, before, fits = cells.withColumn("mu", p).withColumn("eta", F.log(F.col("mu") / (1 - F.col("mu")))), None, None
-    for _ in range(ROUNDS):
-        v = F.col("mu") * (1 - F.col("mu"))
-        work = work.withColumn("v", v).withColumns({"work_w": F.col("sw") * F.col("v"), "work_y": F.col("eta") + (F.col("y") - F.col("mu")) / F.col("v")})
-        fits = kept(_fits(grouped_gram(work, keys, "work_w", "work_y"), sizes, keys))
-        work = match(cells, fits.where("coef is not null").select(*keys, "coef"), keys).withColumn("eta", _linear("coef", F.col("x")))
-        work = work.withColumn("mu", _mean(F.col("eta"), True)).drop("coef")
-        now = kept(work.groupBy(*keys).agg((-2 * F.sum(F.col("sw") * F.log(F.when(F.col("y") == 1, F.col("mu")).otherwise(1 - F.col("mu"))))).alias("deviance")))
-        if before is not None:
-            moved = F.abs(F.col("deviance") - F.col("was")) / (F.abs("deviance") + 0.1) >= STOP
-            open_fits = match(now, before.withColumnRenamed("deviance", "was"), keys).where(moved).select(*keys)
-            if not open_fits.limit(1).count():
-                return fits
-        before = now
-    return match(fits, open_fits, keys, "left_anti").unionByName(match(fits, open_fits, keys, "left_semi").withColumns({c: F.lit(None).cast("map<string,double>") for c in ("coef", "inverse")}))
+def logistic_fits(cells: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, coef, inverse, rounds) by reweighted least squares.  A round is one aggregation of the open groups' cells to
+    Gram tables and deviances, and one solution of each; a group whose deviance has settled is frozen with its fit, and
+    its cells are in no later round.  A fit that has not settled after ROUNDS is undefined."""
+    still = kept(sizes.select(*keys, "n", "usable", F.lit(None).cast("map<string,double>").alias("coef"), F.lit(None).cast("double").alias("was")))
+    frozen = []
+    for number in range(1, ROUNDS + 1):
+        work = match(cells, still.select(*keys, "coef"), keys)
+        mu = _mean(_linear("coef", F.col("x")), True) if number > 1 else (F.col("y") + 0.5) / 2
+        work = work.withColumn("mu", F.greatest(F.lit(LEAST_P), F.least(F.lit(1 - LEAST_P), mu))).withColumn("v", F.col("mu") * (1 - F.col("mu")))
+        eta = _linear("coef", F.col("x")) if number > 1 else F.log(F.col("mu") / (1 - F.col("mu")))
+        work = work.withColumns({"work_w": F.col("sw") * F.col("v"), "work_y": eta + (F.col("y") - F.col("mu")) / F.col("v")})
+        lost = -2 * F.col("sw") * F.log(F.when(F.col("y") == 1, F.col("mu")).otherwise(1 - F.col("mu")))
+        wide = match(grouped_gram(work, keys, "work_w", "work_y", {DEVIANCE: lost}), still.select(*keys, "n", "usable", "was"), keys)
+
+        def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+            moments, deviance = pdf[pdf["i"] != DEVIANCE], float(pdf.loc[pdf["i"] == DEVIANCE, "v"].iloc[0])
+            coef, inverse = solve_gram(moments) if pdf["usable"].iloc[0] else (None, None)
+            was = pdf["was"].iloc[0]
+            settled = coef is None or (pd.notna(was) and abs(deviance - was) / (abs(deviance) + 0.1) < STOP)
+            out = pdf[[*keys, "n", "usable"]].head(1).copy()
+            out["coef"], out["inverse"], out["was"], out["settled"] = [coef], [inverse], deviance, settled
+            return out
+
+        fits = kept(wide.groupBy(*keys).applyInPandas(fit, f"{_key_fields(wide, keys)}, n long, usable boolean, coef map<string,double>, inverse map<string,double>, was double, settled boolean").withColumn("rounds", F.lit(number)))
+        frozen.append(fits.where("settled").select(*keys, "coef", "inverse", "rounds"))
+        still = fits.where("not settled")
+        if not still.limit(1).count():
+            break
+    else:
+        none = F.lit(None).cast("map<string,double>")
+        frozen.append(still.select(*keys, none.alias("coef"), none.alias("inverse"), "rounds"))
+    return reduce(DataFrame.unionByName, frozen)
 
 
 def adjusted_associations(frame: DataFrame, outcome: str, predictors: list[str], controls: list[str], design: Design = Design(), by=(), family: str = "gaussian", policy: Policy = NO_SUPPRESSION) -> DataFrame:
@@ -293,7 +314,7 @@ def adjusted_associations(frame: DataFrame, outcome: str, predictors: list[str],
     centred = kept(spread.groupBy(*keys, "x", "y", "c").agg(F.sum("sw").alias("sw")))
     variance = centred.groupBy(*keys).agg((F.sum(F.col("sw") * F.col("x") * F.col("x")) / F.sum("sw")).alias("var_x"))
     sizes = kept(match(sizes, variance, keys).withColumn("sd_x", F.sqrt(F.greatest("var_x", F.lit(0.0)))))
-    fits = _logistic_fits(centred, sizes, keys) if binomial else kept(_fits(grouped_gram(centred, keys), sizes, keys))
+    fits = logistic_fits(centred, sizes, keys) if binomial else kept(_fits(grouped_gram(centred, keys), sizes, keys))
     recs = match(sizes, fits.select(*keys, F.try_element_at("coef", F.lit(X)).alias("beta"), F.try_element_at("inverse", F.lit(X)).alias("inverse_x"), F.size("coef").alias("p")), keys, "left")
     fitted = match(spread if design.strata else centred, fits.where("coef is not null"), keys)
     off = F.col("y") - _mean(_linear("coef", F.col("x")), binomial)

@@ -783,9 +783,39 @@ def adjusted_binomial(spark, sf):
     return A.adjusted_association(label_frame(spark, sf), "quality", "x", ["lang"], DESIGN, (), "binomial").select("measure", "estimate", "se", "n", "n_psu", "n_strata")
 
 
-@register("kish_regression_se")
+# a logit on one yes-or-no predictor has as many parameters as cells: the slope is the log of the odds ratio, and a
+# row's share in its error is its residual over its half's information
+_LOGIT_SQL = f"""WITH f AS (SELECT country_code, nominal, strata AS _strata, psu AS _psu, w, CASE WHEN item4 >= 8 THEN 1 ELSE 0 END AS y, CASE WHEN item3 >= 3 THEN 1 ELSE 0 END AS x FROM ({DESIGN_SQL}) q WHERE item4 IS NOT NULL),
+  d AS (SELECT strata AS _strata, CAST(count(DISTINCT psu) AS DOUBLE) AS nh FROM ({DESIGN_SQL}) q GROUP BY 1),
+  h AS (SELECT country_code, nominal, x, sum(w) AS sw, sum(w * y) / sum(w) AS p FROM f GROUP BY 1, 2, 3),
+  z AS (SELECT f.country_code, f.nominal, _strata, _psu, sum((2 * f.x - 1) * w * (y - p) / (sw * p * (1 - p))) AS z FROM f JOIN h ON f.country_code = h.country_code AND f.nominal = h.nominal AND f.x = h.x GROUP BY 1, 2, 3, 4),
+  v AS ({O.unit_variance("z", "d", ["country_code", "nominal"])}),
+  g AS (SELECT country_code, nominal, count(*) AS n, sum(w * x) / sum(w) AS m FROM f GROUP BY 1, 2),
+  b AS (SELECT g.country_code, g.nominal, ln(b1.p / (1 - b1.p)) - ln(b0.p / (1 - b0.p)) AS beta, sqrt(var) AS se, sqrt(m * (1 - m)) AS sd, n, n_psu, n_strata FROM g JOIN v ON g.country_code = v.country_code AND g.nominal = v.nominal
+    JOIN h b1 ON b1.x = 1 AND g.country_code = b1.country_code AND g.nominal = b1.nominal JOIN h b0 ON b0.x = 0 AND g.country_code = b0.country_code AND g.nominal = b0.nominal)
+  SELECT country_code, nominal, 'beta' AS measure, round(beta, 6) AS estimate, round(se, 6) AS se, n, n_psu, n_strata FROM b UNION ALL SELECT country_code, nominal, 'beta_per_sd', round(beta * sd, 6), round(se * sd, 6), n, n_psu, n_strata FROM b"""
+
+
+@register("adjusted_binomial_groups", _LOGIT_SQL)
+def adjusted_binomial_groups(spark, sf):
+    f = design_frame(spark, sf).withColumns({"y": F.when(F.col("item4").isNotNull(), (F.col("item4") >= 8).cast("int")), "x": (F.col("item3") >= 3).cast("int")})
+    a = A.adjusted_association(f, "y", "x", [], DESIGN, ["country_code", "nominal"], "binomial")
+    return rounded(a.select("country_code", "nominal", "measure", "estimate", "se", "n", "n_psu", "n_strata"), "estimate", "se")
+
+
+_KISH_SQL = f"""WITH f AS (SELECT country_code, nominal, w, CAST(item4 AS DOUBLE) AS y, CAST(item3 AS DOUBLE) AS x FROM ({DESIGN_SQL}) q WHERE item4 IS NOT NULL),
+  m AS (SELECT country_code, nominal, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM f GROUP BY 1, 2),
+  c AS (SELECT f.country_code, f.w, f.x, x - mx AS dx, y - my AS dy FROM f JOIN m ON f.country_code = m.country_code AND f.nominal = m.nominal),
+  b AS (SELECT country_code, sum(w * dx * dy) / sum(w * dx * dx) AS beta, 1 / sum(w * dx * dx) AS inverse, sum(w) AS sw, sum(w) * sum(w) / sum(w * w) AS n_eff, sum(w * x) / sum(w) AS gx, count(*) AS n FROM c GROUP BY 1),
+  k AS (SELECT country_code, count(*) + 1 AS p FROM m GROUP BY 1),
+  e AS (SELECT c.country_code, sum(w * (dy - beta * dx) * (dy - beta * dx)) AS sse, sqrt(sum(w * (x - gx) * (x - gx)) / sum(w)) AS sd FROM c JOIN b ON c.country_code = b.country_code GROUP BY 1),
+  r AS (SELECT b.country_code, beta, sqrt(sse / sw * n_eff / (n_eff - p) * inverse * sw / n_eff) AS se, sd, n FROM b JOIN e ON b.country_code = e.country_code JOIN k ON b.country_code = k.country_code)
+  SELECT country_code, 'beta' AS measure, round(beta, 6) AS estimate, round(se, 6) AS se, n FROM r UNION ALL SELECT country_code, 'beta_per_sd', round(beta * sd, 6), round(se * sd, 6), n FROM r"""
+
+
+@register("kish_regression_se", _KISH_SQL)
 def kish_regression_se(spark, sf):
-    return A.adjusted_association(design_frame(spark, sf), "item4", "item3", ["nominal"], KISH, COUNTRY).select("country_code", "measure", "estimate", "se", "n")
+    return rounded(A.adjusted_association(design_frame(spark, sf), "item4", "item3", ["nominal"], KISH, COUNTRY).select("country_code", "measure", "estimate", "se", "n"), "estimate", "se")
 
 
 _GRAM_SQL = f"""SELECT country_code, a.k AS i, b.k AS j, round(sum(w * a.v * b.v), 4) AS v FROM (SELECT country_code, w, [{{'k': '1', 'v': CAST(1 AS DOUBLE)}}, {{'k': concat('000=', CAST(nominal AS VARCHAR)), 'v': CAST(1 AS DOUBLE)}},

@@ -49,3 +49,11 @@ def spearman(frame: str, x: str, y: str, by: list[str], w: str = "w", extra: str
     rank = lambda c: f"rank() OVER ({part} ORDER BY {c}) + (count(*) OVER (PARTITION BY {', '.join([*by, c])}) - 1) / 2.0"
     ranked = f"SELECT {''.join(f'{c}, ' for c in by)}{w}, {rank(x)} AS rx, {rank(y)} AS ry FROM ({frame}) q0 WHERE {x} IS NOT NULL AND {y} IS NOT NULL"
     return pearson(ranked, "rx", "ry", by, w, extra)
+
+
+def unit_variance(units: str, counts: str, keys: list[str]) -> str:
+    """keys, var, n_psu, n_strata from `units(keys, _strata, _psu, z)` and `counts(_strata, nh)`: names of two tables."""
+    k, part = "".join(f"{c}, " for c in keys), f"PARTITION BY {', '.join(keys)}" if keys else ""
+    return f"""SELECT {k}sum(CASE WHEN nh = 1 THEN (t - zb) * (t - zb) WHEN m = 1 THEN nh / (nh - 1) * ((t - zb) * (t - zb) + (nh - 1) * zb * zb) ELSE nh / (nh - 1) * (s - t * t / nh) END) AS var,
+  CAST(sum(m) AS BIGINT) AS n_psu, count(*) AS n_strata FROM (SELECT *, sum(t) OVER ({part}) / sum(nh) OVER ({part}) AS zb FROM (
+    SELECT {''.join(f'u.{c} AS {c}, ' for c in keys)}u._strata, sum(z * z) AS s, sum(z) AS t, count(*) AS m, max(nh) AS nh FROM {units} u JOIN {counts} c ON u._strata = c._strata GROUP BY {''.join(f'u.{c}, ' for c in keys)}u._strata) a) b {'GROUP BY ' + ', '.join(keys) if keys else ''}"""

@@ -231,3 +231,62 @@ def test_overlaps_compete_once(spark):
 def test_policy_is_monotone():
     p = Policy()
     assert p.threshold < p.flag_below
+
+
+def test_settled_fits_leave_the_rounds(spark):
+    """Groups settle after different numbers of rounds; each ends as if it were fitted alone."""
+    rows = [(g, float(x), float(y), "a", 1.0) for g, table in (("even", (5, 5, 5, 5)), ("odd", (9, 1, 2, 8)), ("split", (6, 0, 0, 6)), ("same", (0, 7, 0, 5))) for (x, y), n in zip(((0, 0), (0, 1), (1, 0), (1, 1)), table, strict=True) for _ in range(n)]
+    cells = spark.createDataFrame(rows, "g string, x double, y double, k string, sw double").select("g", "x", "y", F.array().cast("array<string>").alias("c"), "sw")
+    sizes = cells.groupBy("g").agg(F.count("*").alias("n"), (F.min("y") != F.max("y")).alias("usable"))
+    got = {r["g"]: r for r in A.logistic_fits(cells, sizes, ["g"]).collect()}
+    assert len(got) == 4 and got["same"]["coef"] is None and got["same"]["rounds"] == 1
+    assert close(got["odd"]["coef"]["x"], math.log(9 * 8 / 2), 1e-8) and abs(got["even"]["coef"]["x"]) < 1e-9
+    assert got["even"]["rounds"] < got["odd"]["rounds"] < got["split"]["rounds"] <= A.ROUNDS
+    for g in ("even", "odd"):
+        alone = one(A.logistic_fits(cells.where(F.col("g") == g), sizes.where(F.col("g") == g), ["g"]))
+        assert close(alone["coef"]["x"], got[g]["coef"]["x"]) and alone["rounds"] == got[g]["rounds"]
+
+
+def test_masked_gram_equals_pairs():
+    from quorumstat.operators import pairs as P
+
+    rng = np.random.default_rng(2)
+    x = np.where(rng.random((500, 6)) < 0.3, np.nan, rng.integers(0, 5, (500, 6)).astype(float))
+    w = rng.integers(1, 9, 500).astype(float)
+    gram = P.masked_gram(x, w)
+    for i in range(6):
+        for j in range(6):
+            m = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b, v = x[m, i], x[m, j], w[m]
+            expected = (m.sum(), v.sum(), (v * a).sum(), (v * b).sum(), (v * a * a).sum(), (v * b * b).sum(), (v * a * b).sum(), a.min(), a.max(), b.min(), b.max())
+            assert np.allclose([gram[k][i, j] for k in P.MOMENTS], expected)
+
+
+def test_pairs_of_odd_rows(spark):
+    """Null countries are a group, constant items and single rows have no estimate, and countries are cut into chunks."""
+    from quorumstat.operators import pairs as P
+
+    people = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2, 1.0 + i % 3) for i in range(60)], "id long, country_code int, w double")
+    long = spark.createDataFrame([(i, "Y1", q, v) for i in range(60) for q, v in (("a", i % 7), ("b", (i * i) % 5 if i % 4 else None), ("c", 3), ("d", 1 if i == 7 else None))], "id long, wave string, variable string, value int")
+    frame = P.PairFrame("Y1", None, WT.WeightSpec("y1", "global", ("Y1",), "w"), tuple(P.PairItem(q, "Y1") for q in "abcd"))
+    before, P.CHUNK = P.CHUNK, 4
+    try:
+        got = {(r["a"], r["b"], r["country_code"], r["method"]): r for r in P.all_pairs(long, people, [frame]).collect()}
+    finally:
+        P.CHUNK = before
+    wide = people.join(long.groupBy("id").pivot("variable", list("abcd")).agg(F.max("value")), "id")
+    for method, f in (("pearson", A.weighted_pearson), ("spearman", A.weighted_spearman)):
+        for r in f(wide, "a", "b", Design("w", None, None), by=["country_code"]).collect():
+            assert close(got["a", "b", r["country_code"], method]["estimate"], r["estimate"], 1e-9) and got["a", "b", r["country_code"], method]["n"] == r["n"]
+    assert got["a", "c", 1, "pearson"]["estimate"] is None and got["a", "d", 1, "spearman"]["estimate"] is None and ("a", "d", 0, "pearson") not in got
+
+
+def test_prefix_sums_over_ranges(spark):
+    from quorumstat.operators.core import prefix_sums
+
+    rows = [(g, float(v), (v * 7) % 5 + 1) for g, n in (("a", 900), (None, 30), ("b", 1)) for v in range(n)]
+    sums = spark.createDataFrame(rows, "g string, v double, c long").repartition(3)
+    got = {(r["g"], r["v"]): (r["upto"], r["upto_all"]) for r in prefix_sums(sums, ["g"], "v", {"upto": "c"}).collect()}
+    for g, v, _ in rows:
+        mine = [c for h, u, c in rows if h == g and u <= v]
+        assert got[g, v] == (sum(mine), sum(c for h, _, c in rows if h == g))
