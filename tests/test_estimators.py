@@ -235,13 +235,13 @@ def test_policy_is_monotone():
 
 def test_settled_fits_leave_the_rounds(spark):
     """Groups settle after different numbers of rounds; each ends as if it were fitted alone."""
-    rows = [(g, float(x), float(y), "a", 1.0) for g, table in (("even", (5, 5, 5, 5)), ("odd", (9, 1, 2, 8)), ("split", (6, 0, 0, 6)), ("same", (0, 7, 0, 5))) for (x, y), n in zip(((0, 0), (0, 1), (1, 0), (1, 1)), table, strict=True) for _ in range(n)]
+    rows = [(g, float(x), float(y), "a", 1.0) for g, table in (("even", (5, 5, 5, 5)), ("odd", (9, 1, 2, 8)), ("far", (60, 1, 1, 50)), ("same", (0, 7, 0, 5))) for (x, y), n in zip(((0, 0), (0, 1), (1, 0), (1, 1)), table, strict=True) for _ in range(n)]
     cells = spark.createDataFrame(rows, "g string, x double, y double, k string, sw double").select("g", "x", "y", F.array().cast("array<string>").alias("c"), "sw")
     sizes = cells.groupBy("g").agg(F.count("*").alias("n"), (F.min("y") != F.max("y")).alias("usable"))
     got = {r["g"]: r for r in A.logistic_fits(cells, sizes, ["g"]).collect()}
     assert len(got) == 4 and got["same"]["coef"] is None and got["same"]["rounds"] == 1
     assert close(got["odd"]["coef"]["x"], math.log(9 * 8 / 2), 1e-8) and abs(got["even"]["coef"]["x"]) < 1e-9
-    assert got["even"]["rounds"] < got["odd"]["rounds"] < got["split"]["rounds"] <= A.ROUNDS
+    assert got["even"]["rounds"] < got["odd"]["rounds"] < got["far"]["rounds"] <= A.ROUNDS
     for g in ("even", "odd"):
         alone = one(A.logistic_fits(cells.where(F.col("g") == g), sizes.where(F.col("g") == g), ["g"]))
         assert close(alone["coef"]["x"], got[g]["coef"]["x"]) and alone["rounds"] == got[g]["rounds"]
