@@ -81,9 +81,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps, each an aggregation and a join on node
     ids, until the edge set no longer changes (O(log n) rounds).  Each round is
-    checkpointed; only a row count and a checksum reach the driver.
+    written as a table, whose size Spark then knows (a checkpoint keeps the estimate, which joins
+    of a result with itself multiply round by round); only a row count and a checksum reach the driver.
     """
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -95,7 +96,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        e = stored(small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
