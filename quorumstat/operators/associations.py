@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, kept, match, prefix_sums, suppress_small_cells, taylor_variance
+from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
 from .estimators import all_of, indicator, means, observed_levels, weighted_quantile
 
 # Functions sent to Python workers carry their code, so executors need not have this package installed.
@@ -116,17 +116,66 @@ def ranked_correlates(estimates: DataFrame, by: list[str], min_n: int = 100, lim
     return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc("strength"), "predictor"))).where(F.col("rank") <= limit)  # a row for each predictor
 
 
-def drop_overlaps(ranked: DataFrame) -> DataFrame:
-    """`ranked(predictor, rank, n_answers, is_binary, components)` with kept_instead: of predictors built from shared
-    answers the one with more answers stays, then the non-binary, then the better ranked."""
-    other = ranked.select(*[F.col(c).alias(f"o_{c}") for c in ("predictor", "rank", "n_answers", "is_binary", "components")])
-    better = F.struct(-F.col("o_n_answers"), F.col("o_is_binary"), F.col("o_rank")) < F.struct(-F.col("n_answers"), F.col("is_binary"), F.col("rank"))
-    pairs = ranked.join(other, (F.col("predictor") != F.col("o_predictor")) & F.arrays_overlap("components", "o_components") & better)
-    # only kept predictors displace others: those that nothing displaces
-    beaten = pairs.select(F.col("predictor").alias("b")).distinct()
-    sure = pairs.join(beaten, F.col("o_predictor") == F.col("b"), "left_anti")
-    loser = sure.groupBy("predictor").agg(F.min_by("o_predictor", "o_rank").alias("kept_instead"))
-    return ranked.join(loser, "predictor", "left")
+def drop_overlaps(ranked: DataFrame, limit: int | None = None) -> DataFrame:
+    """`ranked(predictor, rank, n_answers, is_binary, components)`, ranks distinct, with kept_instead: what stays in place of
+    a predictor that shares answers with it; null for those that stay.  With `limit`, only those that a walk down the
+    ranks passes until so many are kept; what ranks below displaces nothing.
+
+    The walk takes a predictor unless it shares answers with one in the list; it replaces all of those if it stands in for
+    each (more answers, or as many and not binary like the other), and is left out else.  What it finds depends only on
+    predictors of better rank that share answers with it, and on those that share answers with them.  So each round
+    decides at once every predictor none of these of which is still open, until all are decided.
+    """
+    facts = ranked.select("predictor", "rank", "n_answers", "is_binary")
+    parts = ranked.select("predictor", F.explode(F.array_distinct("components")).alias("part"))
+    met = parts.join(parts.withColumnRenamed("predictor", "other"), "part").where("predictor <> other").select("predictor", "other").distinct()
+    side = lambda p: facts.select(*[F.col(c).alias(f"{p}_{c}") for c in facts.columns])
+    both = met.join(side("v"), F.col("predictor") == F.col("v_predictor")).join(side("u"), F.col("other") == F.col("u_predictor"))
+    stands_in = F.when(F.col("v_n_answers") != F.col("u_n_answers"), F.col("v_n_answers") > F.col("u_n_answers")).otherwise(~F.col("v_is_binary") & F.col("u_is_binary"))
+    met = rewritten(both.select(F.col("predictor").alias("v"), F.col("v_rank").alias("rv"), F.col("other").alias("u"), F.col("u_rank").alias("ru"), stands_in.alias("wins")))
+    above = met.where("ru < rv")
+    # (v, u, w): w met u between u and v
+    between = rewritten(above.select("v", "rv", "u", "ru").join(met.select(F.col("v").alias("u"), F.col("u").alias("w"), F.col("ru").alias("rw")), "u").where("ru < rw and rw < rv").select("v", "u", "w"))
+    state = rewritten(facts.select("predictor", "rank", F.lit(None).cast("boolean").alias("entered")))
+    while True:
+        undecided = state.where("entered is null").select("predictor")
+        if not undecided.limit(1).count():
+            break
+        waits = above.select("v", F.col("u").alias("on")).unionByName(between.select("v", F.col("w").alias("on"))).join(undecided.withColumnRenamed("predictor", "on"), "on").select(F.col("v").alias("predictor"))
+        ready = undecided.join(waits, "predictor", "left_anti")
+        loses = _in_list(above, between, state).where("not wins").select(F.col("v").alias("predictor")).distinct().withColumn("_loses", F.lit(True))
+        fresh = ready.join(loses, "predictor", "left").select("predictor", F.col("_loses").isNull().alias("_fresh"))
+        state = rewritten(state.join(fresh, "predictor", "left").select("predictor", "rank", F.coalesce("entered", "_fresh").alias("entered")))
+    entered = state.where("entered").select(F.col("predictor").alias("w"))
+    replaced = met.where("ru > rv").join(entered, F.col("u") == F.col("w")).groupBy("v").agg(F.min("ru").alias("until"), F.min_by("u", "ru").alias("by"))
+    fates = state.join(replaced, (F.col("predictor") == F.col("v")) & F.col("entered"), "left").drop("v")
+    rival = _in_list(above, between, state).where("not wins").groupBy("v").agg(F.min_by("u", "ru").alias("rival"))
+    fates = rewritten(fates.join(rival, (F.col("predictor") == F.col("v")) & ~F.col("entered"), "left").drop("v"))
+    if limit is not None:
+        steps = fates.where("entered").select(F.col("rank").alias("at"), F.lit(1).alias("d")).unionByName(fates.where("until is not null").select(F.col("until").alias("at"), F.lit(-1).alias("d")))
+        held = steps.groupBy("at").agg(F.sum("d").alias("d")).withColumn("held", F.sum("d").over(W.orderBy("at")))  # a row for each predictor
+        last = held.where(F.col("held") >= limit).agg(F.min("at").alias("last"))
+        fates = fates.join(F.broadcast(last), F.lit(True)).where(F.col("last").isNull() | (F.col("rank") <= F.col("last")))  # one row
+        gone = (F.col("until") > F.col("last")) & F.col("last").isNotNull()
+        fates = rewritten(fates.withColumns({"by": F.when(~gone, F.col("by"))}))
+    heir = rewritten(fates.select("predictor", F.coalesce("by", "rival").alias("heir")))
+    while True:  # what stands in for a predictor may have been replaced itself
+        next_heir = heir.select(F.col("predictor").alias("heir"), F.col("heir").alias("later"))
+        further = heir.join(next_heir, "heir", "left").select("predictor", F.coalesce("later", "heir").alias("new"), F.col("later").isNotNull().alias("moved"))
+        further = rewritten(further)
+        heir = further.select("predictor", F.col("new").alias("heir"))
+        if not further.where("moved").limit(1).count():
+            break
+    return ranked.join(heir.select("predictor", F.col("heir").alias("kept_instead")), "predictor")
+
+
+def _in_list(above: DataFrame, between: DataFrame, state: DataFrame) -> DataFrame:
+    """The rows of `above(v, u)` whose u is in the list when v is reached: entered, and not replaced by one that met it and
+    entered before v."""
+    entered = state.where("entered").select(F.col("predictor").alias("e"))
+    here = above.join(entered, F.col("u") == F.col("e")).drop("e")
+    gone = between.join(entered, F.col("w") == F.col("e")).select("v", "u").distinct()
+    return here.join(gone, ["v", "u"], "left_anti")
 
 
 def cross_tab(frame: DataFrame, x: str, y: str, design: Design = Design(), x_levels: list | None = None, y_levels: list | None = None, policy: Policy = SERVING_POLICY, column_flag: int = 100) -> DataFrame:

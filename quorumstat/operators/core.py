@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from statistics import NormalDist
@@ -39,6 +40,14 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def rewritten(df: DataFrame) -> DataFrame:
+    """The same rows as a table written to the shared folder: for loops that join a result with itself.  A checkpoint keeps
+    the size that was estimated before it, which such joins multiply round by round; a written table has its own."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, counted now; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -859,11 +859,45 @@ def ranked_correlates(spark, sf):
     return rounded(A.ranked_correlates(sweep(spark, sf), COUNTRY), "strength")
 
 
-@register("drop_overlaps", f"SELECT predictor, CASE WHEN predictor IN ('item3', 'bin') THEN 'item4' END AS kept_instead FROM ({_RANK_SQL}) r")
+# brands by small and large sizes as predictors, each built from one of nine and one of eleven parts
+_OVERLAP_SQL = """SELECT predictor, CAST(row_number() OVER (ORDER BY top DESC, predictor) AS INTEGER) AS rank, CAST(1 + n % 4 AS INTEGER) AS n_answers, n % 3 = 0 AS is_binary, [concat('n', CAST(n % 9 AS VARCHAR)), concat('k', CAST(keys % 11 AS VARCHAR))] AS components
+  FROM (SELECT concat(p_brand, CASE WHEN p_size < 25 THEN '-' ELSE '+' END) AS predictor, max(p_retailprice) AS top, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS keys FROM part GROUP BY 1) q"""
+
+
+def _walk_sql(ranked: str, limit: int) -> str:
+    """The walk down the ranks as a recursion: the list so far, and what was left out or replaced with what stands in."""
+    return f"""WITH RECURSIVE r AS ({ranked}),
+  s AS (SELECT list(concat(v.predictor, '>', u.predictor)) AS met, list(CASE WHEN CASE WHEN v.n_answers <> u.n_answers THEN v.n_answers > u.n_answers ELSE NOT v.is_binary AND u.is_binary END THEN concat(v.predictor, '>', u.predictor) END) AS wins
+    FROM r v JOIN r u ON v.predictor <> u.predictor AND list_has_any(v.components, u.components)),
+  w(i, kept, gone) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL
+    SELECT i + 1, CASE WHEN len(kept) >= {limit} OR len(losing) > 0 THEN kept ELSE list_append(list_filter(kept, lambda x: NOT list_contains(rivals, x)), predictor) END,
+      CASE WHEN len(kept) >= {limit} THEN gone WHEN len(losing) > 0 THEN list_append(gone, concat(predictor, '>', losing[1]))
+        ELSE list_concat(list_transform(gone, lambda g: CASE WHEN list_contains(rivals, split_part(g, '>', 2)) THEN concat(split_part(g, '>', 1), '>', predictor) ELSE g END), list_transform(rivals, lambda x: concat(x, '>', predictor))) END
+    FROM (SELECT i, kept, gone, predictor, list_filter(kept, lambda x: list_contains(met, concat(predictor, '>', x))) AS rivals,
+      list_filter(kept, lambda x: list_contains(met, concat(predictor, '>', x)) AND NOT coalesce(list_contains(wins, concat(predictor, '>', x)), false)) AS losing FROM w JOIN r ON rank = i + 1 CROSS JOIN s) q),
+  e AS (SELECT kept, gone FROM w ORDER BY i DESC LIMIT 1)
+  SELECT unnest(kept) AS predictor, CAST(NULL AS VARCHAR) AS kept_instead FROM e UNION ALL SELECT split_part(g, '>', 1), split_part(g, '>', 2) FROM (SELECT unnest(gone) AS g FROM e) x"""
+
+
+_META = [("item2", 9, False, "tax"), ("item3", 7, False, "line"), ("item4", 11, False, "y line bin"), ("bin", 2, True, "bin")]
+_META_SQL = values_sql(_META, ["predictor", "n_answers", "is_binary", "parts"])
+
+
+@register("drop_overlaps", _walk_sql(f"SELECT k.predictor, CAST(row_number() OVER (ORDER BY strength DESC, k.predictor) AS INTEGER) AS rank, n_answers, is_binary, string_split(parts, ' ') AS components FROM ({_RANK_SQL}) k JOIN {_META_SQL} m ON k.predictor = m.predictor", 100))
 def drop_overlaps(spark, sf):
     r = A.ranked_correlates(sweep(spark, sf), COUNTRY)
-    meta = table(spark, [("item2", 9, False, ["tax"]), ("item3", 7, False, ["line"]), ("item4", 11, False, ["y", "line", "bin"]), ("bin", 2, True, ["bin"])], "predictor string, n_answers int, is_binary boolean, components array<string>")
-    return A.drop_overlaps(r.join(F.broadcast(meta), "predictor")).select("predictor", "kept_instead")
+    meta = table(spark, _META, "predictor string, n_answers int, is_binary boolean, parts string").withColumn("components", F.split("parts", " "))
+    return A.drop_overlaps(r.join(meta, "predictor")).select("predictor", "kept_instead")
+
+
+@register("drop_overlaps_chains", _walk_sql(_OVERLAP_SQL, 8))
+def drop_overlaps_chains(spark, sf):
+    name = F.concat("p_brand", F.when(F.col("p_size") < 25, "-").otherwise("+")).alias("predictor")
+    found = read(spark, sf, "part").groupBy(name).agg(F.max("p_retailprice").alias("top"), F.count("*").alias("n"), F.sum("p_partkey").alias("keys"))
+    rank = F.row_number().over(Window.orderBy(F.desc("top"), "predictor")).alias("rank")  # a row for each brand and kind of size
+    c = lambda kind, x, m: F.concat(F.lit(kind), (F.col(x) % m).cast("string"))
+    r = found.select("predictor", rank, (1 + F.col("n") % 4).cast("int").alias("n_answers"), (F.col("n") % 3 == 0).alias("is_binary"), F.array(c("n", "n", 9), c("k", "keys", 11)).alias("components"))
+    return A.drop_overlaps(r, 8).select("predictor", "kept_instead")
 
 
 _PAIRS = [("y", "item2"), ("y", "item4"), ("item2", "item4")]

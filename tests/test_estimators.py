@@ -221,11 +221,37 @@ def test_label_rules(spark):
     assert scale == {"VISITS": ("ordinal", 1, 3), "PETS": ("count", 0, 10), "MOOD": ("scale_0_10", 0, 10), "BIKE": ("binary", 1, 2), "DISTRICT": ("nominal", 104, 201), "PAY": ("nominal", 5, 9900)}
 
 
-def test_overlaps_compete_once(spark):
-    rows = [("p1", 1, 3, False, ["a"]), ("p2", 2, 5, False, ["a", "b"]), ("p3", 3, 9, False, ["b"]), ("p4", 4, 2, True, ["z"])]
-    df = spark.createDataFrame(rows, "predictor string, rank int, n_answers int, is_binary boolean, components array<string>")
-    kept = {r.predictor: r.kept_instead for r in A.drop_overlaps(df).collect()}
-    assert kept == {"p1": None, "p2": "p3", "p3": None, "p4": None}  # p2 is out, so it displaces nothing
+def walk(rows, limit):
+    """The list and what was left out, row by row down the ranks."""
+    kept, gone = [], {}
+    for name, _, n, binary, parts in sorted(rows, key=lambda r: r[1]):
+        if len(kept) >= limit:
+            break
+        rivals = [k for k in kept if set(k[4]) & set(parts)]
+        losing = [k for k in rivals if not (n > k[2] or (n == k[2] and not binary and k[3]))]
+        if losing:
+            gone[name] = losing[0][0]
+            continue
+        kept = [k for k in kept if k not in rivals] + [(name, None, n, binary, parts)]
+        names = {k[0] for k in rivals}
+        gone |= dict.fromkeys(names, name)
+        gone = {g: name if h in names else h for g, h in gone.items()}
+    return {k[0]: None for k in kept} | gone
+
+
+def test_overlaps_equal_the_walk(spark):
+    """Chains of three and more, ties, replaced replacements, limits."""
+    import random
+
+    schema = "predictor string, rank int, n_answers int, is_binary boolean, components array<string>"
+    chain = [("p1", 1, 3, False, ["a"]), ("p2", 2, 5, False, ["a", "b"]), ("p3", 3, 9, False, ["b"]), ("p4", 4, 2, True, ["z"])]
+    cases = [(chain, None), (chain, 2), ([(f"q{i}", i, i % 3 + 1, False, [f"c{i}", f"c{i + 1}"]) for i in range(1, 9)], None), ([], None)]
+    for seed in range(2):
+        random.seed(seed)
+        cases.append(([(f"r{i}", i, random.randint(1, 4), random.random() < 0.4, random.sample([f"c{k}" for k in range(14)], random.randint(1, 2))) for i in range(1, 31)], 8 if seed else None))
+    for rows, limit in cases:
+        df = spark.createDataFrame(rows, schema)
+        assert {r.predictor: r.kept_instead for r in A.drop_overlaps(df, limit).collect()} == walk(rows, limit or 10**6)
 
 
 def test_policy_is_monotone():
