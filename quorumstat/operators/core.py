@@ -190,11 +190,19 @@ def records(frame: DataFrame, items: list[Item], design: Design, by: list[str])
         n_eff = F.col("sum_w") * F.col("sum_w") / F.col("sww")
         spread = F.greatest((F.col("swyy") / F.col("sum_w") - F.col("estimate") * F.col("estimate")) * (n_eff / (n_eff - 1)) / n_eff, F.lit(0.0))
         return g.select(*keys, "estimate", F.when(n_eff > 1, F.sqrt(spread)).alias("se"), "n", "one", "sum_w", none.alias("n_psu"), none.alias("n_strata"), none.alias("df"))
-    g = each.groupBy(*keys).agg(*sums).withColumn("estimate", F.when(F.col("n") > 0, F.col("swy") / F.col("sw"))).withColumnRenamed("sw", "sum_w").drop("swy")
+    return group_records(each, unit_counts(units), keys, known)
+
+
+def group_records(each: DataFrame, counts: DataFrame, keys: list[str], known: Column) -> DataFrame:
+    """keys, estimate, se, n, one, sum_w, n_psu, n_strata, df from unit totals `each(keys, _strata, _psu, sw, swy, n, one)` and
+    `counts(_strata, nh)`; groups that are not `known` have no estimate."""
+    total = lambda c: F.sum(F.when(known, F.col(c))).alias(c)
+    g = each.groupBy(*keys).agg(*[total(c) for c in ("swy", "sw", "n", "one")])
+    g = g.withColumn("estimate", F.when(F.col("n") > 0, F.col("swy") / F.col("sw"))).withColumnRenamed("sw", "sum_w").drop("swy")
     scored = match(each.where(F.col("n") > 0), g.select(*keys, F.col("estimate").alias("e"), F.col("sum_w").alias("sum_all")), keys)
     scored = scored.select(*keys, "_strata", "_psu", ((F.col("swy") - F.col("e") * F.col("sw")) / F.col("sum_all")).alias("z"))
-    out = match(g, taylor_variance(scored, unit_counts(units), keys), keys, "left")
-    return out.select(*keys, "estimate", F.sqrt(F.greatest("var", F.lit(0.0))).alias("se"), "n", "one", "sum_w", "n_psu", "n_strata", (F.col("n_psu") - F.col("n_strata")).alias("df"))
+    out = match(g, taylor_variance(scored, counts, keys), keys, "left")
+    return out.select(*keys, "estimate", F.when(F.col("var").isNotNull(), F.sqrt(F.greatest("var", F.lit(0.0)))).alias("se"), "n", "one", "sum_w", "n_psu", "n_strata", (F.col("n_psu") - F.col("n_strata")).alias("df"))
 
 
 def grid(frame: DataFrame, by: list[str], keyed: list[tuple[tuple[str, object], ...]]) -> DataFrame:

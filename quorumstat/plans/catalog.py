@@ -15,6 +15,7 @@ from ..operators import labels as L
 from ..operators import pairs as P
 from ..operators import quality as Q
 from ..operators import reshape as R
+from ..operators import views as V
 from ..operators import weights as WT
 from ..operators.core import NO_SUPPRESSION, Design, Item, design_counts, shared_dir, suppress_small_cells
 from ..sources import files as S
@@ -159,9 +160,6 @@ def catalog_tables(spark, sf):
     return spark.sql("SELECT variable, count(*) AS n, sum(value) AS total FROM responses_oriented GROUP BY variable")
 
 
-_STATIC_SQL = f"SELECT 'share' AS view, level, n FROM ({O.taylor(DESIGN_SQL, [({'level': x}, f'CASE WHEN nominal IS NOT NULL THEN CASE WHEN nominal = {x} THEN 1.0 ELSE 0.0 END END') for x in (1, 2, 3)], [], share=True)}) q"
-
-
 @register("export_static_views", """SELECT wave, variable, count(*) AS n_rows FROM (SELECT DISTINCT wave, variable, CAST(id % 5 AS INTEGER) AS country_code FROM (""" + LONG_SQL + """) t) x GROUP BY 1, 2""")
 def export_static_views(spark, sf):
     f = long_frame(spark, sf).join(people_frame(spark, sf), "id")
@@ -169,6 +167,38 @@ def export_static_views(spark, sf):
     return S.export_static_views(est, _shared(spark, "views"), ["wave", "variable"], ["country_code", "estimate", "se", "n"])
 
 
+VIEW_OUTCOMES = [("signup", "scale_0_10", 0, 9), ("click", "count", 0, 9), ("view", "ordinal", 0, 9)]
+_VIEW_WAVES, _DEMOGRAPHICS = {"Y1": ("w_c1", "true"), "Y2": ("w_c2", "retained_y2")}, ["age_band", "income_quintile"]
+
+
+def _views_sql() -> str:
+    parts = []
+    for name, scale, lo, hi in VIEW_OUTCOMES:
+        shares = [({"level": x}, f"CASE WHEN value IS NOT NULL THEN CASE WHEN value = {x} THEN 1.0 ELSE 0.0 END END") for x in range(lo, hi + 1)]
+        kinds = {"ordinal": [("proportion", True)], "count": [("mean", True)], "scale_0_10": [("mean", True), ("distribution", False)]}[scale]
+        for wave, (weight, flag) in _VIEW_WAVES.items():
+            frame = f"SELECT t.value, p.*, {weight} AS w FROM ({LONG_SQL}) t JOIN ({PANELISTS_SQL}) p ON t.id = p.id WHERE variable = '{name}' AND wave = '{wave}' AND {flag}"
+            for stat, all_views in kinds:
+                for d in [None, *_DEMOGRAPHICS] if all_views else [None]:
+                    q = O.taylor(frame, [({}, "value")] if stat == "mean" else shares, ["country_code", *([d] if d else [])], share=stat != "mean", threshold=0, flag=30)
+                    parts.append(f"""SELECT '{name}' AS outcome, '{wave}' AS wave, '{stat}_by-country_code{'-' + d if d else ''}' AS view, country_code, {f'CAST({d} AS VARCHAR)' if d else "''"} AS "group", {'CAST(NULL AS INTEGER)' if stat == 'mean' else 'level'} AS level,
+                      estimate, se, ci_lo, ci_hi, n, sum_w, n_psu, n_strata, df, suppressed, flagged FROM ({q}) q""")
+    return " UNION ALL ".join(parts)
+
+
+@register("static_view_rows", _views_sql())
+def static_view_rows(spark, sf):
+    """Every view as a written document, read again: its rows with their estimates and errors."""
+    catalog = table(spark, VIEW_OUTCOMES, "name string, scale_type string, min int, max int")
+    rows = V.view_estimates(long_frame(spark, sf), panelists_frame(spark, sf), catalog, list(_VIEW_WAVES), _DEMOGRAPHICS)
+    rows = rounded(rows.withColumn("view", F.concat("stat", F.lit("_by-"), "view")), "estimate", "se", "ci_lo", "ci_hi", "sum_w")
+    path, keys, fields = _shared(spark, "view-documents"), ["outcome", "wave", "view"], ["country_code", "group", "level", *SHOWN]
+    S.export_static_views(rows, path, keys, fields)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*fields).schema.fields)
+    read_back = spark.read.schema("value string, outcome string, wave string, view string").text(path).select(*keys, F.from_json("value", f"rows array<struct<{kinds.replace('` ', '`: ')}>>").alias("d"))
+    return read_back.select(*keys, F.inline("d.rows"))
+
+
 @register("export_csv_labelled", f"SELECT country_code, name AS country_code_label, count(*) AS n FROM ({PEOPLE_SQL}) p LEFT JOIN {_COUNTRY_SQL} c ON country_code = code GROUP BY 1, 2")
 def export_csv_labelled(spark, sf):
     rows = people_frame(spark, sf).groupBy("country_code").agg(F.count("*").alias("n"))
