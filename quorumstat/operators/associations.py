@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
+from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, finalize, grid, group_records, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
 from .estimators import all_of, indicator, means, observed_levels, weighted_quantile
 
 # Functions sent to Python workers carry their code, so executors need not have this package installed.
@@ -182,17 +182,41 @@ def cross_tab(frame: DataFrame, x: str, y: str, design: Design = Design(), x_lev
     """Shares of y within each answer x, with the share of x itself and the correlation of the two items; cells without
     rows stay with n = 0.
 
-    Both kinds of share are items of one estimate: of y within the domain of an answer x, and of x among all.
+    The frame is summed once by both answers and sampling unit.  Shares of both kinds with their errors, the design's
+    counts and the moments of the correlation all come from that table.  Without a design, shares are estimated from
+    the rows.
     """
     x_levels = x_levels or observed_levels(frame, x)
     y_levels = y_levels or observed_levels(frame, y)
-    vx, vy = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)) for a, b in ((x, y), (y, x)))
-    items = [Item(indicator(vy, j), (("x", i), ("y", j), ("of", "cell")), vx == i) for i in x_levels for j in y_levels]
-    items += [Item(indicator(vx, i), (("x", i), ("y", y_levels[0]), ("of", "column"))) for i in x_levels]
-    every = kept(means(frame, items, design, (), policy, "proportion", share=True))
+    keys = ["x", "y", "of"]
+    items = [(i, j, "cell") for i in x_levels for j in y_levels] + [(i, y_levels[0], "column") for i in x_levels]
+    if design.strata is None:
+        vx, vy = (F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a)) for a, b in ((x, y), (y, x)))
+        shares = [Item(indicator(vy, j) if of == "cell" else indicator(vx, i), (("x", i), ("y", j), ("of", of)), vx == i if of == "cell" else None) for i, j, of in items]
+        every = kept(means(frame, shares, design, (), policy, "proportion", share=True))
+        moments = frame.agg(*_moments(design.weight, x, y))
+    else:
+        w = F.col(design.weight).cast("double")
+        sums = frame.groupBy(F.col(x).alias("vx"), F.col(y).alias("vy"), F.col(design.strata).alias("_strata"), F.col(design.psu).alias("_psu")).agg(F.sum(w).alias("sw"), F.count("*").alias("n"))
+        there = F.when(F.col("vx").isNotNull() & F.col("vy").isNotNull(), F.struct("vx", "vy", "sw", "n"))
+        units = kept(sums.groupBy("_strata", "_psu").agg(F.collect_list(there).alias("held")))
+        total = lambda rows, of: F.aggregate(rows, F.lit(0.0), lambda acc, h: acc + h[of])
+        cell = F.col("of") == "cell"
+        among, at = F.filter("held", lambda h: ~cell | (h["vx"] == F.col("x"))), F.filter("held", lambda h: (h["vx"] == F.col("x")) & (~cell | (h["vy"] == F.col("y"))))
+        table = F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, item, strict=True)]) for item in items]))
+        each = units.select("_strata", "_psu", "held", table)
+        each = each.select(*keys, "_strata", "_psu", total(among, "sw").alias("sw"), total(at, "sw").alias("swy"), total(among, "n").cast("long").alias("n"), total(at, "n").cast("long").alias("one"))
+        counts = units.groupBy("_strata").agg(F.countDistinct("_psu").alias("nh"))
+        every = kept(finalize(group_records(each, counts, keys, F.lit(True)), keys, "proportion", design, policy, share=True, all_rows=grid(frame, [], [tuple(zip(keys, i, strict=True)) for i in items])))
+        pairs = units.select(F.inline("held")).groupBy("vx", "vy").agg(F.sum("sw").alias("sw"), F.sum("n").alias("n"))
+        vx, vy, s = F.col("vx").cast("double"), F.col("vy").cast("double"), lambda e: F.sum(F.col("sw") * e)
+        moments = pairs.agg(
+            F.sum("sw").alias("sw"), s(vx).alias("sx"), s(vy).alias("sy"), s(vx * vx).alias("sxx"), s(vy * vy).alias("syy"), s(vx * vy).alias("sxy"), F.sum("n").alias("n"),
+            (F.max("vx") != F.min("vx")).alias("vx"), (F.max("vy") != F.min("vy")).alias("vy"),
+        )
     columns = every.where("of = 'column'").select("x", F.col("estimate").alias("column_share"), F.col("se").alias("column_se"), F.col("n").alias("column_n"))
     out = match(every.where("of = 'cell'").select("x", "y", "estimate", "se", "n"), columns, ["x"], "left")
-    out = match(out, frame.agg(*_moments(design.weight, x, y)).select(_coefficient().alias("correlation"), F.coalesce("n", F.lit(0)).alias("pairs")), [])
+    out = match(out, moments.select(_coefficient().alias("correlation"), F.coalesce("n", F.lit(0)).alias("pairs")), [])
     return out.withColumns({"thin_cell": F.col("n") < policy.flag_below, "thin_column": F.col("column_n") < column_flag})
 
 
