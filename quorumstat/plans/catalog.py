@@ -17,8 +17,9 @@ from ..operators import quality as Q
 from ..operators import reshape as R
 from ..operators import views as V
 from ..operators import weights as WT
-from ..operators.core import NO_SUPPRESSION, Design, Item, design_counts, shared_dir, suppress_small_cells
+from ..operators.core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, design_counts, shared_dir, suppress_small_cells
 from ..sources import files as S
+from ..sources.kept import SurveyTables, kept_table, source_version
 from . import oracles as O
 from .frames import (
     DESIGN_SQL, LABEL_SQL, LONG_SQL, PANEL_SQL, PANELISTS_SQL, PEOPLE_SQL, SUPPLIER_SQL, design_frame, label_frame, long_frame, panel_frame, panelists_frame, people_frame, read, supplier_frame, table, values_sql,
@@ -675,6 +676,18 @@ def quantile_continuous(spark, sf):
     return rounded(E.weighted_quantile(f, "l_extendedprice", KISH, (0.1, 0.5, 0.9), ["l_returnflag"]), "estimate").select("l_returnflag", "p", "estimate", "n")
 
 
+_BREAKDOWN_SQL = O.taylor(f"SELECT t.value, CAST(b.value AS INTEGER) AS breakdown, p.*, w_c1 AS w FROM ({LONG_SQL}) t JOIN ({PANELISTS_SQL}) p ON t.id = p.id LEFT JOIN (SELECT id, value FROM ({LONG_SQL}) l WHERE variable = 'view' AND wave = 'Y1') b ON t.id = b.id WHERE t.variable = 'signup' AND t.wave = 'Y1'",
+  [({}, "value")], ["country_code", "breakdown"], threshold=0, flag=30)
+
+
+@register("breakdown_by_question", _BREAKDOWN_SQL)
+def breakdown_by_question(spark, sf):
+    """The mean of one question by country and by the answers to another, over bucketed tables."""
+    tables = SurveyTables(long_frame(spark, sf), panelists_frame(spark, sf), source_version("survey tables 1", read(spark, sf, "events")))
+    frame = WT.eligible_rows(tables.frame("signup", "Y1", "view"), WT.resolve(("Y1",)))
+    return shown(E.weighted_mean(frame, "value", Design("w_c1"), ["country_code", "breakdown"], SERVING_POLICY), "country_code", "breakdown")
+
+
 # --- 2.7 panel
 
 _RET_SQL = f"SELECT * FROM ({PANEL_SQL}) p0 WHERE retained_y2"
@@ -987,9 +1000,9 @@ def all_pairs_four_frames(spark, sf):
 
 @register("pair_lookup", f"SELECT CASE WHEN a = 'error' THEN b ELSE a END AS predictor, country_code, method, estimate, n, sum_w, false AS suppressed, n < 30 AND estimate IS NOT NULL AS flagged FROM ({_pairs_sql()}) t WHERE (a = 'error' AND b IN ('click', 'view')) OR (b = 'error' AND a IN ('click', 'view'))")
 def pair_lookup(spark, sf):
-    path = _shared(spark, "pairs")
-    S.write_parquet(_event_pairs(spark, sf), path, ["a", "b", "country_code"], ())
-    return rounded(A.pair_lookup(spark.read.parquet(path), "error", ["click", "view"]), "estimate", "sum_w")
+    version = source_version("pairs of the first wave 1", read(spark, sf, "events"))
+    pairs = kept_table(spark, "pairs", version, lambda: _event_pairs(spark, sf), ["a", "b", "country_code"])
+    return rounded(A.pair_lookup(pairs, "error", ["click", "view"]), "estimate", "sum_w")
 
 
 _TAB_SQL = f"""SELECT g.x, g.y, c.estimate, c.se, coalesce(c.n, 0) AS n, coalesce(k.column_n, 0) AS column_n, r.estimate AS correlation, r.n AS pairs FROM (SELECT a.x, b.y FROM {values_sql([(1,), (2,), (3,)], ['x'])} a CROSS JOIN {values_sql([(i,) for i in range(1, 9)], ['y'])} b) g

@@ -316,3 +316,47 @@ def test_prefix_sums_over_ranges(spark):
     for g, v, _ in rows:
         mine = [c for h, u, c in rows if h == g and u <= v]
         assert got[g, v] == (sum(mine), sum(c for h, _, c in rows if h == g))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kept_tables_are_built_once(spark, tmp_path):
+    from quorumstat.sources.kept import kept_table, source_version
+
+    path = str(tmp_path / "source")
+    spark.createDataFrame([("x", "y", 1.0), ("y", "z", 2.0)], "a string, b string, v double").write.parquet(path)
+    source, calls = spark.read.parquet(path), []
+
+    def build():
+        calls.append(1)
+        return source.groupBy("a", "b").agg(F.sum("v").alias("v"))
+
+    version = source_version("pairs", source)
+    for _ in range(2):
+        found = kept_table(spark, "sums", version, build, ["a", "b"])
+        assert found.where("a = 'y'").first()["v"] == 2.0
+    assert len(calls) == 1 and "Aggregate" not in plan_of(found) and source_version("other", source) != version
+    spark.createDataFrame([("x", "y", 5.0)], "a string, b string, v double").write.mode("append").parquet(path)
+    source = spark.read.parquet(path)
+    assert kept_table(spark, "sums", source_version("pairs", source), build, ["a", "b"]).where("a = 'x'").first()["v"] == 6.0 and len(calls) == 2
+
+
+def test_slices_join_without_a_shuffle(spark):
+    from quorumstat.sources.kept import SurveyTables
+
+    long = spark.createDataFrame([(i, w, v, i % 4 if i % 3 else None) for i in range(200) for w in ("Y1", "Y2") for v in ("p", "q")], "id long, wave string, variable string, value int")
+    people = spark.createDataFrame([(i, i % 3, 1.0) for i in range(190)], "id long, country_code int, w double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tables = SurveyTables(long, people, "test", 4)
+        frame = tables.frame("p", "Y1", "q")
+        plan = plan_of(frame)
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and plan.count("PartitionFilters: [isnotnull(variable") == 2
+        assert frame.count() == 190 and frame.where("value <=> breakdown").count() == 190
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with pytest.raises(ValueError):
+        tables.frame("p", "Y1", "p")
