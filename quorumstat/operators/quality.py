@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,28 @@ def check_published(means: DataFrame, published: DataFrame, key: str, tolerance:
     return means.join(p, F.col(key) == F.col("_k")).select(F.col(key).cast("string").alias("name"), F.col("estimate").alias("observed"), "expected", (F.abs(F.col("estimate") - F.col("expected")) <= tolerance).alias("passed"))
 
 
+def check_published_ranking(means: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """`published(key, expected, tolerance, place)` against `means(key, estimate)`: figures within each row's tolerance, and
+    places from the top, or from the bottom where negative, among all groups that have an estimate.  A published group
+    without an estimate passes neither; a null place is not checked."""
+    have = means.where(F.col("estimate").isNotNull())  # a row for each group
+    place = lambda order: F.row_number().over(Window.orderBy(order, F.col(key)))
+    ranked = have.select(F.col(key).alias("_k"), "estimate", place(F.desc("estimate")).alias("_down"), F.negate(F.row_number().over(Window.orderBy("estimate", F.desc(key)))).alias("_up"))
+    both = published.join(ranked, F.col(key) == F.col("_k"), "left")
+    seen = F.when(F.col("place") < 0, F.col("_up")).when(F.col("place") > 0, F.col("_down"))
+    near = F.coalesce(F.abs(F.col("estimate") - F.col("expected")) <= F.col("tolerance"), F.lit(False))
+    return both.select(F.col(key).cast("string").alias("name"), F.col("estimate").alias("observed"), "expected", near.alias("passed"), "place", seen.alias("observed_place"), (F.col("place").isNull() | F.coalesce(seen == F.col("place"), F.lit(False))).alias("in_place"))
+
+
+def check_monotone(means: DataFrame, order: str, rising: bool = True, slack: float = 1e-9) -> DataFrame:
+    """(name, observed, expected, passed): each group's estimate against that of the group before it in `order`; the first, and
+    groups without an estimate, pass."""
+    have = means.where(F.col("estimate").isNotNull())  # a row for each group
+    before = F.lag("estimate").over(Window.orderBy(order))
+    step = (F.col("estimate") - before) if rising else (before - F.col("estimate"))
+    return have.select(F.col(order).cast("string").alias("name"), F.col("estimate").alias("observed"), before.alias("expected"), F.coalesce(step >= -slack, F.lit(True)).alias("passed"))
+
+
 def retention_report(df: DataFrame, country: str = "country_code") -> DataFrame:
     pct = lambda c: 100 * F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     n = lambda t: violations(F.col("midyear_type") == t).cast("long")
