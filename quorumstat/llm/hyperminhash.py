@@ -1,8 +1,8 @@
 """HyperMinHash near-duplicates: banded compressed registers, a corrected estimate, then full sets.
 
-The distinct shingles of a text fall into 128 buckets by seven bits of their hash.  A bucket's
+The distinct shingles of a text fall into 256 buckets by eight bits of their hash.  A bucket's
 register keeps the least of the remaining bits in floating form: leading zeros and ten
-bits of mantissa, 16 bits in all.  Four registers make a band's 64-bit key.  Pairs that
+bits of mantissa, 16 bits in all.  Six registers make a band, hashed to its key.  Pairs that
 share a band are held against a Jaccard estimate from all registers, corrected for
 registers that agree by chance, and what may reach the limit is confirmed on full sets.
 
@@ -10,12 +10,12 @@ Within a key all pairs would grow with its square.  First every member is held a
 member that has most neighbours over all keys, which is the common original where copies
 were edited one by one, and the best of these pairs by estimate is confirmed.  Keys whose
 members are then still in several components go on in rounds: each member offers its most
-similar partners of other components, one, then eight, and so on, until none has more to
+similar partners of other components, four, then 64, and so on, until none has more to
 offer.  So every pair that shares a band and may reach the limit is confirmed unless
 already connected, and no round emits all pairs.
 
-Two sets at the limit of 0.85 share no band once in 10^10 pairs, and fall below the estimate's
-bound, six standard deviations under the limit, once in 10^9.
+Two sets at the limit of 0.85 share no band once in 5 * 10^8 pairs, and fall below the
+estimate's bound, 5.5 standard deviations under the limit, once in 5 * 10^7.
 
 Edge cases: a null or wordless text has an empty set and is a component of its own; of a text
 with fewer words than a shingle the whole sequence is the one shingle; equal sets are one node; rows of one id
@@ -36,43 +36,49 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, shuffle_partitions, stored
 from .simhash import shingle_hashes, verified
 
-BUCKET_BITS, MANTISSA_BITS, BAND = 7, 10, 4
+BUCKET_BITS, MANTISSA_BITS, BAND = 8, 10, 6
 BUCKETS = 1 << BUCKET_BITS
-BANDS = BUCKETS // BAND
+#: The last band is shorter; registers are held with zeros up to its end.
+BANDS = -(-BUCKETS // BAND)
+WIDTH = BANDS * BAND
+BAND_MASK = (1 << BANDS.bit_length()) - 1
 REST_BITS = 64 - BUCKET_BITS
 #: Standard deviations that an estimate may fall short of the limit.
-SLACK = 6
+SLACK = 5.5
 #: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Partners a member offers in the first
-#: round, eight times as many in each further one.  Longest run of one key that is compared by shifts.
-BLOCK, OFFERS, SHORT = 2_000, 1, 64
+#: round, 16 times as many in each further one.  Longest run of one key that is compared by shifts.
+BLOCK, OFFERS, SHORT = 2_000, 4, 64
 #: Smaller sets have no other set within 0.85: 5 of 6 is less.
 LEAST = 6
 
 
 def registers(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """(n, BUCKETS) registers of `hashes`, each of the set `owner`: 0 for an empty bucket, else more for a lesser hash."""
+    """(n, WIDTH) registers of `hashes`, each of the set `owner`: 0 for an empty bucket, else more for a lesser hash."""
     bucket = (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
     fraction, exponent = np.frexp((hashes >> np.uint64(BUCKET_BITS)).astype(np.float64))
     zeros = np.minimum(REST_BITS - exponent, (1 << 16 - MANTISSA_BITS) - 2)
     mantissa = np.clip((2 * fraction - 1) * (1 << MANTISSA_BITS), 0, (1 << MANTISSA_BITS) - 1).astype(np.int64)
-    out = np.zeros(n * BUCKETS, np.uint16)
-    np.maximum.at(out, owner * BUCKETS + bucket, ((zeros + 1 << MANTISSA_BITS) | ((1 << MANTISSA_BITS) - 1 - mantissa)).astype(np.uint16))
-    return out.reshape(n, BUCKETS)
+    out = np.zeros(n * WIDTH, np.uint16)
+    np.maximum.at(out, owner * WIDTH + bucket, ((zeros + 1 << MANTISSA_BITS) | ((1 << MANTISSA_BITS) - 1 - mantissa)).astype(np.uint16))
+    return out.reshape(n, WIDTH)
 
 
 def band_keys(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every band that is not empty; the lowest bits of a key are the number of its band."""
-    packed = np.ascontiguousarray(found).view("<u8")
-    row, band = np.nonzero(packed)
-    x = packed[row, band] + band.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return row, (((x ^ (x >> np.uint64(32))) & ~np.uint64(BANDS - 1)) | band.astype(np.uint64)).view(np.int64)
+    wide = np.zeros((len(found), BANDS, 8), np.uint16)
+    wide[:, :, :BAND] = found.reshape(-1, BANDS, BAND)
+    low, high = np.moveaxis(wide.view("<u8"), -1, 0)
+    row, band = np.nonzero(low | high)
+    x = low[row, band] * np.uint64(0x9E3779B97F4A7C15) + (high[row, band] << np.uint64(8) | band.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return row, ((x & ~np.uint64(BAND_MASK)) | band.astype(np.uint64)).view(np.int64)
 
 
 def chance(n: np.ndarray) -> np.ndarray:
     """Share of the filled buckets of two disjoint sets of `n` shingles whose registers agree.
 
-    A bucket holds n / 128 of each set.  A register is (z, m) if the least of them falls in that cell of width
+    A bucket holds n / 256 of each set.  A register is (z, m) if the least of them falls in that cell of width
     2^-(z + 1) / 2^10, which has the odds e^(-k low) - e^(-k high) for k shingles a bucket.
     """
     per_bucket = np.atleast_1d(np.asarray(n, np.float64)) / BUCKETS
@@ -119,7 +125,7 @@ def sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: st
 
 
 def _rows_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, WIDTH)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +197,7 @@ def _offer(percent: int, most: int):
                 x, y = left[lo : lo + 4096], right[lo : lo + 4096]
                 rx, ry = regs[x], regs[y]
                 same = ((rx == ry).reshape(-1, BANDS, BAND).all(-1)) & ((rx != 0).reshape(-1, BANDS, BAND).any(-1))
-                first = same.argmax(-1) == (key[x] & (BANDS - 1))
+                first = same.argmax(-1) == (key[x] & BAND_MASK)
                 x, y, rx, ry = x[first], y[first], rx[first], ry[first]
                 estimate, near = plausible(rx, ry, n[x], n[y], percent)
                 found.append((x[near], y[near], estimate[near]))
@@ -256,7 +262,7 @@ def links(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85
         if not more.limit(1).count():
             return good
         keyed = cut(keyed.join(more, "key", "left_semi"))
-        judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 8
+        judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 16
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
