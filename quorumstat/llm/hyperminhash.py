@@ -9,9 +9,8 @@ registers that agree by chance, and what may reach the limit is confirmed on ful
 Within a key all pairs would grow with its square.  First every member is held against the
 member that has most neighbours over all keys, which is the common original where copies
 were edited one by one, and the best of these pairs by estimate is confirmed.  Keys whose
-members are then still in several components go on in rounds: each member offers its most
-similar partners of other components, four, then 64, and so on, until none has more to
-offer.  So every pair that shares a band and may reach the limit is confirmed unless
+members are then still in several components go on in rounds: each component offers its most
+similar pairs with others, four, then 64, and so on, until none has more to offer.  So every pair that shares a band and may reach the limit is confirmed unless
 already connected, and no round emits all pairs.
 
 Two sets at the limit of 0.85 share no band once in 5 * 10^8 pairs, and fall below the
@@ -45,7 +44,7 @@ BAND_MASK = (1 << BANDS.bit_length()) - 1
 REST_BITS = 64 - BUCKET_BITS
 #: Standard deviations that an estimate may fall short of the limit.
 SLACK = 5.5
-#: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Partners a member offers in the first
+#: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Pairs a component offers in the first
 #: round, 16 times as many in each further one.  Longest run of one key that is compared by shifts.
 BLOCK, OFFERS, SHORT = 2_000, 4, 64
 #: Smaller sets have no other set within 0.85: 5 of 6 is less.
@@ -84,7 +83,7 @@ def chance(n: np.ndarray) -> np.ndarray:
     per_bucket = np.atleast_1d(np.asarray(n, np.float64)) / BUCKETS
     zeros = np.arange((1 << 16 - MANTISSA_BITS) - 1)
     width = 2.0 ** -(zeros + 1.0) / (1 << MANTISSA_BITS)
-    low = 2.0 ** -(zeros[:, None] + 1.0) + np.arange(0, 1 << MANTISSA_BITS, 64)[None] * width[:, None]  # every 64th cell stands for its neighbours
+    low = 2.0 ** -(zeros[:, None] + 1.0) + np.arange(32, 1 << MANTISSA_BITS, 64)[None] * width[:, None]  # every 64th cell stands for its neighbours
     odds = [(((np.exp(-k * low) * -np.expm1(-k * width[:, None])) ** 2).sum() * 64) / -np.expm1(-2 * k) for k in np.maximum(per_bucket, 1e-9)]
     return np.minimum(np.array(odds), 0.5)
 
@@ -102,7 +101,10 @@ def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percen
     odds = np.interp(np.log2(np.maximum(np.maximum(n, m), 1)), np.log2(_SIZES), _CHANCE)
     estimate = (agree / either - odds) / (1 - odds)
     limit = percent / 100
-    near = estimate >= limit - SLACK * np.sqrt(limit * (1 - limit) / either)
+    # the filled buckets' least shingles are a sample, without replacement, of the shingles of both sets
+    union = np.maximum((n + m) / (1 + limit), either)
+    spread = np.sqrt(limit * (1 - limit) / either * (union - either) / np.maximum(union - 1, 1))
+    near = estimate >= limit - SLACK * spread - 2 / either
     return estimate, near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
@@ -174,9 +176,9 @@ def _candidates(deal: np.ndarray, component: np.ndarray, n: np.ndarray, side: np
 
 
 def _best(x: np.ndarray, y: np.ndarray, estimate: np.ndarray, most: int) -> np.ndarray:
-    """Whether each pair is among the `most` best of one of its ends."""
+    """Whether each pair is among the `most` best of one of its ends, x and y."""
     end, value = np.concatenate((x, y)), np.concatenate((estimate, estimate))
-    order = np.lexsort((np.concatenate((y, x)), -value, end))
+    order = np.lexsort((-value, end))
     starts = np.concatenate(([True], np.diff(end[order]) != 0))
     rank = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
     best = np.zeros(len(order), bool)
@@ -185,8 +187,8 @@ def _best(x: np.ndarray, y: np.ndarray, estimate: np.ndarray, most: int) -> np.n
 
 
 def _offer(percent: int, most: int):
-    """Per partition sorted by deal: pairs (a, b) of different components that are among the `most` best of an end in their
-    deal, in the first band they share only; and the keys (more) that hold further ones."""
+    """Per partition sorted by deal: pairs (a, b) of different components that are among the `most` best of one of the two
+    components in their deal, in the first band they share only; and the keys (more) that hold further ones."""
 
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
         deal, key, node, component, n, side = (rows.column(k).to_numpy() for k in range(6))
@@ -202,7 +204,10 @@ def _offer(percent: int, most: int):
                 estimate, near = plausible(rx, ry, n[x], n[y], percent)
                 found.append((x[near], y[near], estimate[near]))
         x, y, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
-        best = _best(x, y, estimate, most) if len(x) else np.empty(0, bool)
+        best = np.zeros(len(x), bool)
+        runs = np.split(np.argsort(deal[x], kind="stable"), np.flatnonzero(np.diff(np.sort(deal[x]))) + 1) if len(x) else []
+        for run in runs:
+            best[run] = len(run) <= most or _best(component[x[run]], component[y[run]], estimate[run], most)
         more = np.unique(key[x[~best]])
         a, b = node[x[best]], node[y[best]]
         cols = [pa.concat_arrays([pa.array(c), pa.nulls(len(more), pa.int64())]) for c in (np.minimum(a, b), np.maximum(a, b))]
