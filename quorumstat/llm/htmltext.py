@@ -3,11 +3,13 @@
 A tree builder with implied end tags places every start tag; hidden subtrees are dropped;
 the tree is rendered with blank lines around paragraphs, line breaks around other blocks,
 markers and indents for list items, and table cells padded to the width of their columns
-(wide characters count as two, spanning cells cover theirs).
+(wide characters count as two, spanning cells cover theirs).  A cell wider than MAX_COLUMN
+does not widen its column, nothing is padded beyond MAX_LEFT characters of a line, and lists
+are indented to MAX_INDENT: so the text of a page stays in proportion to the page.
 
 Edge cases: a null or empty page has empty text; unclosed, stray and misnested tags are
-repaired as by their nearest open ancestor; elements nested beyond MAX_DEPTH keep their
-visibility and begin lines where they are blocks, but are laid out as if at that depth; of
+repaired as by their nearest open ancestor; elements may be nested to any depth; of closed details only the
+summary shows; of
 a select the shown option is text; closed dialogs, and in drawings all but text elements,
 are hidden; below visibility: hidden only what is made visible again shows; very long pages
 are read whole; repeated rows give equal text; an empty table gives no rows; other columns
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 from unicodedata import combining, east_asian_width
 
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Levels of the tree, which is rendered by recursion.
-MAX_DEPTH = 200
+#: Characters: of a column that cells are padded to, of a line up to its last padded place, and of a list's indent.
+MAX_COLUMN, MAX_LEFT, MAX_INDENT = 40, 200, 80
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head template noscript title meta link iframe audio video canvas datalist annotation annotation-xml".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
@@ -59,13 +61,12 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """visible: what the element itself says of visibility, None if nothing.  drawing: inside svg, outside its text.
-    lent: a block whose contents stand in its parent."""
+    """visible: what the element itself says of visibility, None if nothing.  drawing: inside svg, outside its text."""
 
-    __slots__ = ("tag", "children", "hidden", "start", "attrs", "visible", "drawing", "lent")
+    __slots__ = ("tag", "children", "hidden", "start", "attrs", "visible", "drawing")
 
     def __init__(self, tag: str, hidden: bool = False, start: int = 1, attrs: dict | None = None, visible: bool | None = None):
-        self.tag, self.children, self.hidden, self.start, self.attrs, self.visible, self.drawing, self.lent = tag, [], hidden, start, attrs or {}, visible, False, False
+        self.tag, self.children, self.hidden, self.start, self.attrs, self.visible, self.drawing = tag, [], hidden, start, attrs or {}, visible, False
 
 
 class TreeBuilder(HTMLParser):
@@ -77,8 +78,6 @@ class TreeBuilder(HTMLParser):
     def _close(self, i: int) -> None:
         for n in self.open[i:]:
             self.count[n.tag] -= 1
-            if n.lent:
-                n.children.append(Node("div"))
         del self.open[i:]
 
     def _end(self, names: tuple[str, ...], barriers: tuple[str, ...]) -> None:
@@ -111,24 +110,15 @@ class TreeBuilder(HTMLParser):
         hidden = unseen or tag in HIDDEN or "hidden" in a or bool(_NO_SHOW.search(a.get("style") or ""))
         start = int(a["start"]) if tag == "ol" and (a.get("start") or "").lstrip("-").isdigit() and len(a["start"]) < 10 else 1
         said = _VISIBILITY.search(a.get("style") or "")
-        node = Node(tag, hidden, start, a if tag in ("select", "option", "td", "th", "li") else None, said and said[1].lower() == "visible")
+        node = Node(tag, hidden, start, a if tag in ("select", "option", "td", "th", "li", "details") else None, said and said[1].lower() == "visible")
         if tag not in VOID:
             self._push(node)
         else:
             self.open[-1].children.append(node)
 
     def _push(self, node: Node) -> None:
-        """Below MAX_DEPTH a visible element only lends its place to its contents; a hidden one keeps them."""
         parent = self.open[-1]
-        if len(self.open) < MAX_DEPTH or node.hidden:
-            parent.children.append(node)
-        elif node.visible is not None:
-            inner = Node("span", visible=node.visible)
-            parent.children.append(inner)
-            node.children = inner.children
-        else:
-            parent.children.append(Node("div" if node.tag in BLOCK else "span"))
-            node.children, node.lent = parent.children, node.tag in BLOCK
+        parent.children.append(node)
         node.drawing = node.tag == "svg" or parent.drawing and node.tag not in SVG_TEXT
         self.open.append(node)
         self.count[node.tag] += 1
@@ -161,7 +151,7 @@ class Page:
     """Lines being written: pending spaces and blank lines are only put out before more text."""
 
     def __init__(self):
-        self.lines, self.line, self.gap, self.space, self.indent, self.mark = [], [], 0, False, "", ""
+        self.lines, self.line, self.gap, self.space, self.indent, self.mark, self.depth = [], [], 0, False, "", "", 0
 
     def text(self, data: str, pre: bool) -> None:
         if pre:
@@ -199,9 +189,28 @@ class Page:
         self.gap = max(self.gap, int(spaced))
 
 
-def render(node: Node, page: Page, pre: bool = False, shown: bool = True) -> None:
+Step = Generator["Step", object, object]
+
+
+def _run(job: Step) -> object:
+    """Runs a generator that yields the generators it waits for: elements nested to any depth need no nested calls."""
+    stack, result = [job], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(result))
+            result = None
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
+def render(node: Node, page: Page, pre: bool = False, shown: bool = True) -> Step:
     number = node.start
-    for child in node.children:
+    children = node.children
+    if node.tag == "details" and "open" not in node.attrs:
+        children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+    for child in children:
         if isinstance(child, str):
             if shown:
                 page.text(child, pre)
@@ -215,13 +224,13 @@ def render(node: Node, page: Page, pre: bool = False, shown: bool = True) -> Non
         elif tag == "select":
             for option in _shown_options(child):
                 page.text(" ", False)
-                render(option, page, pre, here)
+                yield render(option, page, pre, here)
                 page.text(" ", False)
         elif tag == "textarea":
-            render(child, page, True, here)
+            yield render(child, page, True, here)
         elif tag == "table":
             page.block(True)
-            _table(child, page, here)
+            yield _table(child, page, here)
             page.block(True)
         elif tag == "li":
             page.block(False)
@@ -233,25 +242,31 @@ def render(node: Node, page: Page, pre: bool = False, shown: bool = True) -> Non
             number += 1
             page.mark = mark
             page.indent = outer
-            _item(child, page, outer, mark, pre, here)
+            yield _item(child, page, outer, mark, pre, here)
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dl") and node.tag in ("li", "dd")
             outer = page.indent
             page.block(tag in SPACED and not nested)
             if tag in ("blockquote", "dd"):
-                page.indent = outer + "  "
-            render(child, page, pre or tag == "pre", here)
+                page.indent = outer + "  " if len(outer) < MAX_INDENT else outer
+            yield render(child, page, pre or tag == "pre", here)
             page.block(tag in SPACED and not nested)
             page.indent = outer
         else:
-            render(child, page, pre, here)
+            yield render(child, page, pre, here)
 
 
-def _item(child: Node, page: Page, outer: str, mark: str, pre: bool, shown: bool) -> None:
+def _item(child: Node, page: Page, outer: str, mark: str, pre: bool, shown: bool) -> Step:
     """A list item: its first line carries the marker, the rest is indented to it."""
+    if page.depth >= MAX_INDENT // 2:  # no further indent: the item's lines stand as they are
+        page.mark = mark
+        yield render(child, page, pre, shown)
+        page.block(False)
+        return
     before = len(page.lines)
     render_into = Page()
-    render(child, render_into, pre, shown)
+    render_into.depth = page.depth + 1
+    yield render(child, render_into, pre, shown)
     render_into.br()
     lines = render_into.lines or [""]
     page.mark = ""
@@ -259,7 +274,8 @@ def _item(child: Node, page: Page, outer: str, mark: str, pre: bool, shown: bool
         if i or before >= 0:
             page.br()
         if text or not i:
-            page._put(("" if i else "") + ((mark if not i else " " * len(mark)) + text).rstrip())
+            room = " " * len(mark) if len(text) - len(text.lstrip(" ")) < MAX_INDENT else ""
+            page._put(((mark if not i else room) + text).rstrip())
             page.br()
         else:
             page.lines.append("")
@@ -305,6 +321,8 @@ def _rows(node: Node) -> Iterator[Node]:
 
 def _span(cell: Node | str, name: str) -> int:
     value = "" if isinstance(cell, str) else cell.attrs.get(name) or ""
+    if name == "rowspan" and value == "0":
+        return MAX_SPAN[name]  # down to the last row
     return min(MAX_SPAN[name], max(1, int(value))) if value.isdigit() and len(value) < 10 else 1
 
 
@@ -312,12 +330,12 @@ def _width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def _table(node: Node, page: Page, shown: bool) -> None:
+def _table(node: Node, page: Page, shown: bool) -> Step:
     """Cells rendered on their own and placed at their columns, which are as wide as their cells of one column, or wider
     at the end of a cell of several; what is not in a row comes before the rows."""
     rest = Node("div")
     rest.children = list(_loose(node))
-    render(rest, page, False, shown)
+    yield render(rest, page, False, shown)
     page.br()
     grid, below = [], {}  # below: rows that a column is still taken for
     for row in _rows(node):
@@ -329,7 +347,7 @@ def _table(node: Node, page: Page, shown: bool) -> None:
                 continue
             while below.get(at, 0):
                 at += 1
-            lines = ([_SPACE.sub(" ", c).strip()] if seen else [""]) if isinstance(c, str) else _lines(c, seen if c.visible is None else c.visible)
+            lines = ([_SPACE.sub(" ", c).strip()] if seen else [""]) if isinstance(c, str) else (yield _lines(c, seen if c.visible is None else c.visible))
             span = _span(c, "colspan")
             cells.append((at, span, lines))
             if _span(c, "rowspan") > 1:
@@ -341,30 +359,31 @@ def _table(node: Node, page: Page, shown: bool) -> None:
     for cells in grid:
         for at, span, lines in cells:
             if span == 1:
-                widths[at] = max(widths[at], *map(_width, lines), 0)
+                widths[at] = max(widths[at], *(min(MAX_COLUMN, _width(x)) for x in lines), 0)
     for cells in grid:
         for at, span, lines in cells:
             if span > 1:
-                lack = max(map(_width, lines), default=0) - sum(widths[i] + 2 for i in range(at, at + span)) + 2
+                lack = min(MAX_COLUMN, max(map(_width, lines), default=0)) - sum(widths[i] + 2 for i in range(at, at + span)) + 2
                 widths[at + span - 1] += max(0, lack)
     edge, left = [0], 0
     for i in range(max(widths, default=-1) + 1):
         left += widths[i] + 2
-        edge.append(left)
+        edge.append(min(left, MAX_LEFT))
     for cells in grid:
         for i in range(max((len(lines) for _, _, lines in cells), default=0)):
             line, filled = "", 0
             for at, _, lines in cells:
                 if i < len(lines) and lines[i]:
-                    line += " " * (edge[min(at, len(edge) - 1)] - filled) + lines[i]
-                    filled = edge[min(at, len(edge) - 1)] + _width(lines[i])
+                    room = max(edge[min(at, len(edge) - 1)] - filled, 2 if line else 0)
+                    line += " " * room + lines[i]
+                    filled += room + _width(lines[i])
             page._put(line.rstrip() or " ")
             page.br()
 
 
-def _lines(node: Node, shown: bool = True) -> list[str]:
+def _lines(node: Node, shown: bool = True) -> Step:
     page = Page()
-    render(node, page, False, shown)
+    yield render(node, page, False, shown)
     page.br()
     return page.lines
 
@@ -373,7 +392,7 @@ def visible_text(html: str) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return "\n".join(_lines(builder.root)).strip("\n")
+    return "\n".join(_run(_lines(builder.root))).strip("\n")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -302,3 +302,19 @@ def test_pipeline(spark, docs, tmp_path):
         at = nxt
     assert "24be6443" not in at.where("doc_id = 13").first()["text"]
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_html_stays_in_proportion():
+    """Wide cells, spans and nesting give text of a small multiple of the page's size, without losing any."""
+    visible_text = htmltext.visible_text
+    wide = "<table><tr><td>" + "x" * 20_000 + "<td>y" + "<tr><td>a<td>b" * 2_000 + "</table>"
+    text = visible_text(wide)
+    assert len(text) < 3 * len(wide) and "x" * 20_000 + "  y" in text and text.count("a" + " " * 41 + "b") == 2_000
+    spans = "<table>" + "<tr><td colspan=1000>a<td>b" * 1_000
+    assert len(visible_text(spans)) < 10 * len(spans)
+    assert visible_text("<div>" * 205 + "<ul><li>a<li>b") == "* a\n* b"
+    assert visible_text("<div>" * 50_000 + "deep<p>er").split() == ["deep", "er"]
+    lists = visible_text("<ul><li>a" * 3_000)
+    assert lists.count("* a") == 3_000 and len(lists) < 3_000 * 100
+    assert visible_text("<details><summary>S</summary>closed</details><details open><summary>T</summary>open</details>") == "S\nT\nopen"
+    assert visible_text("<table><tr><td rowspan=0>A<td>1<tr><td>2<tr><td>3</table>") == "A  1\n   2\n   3"
