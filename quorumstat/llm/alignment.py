@@ -2,7 +2,9 @@
 
 Both tokenizers see the same bytes.  Running lengths of their tokens give two dictionaries
 from end to index; the keys they share, sorted, cut both id lists into groups, and the
-tokens of a group that end with it are linked.
+tokens of a group that end with it are linked.  No token of either vocabulary reaches across
+the place before a space that follows another character, so a text is aligned in segments
+cut there, and a task aligns each different segment once.
 
 How often a pair of ids is linked over the whole corpus is summed from counts of blocks of
 documents.  A document's links are kept as places in its block's list of distinct pairs, so
@@ -20,6 +22,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ FOLDER = "/opt/tokenizers"
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that share one list of pairs; a longer document is a block of its own.
 BLOCK = 8 << 20
-#: Bytes of text encoded at once, and the least length of a part that a longer text is cut into.
-SLICE, PART = 1 << 20, 1 << 16
+#: Bytes of text taken at once, and what a task remembers: so many segments of at most so many characters.
+SLICE, KNOWN, LONGEST = 1 << 20, 300_000, 200
 _DOC = "struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,places:array<int>,times:array<int>>"
 
 
@@ -46,16 +49,16 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(c): b for c, b in [*zip(shown, shown, strict=True), *((0x100 + i, b) for i, b in enumerate(hidden))]}
 
 
-def _parts(text: str) -> list[str]:
-    """The text in parts that begin with a space after another character.  No token of either vocabulary reaches across
-    such a place, so the parts' tokens are those of the whole."""
-    if len(text) <= 2 * PART:
-        return [text]
-    cuts, at = [0], PART
-    while (found := re.compile(r"(?<=\S) (?=\S)").search(text, at)) is not None:
-        cuts.append(found.start())
-        at = found.start() + PART
-    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+_CUT = re.compile(r"(?s)(?<=\S)(?= .)")
+
+
+def segments(text: str) -> list[str]:
+    """A space and the text in parts that begin with a space between two other characters, or before more spaces; each is given without its first
+    space."""
+    found = text.split(" ")
+    if "" in found or any(f[-1].isspace() for f in found):
+        found = [f[1:] for f in _CUT.split(" " + text)]
+    return found
 
 
 class ByteLevel:
@@ -67,14 +70,13 @@ class ByteLevel:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        #: Its pattern ends every match before a space that follows another character.
-        self.apart = True
         alphabet = _byte_alphabet()
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             self.bytes[number] = bytes(map(alphabet.get, token)) if all(c in alphabet for c in token) else token.encode()
+        self.sizes = np.array(list(map(len, self.bytes)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,24 +90,21 @@ class Pieces:
 
         self.model = SentencePieceProcessor(model_file=path)
         self.bytes = []
-        #: Whether no piece goes on with a space after another character, so that texts may be cut before such spaces.
-        self.apart = not any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(self.model.vocab_size()))
+        if any(re.search("[^▁]▁", self.model.id_to_piece(i)) for i in range(self.model.vocab_size())):
+            raise ValueError("texts are cut before spaces, but a piece goes on with a space after another character")
         for number in range(self.model.vocab_size()):
             piece = self.model.id_to_piece(number)
             coded = re.fullmatch(r"<0x([0-9A-F]{2})>", piece) if self.model.is_byte(number) else None
             self.bytes.append(bytes([int(coded[1], 16)]) if coded else piece.replace("▁", " ").encode())
+        self.sizes = np.array(list(map(len, self.bytes)))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
-def _ends(ids: list[int], spelled: list[bytes]) -> list[int]:
-    return np.cumsum(np.fromiter((len(spelled[i]) for i in ids), np.int64, len(ids))).tolist()
-
-
 def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
     """Ends (exclusive places in a and b) of each group, and the linked ids: one list for each side."""
-    a_ends, b_ends = _ends(a, a_bytes), _ends(b, b_bytes)
+    a_ends, b_ends = list(accumulate([len(a_bytes[i]) for i in a])), list(accumulate([len(b_bytes[i]) for i in b]))
     a_at, b_at = dict(zip(a_ends, range(1, len(a) + 1), strict=True)), dict(zip(b_ends, range(1, len(b) + 1), strict=True))
     groups = [(a_at[e], b_at[e]) for e in sorted(a_at.keys() & b_at.keys())]
     if len(a_at) == len(a) and len(b_at) == len(b):
@@ -121,37 +120,91 @@ def align(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]
     return groups, left, right
 
 
-def spell(groups: list[tuple[int, int]], a: list[int], b: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3`."""
+def spell(groups: list[tuple[int, int]], a: list[int], b: list[int]) -> list[str]:
+    """`a1,a2|b1`, `a3|b2,b3`: the ids of each group."""
     x, y, i, j, out = list(map(str, a)), list(map(str, b)), 0, 0, []
     for p, q in groups:
         out.append(f"{x[i]}|{y[j]}" if p == i + 1 and q == j + 1 else f"{','.join(x[i:p])}|{','.join(y[j:q])}")
         i, j = p, q
-    return ";".join(out)
-
-
-def _encoded(texts: list[str], model) -> list[list[int]]:
-    """Ids of a space and each text; long texts go through in parts."""
-    parts = [_parts(" " + t) if model.apart else [" " + t] for t in texts]
-    ids = iter(model.encode([p for ps in parts for p in ps]))
-    return [[i for _ in ps for i in next(ids)] for ps in parts]
-
-
-def _aligned(texts: list[bytes | None], first: ByteLevel, second: Pieces) -> Iterator[tuple]:
-    """(n_a, n_b, n_groups, sha, linked a, linked b) of each text."""
-    known = []
-    for t in texts:
-        try:
-            known.append((t or b"").decode())
-        except UnicodeDecodeError:
-            known.append("")
-    for t, a, b in zip(known, _encoded(known, first), _encoded(known, second), strict=True):
-        whole = b" " + t.encode()
-        if not t or b"".join([first.bytes[i] for i in a]) != whole or b"".join([second.bytes[i] for i in b]) != whole:
-            yield 0, 0, 0, "", [], []
-            continue
-        groups, left, right = align(a, b, first.bytes, second.bytes)
-        yield len(a), len(b), len(groups), hashlib.sha256(spell(groups, a, b).encode()).hexdigest(), left, right
+    return out
+
+
+class Segments:
+    """Alignments of the segments met so far: numbers of tokens, groups and links, the groups' text, and linked pairs."""
+
+    def __init__(self, first: ByteLevel, second: Pieces) -> None:
+        self.first, self.second = first, second
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.text: list[str] = []
+        #: Tokens of both sides, groups, and whether the tokens spell the segment; links, and where they begin in `codes`.
+        self.counts, self.size, self.start, self.codes = np.empty((0, 4), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def learn(self, fresh: list[str]) -> None:
+        """Aligns segments as one text after another: the groups of a run of segments are those of each."""
+        whole = [" " + f for f in fresh]
+        coded, firsts, seconds = [w.encode() for w in whole], self.first.encode(whole), self.second.encode(whole)
+        spelled = [self._spells(coded, firsts, self.first), self._spells(coded, seconds, self.second)]
+        good = spelled[0] & spelled[1]
+        runs = [np.flatnonzero(good)]
+        if not (self.first.sizes[[i for a in firsts for i in a]] > 0).all() or not (self.second.sizes[[i for b in seconds for i in b]] > 0).all():
+            runs = [np.array([k]) for k in runs[0]]  # tokens without bytes end with those before them, in another segment too
+        text, counts, links = [""] * len(fresh), np.zeros((len(fresh), 4), np.int64), [np.empty(0, np.int64)] * len(fresh)
+        for run in runs:
+            a, b = [i for k in run for i in firsts[k]], [i for k in run for i in seconds[k]]
+            groups, x, y = align(a, b, self.first.bytes, self.second.bytes)
+            parts = spell(groups, a, b)
+            n_a, n_b = np.array([len(firsts[k]) for k in run]), np.array([len(seconds[k]) for k in run])
+            ends = np.searchsorted(np.array([i for i, _ in groups]), np.cumsum(n_a), "left") + 1 if len(run) > 1 else np.array([len(groups)] * len(run))
+            begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+            codes = np.array(x, np.int64) << 32 | np.array(y, np.int64)
+            for k, lo, hi in zip(run.tolist(), begins.tolist(), ends.tolist(), strict=True):
+                text[k], links[k] = ";".join(parts[lo:hi]), codes[lo:hi] if len(run) > 1 else codes
+            counts[run] = np.stack((n_a, n_b, ends - begins, np.ones(len(run), np.int64)), 1)
+        self.place |= dict(zip(fresh, range(len(self.text), len(self.text) + len(fresh)), strict=True))
+        self.text += text
+        size = np.array(list(map(len, links)), np.int64)
+        self.start = np.concatenate((self.start, len(self.codes) + np.cumsum(size) - size))
+        self.size, self.counts, self.codes = np.concatenate((self.size, size)), np.concatenate((self.counts, counts)), np.concatenate((self.codes, *links))
+
+    @staticmethod
+    def _spells(coded: list[bytes], ids: list[list[int]], model: ByteLevel | Pieces) -> np.ndarray:
+        """Whether each segment is what its tokens spell."""
+        if not coded:
+            return np.ones(0, bool)
+        flat, n = model.sizes[[i for each in ids for i in each]], np.array(list(map(len, ids)))
+        upto = np.concatenate(([0], np.cumsum(flat)))[np.concatenate(([0], np.cumsum(n)))]
+        if b"".join([model.bytes[i] for each in ids for i in each]) == b"".join(coded) and (np.diff(upto) == list(map(len, coded))).all():
+            return np.ones(len(coded), bool)
+        return np.array([b"".join([model.bytes[i] for i in each]) == c for each, c in zip(ids, coded, strict=True)])
+
+    def documents(self, texts: list[bytes | None]) -> Iterator[tuple]:
+        """(n_a, n_b, n_groups, sha, codes of links) of each text."""
+        if len(self.text) > KNOWN or sum(map(len, self.place)) > KNOWN * LONGEST:
+            self.forget()
+        parts = []
+        for t in texts:
+            try:
+                parts.append(segments(t.decode()) if t else [])
+            except UnicodeDecodeError:
+                parts.append([])
+        fresh = {f for p in parts for f in p} - self.place.keys()
+        self.learn(sorted(fresh))
+        for p in parts:
+            at = [self.place[f] for f in p]
+            own = self.counts[at]
+            if not len(p) or not own[:, 3].all():
+                yield 0, 0, 0, "", np.empty(0, np.int64)
+                continue
+            n_a, n_b, n_groups, _ = own.sum(0).tolist()
+            length = self.size[at]
+            codes = self.codes[np.repeat(self.start[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+            yield n_a, n_b, n_groups, hashlib.sha256(";".join([self.text[i] for i in at]).encode()).hexdigest(), codes
+        for f in fresh:
+            if len(f) > LONGEST:
+                del self.place[f]
 
 
 def blocks(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: str = SECOND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +213,7 @@ def blocks(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: st
     schema = f"block long, pair array<long>, n array<long>, docs array<{_DOC}>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = ByteLevel(os.path.join(folder, first)), Pieces(os.path.join(folder, second))
+        known = Segments(ByteLevel(os.path.join(folder, first)), Pieces(os.path.join(folder, second)))
         task, rows, codes, size, done = TaskContext.get().partitionId(), [], [], 0, 0
 
         def block() -> pa.RecordBatch:
@@ -176,9 +229,9 @@ def blocks(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: st
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["block", "pair", "n", "docs"])
 
         def taken(ids: list, texts: list) -> None:
-            for number, (n_a, n_b, n_groups, sha, left, right) in zip(ids, _aligned(texts, one, two), strict=True):
-                rows.append({"doc_id": number, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": len(left), "groups_sha256": sha})
-                codes.append(np.array(left, np.int64) << 32 | np.array(right, np.int64))
+            for number, (n_a, n_b, n_groups, sha, links) in zip(ids, known.documents(texts), strict=True):
+                rows.append({"doc_id": number, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": len(links), "groups_sha256": sha})
+                codes.append(links)
 
         for batch in batches:
             lo, ids = 0, batch.column(0).to_pylist()

@@ -118,8 +118,9 @@ def test_alignment_query(spark):
 
 def test_alignment_edges(spark, docs, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 20_000)
-    monkeypatch.setattr(alignment, "PART", 2_000)
-    odd = [None, "", " ", "  a▁b", "<s> x<|endoftext|> \x00 é𝄞\n\n\tz  ", "ﬁ ｆｕｌｌ é " * 2000, "w0rd, w'll \x1c x " * 2000, "<0x41> <unk>", "same", "same"]
+    monkeypatch.setattr(alignment, "SLICE", 10_000)
+    monkeypatch.setattr(alignment, "KNOWN", 50)
+    odd = [None, "", " ", "  a▁b", "<s> x<|endoftext|> \x00 é𝄞\n\n\tz  ", "ﬁ ｆｕｌｌ é " * 2000, "w0rd, w'll \x1c x " * 2000, "<0x41> <unk>", "same", "same", " lead  two   three\n four \t five \x85 six\xa0 \xa0seven\u2003 eight\u3000 ", "x" * 5000 + "  " + "y" * 3000 + " \x1c z"]
     rows = [(100 + k, t) for k, t in enumerate(odd)] + [(None, "no id")]
     both = docs.select("doc_id", "text", "fp").unionByName(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'n' fp")).repartition(3)
     expected = brute_alignments([(r["doc_id"], r["text"]) for r in both.collect()])
@@ -135,7 +136,7 @@ def test_alignment_without_bytes():
     """Tokens that spell nothing end where the one before them does."""
     groups, a, b = alignment.align([1, 0, 2], [1, 2, 0, 0], [b"", b"x", b"y"], [b"", b"x", b"y"])
     assert groups == [(2, 1), (3, 4)] and list(zip(a, b, strict=True)) == [(1, 1), (0, 1), (2, 2), (2, 0), (2, 0)]
-    assert alignment.spell(groups, [1, 0, 2], [1, 2, 0, 0]) == "1,0|1;2|2,0,0"
+    assert alignment.spell(groups, [1, 0, 2], [1, 2, 0, 0]) == ["1,0|1", "2|2,0,0"]
 
 
 def brute_near(rows, percent=85):
