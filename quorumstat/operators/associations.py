@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, finalize, grid, group_records, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
+from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, finalize, grid, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
+from .core import _variance
 from .estimators import all_of, indicator, means, observed_levels, weighted_quantile
 
 # Functions sent to Python workers carry their code, so executors need not have this package installed.
@@ -197,18 +198,11 @@ def cross_tab(frame: DataFrame, x: str, y: str, design: Design = Design(), x_lev
         moments = frame.agg(*_moments(design.weight, x, y))
     else:
         w = F.col(design.weight).cast("double")
-        sums = frame.groupBy(F.col(x).alias("vx"), F.col(y).alias("vy"), F.col(design.strata).alias("_strata"), F.col(design.psu).alias("_psu")).agg(F.sum(w).alias("sw"), F.count("*").alias("n"))
-        there = F.when(F.col("vx").isNotNull() & F.col("vy").isNotNull(), F.struct("vx", "vy", "sw", "n"))
-        units = kept(sums.groupBy("_strata", "_psu").agg(F.collect_list(there).alias("held")))
-        total = lambda rows, of: F.aggregate(rows, F.lit(0.0), lambda acc, h: acc + h[of])
-        cell = F.col("of") == "cell"
-        among, at = F.filter("held", lambda h: ~cell | (h["vx"] == F.col("x"))), F.filter("held", lambda h: (h["vx"] == F.col("x")) & (~cell | (h["vy"] == F.col("y"))))
-        table = F.inline(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, item, strict=True)]) for item in items]))
-        each = units.select("_strata", "_psu", "held", table)
-        each = each.select(*keys, "_strata", "_psu", total(among, "sw").alias("sw"), total(at, "sw").alias("swy"), total(among, "n").cast("long").alias("n"), total(at, "n").cast("long").alias("one"))
-        counts = units.groupBy("_strata").agg(F.countDistinct("_psu").alias("nh"))
-        every = kept(finalize(group_records(each, counts, keys, F.lit(True)), keys, "proportion", design, policy, share=True, all_rows=grid(frame, [], [tuple(zip(keys, i, strict=True)) for i in items])))
-        pairs = units.select(F.inline("held")).groupBy("vx", "vy").agg(F.sum("sw").alias("sw"), F.sum("n").alias("n"))
+        sums = kept(frame.groupBy(F.col(x).alias("vx"), F.col(y).alias("vy"), F.col(design.strata).alias("_strata"), F.col(design.psu).alias("_psu")).agg(F.sum(w).alias("sw"), F.count("*").alias("n")))
+        both = sums.where("vx is not null and vy is not null")
+        recs = _share_records(both, unit_counts_of(sums), x_levels, y_levels)
+        every = kept(finalize(recs, keys, "proportion", design, policy, share=True, all_rows=grid(frame, [], [tuple(zip(keys, i, strict=True)) for i in items])))
+        pairs = both.groupBy("vx", "vy").agg(F.sum("sw").alias("sw"), F.sum("n").alias("n"))
         vx, vy, s = F.col("vx").cast("double"), F.col("vy").cast("double"), lambda e: F.sum(F.col("sw") * e)
         moments = pairs.agg(
             F.sum("sw").alias("sw"), s(vx).alias("sx"), s(vy).alias("sy"), s(vx * vx).alias("sxx"), s(vy * vy).alias("syy"), s(vx * vy).alias("sxy"), F.sum("n").alias("n"),
@@ -220,6 +214,41 @@ def cross_tab(frame: DataFrame, x: str, y: str, design: Design = Design(), x_lev
     return out.withColumns({"thin_cell": F.col("n") < policy.flag_below, "thin_column": F.col("column_n") < column_flag})
 
 
+def unit_counts_of(sums: DataFrame) -> DataFrame:
+    """(_strata, nh): sampling units of each stratum of a table that holds every unit of the frame."""
+    return sums.groupBy("_strata").agg(F.countDistinct("_psu").alias("nh"))
+
+
+def _share_records(cells: DataFrame, counts: DataFrame, x_levels: list, y_levels: list) -> DataFrame:
+    """Records of the shares of y within x, and of x among all, from `cells(vx, vy, _strata, _psu, sw, n)`.
+
+    A unit's score is (a - p b) / W for its weight a at the level and b in the domain.  The sums of scores and of their
+    squares by stratum follow from those of a, b, aa, ab and bb, and units without anybody at the level add to b and bb
+    only, so no row is made for them.
+    """
+    keys = ["x", "y", "of"]
+    in_x, in_all = W.partitionBy("vx", "_strata", "_psu"), W.partitionBy("_strata", "_psu")
+    placed = cells.withColumns({"bx": F.sum("sw").over(in_x)})
+    units_x = kept(cells.groupBy("vx", "_strata", "_psu").agg(F.sum("sw").alias("a"), F.sum("n").alias("n")).withColumns({"b": F.sum("a").over(in_all), "nb": F.sum("n").over(in_all)}))
+    level = lambda a, b: [F.sum(F.col(a) * F.col(a)).alias("aa"), F.sum(F.col(a) * F.col(b)).alias("ab"), F.sum(a).alias("a"), F.sum("n").alias("one")]
+    domain = lambda b: [F.sum(F.col(b) * F.col(b)).alias("bb"), F.sum(b).alias("b"), F.count("*").alias("seen"), F.sum("n").alias("n")]
+    each = lambda levels: F.explode(F.array(*map(F.lit, levels)))
+    of_cell = units_x.groupBy(F.col("vx").alias("x"), "_strata").agg(*domain("a")).select("x", "_strata", "bb", "b", "seen", "n", each(y_levels).alias("y"))
+    of_cell = match(of_cell, placed.groupBy(F.col("vx").alias("x"), F.col("vy").alias("y"), "_strata").agg(*level("sw", "bx")), ["x", "y", "_strata"], "left").withColumn("of", F.lit("cell"))
+    whole = units_x.groupBy("_strata", "_psu").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
+    of_column = whole.groupBy("_strata").agg(*domain("a")).select("_strata", "bb", "b", "seen", "n", each(x_levels).alias("x"))
+    of_column = match(of_column, units_x.groupBy(F.col("vx").alias("x"), "_strata").agg(*level("a", "b")), ["x", "_strata"], "left").withColumns({"of": F.lit("column"), "y": F.lit(y_levels[0])})
+    strata = of_cell.select(*keys, "_strata", "aa", "ab", "a", "bb", "b", "seen", "n", "one").unionByName(of_column.select(*keys, "_strata", "aa", "ab", "a", "bb", "b", "seen", "n", "one"))
+    strata = strata.fillna(0, ["aa", "ab", "a", "one"])
+    group = W.partitionBy(*keys)
+    total = {f"all_{c}": F.sum(c).over(group) for c in ("a", "b", "n", "one")}
+    p, w = F.col("all_a") / F.col("all_b"), F.col("all_b")
+    scored = kept(strata.withColumns(total).withColumns({"p": p, "squares": (F.col("aa") - 2 * p * F.col("ab") + p * p * F.col("bb")) / (w * w), "score": (F.col("a") - p * F.col("b")) / w}))
+    g = scored.groupBy(*keys).agg(F.max("p").alias("estimate"), F.max("all_n").alias("n"), F.max("all_one").alias("one"), F.max("all_b").alias("sum_w"))
+    out = match(g, _variance(match(scored.select(*keys, "_strata", "squares", "score", "seen"), counts, ["_strata"]), keys), keys, "left")
+    return out.select(*keys, "estimate", F.sqrt(F.greatest("var", F.lit(0.0))).alias("se"), "n", "one", "sum_w", "n_psu", "n_strata", (F.col("n_psu") - F.col("n_strata")).alias("df"))
+
+
 def axis_bins(frame: DataFrame, value: str, design: Design = Design(), most: int = 10) -> DataFrame:
     """`frame` with bin and bin_label: integer-wide bins between the weighted 1st and 99th percentiles, tails folded in."""
     lo, hi = (r["estimate"] for r in weighted_quantile(frame, value, design, (0.01, 0.99), policy=NO_SUPPRESSION).orderBy("p").collect())
