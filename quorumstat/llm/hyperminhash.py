@@ -10,7 +10,7 @@ Within a key all pairs would grow with its square.  First every member is held a
 member that has most neighbours over all keys, which is the common original where copies
 were edited one by one, and the best of these pairs by estimate is confirmed.  Keys whose
 members are then still in several components go on in rounds: each component offers its most
-similar pairs with others, four, then 64, and so on, until none has more to offer.  So every pair that shares a band and may reach the limit is confirmed unless
+similar pairs with others, 16, then 1,024, and so on, until none has more to offer.  So every pair that shares a band and may reach the limit is confirmed unless
 already connected, and no round emits all pairs.
 
 Two sets at the limit of 0.85 share no band once in 5 * 10^8 pairs, and fall below the
@@ -45,8 +45,8 @@ REST_BITS = 64 - BUCKET_BITS
 #: Standard deviations that an estimate may fall short of the limit.
 SLACK = 5.5
 #: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Pairs a component offers in the first
-#: round, 16 times as many in each further one.  Longest run of one key that is compared by shifts.
-BLOCK, OFFERS, SHORT = 2_000, 4, 64
+#: round, 64 times as many in each further one.  Longest run of one key that is compared by shifts.
+BLOCK, OFFERS, SHORT = 2_000, 16, 64
 #: Smaller sets have no other set within 0.85: 5 of 6 is less.
 LEAST = 6
 
@@ -243,9 +243,9 @@ def _offers(keyed: DataFrame, nodes: DataFrame, components: DataFrame, percent:
     return even.mapInArrow(_offer(percent, most), "a long, b long, more long")
 
 
-def links(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85, block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
-    """Links (a, b) between nodes of `found(node, n, registers)` whose texts in `rows(doc_id, text)` have a Jaccard index of
-    `percent` or more; every two such nodes are connected by them, not all pairs are returned."""
+def components_of(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85, block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
+    """(node, component) of those nodes of `found(node, n, registers)` that have links: texts in `rows(doc_id, text)` whose
+    Jaccard index is `percent` or more."""
     nodes = found.where(F.col("n") >= LEAST)
     every = nodes.select("node", "registers").mapInArrow(_keyed, "key long, node long")
     shared = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
@@ -255,19 +255,20 @@ def links(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85
     centre = ranked.groupBy("key").agg(F.max_by("node", F.struct("neighbours", F.negate("node"))).alias("centre"))
     stars = keyed.select("key", "node").join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     best = cut(_estimated(stars, nodes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", F.negate("a"))).alias("a")))
-    good, judged = verified(best, rows, shingle, percent), best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    found_so_far, judged = connected_components(verified(best, rows, shingle, percent)), best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     keyed = keyed.select("key", "node")
     while True:
-        found_so_far = connected_components(good)
         components = nodes.select("node").join(found_so_far, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
         new = cut(_offers(keyed, nodes, components, percent, offers, block))
         fresh = new.where("a is not null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
-        good = cut(good.unionByName(verified(fresh, rows, shingle, percent)))
+        good = verified(fresh, rows, shingle, percent)
+        if good.limit(1).count():  # what is connected so far counts as links to its component
+            found_so_far = connected_components(good.unionByName(found_so_far.toDF("a", "b")))
         more = new.where("more is not null").select(F.col("more").alias("key")).distinct()
         if not more.limit(1).count():
-            return good
+            return found_so_far
         keyed = cut(keyed.join(more, "key", "left_semi"))
-        judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 16
+        judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 64
 
 
 def near_components(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
@@ -278,7 +279,7 @@ def near_components(docs: DataFrame, shingle: int = 5, percent: int = 85, id_col
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = stored(sets(docs, shingle, id_col, text_col))
     distinct = cut(found.where("n > 0 and doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("registers").alias("registers")))
-    components = connected_components(links(distinct.select("node", "n", "registers"), rows, shingle, percent, block, offers))
+    components = components_of(distinct.select("node", "n", "registers"), rows, shingle, percent, block, offers)
     of_set = distinct.select("d0", "d1", "node").join(components, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     out = found.select("doc_id", "d0", "d1", "n").join(of_set, ["d0", "d1"], "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
