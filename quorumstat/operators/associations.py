@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, design_counts, finalize, grid, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
-from .core import _variance
+from .core import NO_SUPPRESSION, SERVING_POLICY, Design, Item, Policy, _variance, design_counts, finalize, grid, kept, match, prefix_sums, rewritten, suppress_small_cells, taylor_variance
 from .estimators import all_of, indicator, means, observed_levels, weighted_quantile
 
 # Functions sent to Python workers carry their code, so executors need not have this package installed.
