@@ -254,6 +254,21 @@ def test_overlaps_equal_the_walk(spark):
         assert {r.predictor: r.kept_instead for r in A.drop_overlaps(df, limit).collect()} == walk(rows, limit or 10**6)
 
 
+def test_overlaps_compute_their_ranks_once(spark):
+    """The ranks may come from a join of all rows, so the steps of the walk read them from a table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [("p1", 1, 3, False, ["a"]), ("p2", 2, 5, False, ["a", "b"]), ("p3", 3, 9, False, ["b"])]
+    schema = "predictor string, rank int, n_answers int, is_binary boolean, components array<string>"
+    got = A.drop_overlaps(spark.createDataFrame(rows, schema).mapInPandas(count, schema)).collect()
+    assert {r.predictor: r.kept_instead for r in got} == {"p1": "p3", "p2": "p3", "p3": None} and seen.value == 3
+
+
 def test_policy_is_monotone():
     p = Policy()
     assert p.threshold < p.flag_below
