@@ -378,3 +378,29 @@ def test_slices_join_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     with pytest.raises(ValueError):
         tables.frame("p", "Y1", "p")
+
+
+def test_regression_cells_do_not_tell_units_apart(spark, monkeypatch):
+    """What a regression aggregates of its rows is by answers, and by sampling units, never by both: that would be the rows."""
+    seen = []
+    keep = A.kept
+    monkeypatch.setattr(A, "kept", lambda df: seen.append(keep(df)) or seen[-1])
+    rows = [(p % 2, p % 4, p, 1.0 + p % 3, float((p + i) % 5), i % 3, i % 2) for p in range(200) for i in range(6)]
+    f = spark.createDataFrame(rows, "g int, strata int, psu int, w double, y double, x int, k int")
+    got = {(r["g"], r["measure"]): r for r in A.adjusted_association(f, "y", "x", ["k"], Design(), ["g"]).collect()}
+    assert seen[0].count() <= 2 * 5 * 3 * 2 and not {"_strata", "_psu"} & {c for df in seen for c in df.columns}
+    for g in (0, 1):
+        part = [r for r in rows if r[0] == g]
+        w, y = np.array([r[3] for r in part]), np.array([r[4] for r in part])
+        z = np.array([(1.0, r[6], r[5]) for r in part])
+        inverse = np.linalg.inv(z.T @ (z * w[:, None]))
+        beta = inverse @ z.T @ (w * y)
+        scores = (z @ inverse[-1]) * w * (y - z @ beta)
+        unit = {}
+        for r, v in zip(part, scores, strict=True):
+            unit[r[1], r[2]] = unit.get((r[1], r[2]), 0.0) + v
+        variance = 0.0
+        for s in {s for s, _ in unit}:
+            v = np.array([v for (t, _), v in unit.items() if t == s])
+            variance += len(v) / (len(v) - 1) * ((v**2).sum() - v.sum() ** 2 / len(v))
+        assert close(got[g, "beta"].estimate, beta[-1], 1e-9) and close(got[g, "beta"].se, math.sqrt(variance), 1e-9) and got[g, "beta"].n_psu == 100
