@@ -8,7 +8,8 @@ registers that agree by chance, and what may reach the limit is confirmed on ful
 
 Within a key all pairs would grow with its square.  First every member is held against the
 member that has most neighbours over all keys, which is the common original where copies
-were edited one by one, and the best of these pairs by estimate is confirmed.  Keys whose
+were edited one by one (of those of its keys, against the four with most), and the best of
+these pairs by estimate is confirmed.  Keys whose
 members are then still in several components go on in rounds: each component offers its most
 similar pairs with others, 16, then 1,024, and so on, until none has more to offer.  So every pair that shares a band and may reach the limit is confirmed unless
 already connected, and no round emits all pairs.
@@ -47,6 +48,8 @@ SLACK = 5.5
 #: Members of a key compared in one task; larger keys are compared in pairs of blocks.  Pairs a component offers in the first
 #: round, 64 times as many in each further one.  Longest run of one key that is compared by shifts.
 BLOCK, OFFERS, SHORT = 2_000, 16, 64
+#: Members with most neighbours that a set is held against at first; what that leaves open goes on in the rounds.
+CENTRES = 4
 #: Smaller sets have no other set within 0.85: 5 of 6 is less.
 LEAST = 6
 
@@ -252,8 +255,9 @@ def components_of(found: DataFrame, rows: DataFrame, shingle: int = 5, percent:
     keyed = cut(every.join(shared, "key"))
     known = keyed.groupBy("node").agg(F.sum("members").alias("neighbours"))
     ranked = keyed.select("key", "node").join(known, "node")
-    centre = ranked.groupBy("key").agg(F.max_by("node", F.struct("neighbours", F.negate("node"))).alias("centre"))
-    stars = keyed.select("key", "node").join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    centre = ranked.groupBy("key").agg(F.max(F.struct("neighbours", F.negate("node").alias("order"))).alias("centre")).withColumn("at", F.negate("centre.order"))
+    centres = keyed.select("key", "node").join(centre, "key").where("node <> at").groupBy("node").agg(F.sort_array(F.collect_set("centre"), asc=False).alias("by"))  # one for each band at most
+    stars = centres.select(F.explode(F.slice("by", 1, CENTRES)).alias("centre"), F.col("node").alias("b")).select(F.negate("centre.order").alias("a"), "b")
     best = cut(_estimated(stars, nodes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", F.negate("a"))).alias("a")))
     found_so_far, judged = connected_components(verified(best, rows, shingle, percent)), best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     keyed = keyed.select("key", "node")

@@ -50,6 +50,8 @@ _WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
 #: Documents whose shingles are counted to tell common ones, and how many of those are kept; they set the order of
 #: the prefixes and so the work, never the result.
 COUNTED, COMMON = 20_000, 200_000
+#: Links of one document that are held against its set in one place.
+HUB_LINKS = 256
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -333,14 +335,58 @@ def _prefix_links(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(a), np.concatenate(b)
 
 
+def _held_against_hubs(percent: int):
+    """Per partition of rows (hub, part, node, hashes) sorted by (hub, part), the hub's own first: links (a, b) of a hub and
+    the nodes whose sets reach the limit with one of the hub's, of which there are several where its id is repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}
+        for batch in batches:
+            a, b = [], []
+            for hub, part, node, raw in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if at != (hub, part):
+                    at, own = (hub, part), {}
+                if node == hub:
+                    own[raw] = np.frombuffer(raw, np.uint64)
+                    continue
+                y = np.frombuffer(raw, np.uint64)
+                for x in own.values():
+                    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+                    if (100 + percent) * shared >= percent * (len(x) + len(y)):
+                        a.append(min(hub, node)), b.append(max(hub, node))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def verified(links: DataFrame, rows: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
-    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of `percent` or more."""
+    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of `percent` or more.
+
+    The end with more links is the hub.  Its set goes once to each HUB_LINKS of its links, the other end's set to the
+    hub, so that sets are shuffled once, little more than one for each link.
+    """
     links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    ends = cut(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = stored(_sets(rows.join(small_side(ends), "doc_id", "left_semi"), shingle).distinct())
-    both = links.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return cut(both.where((100 + percent) * shared >= percent * (F.size("x") + F.size("y"))).select("a", "b").distinct())
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    both = links.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    first = F.col("da") >= F.col("db")
+    spokes = cut(both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node")))
+    hubs = spokes.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(HUB_LINKS)).cast("int").alias("parts"))
+    places = spokes.join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    places = places.unionByName(hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    sent = cut(places.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("hub", "part")).alias("to")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                sets = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["node", "hashes", "to"])
+
+    sets = rows.join(small_side(sent), "doc_id").select("doc_id", "text", "to").mapInArrow(run, "node long, hashes binary, to array<struct<hub:long,part:int>>")
+    dealt = sets.select("node", "hashes", F.explode("to").alias("to")).select("to.hub", "to.part", "node", "hashes")
+    met = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    return cut(met.mapInArrow(_held_against_hubs(percent), "a long, b long").distinct())
 
 
 def exact_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

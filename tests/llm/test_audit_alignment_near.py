@@ -209,3 +209,18 @@ def test_estimate_is_corrected():
     sides = [hyperminhash.registers(h, owner, many) for h in both]
     estimate, may = hyperminhash.plausible(*sides, np.full(many, 950), np.full(many, 950), 85)
     assert abs(estimate.mean() - 0.9) < 0.01 and may.all()
+
+
+def test_sets_go_once_to_their_links(spark, monkeypatch):
+    """Hubs of several parts, repeated ids, wordless texts; sets are not written or shuffled before they meet."""
+    from quorumstat.llm import simhash
+
+    monkeypatch.setattr(simhash, "HUB_LINKS", 2, raising=False)
+    monkeypatch.setattr(simhash, "stored", lambda df: pytest.fail("sets are written"))
+    base = [f"w{i}" for i in range(40)]
+    texts = [(1, " ".join(base))] + [(k, " ".join([*base, *(f"x{k}{i}" for i in range(2 if k < 6 else 30))])) for k in range(2, 10)]
+    texts += [(20, "other words"), (20, " ".join(base)), (30, ""), (31, " \n")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    links = spark.createDataFrame([(k, 1) for k in range(2, 10)] + [(1, 20), (2, 3), (30, 31), (30, 2), (7, 7)], "a long, b long")
+    got = sorted((r.a, r.b) for r in simhash.verified(links, rows, 5, 85).collect())
+    assert got == [(1, 2), (1, 3), (1, 4), (1, 5), (1, 20), (2, 3), (30, 31)]
