@@ -55,23 +55,25 @@ def candidates(docs: DataFrame, w: DataFrame, slop: int = 0, id_col: str = "doc_
 
     shift is how far the second term stands from its place; 0 leaves an exact phrase possible.
     """
+    w = cut(w.select(F.monotonically_increasing_id().alias("wid"), "phrase", "terms"))  # postings carry its number, not its words
     terms = cut(w.select(F.explode("terms").alias("term")).distinct())
     counts = cut(term_counts(docs, terms, text_col))
-    places = w.select("phrase", F.size("terms").alias("len"), F.posexplode("terms").alias("at", "term")).join(counts, "term", "left")
-    ranked = places.groupBy("phrase", "len").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at"))).alias("by"))
-    rare = cut(ranked.where("by[0].n > 0").select("phrase", F.col("by")[0].alias("a"), F.get("by", F.lit(1)).alias("b")))
+    places = w.select("wid", F.size("terms").alias("len"), F.posexplode("terms").alias("at", "term")).join(counts, "term", "left")
+    ranked = places.groupBy("wid", "len").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "at"))).alias("by"))
+    rare = cut(ranked.where("by[0].n > 0").select("wid", F.col("by")[0].alias("a"), F.get("by", F.lit(1)).alias("b")))
     needed = cut(rare.select(F.explode(F.array_compact(F.array("a.term", "b.term"))).alias("term")).distinct())
     index = stored(postings(docs, needed, id_col, text_col).distinct())
 
     def shifted(which: str) -> DataFrame:
-        at = rare.where(F.col(which).isNotNull()).select("phrase", F.col(f"{which}.term").alias("term"), F.col(f"{which}.at").alias("at"), F.col("b").isNull().alias("alone"))
-        return index.join(small_side(at), "term").select("phrase", "doc", (F.col("pos") - F.col("at")).alias("start"), "alone")
-
-    first, second = shifted("a"), shifted("b").select("phrase", "doc", "start")
-    near = second.select("phrase", "doc", F.explode(F.array(*[F.lit(s) for s in range(-slop, slop + 1)])).alias("shift"), F.col("start").alias("at"))
-    near = near.select("phrase", "doc", "shift", (F.col("at") - F.col("shift")).alias("start")).toDF("p", "d", "shift", "s")
-    both = first.where("not alone").join(near, F.expr("phrase = p and doc <=> d and start = s")).select("phrase", "doc", "start", "shift")
-    return both.unionByName(first.where("alone").select("phrase", "doc", "start", F.lit(0).alias("shift"))).where("start >= 0")
+        at = rare.where(F.col(which).isNotNull()).select("wid", F.col(f"{which}.term").alias("term"), F.col(f"{which}.at").alias("at"), F.col("b").isNull().alias("alone"))
+        return index.join(small_side(at), "term").select("wid", "doc", (F.col("pos") - F.col("at")).alias("start"), "alone")
+
+    first, second = shifted("a"), shifted("b").select("wid", "doc", "start")
+    near = second.select("wid", "doc", F.explode(F.array(*[F.lit(s) for s in range(-slop, slop + 1)])).alias("shift"), F.col("start").alias("at"))
+    near = near.select("wid", "doc", "shift", (F.col("at") - F.col("shift")).alias("start")).toDF("p", "d", "shift", "s")
+    both = first.where("not alone").join(near, F.expr("wid = p and doc <=> d and start = s")).select("wid", "doc", "start", "shift")
+    found = both.unionByName(first.where("alone").select("wid", "doc", "start", F.lit(0).alias("shift"))).where("start >= 0")
+    return found.join(small_side(w.select("wid", "phrase")), "wid").select("doc", "phrase", "start", "shift")
 
 
 def find(docs: DataFrame, items: DataFrame, size: int = 10, slop: int = 0, id_col: str = "doc_id", text_col: str = "text", hits: str = "hits", n_words: str = "n_words", near: str = "near") -> DataFrame:

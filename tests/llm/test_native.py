@@ -432,3 +432,14 @@ def test_dense_texts_take_time_in_proportion(spark):
         assert decontaminate.clean(spark.createDataFrame([(1, (item + " x ") * n), (2, "y " * n)], "doc_id long, text string"), items).count() == 1
         took[-n] = time.time() - began - took[n]
     assert took[10_000] < 30 and took[-10_000] < 30
+
+
+def test_postings_do_not_carry_phrases(spark):
+    """Places of the two rarest terms meet by the number of their window."""
+    from quorumstat.llm import decontaminate
+
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x a b c y")], "doc_id long, text string")
+    w = decontaminate.windows(spark.createDataFrame([("i", "a b c")], "item_id string, text string"), 3)
+    found = decontaminate.candidates(docs, w)
+    assert not [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning" in x and "phrase" in x]
+    assert sorted((r["doc"], r["phrase"], r["start"]) for r in found.collect()) == [(1, "a b c", 0), (2, "a b c", 1)]
