@@ -22,7 +22,7 @@ row, or without any feature that stands out, every score is the share of toxic l
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -97,44 +97,65 @@ def level(odds: float | None) -> int:
     return 0 if odds is None else 1 + sum(odds >= x for x in LEVELS)
 
 
+class _Memo(dict):
+    """What `made` gives for each key, kept for at most MEMO keys."""
+
+    def __init__(self, made: Callable) -> None:
+        super().__init__()
+        self.made = made
+
+    def __missing__(self, key):
+        if len(self) >= MEMO:
+            self.clear()
+        found = self[key] = self.made(key)
+        return found
+
+
 @dataclass
 class Crf:
-    """Two states; theta scores state 1 from the observed levels of the token and its neighbours, trans[i, j] a step from i to j."""
+    """Two states; theta scores state 1 from the observed levels of the token and its neighbours, trans[i, j] a step from i to j.
+
+    A level has the weights of all levels up to it, so that one the chain was not fitted on weighs like the one below it.
+    """
 
     features: dict[str, float] = field(default_factory=dict)
     theta: np.ndarray = field(default_factory=lambda: np.zeros(1 + 3 * N_LEVEL * 2))
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     scale: tuple[float, float] = (0.0, 0.0)
-    _memo: dict[str, int] = field(default_factory=dict)
+    #: Codes of tokens met, and for each length of a sentence of neutral tokens the sum of their squared marginals.
+    _codes: _Memo = field(init=False)
+    _plain: _Memo = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self._codes, self._plain = _Memo(self.code), _Memo(self.plain)
 
     def code(self, token: str) -> int:
-        """Word level times N_LEVEL plus the highest prefix level; 0 for most words."""
-        found = self._memo.get(token)
-        if found is None:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            get, word = self.features.get, token.lower()
-            prefix = max((level(get(word[:n])) for n in PREFIXES if len(word) > n), default=0)
-            found = self._memo[token] = level(get("=" + word)) * N_LEVEL + prefix
-        return found
+        """Word level times N_LEVEL plus the highest prefix level; 0 for most words, -1 for the end of a sentence."""
+        if token[0] in _STOPS:
+            return -1
+        get, word = self.features.get, token.lower()
+        prefix = [x for x in [get(word[:n]) for n in PREFIXES if len(word) > n] if x is not None]
+        return level(get("=" + word)) * N_LEVEL + (level(max(prefix)) if prefix else 0)
+
+    def plain(self, n: int) -> float:
+        return float((self.marginals(np.zeros((1, n), np.int64)) ** 2).sum())
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(codes of all tokens, sentence of each)."""
-        codes, number, s = [], [], 0
-        code = self.code
-        for t in _TOKEN.findall(text):
-            if t[0] in _STOPS:
-                s += 1
-            else:
-                codes.append(code(t)), number.append(s)
-        return np.array(codes, np.int64), np.array(number, np.int64)
+        tokens = _TOKEN.findall(text)
+        codes = np.fromiter(map(self._codes.__getitem__, tokens), np.int64, len(tokens))
+        word = codes >= 0
+        return codes[word], np.cumsum(~word)[word]
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """Scores of state 1; codes is (sentences, tokens) with -1 beyond the end."""
         return _emissions(self.theta, _near(codes))
 
     def marginals(self, codes: np.ndarray) -> np.ndarray:
-        return forward_backward(self.emissions(codes), self.trans, codes >= 0)[0]
+        return odds_recursions(self.emissions(codes), self.trans, codes >= 0)
 
 
 def token_spans(text: str) -> list[tuple[int, int]]:
@@ -150,8 +171,8 @@ def _near(codes: np.ndarray) -> list[np.ndarray]:
 
 
 def _emissions(theta: np.ndarray, near: list[np.ndarray]) -> np.ndarray:
-    """A constant, and for each of the three tokens a weight of its word level and one of its prefix level."""
-    weights = theta[1:].reshape(3, 2, N_LEVEL)
+    """A constant, and for each of the three tokens the weights up to its word level and up to its prefix level."""
+    weights = theta[1:].reshape(3, 2, N_LEVEL).cumsum(-1)
     tables = (weights[:, 0, :, None] + weights[:, 1, None, :]).reshape(3, -1)
     return theta[0] + sum(t[c] for t, c in zip(tables, near, strict=True))
 
@@ -161,10 +182,24 @@ def _gradient(near: list[np.ndarray], residual: np.ndarray) -> np.ndarray:
     out = [np.array([residual.sum()])]
     for c in near:
         by_code = np.bincount(c.ravel(), weights=residual.ravel(), minlength=N_LEVEL**2).reshape(N_LEVEL, N_LEVEL)
-        out += [by_code.sum(1), by_code.sum(0)]
+        out += [by_code.sum(axis)[::-1].cumsum()[::-1] for axis in (1, 0)]
     return np.concatenate(out)
 
 
+def odds_recursions(e: np.ndarray, trans: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """The P(state 1) of `forward_backward`, from odds of the two states alone, which need no logarithms; emissions beyond 200
+    and steps beyond 50 count as those."""
+    score, t, there = np.exp(np.clip(e.T, -200, 200)), np.exp(np.clip(trans - trans[0, 0], -50, 50)), there.T
+    fwd, bwd = np.empty_like(score), np.ones_like(score)
+    fwd[0] = score[0]
+    for i in range(1, len(score)):
+        fwd[i] = score[i] * (t[0, 1] + t[1, 1] * fwd[i - 1]) / (1 + t[1, 0] * fwd[i - 1])
+    for i in range(len(score) - 2, -1, -1):
+        ahead = score[i + 1] * bwd[i + 1]
+        bwd[i] = np.where(there[i + 1], (t[1, 0] + t[1, 1] * ahead) / (1 + t[0, 1] * ahead), 1)
+    return (there * (1 - 1 / (1 + fwd * bwd))).T
+
+
 def forward_backward(e: np.ndarray, trans: np.ndarray, there: np.ndarray):
     """(P(state 1) per token, expected transition counts per sentence, log-partition per sentence) by log-space recursions."""
     n, t = e.shape
@@ -231,7 +266,7 @@ def fit_chain(model: Crf, seqs: list[np.ndarray], tags: list[np.ndarray], times:
 def _offence(model: Crf, texts: list[str], spans: bool = False) -> tuple[np.ndarray, list]:
     """(log of the summed squares of each text's marginals, in which thousands of neutral tokens weigh little, offsets of its tokens with marginals of a half or more)."""
     total, found = np.zeros(len(texts)), [[] for _ in texts]
-    todo, plain = [], {}
+    todo = []
     for i, text in enumerate(texts):
         codes, number = model.sentences(text)
         if not len(codes):
@@ -240,10 +275,7 @@ def _offence(model: Crf, texts: list[str], spans: bool = False) -> tuple[np.ndar
         edges = np.concatenate(([0], cuts, [len(codes)]))
         any_hit = np.add.reduceat(codes, edges[:-1]) > 0
         lengths = np.diff(edges)
-        for n, times in zip(*np.unique(lengths[~any_hit], return_counts=True), strict=True):
-            if n not in plain:
-                plain[n] = (model.marginals(np.zeros((1, int(n)), np.int64)) ** 2).sum()
-            total[i] += times * plain[n]
+        total[i] = sum(map(model._plain.__getitem__, lengths[~any_hit].tolist()))
         todo += [(i, int(edges[j]), codes[edges[j] : edges[j + 1]]) for j in np.flatnonzero(any_hit)]
     todo.sort(key=lambda x: len(x[2]))
     hits: dict[int, list[int]] = {}
@@ -298,7 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
             z, _ = _offence(model, b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(z), b.column(1)], names=["z", "y"])
 
-    model._memo = {}
+    model.forget()
     pairs = rows.mapInArrow(offences, "z double, y int").collect()  # a row for each row of the sample
     z, y = np.array([r["z"] for r in pairs]), np.array([r["y"] for r in pairs], float)
     model.scale = _platt(z, y)
@@ -328,6 +360,6 @@ def score(docs: DataFrame, model: Crf, spans: bool = True) -> DataFrame:
                 s = 1 / (1 + np.exp(-np.clip(model.scale[0] * z + model.scale[1], -30, 30)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array([[{"start": a, "end": e} for a, e in f] for f in found], kind)], names=["doc_id", "score", "spans"])
 
-    model._memo = {}
+    model.forget()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")

@@ -259,6 +259,28 @@ def test_chain_is_fitted_to_all_pieces_alike():
     assert p[tags[3] == 1].mean() > 0.6 > 0.4 > p[tags[3] == 0].mean()
 
 
+def test_levels_beyond_the_fitted_ones_weigh_like_the_highest():
+    """The whole sample's counts lift words to levels that neither half of it has."""
+    rng = np.random.default_rng(5)
+    top = toxicity.N_LEVEL - 1
+    for unit in (toxicity.N_LEVEL, 1):  # levels of words, of prefixes
+        seqs = [np.where(rng.random(12) < 0.2, unit * (top - 1), 0) for _ in range(60)]
+        m = toxicity.Crf()
+        toxicity.fit_chain(m, seqs, [(s > 0).astype(int) for s in seqs], [1] * len(seqs), rounds=60)
+        below, above = (m.marginals(np.array([[0, 0, unit * k, 0, 0]]))[0, 2] for k in (top - 1, top))
+        assert below > 0.7 and above >= below - 1e-9
+
+
+def test_marginals_are_those_of_the_recursions():
+    rng = np.random.default_rng(3)
+    m = toxicity.Crf()
+    for size in (1, 8):  # weights far apart, too
+        m.theta, m.trans = size * rng.normal(size=len(m.theta)), size * rng.normal(size=(2, 2))
+        codes = np.where(np.arange(30)[None] < rng.integers(1, 31, 50)[:, None], rng.integers(0, 25, (50, 30)), -1)
+        assert np.allclose(m.marginals(codes), toxicity.forward_backward(m.emissions(codes), m.trans, codes >= 0)[0], atol=1e-9)
+    assert abs(m._plain[7] - (m.marginals(np.zeros((1, 7), int)) ** 2).sum()) < 1e-12
+
+
 def test_rows_without_id_are_held_out(spark):
     df = spark.createDataFrame([(None,), (1,)], "doc_id long").select(toxicity.training_rows().alias("t"))
     assert [r["t"] for r in df.collect()][0] is False
