@@ -39,6 +39,8 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BLOCK = 8 << 20
 #: Bytes of text taken at once, and what a task remembers: so many segments of at most so many characters.
 SLICE, KNOWN, LONGEST = 1 << 20, 300_000, 200
+#: Segments encoded as one text.
+LOT = 64
 _DOC = "struct<doc_id:long,n_a:long,n_b:long,n_groups:long,n_links:long,groups_sha256:string,places:array<int>,times:array<int>>"
 
 
@@ -50,15 +52,13 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 _CUT = re.compile(r"(?s)(?<=\S)(?= .)")
+_SPACED = re.compile(r"\A(?: |\Z)|\s(?: |\Z)")
 
 
 def segments(text: str) -> list[str]:
     """A space and the text in parts that begin with a space between two other characters, or before more spaces; each is given without its first
     space."""
-    found = text.split(" ")
-    if "" in found or any(f[-1].isspace() for f in found):
-        found = [f[1:] for f in _CUT.split(" " + text)]
-    return found
+    return [f[1:] for f in _CUT.split(" " + text)] if _SPACED.search(text) else text.split(" ")
 
 
 class ByteLevel:
@@ -134,40 +134,82 @@ class Segments:
 
     def __init__(self, first: ByteLevel, second: Pieces) -> None:
         self.first, self.second = first, second
+        #: Each id followed by a comma, a bar, a semicolon.
+        self.ids = [f"{i}{c}" for i in range(max(len(first.bytes), len(second.bytes))) for c in (",", "|", ";", "")]
+        self.widths = np.array(list(map(len, self.ids)))
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.text: list[str] = []
+        self.length = 0
         #: Tokens of both sides, groups, and whether the tokens spell the segment; links, and where they begin in `codes`.
         self.counts, self.size, self.start, self.codes = np.empty((0, 4), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, fresh: list[str]) -> None:
         """Aligns segments as one text after another: the groups of a run of segments are those of each."""
         whole = [" " + f for f in fresh]
-        coded, firsts, seconds = [w.encode() for w in whole], self.first.encode(whole), self.second.encode(whole)
-        spelled = [self._spells(coded, firsts, self.first), self._spells(coded, seconds, self.second)]
-        good = spelled[0] & spelled[1]
-        runs = [np.flatnonzero(good)]
-        if not (self.first.sizes[[i for a in firsts for i in a]] > 0).all() or not (self.second.sizes[[i for b in seconds for i in b]] > 0).all():
-            runs = [np.array([k]) for k in runs[0]]  # tokens without bytes end with those before them, in another segment too
-        text, counts, links = [""] * len(fresh), np.zeros((len(fresh), 4), np.int64), [np.empty(0, np.int64)] * len(fresh)
-        for run in runs:
-            a, b = [i for k in run for i in firsts[k]], [i for k in run for i in seconds[k]]
-            groups, x, y = align(a, b, self.first.bytes, self.second.bytes)
-            parts = spell(groups, a, b)
-            n_a, n_b = np.array([len(firsts[k]) for k in run]), np.array([len(seconds[k]) for k in run])
-            ends = np.searchsorted(np.array([i for i, _ in groups]), np.cumsum(n_a), "left") + 1 if len(run) > 1 else np.array([len(groups)] * len(run))
-            begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
-            codes = np.array(x, np.int64) << 32 | np.array(y, np.int64)
-            for k, lo, hi in zip(run.tolist(), begins.tolist(), ends.tolist(), strict=True):
-                text[k], links[k] = ";".join(parts[lo:hi]), codes[lo:hi] if len(run) > 1 else codes
-            counts[run] = np.stack((n_a, n_b, ends - begins, np.ones(len(run), np.int64)), 1)
+        coded = [w.encode() for w in whole]
+        firsts, seconds = self._encoded(whole, coded, self.first), self._encoded(whole, coded, self.second)
+        good = self._spells(coded, firsts, self.first) & self._spells(coded, seconds, self.second)
+        text, counts, size, codes = [""] * len(fresh), np.zeros((len(fresh), 4), np.int64), np.zeros(len(fresh), np.int64), np.empty(0, np.int64)
+        run = np.flatnonzero(good)
+        n_a, n_b = (np.array([len(ids[k]) for k in run], np.int64) for ids in (firsts, seconds))
+        a, b = (np.array([i for k in run for i in ids[k]], np.int64) for ids in (firsts, seconds))
+        if (self.first.sizes[a] > 0).all() and (self.second.sizes[b] > 0).all():
+            a_ends, b_ends = self.first.sizes[a].cumsum(), self.second.sizes[b].cumsum()
+            both, i, j = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+            last = np.searchsorted(i, np.cumsum(n_a) - 1) + 1  # groups up to the end of each segment
+            groups = np.diff(last, prepend=0)
+            codes, size[run] = a[i] << 32 | b[j], groups
+            for k, t in zip(run.tolist(), self._spelled(a, b, i, j, last), strict=True):
+                text[k] = t
+        else:  # tokens without bytes end with those before them, in another segment too
+            links, groups = [codes], []
+            for k in run.tolist():
+                ends, x, y = align(firsts[k], seconds[k], self.first.bytes, self.second.bytes)
+                text[k], size[k] = "".join([g + ";" for g in spell(ends, firsts[k], seconds[k])]), len(x)
+                links.append(np.array(x, np.int64) << 32 | np.array(y, np.int64)), groups.append(len(ends))
+            codes = np.concatenate(links)
+        counts[run] = np.stack((n_a, n_b, np.array(groups, np.int64), np.ones(len(run), np.int64)), 1)
         self.place |= dict(zip(fresh, range(len(self.text), len(self.text) + len(fresh)), strict=True))
         self.text += text
-        size = np.array(list(map(len, links)), np.int64)
+        self.length += sum(map(len, fresh))
         self.start = np.concatenate((self.start, len(self.codes) + np.cumsum(size) - size))
-        self.size, self.counts, self.codes = np.concatenate((self.size, size)), np.concatenate((self.counts, counts)), np.concatenate((self.codes, *links))
+        self.size, self.counts, self.codes = np.concatenate((self.size, size)), np.concatenate((self.counts, counts)), np.concatenate((self.codes, codes))
+
+    def _spelled(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, last: np.ndarray) -> list[str]:
+        """What `spell` gives, each group with a semicolon behind, of segments that end with group `last` - 1; groups end with
+        the tokens a[i] and b[j]."""
+        before_a, before_b = np.diff(i, prepend=-1), np.diff(j, prepend=-1)
+        at_a = np.arange(len(a)) + np.repeat(np.cumsum(before_b) - before_b, before_a)
+        at_b = np.arange(len(b)) + np.repeat(np.cumsum(before_a), before_b)
+        token = np.empty(len(a) + len(b), np.int64)
+        token[at_a], token[at_b] = 4 * a, 4 * b
+        token[at_a[i]] += 1
+        token[at_b[j]] += 2
+        text = "".join(map(self.ids.__getitem__, token.tolist()))
+        ends = np.concatenate(([0], np.cumsum(self.widths[token])))[np.concatenate(([0], at_b[j][last - 1] + 1)).astype(np.int64)].tolist()
+        return [text[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+    @staticmethod
+    def _encoded(whole: list[str], coded: list[bytes], model: ByteLevel | Pieces) -> list[list[int]]:
+        """Ids of each segment.  Those that a text would be cut into again are encoded LOT at a time, and alone if their
+        ends are not ends of tokens."""
+        found: list[list[int] | None] = [None] * len(whole)
+        plain = [k for k, w in enumerate(whole) if len(w) > 1 and not w[1].isspace() and not w[-1].isspace()]
+        lots = [plain[lo : lo + LOT] for lo in range(0, len(plain), LOT)]
+        for lot, ids in zip(lots, model.encode(["".join([whole[k] for k in lot]) for lot in lots]) if lots else [], strict=True):
+            size, want = model.sizes[ids], np.cumsum([len(coded[k]) for k in lot])
+            ends = size.cumsum()
+            at = np.searchsorted(ends, want) + 1
+            if len(ends) == at[-1] and (ends[at - 1] == want).all() and size.all():
+                for k, lo, hi in zip(lot, [0, *at[:-1].tolist()], at.tolist(), strict=True):
+                    found[k] = ids[lo:hi]
+        rest = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(rest, model.encode([whole[k] for k in rest]) if rest else [], strict=True):
+            found[k] = ids
+        return found
 
     @staticmethod
     def _spells(coded: list[bytes], ids: list[list[int]], model: ByteLevel | Pieces) -> np.ndarray:
@@ -182,7 +224,7 @@ class Segments:
 
     def documents(self, texts: list[bytes | None]) -> Iterator[tuple]:
         """(n_a, n_b, n_groups, sha, codes of links) of each text."""
-        if len(self.text) > KNOWN or sum(map(len, self.place)) > KNOWN * LONGEST:
+        if len(self.text) > KNOWN or self.length > KNOWN * LONGEST:
             self.forget()
         parts = []
         for t in texts:
@@ -190,21 +232,23 @@ class Segments:
                 parts.append(segments(t.decode()) if t else [])
             except UnicodeDecodeError:
                 parts.append([])
-        fresh = {f for p in parts for f in p} - self.place.keys()
+        fresh = set().union(*parts) - self.place.keys()
         self.learn(sorted(fresh))
         for p in parts:
-            at = [self.place[f] for f in p]
-            own = self.counts[at]
+            at = list(map(self.place.__getitem__, p))
+            place = np.array(at, np.int64)
+            own = self.counts[place]
             if not len(p) or not own[:, 3].all():
                 yield 0, 0, 0, "", np.empty(0, np.int64)
                 continue
             n_a, n_b, n_groups, _ = own.sum(0).tolist()
-            length = self.size[at]
-            codes = self.codes[np.repeat(self.start[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
-            yield n_a, n_b, n_groups, hashlib.sha256(";".join([self.text[i] for i in at]).encode()).hexdigest(), codes
+            length = self.size[place]
+            codes = self.codes[np.repeat(self.start[place] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+            yield n_a, n_b, n_groups, hashlib.sha256("".join(map(self.text.__getitem__, at))[:-1].encode()).hexdigest(), codes
         for f in fresh:
             if len(f) > LONGEST:
                 del self.place[f]
+                self.length -= len(f)
 
 
 def blocks(docs: DataFrame, folder: str = FOLDER, first: str = FIRST, second: str = SECOND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

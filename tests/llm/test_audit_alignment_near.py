@@ -224,3 +224,15 @@ def test_sets_go_once_to_their_links(spark, monkeypatch):
     links = spark.createDataFrame([(k, 1) for k in range(2, 10)] + [(1, 20), (2, 3), (30, 31), (30, 2), (7, 7)], "a long, b long")
     got = sorted((r.a, r.b) for r in simhash.verified(links, rows, 5, 85).collect())
     assert got == [(1, 2), (1, 3), (1, 4), (1, 5), (1, 20), (2, 3), (30, 31)]
+
+
+def test_segments_are_encoded_together_as_alone():
+    first, second = (kind(f"{alignment.FOLDER}/{name}") for kind, name in ((alignment.ByteLevel, alignment.FIRST), (alignment.Pieces, alignment.SECOND)))
+    texts = ["Straße naïve 日本語 x\u0301 \U0001f600!", "a  b\n c\t", " lead", "", "</s> <|endoftext|> it's 12,345", "\u0301y \u00a0z \u2581q\u2581 w", "\x00 \x85k l\u2028 m", *[f"w{i}\nv{i}" for i in range(500)]]
+    fresh = sorted({f for t in texts for f in alignment.segments(t)})
+    whole = [" " + f for f in fresh]
+    for model in (first, second):
+        given = []
+        plain = type("Counted", (), {"sizes": model.sizes, "encode": lambda self, x, m=model: (given.extend(x), m.encode(x))[1]})()
+        assert alignment.Segments._encoded(whole, [w.encode() for w in whole], plain) == [model.encode([w])[0] for w in whole]
+        assert len(given) < len(fresh) / 2
