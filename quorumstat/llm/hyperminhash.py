@@ -12,7 +12,9 @@ were edited one by one (of those of its keys, against the four with most), and t
 these pairs by estimate is confirmed.  Keys whose
 members are then still in several components go on in rounds: each component offers its most
 similar pairs with others, 16, then 1,024, and so on, until none has more to offer.  So every pair that shares a band and may reach the limit is confirmed unless
-already connected, and no round emits all pairs.
+already connected, and no round emits all pairs.  From the second round on members bring their shingles, at most 1,024 or a sample
+of them, against which a pair is held where it is found: pairs of a group of near copies that are just below the limit, whose number
+grows with its square, are looked at in their task and go no further.
 
 Two sets at the limit of 0.85 share no band once in 5 * 10^8 pairs, and fall below the
 estimate's bound, 5.5 standard deviations under the limit, once in 5 * 10^7.
@@ -50,6 +52,8 @@ SLACK = 5.5
 BLOCK, OFFERS, SHORT = 2_000, 16, 64
 #: Members with most neighbours that a set is held against at first; what that leaves open goes on in the rounds.
 CENTRES = 4
+#: Shingles of a set, or of a sample of it, that pairs are held against from the second round on.
+SAMPLED = 1024
 #: Smaller sets have no other set within 0.85: 5 of 6 is less.
 LEAST = 6
 
@@ -111,6 +115,43 @@ def plausible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, percen
     return estimate, near & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
+def sampled(hashes: np.ndarray) -> np.ndarray:
+    """Those of the sorted hashes that are below 2^(64 - level); all, at level 0, of at most SAMPLED."""
+    level = sample_level(len(hashes))
+    return hashes[: np.searchsorted(hashes, np.uint64(1 << 64 - level))] if level else hashes
+
+
+def sample_level(n: int) -> int:
+    return max(0, -(-n // SAMPLED) - 1).bit_length()
+
+
+def reaches(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m shingles may have an index of `percent` or more, by their samples: for sure at level 0."""
+    level = sample_level(max(n, m))
+    if level:
+        x, y = (z[: np.searchsorted(z, np.uint64(1 << 64 - level))] for z in (x, y))
+    if not len(x) or not len(y):
+        return level > 0
+    shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    either, limit = len(x) + len(y) - shared, percent / 100
+    return 100 * shared >= percent * either if not level else shared / either >= limit - SLACK * np.sqrt(limit * (1 - limit) / either) - 2 / either
+
+
+def samples(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, registers, sample) of the set of each text of `rows(doc_id, text)`; the registers tell sets of one id apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                each = [np.unique(shingle_hashes(t or b"", shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                found = registers(np.concatenate(each), np.repeat(np.arange(len(each)), list(map(len, each))), len(each))
+                cols = [part.column(0), pa.array([r.tobytes() for r in found], pa.binary()), pa.array([sampled(h).tobytes() for h in each], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", "registers", "sample"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "node long, registers binary, sample binary").distinct()
+
+
 def sets(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, d0, d1, n, registers): digest and size of the set of each text, and its registers as bytes."""
 
@@ -195,7 +236,7 @@ def _offer(percent: int, most: int):
 
     def pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
         deal, key, node, component, n, side = (rows.column(k).to_numpy() for k in range(6))
-        regs = _rows_of(rows.column(6))
+        regs, shingles = _rows_of(rows.column(6)), [None if r is None else np.frombuffer(r, np.uint64) for r in rows.column(7).to_pylist()]
         found: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         for left, right in _candidates(deal, component, n, side, percent):
             for lo in range(0, len(left), 4096):
@@ -205,6 +246,9 @@ def _offer(percent: int, most: int):
                 first = same.argmax(-1) == (key[x] & BAND_MASK)
                 x, y, rx, ry = x[first], y[first], rx[first], ry[first]
                 estimate, near = plausible(rx, ry, n[x], n[y], percent)
+                for k in np.flatnonzero(near).tolist():
+                    one, other = shingles[x[k]], shingles[y[k]]
+                    near[k] = one is None or other is None or reaches(one, other, int(n[x[k]]), int(n[y[k]]), percent)
                 found.append((x[near], y[near], estimate[near]))
         x, y, estimate = (np.concatenate(c) for c in zip(*found, strict=True))
         best = np.zeros(len(x), bool)
@@ -237,19 +281,19 @@ def _offers(keyed: DataFrame, nodes: DataFrame, components: DataFrame, percent:
     """(a, b, more): pairs of nodes of different components that share a key, see `_offer`."""
     placed = keyed.join(components, "node")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")).where("lo < hi")
-    rows = placed.join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "n", "registers"), "node")
+    rows = placed.join(mixed.select("key", "blocks"), "key").join(nodes.select("node", "n", "registers", "sample"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     deal = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("deal")
     side = F.signum(F.col("mine") - F.col("other")).cast("int").alias("side")
-    even = dealt.select(deal, "key", "node", "component", "n", side, "registers").repartition(shuffle_partitions(keyed.sparkSession), "deal").sortWithinPartitions("deal", "node")
+    even = dealt.select(deal, "key", "node", "component", "n", side, "registers", "sample").repartition(shuffle_partitions(keyed.sparkSession), "deal").sortWithinPartitions("deal", "node")
     return even.mapInArrow(_offer(percent, most), "a long, b long, more long")
 
 
 def components_of(found: DataFrame, rows: DataFrame, shingle: int = 5, percent: int = 85, block: int = BLOCK, offers: int = OFFERS) -> DataFrame:
     """(node, component) of those nodes of `found(node, n, registers)` that have links: texts in `rows(doc_id, text)` whose
     Jaccard index is `percent` or more."""
-    nodes = found.where(F.col("n") >= LEAST)
+    first_offers, nodes = offers, found.where(F.col("n") >= LEAST)
     every = nodes.select("node", "registers").mapInArrow(_keyed, "key long, node long")
     shared = every.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     keyed = cut(every.join(shared, "key"))
@@ -260,10 +304,10 @@ def components_of(found: DataFrame, rows: DataFrame, shingle: int = 5, percent:
     stars = centres.select(F.explode(F.slice("by", 1, CENTRES)).alias("centre"), F.col("node").alias("b")).select(F.negate("centre.order").alias("a"), "b")
     best = cut(_estimated(stars, nodes, percent).groupBy("b").agg(F.max_by("a", F.struct("estimate", F.negate("a"))).alias("a")))
     found_so_far, judged = connected_components(verified(best, rows, shingle, percent)), best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    keyed = keyed.select("key", "node")
+    keyed, members = keyed.select("key", "node"), nodes.withColumn("sample", F.lit(None).cast("binary"))
     while True:
         components = nodes.select("node").join(found_so_far, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-        new = cut(_offers(keyed, nodes, components, percent, offers, block))
+        new = cut(_offers(keyed, members, components, percent, offers, block))
         fresh = new.where("a is not null").select("a", "b").distinct().join(judged, ["a", "b"], "left_anti")
         good = verified(fresh, rows, shingle, percent)
         if good.limit(1).count():  # what is connected so far counts as links to its component
@@ -272,6 +316,9 @@ def components_of(found: DataFrame, rows: DataFrame, shingle: int = 5, percent:
         if not more.limit(1).count():
             return found_so_far
         keyed = cut(keyed.join(more, "key", "left_semi"))
+        if offers == first_offers:
+            own = rows.join(keyed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            members = stored(nodes.join(samples(own, shingle), ["node", "registers"]).select("node", "n", "registers", "sample"))
         judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 64
 
 

@@ -236,3 +236,39 @@ def test_segments_are_encoded_together_as_alone():
         plain = type("Counted", (), {"sizes": model.sizes, "encode": lambda self, x, m=model: (given.extend(x), m.encode(x))[1]})()
         assert alignment.Segments._encoded(whole, [w.encode() for w in whole], plain) == [model.encode([w])[0] for w in whole]
         assert len(given) < len(fresh) / 2
+
+
+def test_pairs_just_below_the_limit_go_no_further_than_their_task(spark, monkeypatch):
+    """Copies of one text, edited to an index of some 0.76 to 0.8 with each other: all pairs are plausible by registers."""
+    rng = np.random.default_rng(4)
+    base, texts = [f"w{i}" for i in range(180)], []
+    for i in range(40):
+        words = list(base)
+        for at in rng.choice(18, 2, replace=False) * 10 + 5:
+            words[at] = f"x{i}_{at}"
+        texts.append(" ".join(words))
+    texts.append(texts[7] + " end")  # above the limit with one of them
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, own = [], hyperminhash.verified
+    monkeypatch.setattr(hyperminhash, "verified", lambda links, *a: (seen.append(links.count()), own(links, *a))[1])
+    got = {r["doc_id"]: r["component_id"] for r in hyperminhash.near_components(df, offers=1).collect()}
+    shingles = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    near = [(i, j) for i in range(41) for j in range(i) if 100 * len(shingles[i] & shingles[j]) >= 85 * len(shingles[i] | shingles[j])]
+    component = list(range(41))
+    for _ in range(41):
+        for i, j in near:
+            component[i] = component[j] = min(component[i], component[j])
+    assert got == dict(enumerate(component)) and component[40] == component[7]
+    assert sum(seen[2:]) <= 100, seen  # there are 820 pairs
+
+
+def test_samples_of_sets_keep_pairs_at_the_limit():
+    rng = np.random.default_rng(6)
+    for n in (20, 1000, 1100, 5000, 40_000):
+        pool = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        cut = len(pool) * 85 // 100
+        for same, reach in ((pool[rng.permutation(len(pool))[: cut + 1]], True), (pool[rng.permutation(len(pool))[: len(pool) // 2]], False)):
+            x, y = pool, np.sort(same)
+            assert len(hyperminhash.sampled(x)) <= 1.3 * hyperminhash.SAMPLED
+            got = hyperminhash.reaches(hyperminhash.sampled(x), hyperminhash.sampled(y), len(x), len(y), 85)
+            assert got == hyperminhash.reaches(hyperminhash.sampled(y), hyperminhash.sampled(x), len(y), len(x), 85) == reach
