@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, shuffle_partitions, stored
+from .common import connected_components, cut, shuffle_partitions, small_side, stored
 from .simhash import shingle_hashes, verified
 
 BUCKET_BITS, MANTISSA_BITS, BAND = 8, 10, 6
@@ -317,8 +317,9 @@ def components_of(found: DataFrame, rows: DataFrame, shingle: int = 5, percent:
             return found_so_far
         keyed = cut(keyed.join(more, "key", "left_semi"))
         if offers == first_offers:
-            own = rows.join(keyed.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            members = stored(nodes.join(samples(own, shingle), ["node", "registers"]).select("node", "n", "registers", "sample"))
+            ids = small_side(cut(keyed.select("node").distinct()), 1_000_000)  # else all texts would be shuffled
+            own = samples(rows.join(ids, rows["doc_id"] == ids["node"], "left_semi"), shingle)
+            members = stored(nodes.join(ids, "node", "left_semi").join(own, ["node", "registers"]).select("node", "n", "registers", "sample"))
         judged, offers = cut(judged.unionByName(new.where("a is not null").select("a", "b")).distinct()), offers * 64
 
 
