@@ -11,11 +11,13 @@ For a similarity of 0.8, which turns some 15 % of the bits, 64 bits are too few.
 differs in at most one bit is equal, so each half deals the fingerprints out (26 rows a
 fingerprint, not 256) and the wildcards of the other half are put in inside the task.
 
-`exact_components` takes those links as candidates only.  Each is held against the Jaccard
-index of both shingle sets; then every pair of documents of different components so far
-that share a shingle of their prefixes (the rarest shingles, so many that sets of an index
-of 0.8 must share one) is held against it too.  So every pair of 0.8 or more is connected
-and no other is linked, up to collisions of 64-bit shingle hashes.
+`exact_components` first leaves out every document of which more than a fifth of the shingles
+are in no other one, which therefore has no partner (told from a quarter of the shingles, of the rest from all).  It
+takes those links as candidates only: each is held against the Jaccard index of both shingle
+sets.  Then documents of different components that share a shingle of their prefixes (the
+rarest shingles, so many that sets of an index of 0.8 must share one) are gathered into families,
+and all sets of a family are held against each other.  So every pair of 0.8 or more is
+connected and no other is linked, up to collisions of 64-bit shingle hashes.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other;
 repeated rows share a fingerprint and so a component; an empty table gives no rows;
@@ -52,6 +54,12 @@ _WIDE = [f"f{i}" for i in range(WIDE_WORDS)]
 COUNTED, COMMON = 20_000, 200_000
 #: Links of one document that are held against its set in one place.
 HUB_LINKS = 256
+#: One shingle in so many is a mark, by which documents without a partner are told; marks that are counted in one task.
+MARKS, BUCKET = 4, 1_000_000
+#: Shingles of a family that are held against each other in one place; larger families are held in pairs of parts.
+FAMILY = 2_000_000
+#: Rows of ids that are broadcast rather than texts or sets shuffled.
+IDS = 1_000_000
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -277,24 +285,17 @@ def similar_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RAD
     return fps.join(of_fp, _WIDE).select("doc_id", "component_id")
 
 
-def _sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, hashes): the sorted set of shingle hashes of each of `rows(doc_id, text)`."""
+def _common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles most frequent in a bounded sample of `sets(node, hashes)`, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                sets = [np.unique(shingle_hashes(t or b"", shingle)).view("<i8") for t in part.column(1).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "hashes"])
-
-    return rows.select("doc_id", "text").mapInArrow(run, "node long, hashes array<long>")
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0).slice(lo, 200).to_pylist()), "<i8"))], names=["h"])
 
-
-def _common_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the shingles most frequent in a bounded sample of `rows`, and their counts."""
-    share = min(1.0, COUNTED / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
-    counts = _sets(some, shingle).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    share = min(1.0, COUNTED / max(1, sets.count()))
+    some = sets.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < max(1, int(share * (1 << 20))))
+    counts = some.select("hashes").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
     top = counts.where("n >= 3").orderBy(F.desc("n"), "h").limit(COMMON).collect()
     found = np.array([(r["h"], r["n"]) for r in top], np.int64).reshape(-1, 2)
     found = found[np.argsort(found[:, 0].view(np.uint64))]
@@ -313,26 +314,18 @@ def _prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray) -> np.nd
     return hashes[np.lexsort((hashes, count))[: n - (4 * n + 4) // 5 + 1]]
 
 
-def _prefix_links(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components among rows (key, node, component, size << 32 | place) sorted by key.
+def _mixed_stars(rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the nodes of rows (key, n, node, component) that share a key, if they are of several components.
 
-    A pair whose first common shingle this is needs min(size - place) shingles from here on, 4/9 of both sizes at least.
+    Sets whose sizes a gap of more than a quarter parts have an index below 0.8, and are apart.
     """
-    starts = np.concatenate(([0], np.flatnonzero(np.diff(rows[:, 0])) + 1))
-    mixed = np.minimum.reduceat(rows[:, 2], starts) < np.maximum.reduceat(rows[:, 2], starts)
-    rows = rows[np.repeat(mixed, np.diff(np.append(starts, len(rows))))]
-    key, node, component, packed = rows.T.copy()
-    size = packed >> 32
-    rest = size - (packed & 0xFFFFFFFF)
-    a, b, active, shift = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(key)), 0
-    while len(active):
-        shift += 1
-        active = active[active + shift < len(key)]
-        active = active[key[active] == key[active + shift]]
-        x, y = active, active + shift
-        near = (component[x] != component[y]) & (9 * np.minimum(rest[x], rest[y]) >= 4 * (size[x] + size[y]))
-        a.append(np.minimum(node[x], node[y])[near]), b.append(np.maximum(node[x], node[y])[near])
-    return np.concatenate(a), np.concatenate(b)
+    key, n, node, component = rows[np.lexsort((rows[:, 1], rows[:, 0]))].T.copy()
+    starts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (4 * n[1:] > 5 * n[:-1])) + 1))
+    mixed = np.minimum.reduceat(component, starts) < np.maximum.reduceat(component, starts)
+    long = np.diff(np.append(starts, len(key)))
+    a, b = np.repeat(np.minimum.reduceat(node, starts), long), node
+    used = np.repeat(mixed, long) & (a != b)
+    return a[used], b[used]
 
 
 def _held_against_hubs(percent: int):
@@ -360,12 +353,8 @@ def _held_against_hubs(percent: int):
     return run
 
 
-def verified(links: DataFrame, rows: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
-    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of `percent` or more.
-
-    The end with more links is the hub.  Its set goes once to each HUB_LINKS of its links, the other end's set to the
-    hub, so that sets are shuffled once, little more than one for each link.
-    """
+def _sent(links: DataFrame) -> DataFrame:
+    """(doc_id, to): the places (hub, part) at which a document's set is met by those of its links."""
     links = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
     both = links.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
@@ -374,7 +363,22 @@ def verified(links: DataFrame, rows: DataFrame, shingle: int, percent: int = 80)
     hubs = spokes.groupBy("hub").agg(F.ceil(F.count("*") / F.lit(HUB_LINKS)).cast("int").alias("parts"))
     places = spokes.join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     places = places.unionByName(hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
-    sent = cut(places.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("hub", "part")).alias("to")))
+    return small_side(cut(places.groupBy(F.col("node").alias("doc_id")).agg(F.collect_list(F.struct("hub", "part")).alias("to"))), IDS)
+
+
+def _met(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among `sets(node, hashes, to)` that reach the limit."""
+    dealt = sets.select("node", "hashes", F.explode("to").alias("to")).select("to.hub", "to.part", "node", "hashes")
+    met = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
+    return cut(met.mapInArrow(_held_against_hubs(percent), "a long, b long").distinct())
+
+
+def verified(links: DataFrame, rows: DataFrame, shingle: int, percent: int = 80) -> DataFrame:
+    """Those of `links(a, b)` whose texts in `rows(doc_id, text)` have a Jaccard index of `percent` or more.
+
+    The end with more links is the hub.  Its set goes once to each HUB_LINKS of its links, the other end's set to the
+    hub, so that sets are shuffled once, little more than one for each link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -383,45 +387,185 @@ def verified(links: DataFrame, rows: DataFrame, shingle: int, percent: int = 80)
                 sets = [np.unique(shingle_hashes(t or b"", shingle)).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), part.column(2)], names=["node", "hashes", "to"])
 
-    sets = rows.join(small_side(sent), "doc_id").select("doc_id", "text", "to").mapInArrow(run, "node long, hashes binary, to array<struct<hub:long,part:int>>")
-    dealt = sets.select("node", "hashes", F.explode("to").alias("to")).select("to.hub", "to.part", "node", "hashes")
-    met = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("node") != F.col("hub"))
-    return cut(met.mapInArrow(_held_against_hubs(percent), "a long, b long").distinct())
+    sets = rows.join(_sent(links), "doc_id").select("doc_id", "text", "to").mapInArrow(run, "node long, hashes binary, to array<struct<hub:long,part:int>>")
+    return _met(sets, percent)
+
+
+def _packed(buckets: int):
+    """Rows (bucket, keys, nodes): the marks of (node, marks) by bucket, 32 bits of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                raw = b.column(1).slice(lo, 2000).to_pylist()
+                h = np.frombuffer(b"".join(raw), "<u8")
+                owner = np.repeat(b.column(0).slice(lo, 2000).to_numpy(), [len(r) // 8 for r in raw])
+                bucket = ((h >> np.uint64(34)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                keys, owner = (h[order] >> np.uint64(2)).astype("<u4"), owner[order]
+                full = np.flatnonzero(np.diff(cuts))
+                pieces = [(keys[x:y].tobytes(), pa.compress(np.diff(owner[x:y], prepend=0).tobytes(), "zstd", asbytes=True)) for x, y in zip(cuts[full], cuts[full + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *[pa.array([p[i] for p in pieces], pa.binary()) for i in (0, 1)]], names=["bucket", "keys", "nodes"])
+
+    return run
+
+
+def _shared_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shared): how many marks of a node in the buckets of this partition occur more than once."""
+    keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for b in batches:
+        for bucket, raw, packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            key = np.frombuffer(raw, "<u4")
+            keys.append(bucket << 32 | key.astype(np.int64))
+            nodes.append(np.cumsum(np.frombuffer(pa.decompress(packed, 8 * len(key), "zstd", asbytes=True), "<i8")))
+    key, node = np.concatenate(keys), np.concatenate(nodes)
+    order = np.argsort(key)
+    key, node = key[order], node[order]
+    same = key[1:] == key[:-1]
+    found, shared = np.unique(node[np.append(same, False) | np.append(False, same)] if len(key) else node, return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(shared.astype(np.int64))], names=["node", "shared"])
+
+
+def _shared(marked: DataFrame, marks: int) -> DataFrame:
+    """(node, shared): how many of the `marks` marks of `marked(node, marks)` another set has too, or another row of the node."""
+    buckets = max(shuffle_partitions(marked.sparkSession), marks // BUCKET)
+    dealt = marked.mapInArrow(_packed(buckets), "bucket long, keys binary, nodes binary").repartition(buckets, "bucket")
+    return dealt.mapInArrow(_shared_marks, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+
+
+def with_partners(found: DataFrame) -> DataFrame:
+    """(node, d0) of those sets of `found(doc_id, d0, d1, n, m, marks)` that can have an index of 0.8 with another one: at most a
+    fifth of the shingles, and so of the m marks, is in no other set."""
+    firsts = cut(found.where("doc_id is not null").groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("m").alias("m"), F.count_distinct("doc_id").alias("ids")))
+    copies = found.select("doc_id", "d0", "d1").join(firsts.where("ids > 1").select("d0", "d1", "node"), ["d0", "d1"]).where("doc_id <> node").select("doc_id").distinct()
+    lone = copies.join(firsts.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")  # an id that repeats may be a copy in one row and not in another
+    marked = found.where("doc_id is not null").join(small_side(cut(lone), IDS), "doc_id", "left_anti").select("doc_id", "marks")
+    shared = _shared(marked, firsts.agg(F.sum("m")).first()[0] or 0)
+    return firsts.join(shared, "node").where("m - shared <= floor(n / 5)").select("node", "d0")
+
+
+def _families(percent: int):
+    """Per partition of rows (family, low, high, node, component, hashes) sorted by the first three: links (a, b) that connect
+    whatever components have a pair of sets that reaches the limit."""
+
+    def links(node: np.ndarray, component: np.ndarray, raw: list[bytes]) -> tuple[list[int], list[int]]:
+        a, b = [], []
+        n = np.array([len(x) for x in raw]) // 8
+        order = np.argsort(np.frombuffer(b"".join(raw), np.uint64), kind="stable")
+        h = np.frombuffer(b"".join(raw), np.uint64)[order]
+        starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        count = np.diff(np.append(starts, len(h)))
+        holder, group = np.repeat(np.arange(len(n)), n)[order], np.empty(len(h), np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), count)
+        ends = np.cumsum(n)
+        labels, sizes = np.unique(component, return_counts=True)
+        for x in np.flatnonzero(component != labels[sizes.argmax()]).tolist():  # pairs within the largest need no link
+            mine = group[ends[x] - n[x] : ends[x]]
+            mine = mine[count[mine] > 1]
+            each = count[mine]
+            at = np.arange(each.sum()) + np.repeat(starts[mine] - np.cumsum(each) + each, each)
+            shared = np.bincount(holder[at], minlength=len(n))
+            near = np.flatnonzero(((100 + percent) * shared >= percent * (n + n[x])) & (component != component[x]))
+            if len(near):
+                others, one = np.unique(component[near], return_index=True)
+                a += [int(node[x])] * len(one)
+                b += node[near[one]].tolist()
+                component[np.isin(component, others)] = component[x]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def out() -> pa.RecordBatch:
+            a, b = links(np.array([x[0] for x in held]), np.array([x[1] for x in held]), [x[2] for x in held]) if len(held) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for family, low, high, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if at != (family, low, high):
+                    yield out()
+                    at, held = (family, low, high), []
+                held.append(row)
+        yield out()
+
+    return run
+
+
+def _family_links(links: DataFrame, sets: DataFrame, components: DataFrame, percent: int = 80) -> DataFrame:
+    """Links (a, b) of an index of `percent` or more that connect whatever nodes of one component of `links` have such a pair.
+
+    Each set goes once to its family, or to each part of a large one, so that sets are shuffled in proportion to their nodes,
+    not to the pairs of them.
+    """
+    of = connected_components(links).toDF("node", "family")
+    sizes = sets.select("node", "n").join(of, "node").groupBy("family").agg(F.ceil(F.sum("n") / F.lit(FAMILY)).cast("int").alias("parts"))
+    placed = of.join(sizes, "family").join(components, "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"), "parts")
+    members = sets.select("node", "hashes").join(small_side(cut(placed), IDS), "node")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = dealt.select("family", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "component", "hashes")
+    met = tiles.repartition("family", "low", "high").sortWithinPartitions("family", "low", "high")
+    return cut(met.mapInArrow(_families(percent), "a long, b long").distinct())
 
 
 def exact_components(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) over all pairs of texts whose shingle sets have a Jaccard index of 0.8 or more.
 
     Fingerprints within `radius` are looked at first, which settles most of a large group by few links; a wordless text
-    is like another.
+    is like another.  Only ids are held against the texts, and sets of documents with partners against each other.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    common, counts = _common_shingles(rows, shingle)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
-                ids, fps, sizes, prefixes = [], [], [], []
-                for t in part.column(1).cast(pa.binary()).to_pylist():
+                sets = [np.unique(shingle_hashes(t or b"", shingle)) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                marks = [s[s % np.uint64(MARKS) == 0].tobytes() for s in sets]
+                two = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets])
+                cols = [part.column(0), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array([len(s) for s in sets], pa.int64()), pa.array([len(s) // 8 for s in marks], pa.int64()), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "d0", "d1", "n", "m", "marks"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                kept, fps, sizes, sets = [], [], [], []
+                for at, (t, d0) in enumerate(zip(part.column(1).cast(pa.binary()).to_pylist(), part.column(2).to_pylist(), strict=True)):
                     hashes = shingle_hashes(t or b"", shingle)
                     once = np.unique(hashes)
-                    ids.append(np.frombuffer(xxhash.xxh3_128_digest(once.tobytes()), "<i8"))
-                    fps.append(_wide_majority(hashes)), sizes.append(len(once)), prefixes.append(_prefix(once, common, counts).view("<i8"))
-                two, four = np.array(ids), np.array(fps)
-                cols = [part.column(0), *[pa.array(two[:, i]) for i in range(2)], *[pa.array(four[:, i]) for i in range(WIDE_WORDS)], pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "d0", "d1", *_WIDE, "n", "prefix"])
-
-    found = stored(rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "d0", "d1", *_WIDE, "n")) + ", prefix array<long>"))
-    distinct = cut(found.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), *[F.min_by(f, "doc_id").alias(f) for f in _WIDE]))
-    nodes = distinct.where("node is not null")
-    first = verified(similar_links(nodes, radius), rows, shingle)
-    so_far = nodes.join(connected_components(first), "node", "left").select("d0", "d1", "node", F.coalesce("component", "node").alias("component"))
-    each = found.join(so_far, ["d0", "d1"]).where("doc_id = node").dropDuplicates(["d0", "d1"])
-    packed = F.shiftleft("n", 32).bitwiseOR(F.col("at").cast("long")).alias("packed")
-    keyed = each.select("node", "component", "n", F.posexplode("prefix").alias("at", "key")).select("key", "node", "component", packed)
-    second = verified(_links(keyed, _prefix_links, ["node"], radius, block), rows, shingle)
+                    if np.frombuffer(xxhash.xxh3_128_digest(once.tobytes()), "<i8")[0] == d0:  # else another text under this id
+                        kept.append(at), fps.append(_wide_majority(hashes)), sizes.append(len(once)), sets.append(once.tobytes())
+                four = np.array(fps, np.int64).reshape(-1, WIDE_WORDS)
+                cols = [part.column(0).take(pa.array(kept, pa.int64())), *[pa.array(four[:, i]) for i in range(WIDE_WORDS)], pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["node", *_WIDE, "n", "hashes"])
+
+    found = stored(rows.mapInArrow(mark, "doc_id long, d0 long, d1 long, n long, m long, marks binary"))
+    near = small_side(cut(with_partners(found)), IDS)
+    likely = stored(rows.join(near, rows["doc_id"] == near["node"]).select("doc_id", "text", "d0").mapInArrow(whole, "node long, " + ", ".join(f"{c} long" for c in (*_WIDE, "n")) + ", hashes binary"))
+    shared = _shared(likely.select("node", "hashes"), likely.agg(F.sum("n")).first()[0] or 0)
+    left = cut(likely.select("node", "n").join(shared, "node").where("n - shared <= floor(n / 5)").select("node").distinct())  # now told from all shingles
+    sets = likely.join(small_side(left, IDS), "node", "left_semi")
+    sent = _sent(similar_links(sets, radius))
+    first = _met(sets.join(sent, sets["node"] == sent["doc_id"]).select("node", "hashes", "to"), 80)
+    common, counts = _common_shingles(sets)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                keys = [_prefix(np.frombuffer(raw, "<u8"), common, counts).view("<i8") for raw in part.column(2).to_pylist()]
+                long = [len(k) for k in keys]
+                cols = [np.concatenate(keys), *[np.repeat(part.column(i).to_numpy(), long) for i in (1, 0, 3)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "n", "node", "component"])
+
+    so_far = connected_components(first)
+    placed = sets.select("node", "n", "hashes").join(small_side(so_far, IDS), "node", "left").select("node", "n", "hashes", F.coalesce("component", "node").alias("component"))
+    keyed = placed.mapInArrow(prefixes, "key long, n long, node long, component long")
+    second = _family_links(_links(keyed, _mixed_stars, ["node"], radius, block), sets, so_far)
     components = connected_components(first.unionByName(second))
+    distinct = found.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"))
     of_set = distinct.join(components, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component_id"))
     return found.select("doc_id", "d0", "d1").join(of_set, ["d0", "d1"]).select("doc_id", "component_id")
 
@@ -437,7 +581,9 @@ def near_components(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
 
 def deduplicate(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, id_col: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its component (one row where an id repeats; rows without an id stay)."""
-    keep = exact_components(docs, shingle, radius, id_col).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
+    ids = cut(exact_components(docs, shingle, radius, id_col).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n")))
     known = docs.where(F.col(id_col).isNotNull())
-    kept = known.join(keep, known[id_col].cast("long") == keep["_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    here = known[id_col].cast("long")
+    gone, again = (small_side(ids.where(c).select(F.col("doc_id").alias("_id")), IDS) for c in ("not kept or n > 1", "kept and n > 1"))  # ids, else all texts would be shuffled
+    repeated = known.join(again, here == again["_id"], "left_semi").dropDuplicates([id_col])
+    return known.join(gone, here == gone["_id"], "left_anti").unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

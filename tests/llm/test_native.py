@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -154,6 +155,53 @@ def test_near_copies_are_exact(spark):
         assert got == component
 
 
+def test_families_of_near_copies_get_no_row_for_each_pair(spark, monkeypatch):
+    """60 copies edited to an index of some 0.7 to 0.85 with each other, and 200 texts that only share a passage."""
+    rng = np.random.default_rng(8)
+    texts, base = {}, [f"w{i}" for i in range(200)]
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(20, 3, replace=False) * 10 + 5:
+            words[at] = f"x{i}_{at}"
+        texts[i] = " ".join(words)
+    for i in range(100, 300):
+        texts[i] = " ".join([*(f"l{j}" for j in range(8)), *(f"y{i}_{j}" for j in range(40))])
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    component = {i: i for i in sets}
+    for a, b in pairs:
+        low, high = sorted((component[a], component[b]))
+        component = {i: low if c == high else c for i, c in component.items()}
+    assert 1 < len({component[i] for i in range(60)}) < 60
+    docs, seen = spark.createDataFrame([*texts.items()], "doc_id long, text string"), []
+    for name in ("verified", "_family_links"):  # the links that pairs are looked for by
+        monkeypatch.setattr(simhash, name, lambda links, *a, own=getattr(simhash, name, None): (seen.append(links.count()), own(links, *a))[1], raising=False)
+    for family in (2_000_000, 1500):
+        monkeypatch.setattr(simhash, "FAMILY", family, raising=False)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.exact_components(docs, radius=0).collect()}
+        assert got == component
+    assert seen and max(seen) <= 600, seen  # there are 1,770 pairs of copies, 19,900 of the others
+
+
+def test_documents_without_partner_are_left_out(spark):
+    rows = [(i, f"y{i % 10}", f"z{i}") for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*(f"{y}_{j}" for j in range(200 if i < 20 else 20)), *(f"{z}_{j}" for j in range(10 if i < 20 else 300))])) for i, y, z in rows], "doc_id long, text string")
+    found, seen, own = None, [], simhash.similar_links
+    simhash.similar_links = lambda sets, *a: (seen.extend(r["node"] for r in sets.select("node").collect()), own(sets, *a))[1]
+    try:
+        found = {r["doc_id"]: r["component_id"] for r in simhash.exact_components(docs).collect()}
+    finally:
+        simhash.similar_links = own
+    assert found == {i: i % 10 if i < 20 else i for i in range(40)}
+    assert sorted(seen) == list(range(20))
+
+
+def test_repeated_ids_keep_one_row(spark):
+    rows = [(1, "some text of it own"), (1, "some text of it own"), (2, "some text of it own"), (3, "another text"), (3, "a third text here"), (4, "another text"), (None, "another text"), (None, None)]
+    got = sorted(r["doc_id"] or 0 for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [0, 0, 1, 3]
+
+
 def brute_grams(text, k=winnow.K, w=winnow.WINDOW):
     u = []
     for run in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
