@@ -56,6 +56,8 @@ COUNTED, COMMON = 20_000, 200_000
 HUB_LINKS = 256
 #: One shingle in so many is a mark, by which documents without a partner are told; marks that are counted in one task.
 MARKS, BUCKET = 4, 1_000_000
+#: Slices of nodes by which counts of marks are gathered.
+SLICES = 256
 #: Shingles of a family that are held against each other in one place; larger families are held in pairs of parts.
 FAMILY = 2_000_000
 #: Rows of ids that are broadcast rather than texts or sets shuffled.
@@ -412,7 +414,7 @@ def _packed(buckets: int):
 
 
 def _shared_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, shared): how many marks of a node in the buckets of this partition occur more than once."""
+    """(part, nodes, counts): how many marks of the nodes in the buckets of this partition occur more than once."""
     keys, nodes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for b in batches:
         for bucket, raw, packed in zip(*[c.to_pylist() for c in b.columns], strict=True):
@@ -424,14 +426,27 @@ def _shared_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     key, node = key[order], node[order]
     same = key[1:] == key[:-1]
     found, shared = np.unique(node[np.append(same, False) | np.append(False, same)] if len(key) else node, return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(shared.astype(np.int64))], names=["node", "shared"])
+    for part in np.unique(found % SLICES):
+        mine = found % SLICES == part
+        raw = [pa.array([x[mine].astype("<i8").tobytes()], pa.binary()) for x in (found, shared)]
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *raw], names=["part", "nodes", "counts"])
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, shared) of rows (part, nodes, counts), summed by node."""
+    rows = [(np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")) for b in batches for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    if rows:
+        node, at = np.unique(np.concatenate([x for x, _ in rows]), return_inverse=True)
+        shared = np.bincount(at, np.concatenate([y for _, y in rows]), len(node)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(shared)], names=["node", "shared"])
 
 
 def _shared(marked: DataFrame, marks: int) -> DataFrame:
     """(node, shared): how many of the `marks` marks of `marked(node, marks)` another set has too, or another row of the node."""
     buckets = max(shuffle_partitions(marked.sparkSession), marks // BUCKET)
     dealt = marked.mapInArrow(_packed(buckets), "bucket long, keys binary, nodes binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(_shared_marks, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    found = dealt.mapInArrow(_shared_marks, "part long, nodes binary, counts binary")
+    return found.repartition(shuffle_partitions(marked.sparkSession), "part").mapInArrow(_totals, "node long, shared long")
 
 
 def with_partners(found: DataFrame) -> DataFrame:
